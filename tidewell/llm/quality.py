@@ -24,8 +24,8 @@ MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 #: Highest share, in percent, of a text's word characters inside duplicated windows of n words.
 COVERAGE = {5: 20, 6: 18, 7: 16, 8: 14, 9: 12, 10: 10}
-#: Highest share, in percent, of lines, and of their word characters, that repeat an earlier line.
-DUP_LINES, DUP_LINE_CHARS = 30, 20
+#: Highest share, in percent, of word characters in lines that repeat an earlier line.
+DUP_LINE_CHARS = 20
 _SYMBOLS = b"#*$%&|<>"
 _NOT_WORD_CHARS = WORD_SPACE + bytes(range(0x80, 0xC0))
 SCHEMA = (
@@ -51,26 +51,25 @@ def covered(hashes: np.ndarray, n: int, n_words: int) -> np.ndarray | None:
     return np.cumsum(edge[:-1]) > 0
 
 
-def line_repeats(raw: bytes) -> tuple[int, int, int]:
-    """(lines with a word, those equal to an earlier line, word characters of these)."""
+def line_repeats(raw: bytes) -> tuple[int, int]:
+    """(lines with a word that are equal to an earlier line, their word characters)."""
     lines = [x for x in raw.split(b"\n") if x.strip(WORD_SPACE)]
-    n = len(lines)
-    if len(set(lines)) == n:
-        return n, 0, 0
+    if len(set(lines)) == len(lines):
+        return 0, 0
     seen, again, chars = set(), 0, 0
     for x in lines:
         if x in seen:
             again += 1
             chars += len(x.translate(None, _NOT_WORD_CHARS))
         seen.add(x)
-    return n, again, chars
+    return again, chars
 
 
 def measure(raw: bytes, words: np.ndarray, sizes: np.ndarray) -> tuple:
     """The figures of one text; ``words`` and ``sizes`` are its word hashes and their code points."""
     n_words, word_chars = len(words), len(raw.translate(None, _NOT_WORD_CHARS))
     n_symbols = len(raw) - len(raw.translate(None, _SYMBOLS))
-    n_lines, dup_lines, dup_chars = line_repeats(raw)
+    dup_lines, dup_chars = line_repeats(raw)
     repeat_words, most, good = 0, 0.0, True
     for n, percent in COVERAGE.items():
         if n_words <= n or (mark := covered(ngram_hashes(words, n), n, n_words)) is None:
@@ -80,7 +79,7 @@ def measure(raw: bytes, words: np.ndarray, sizes: np.ndarray) -> tuple:
         inside = int(sizes[mark].sum())
         most = max(most, 100 * inside / word_chars)
         good &= 100 * inside <= percent * word_chars
-    good &= 100 * dup_lines <= DUP_LINES * n_lines and 100 * dup_chars <= DUP_LINE_CHARS * word_chars
+    good &= 100 * dup_chars <= DUP_LINE_CHARS * word_chars
     failed = n_words < MIN_WORDS or 100 * repeat_words > MAX_REPEATED_PERCENT * n_words
     return n_words, word_chars, n_symbols, dup_lines, repeat_words, failed, good and not failed, dup_chars, most
 
