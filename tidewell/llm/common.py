@@ -181,3 +181,31 @@ def shingle_set(words: np.ndarray, n: int = 5) -> np.ndarray:
     if len(words) < n:
         return mix(ngram_hashes(words, len(words)) + np.uint64(len(words)))
     return np.unique(ngram_hashes(words, n))
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables that each hold whole runs of equal keys, from batches of a partition sorted by them.
+
+    Only the last run of a batch waits for the next batch.
+    """
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        differs = np.zeros(batch.num_rows - 1, bool)
+        for key in keys:
+            values = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+            differs |= values[1:] != values[:-1]
+        cuts = np.flatnonzero(differs) + 1
+        same = bool(kept) and all(kept[-1].column(i)[-1] == batch.column(i)[0] for i in (batch.schema.get_field_index(k) for k in keys))
+        if kept and not same:
+            yield pa.Table.from_batches(kept)
+            kept = []
+        if len(cuts):
+            last = int(cuts[-1])
+            yield pa.Table.from_batches([*kept, batch.slice(0, last)])
+            kept = [batch.slice(last)]
+        else:
+            kept.append(batch)
+    if kept:
+        yield pa.Table.from_batches(kept)

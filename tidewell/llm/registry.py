@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import language_id, packing, quality, secrets, token_store, url_filter
+from tidewell.llm import decontaminate, language_id, packing, quality, secrets, token_store, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op6_decontamination": decontaminate.op6_decontamination,
     "op7_token_store": token_store.op7_token_store,
     "op8_language_id": language_id.op8_language_id,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
-ORACLE_SQL: dict[str, str] = {"op9_url_filter": url_filter.OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_decontamination": decontaminate.OP6_SQL, "op9_url_filter": url_filter.OP9_SQL}
