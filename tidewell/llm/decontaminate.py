@@ -158,7 +158,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 OP6_SQL = r"""
 WITH w AS (SELECT doc_id AS id, 0 AS kind, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
            UNION ALL SELECT item_id, 1, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') FROM benchmark),
-s AS (SELECT DISTINCT id, kind, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(list_slice(w, i, i + 4), ' '))) AS g FROM w WHERE len(w) >= 5),
+s AS (SELECT DISTINCT id, kind, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS g FROM w WHERE len(w) >= 5),
 n AS (SELECT id AS item_id, count(*) AS n_item FROM s WHERE kind = 1 GROUP BY id),
 m AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared FROM s d JOIN s b ON d.g = b.g AND d.kind = 0 AND b.kind = 1 GROUP BY 1, 2)
 SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM m JOIN n USING (item_id) WHERE n_shared >= 0.75 * n_item
