@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import decontaminate, jaccard_join, language_id, line_dedup, packing, quality, secrets, token_store, url_filter
+from tidewell.llm import decontaminate, jaccard_join, language_id, license_scan, line_dedup, packing, quality, secrets, token_store, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_license_scan": license_scan.op5_license_scan,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_token_store": token_store.op7_token_store,
     "op8_language_id": language_id.op8_language_id,
