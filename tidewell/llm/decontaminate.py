@@ -32,17 +32,12 @@ HASHES = 48
 ITEMS = 20_000
 SMALLEST = 8
 _rng = np.random.default_rng(20240229)
-_XOR = _rng.integers(0, 1 << 63, HASHES, np.int64).astype(np.uint64)
-_TIMES = (_rng.integers(0, 1 << 63, HASHES, np.int64) | 1).astype(np.uint64)
+_TIMES = (_rng.integers(0, 1 << 63, HASHES, np.int64) * 2 + 1).astype(np.uint64)
 
 
 def values(shingles: np.ndarray, k: int) -> np.ndarray:
-    """Values of hash function k."""
-    v = shingles ^ _XOR[k]
-    v *= _TIMES[k]
-    v ^= v >> np.uint64(32)
-    v *= _TIMES[k]
-    return v
+    """Values of hash function k; shingles are mixed already, so a product with an odd number orders them anew."""
+    return shingles * _TIMES[k]
 
 
 class Items:
@@ -70,50 +65,70 @@ class Items:
                 rows.append((least[order], np.array(members)[order], mark))
             self.classes[size] = rows
 
-    def candidates(self, shingles: np.ndarray) -> set[int]:
-        """Items that share a least value with a window of the text's shingles, in order."""
-        found: set[int] = set()
+    def candidates(self, shingles: np.ndarray, sizes: np.ndarray) -> set[tuple[int, int]]:
+        """(text, item) where an item shares a least value with a window of the text.
+
+        ``shingles`` of all texts stand in a row, ``sizes`` of them for each text. Windows start at every block of the
+        smallest class's half; one that runs on into the next text only gains a chance hit.
+        """
+        found: set[tuple[int, int]] = set()
         if not len(shingles) or not self.classes:
             return found
-        smallest = min(self.classes) // 2
-        starts = np.arange(0, len(shingles), smallest)
+        fine = min(self.classes) // 2
+        blocks = -(-sizes // fine)
+        owner = np.repeat(np.arange(len(sizes)), blocks)
+        starts = fine * (np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) + np.repeat(np.cumsum(sizes) - sizes, blocks)
         for k in range(HASHES):
-            blocks, width = np.minimum.reduceat(values(shingles, k), starts), smallest
+            least_of, width = np.minimum.reduceat(values(shingles, k), starts), fine
             for size, rows in self.classes.items():
                 while width < size // 2:
-                    blocks = np.minimum.reduceat(blocks, np.arange(0, len(blocks), 2))
-                    width *= 2
-                windows = blocks
-                if len(blocks) > 1:
-                    windows = np.minimum(blocks[:-1], blocks[1:])
-                if len(blocks) > 2:
-                    windows = np.minimum(windows[:-1], blocks[2:])
+                    least_of, width = _wider(least_of, width // fine), 2 * width
+                step = width // fine
+                windows = _joined(_wider(least_of, step), least_of, 2 * step)
                 least, members, mark = rows[k]
-                near = windows[mark[(windows >> np.uint64(48)).astype(np.int64)]]
-                if len(near):
-                    lo, hi = np.searchsorted(least, near, "left"), np.searchsorted(least, near, "right")
-                    for a, b in zip(lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
-                        found.update(members[a:b].tolist())
+                at = np.flatnonzero(mark[(windows >> np.uint64(48)).astype(np.int64)])
+                near = windows[at]
+                lo, hi = np.searchsorted(least, near, "left"), np.searchsorted(least, near, "right")
+                for i, a, b in zip(owner[at[lo < hi]].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
+                    found.update((i, j) for j in members[a:b].tolist())
         return found
 
-    def matches(self, words: np.ndarray) -> list[tuple]:
-        """(item id, shared shingles, the item's shingles) of the items that the text holds."""
-        out = []
-        shingles = ngram_hashes(words, SHINGLE)
-        near = self.candidates(shingles)
-        if near:
-            own = np.unique(shingles)
-            for i in sorted(near):
-                at = np.minimum(np.searchsorted(own, self.sets[i]), len(own) - 1)
-                shared = int((own[at] == self.sets[i]).sum())
-                if shared >= CONTAINMENT * len(self.sets[i]):
-                    out.append((self.ids[i], shared, len(self.sets[i])))
+    def matches(self, words: np.ndarray, index: np.ndarray) -> list[tuple]:
+        """(text, item id, shared shingles, the item's shingles) for texts whose words begin at ``index``."""
+        out, sizes = [], np.maximum(np.diff(index) - SHINGLE + 1, 0)
+        every = ngram_hashes(words, SHINGLE)
+        inside = np.ones(len(words), bool)
+        for back in range(1, SHINGLE):
+            edge = index[1:] - back
+            inside[edge[edge >= 0]] = False
+        shingles = every[inside[: len(every)]]
+        ends = np.cumsum(sizes)
+        sets: dict[int, np.ndarray] = {}
+        for i, j in sorted(self.candidates(shingles, sizes)):
+            if i not in sets:
+                sets = {i: np.unique(shingles[ends[i] - sizes[i] : ends[i]])}
+            at = np.minimum(np.searchsorted(sets[i], self.sets[j]), len(sets[i]) - 1)
+            shared = int((sets[i][at] == self.sets[j]).sum())
+            if shared >= CONTAINMENT * len(self.sets[j]):
+                out.append((i, self.ids[j], shared, len(self.sets[j])))
         for n, members in self.short.items():
-            runs = mix(ngram_hashes(words, n) + np.uint64(n))
-            out += [(self.ids[i], 1, 1) for i in members if self.sets[i][0] in runs]
+            for i in range(len(sizes)):
+                runs = mix(ngram_hashes(words[index[i] : index[i + 1]], n) + np.uint64(n))
+                out += [(i, self.ids[j], 1, 1) for j in members if self.sets[j][0] in runs]
         return out
 
 
+def _joined(first: np.ndarray, second: np.ndarray, after: int) -> np.ndarray:
+    """Least of ``first`` at each place and ``second`` so many places on, where there is one."""
+    out, n = first.copy(), max(0, len(first) - after)
+    np.minimum(first[:n], second[after:], out=out[:n])
+    return out
+
+
+def _wider(least: np.ndarray, step: int) -> np.ndarray:
+    return _joined(least, least, step)
+
+
 def searcher(shared) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(*shared.value)
@@ -123,8 +138,7 @@ def searcher(shared) -> Callable:
             for first, last in groups(offsets):
                 begin = offsets[first]
                 words, _, index = word_table(data[begin : offsets[last]], offsets[first : last + 1] - begin, lower=True)
-                for i in range(last - first):
-                    out += [(ids[first + i].as_py(), *m) for m in items.matches(words[index[i] : index[i + 1]])]
+                out += [(ids[first + i].as_py(), *found) for i, *found in items.matches(words, index)]
             columns = zip(*out, strict=True) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "n_shared", "n_item"])
 
