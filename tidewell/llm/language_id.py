@@ -121,12 +121,17 @@ def scorer(model: tuple) -> Callable[[Iterator[pd.Series]], Iterator[pd.DataFram
     return score
 
 
+def judgement(spark, model: tuple, text: str = "text") -> F.Column:
+    """A struct of the predicted language and its score."""
+    shared = spark.sparkContext.broadcast(model)
+    return F.pandas_udf(_typed(scorer(shared)), "lang_pred string, score double")(F.col(text))
+
+
 def predict(rows: DataFrame, model: tuple, text: str = "text") -> DataFrame:
-    """``rows`` with columns ``lang_pred`` and ``score``."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    udf = F.pandas_udf(_typed(scorer(shared)), "lang_pred string, score double")
-    made = rows.withColumn("_said", udf(F.col(text)))
-    return made.select(*rows.columns, F.col("_said.lang_pred").alias("lang_pred"), F.col("_said.score").alias("score"))
+    """``rows`` with columns ``lang_pred`` and ``score``, which replace any of these names."""
+    others = [c for c in rows.columns if c not in ("lang_pred", "score", "__said")]
+    made = rows.select(*others, judgement(rows.sparkSession, model, text).alias("__said"))
+    return made.select(*others, F.col("__said.lang_pred").alias("lang_pred"), F.col("__said.score").alias("score"))
 
 
 def _typed(f: Callable) -> Callable:
@@ -148,4 +153,4 @@ def op8_language_id(spark, sf_dir: str) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows whose language is determined, with their columns as they were."""
     model = fit(docs.filter(~held_out()))
-    return predict(docs, model).filter(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    return docs.filter(judgement(docs.sparkSession, model).getField("lang_pred") != UNDETERMINED)
