@@ -34,6 +34,8 @@ END_ID = 0
 STEP = 1.0
 RATE = 4.0
 ROUNDS = 500
+#: The shares are rounded with each of these least numbers of sequences, and the fewest sequences are taken.
+ROUNDING = (1, 2, 4, 8)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
@@ -106,9 +108,16 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> lis
         served[index] += share * copies / needs[index]
         key = tuple(sorted(chosen.items()))
         shares[key] = shares.get(key, 0.0) + share
+    rounded = [plan + round_shares(shares, dict(left), least, capacity) for least in ROUNDING]
+    return min(rounded, key=lambda p: sum(n for _, n in p))
+
+
+def round_shares(shares: dict[tuple, float], left: dict[int, int], least: int, capacity: int) -> list[tuple[Counter, int]]:
+    """Shares rounded down, those of fewer than ``least`` sequences to none, and what they leave packed best-fit."""
+    plan: list[tuple[Counter, int]] = []
     for key, share in sorted(shares.items(), key=lambda x: (-x[1], x[0])):
         times = min([int(share), *(left[k] // n for k, n in key)])
-        if times:
+        if times >= least:
             plan.append((Counter(dict(key)), times))
             for k, n in key:
                 left[k] -= times * n
