@@ -10,11 +10,6 @@ from pyspark.sql import functions as F
 from tidewell.operators.ensemble import ensemble_statistics
 
 
-def timestep(time: str) -> Column:
-    """The difference of the two least distinct times of a group."""
-    return F.array_sort(F.collect_set(time))[1] - F.array_sort(F.collect_set(time))[0]
-
-
 def first_steps(df: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
     """(keys, step): the difference of the two least distinct times, kept as two values and never as a list."""
     least = df.groupBy(*keys).agg(F.min(time).alias("_t0"))
