@@ -9,8 +9,9 @@ compare all pairs. Texts are therefore first dealt into cells by the prefix prin
 share one of their n - ceil(t n) + 1 first shingles in any order common to all texts. Frequent shingles, counted over all
 texts, come last in that order, so passages that many texts share make no cells. Texts of equal sets are one node.
 
-Links are then found in two steps. First each cell's members are held against its least one, which joins groups of
-copies in as many pairs as copies. Then each cell that still spans several components is searched by its R-tree for
+Links are then found in two steps. First each text is held against two others, the least of its cells and the one that is
+the least of most of its cells, which joins groups of copies in about as many pairs as copies. In one more turn each
+text that is still apart from its cells' largest component is held against a few members of that, chosen by hash. Then each cell that still spans several components is searched by its R-tree for
 pairs across components only; the components are exact, without all pairs of a group. Cells larger than a block are
 searched as pairs of blocks.
 
@@ -36,28 +37,43 @@ from tidewell.llm.components import components
 SHINGLE = 5
 #: Two texts are linked when 100 times their intersection is PERCENT times their union or more.
 PERCENT = 75
-MIN_GROUPS, MAX_GROUPS = 16, 1024
+#: Coordinates of the points in the tree's boxes; the bound of two points is taken at their full resolution.
+MIN_GROUPS = 32
 #: Shingles are counted in chunks of so many; those in FREQUENT_LOCAL texts of a chunk or more are summed over chunks.
 CHUNK, FREQUENT_LOCAL, FREQUENT = 2 << 20, 4, 64
 #: Frequent shingles that are broadcast (16 bytes each); were there more, the rarer ones keep their place in the order.
 MOST_FREQUENT = 500_000
 LEAF, BLOCK = 16, 1024
+#: Turns in which each text still apart from its cells' largest component is held against so many of its members.
+TURNS, TRIES = 1, 6
+#: Tasks that the cells of one least member are dealt to at least, and pairs that a task remembers to have given.
+SPREAD, SEEN = 3, 300_000
+#: Keys of texts to verify that are broadcast (16 bytes each); more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
 
 
 def n_groups(n: int) -> int:
-    """Coordinates of the point of a set of n: a power of two, so that points of neighbouring sizes can be folded."""
-    return min(MAX_GROUPS, max(MIN_GROUPS, 1 << max(0, (n // 8 - 1)).bit_length()))
+    """Coordinates of the point of a set of n: a power of two of n or more, so that those of neighbouring sizes fold."""
+    return max(MIN_GROUPS, 1 << max(0, n - 1).bit_length())
 
 
 def point(shingles: np.ndarray) -> np.ndarray:
     """Counts by hashed group; adding the halves of a point gives that of half as many groups."""
     g = n_groups(len(shingles))
-    return np.bincount((mix(shingles) & np.uint64(g - 1)).astype(np.int64), minlength=g).astype(np.uint32)
+    counts = np.bincount((mix(shingles) & np.uint64(g - 1)).astype(np.int64), minlength=g)
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
 
 
-def fold(points: np.ndarray) -> np.ndarray:
-    half = points.shape[1] // 2
-    return points[:, :half] + points[:, half:]
+def decode(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{len(raw) // n_groups(n)}")
+
+
+def fold(points: np.ndarray, width: int) -> np.ndarray:
+    """Points of as many groups by adding halves."""
+    while points.shape[-1] > width:
+        half = points.shape[-1] // 2
+        points = points[..., :half].astype(np.uint32) + points[..., half:]
+    return points
 
 
 def prefix_length(n: int) -> int:
@@ -165,11 +181,8 @@ def needed(size: np.ndarray | int) -> np.ndarray | int:
 
 def bound(x: np.ndarray, y: np.ndarray) -> int:
     """Most shingles that sets with these points can share."""
-    while len(x) > len(y):
-        x = x[: len(x) // 2] + x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] + y[len(y) // 2 :]
-    return int(np.minimum(x, y).sum())
+    width = min(len(x), len(y))
+    return int(np.minimum(fold(x, width), fold(y, width)).sum(dtype=np.int64))
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +192,7 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i
             for i in range(len(a))
             if (100 + PERCENT) * min(na[i], nb[i]) >= needed(na[i] + nb[i])
-            and (100 + PERCENT) * bound(np.frombuffer(pa_[i], np.uint32), np.frombuffer(pb[i], np.uint32)) >= needed(na[i] + nb[i])
+            and (100 + PERCENT) * bound(decode(pa_[i], na[i]), decode(pb[i], nb[i])) >= needed(na[i] + nb[i])
         ]
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
 
@@ -200,30 +213,35 @@ class Tree:
     """An R-tree of points, bulk-loaded by size: leaves of a few points, each box known by its upper corner."""
 
     def __init__(self, n: np.ndarray, points: np.ndarray):
-        self.order = np.lexsort((points.argmax(axis=1), n)) if len(n) else np.zeros(0, np.int64)
-        self.n, self.points = n[self.order], points[self.order]
+        coarse = fold(points, MIN_GROUPS)
+        self.order = np.lexsort((coarse.argmax(axis=1), n))
+        self.n, self.points, self.coarse = n[self.order], points[self.order], coarse[self.order].astype(np.uint32)
         self.starts = np.arange(0, len(n), LEAF)
-        self.upper = np.maximum.reduceat(self.points, self.starts, axis=0) if len(n) else self.points
-        self.least = np.minimum.reduceat(self.n, self.starts) if len(n) else self.n
-        self.most = np.maximum.reduceat(self.n, self.starts) if len(n) else self.n
+        self.upper = np.maximum.reduceat(self.coarse, self.starts, axis=0)
+        self.least = np.minimum.reduceat(self.n, self.starts)
+        self.most = np.maximum.reduceat(self.n, self.starts)
 
     def leaf(self, k: int) -> slice:
         return slice(int(self.starts[k]), int(self.starts[k]) + LEAF)
 
 
 def tree_join(x: Tree, y: Tree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (places in x, places in y) that the bound leaves."""
+    """Pairs (places in x, places in y) that the bound leaves: of boxes, of coarse points, then of whole points."""
     factor = 100 + PERCENT
     for k in range(len(x.starts)):
-        close = factor * np.minimum(x.most[k], y.most) >= needed(np.maximum(x.least[k], y.least) + np.minimum(x.least[k], y.least))
+        least = x.least[k] + y.least
+        close = factor * np.minimum(x.most[k], y.most) >= needed(least)
+        close &= factor * np.minimum(x.upper[k], y.upper).sum(axis=1, dtype=np.int64) >= needed(least)
         for j in np.flatnonzero(close):
-            if factor * int(np.minimum(x.upper[k], y.upper[j]).sum()) < needed(int(x.least[k] + y.least[j])):
-                continue
             a, b = x.leaf(k), y.leaf(j)
-            most = np.minimum(x.points[a][:, None, :], y.points[b][None, :, :]).sum(axis=2, dtype=np.int64)
-            i, m = np.nonzero(factor * most >= needed(x.n[a][:, None] + y.n[b][None, :]))
+            most = np.minimum(x.coarse[a][:, None, :], y.coarse[b][None, :, :]).sum(axis=2, dtype=np.uint32)
+            size = x.n[a][:, None] + y.n[b][None, :]
+            i, m = np.nonzero(factor * most.astype(np.int64) >= needed(size))
             if len(i):
-                yield x.order[a][i], y.order[b][m]
+                most = np.minimum(x.points[a][i], y.points[b][m]).sum(axis=1, dtype=np.int64)
+                keep = factor * most >= needed(size[i, m])
+                if keep.any():
+                    yield x.order[a][i[keep]], y.order[b][m[keep]]
 
 
 def cell_pairs(n: np.ndarray, points: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -239,11 +257,12 @@ def cell_pairs(n: np.ndarray, points: list[np.ndarray], left: np.ndarray, right:
         for at, t, side in ((x, tree[0], right), (y, tree[1], left)):
             wide = np.flatnonzero((width == 2 * g) & side)
             if len(at) and len(wide):
-                for i, j in tree_join(t, Tree(n[wide], fold(np.stack([points[k] for k in wide])))):
+                for i, j in tree_join(t, Tree(n[wide], fold(np.stack([points[k] for k in wide]), g))):
                     yield at[i], wide[j]
 
 
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[tuple[int, int]] = set()
     for rows in runs(batches, ["s", "x", "y"]):
         s, x, y, block, d, root, n = (rows.column(c).to_numpy() for c in ("s", "x", "y", "block", "d", "root", "n"))
         points = rows.column("point")
@@ -251,15 +270,18 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(s)], strict=True):
             if (root[lo:hi] == root[lo]).all():
                 continue
-            own = [np.frombuffer(points[i].as_py(), np.uint32) for i in range(lo, hi)]
-            found = []
+            own = [decode(points[i].as_py(), int(n[i])) for i in range(lo, hi)]
+            found: set[tuple[int, int]] = set()
             for i, j in cell_pairs(n[lo:hi], own, block[lo:hi] == x[lo], block[lo:hi] == y[lo]):
                 across = root[lo:hi][i] != root[lo:hi][j]
                 a, b = d[lo:hi][i[across]], d[lo:hi][j[across]]
-                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
-            if found:
-                pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+                found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+            new = found - seen
+            if len(seen) > SEEN:
+                seen.clear()
+            seen |= new
+            if new:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*sorted(new), strict=True)], ["a", "b"])
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, source: DataFrame, points_checked: bool) -> DataFrame:
@@ -270,13 +292,23 @@ def _links(pairs: DataFrame, nodes: DataFrame, source: DataFrame, points_checked
         pairs = both.mapInArrow(_bounded, "a long, b long")
     pairs = materialise(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("d")).union(pairs.select(F.col("b").alias("d"))).distinct()
-    keys = wanted.join(nodes.select("d", "row_key"), "d").select("row_key").distinct()
+    keys = materialise(wanted.join(nodes.select("d", "row_key"), "d").select("row_key").distinct(), "keys")
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
     texts = source.join(keys, "row_key", "left_semi").dropDuplicates(["row_key"]).select("text")
     sets = materialise(texts.mapInArrow(_blobs, "d long, blob binary"), "sets")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return materialise(both.mapInArrow(_verified, "a long, b long"), "links")
 
 
+def _members(cells: DataFrame, roots: DataFrame) -> DataFrame:
+    """Cells' members with their roots, as a table of the cells that span several."""
+    members = cells.select("s", "d").join(roots.toDF("d", "root"), "d", "left").select("s", "d", F.coalesce("root", "d").alias("root"))
+    over = Window.partitionBy("s").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    spans = members.withColumns({"_lo": F.min("root").over(over), "_hi": F.max("root").over(over)})
+    return materialise(spans.filter("_lo <> _hi").select("s", "d", "root"), "open")
+
+
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row: the least id that links reach, its own included."""
     spark = docs.sparkSession
@@ -300,20 +332,34 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     postings = postings.select("s", "d", F.lag("d").over(cell).alias("before"), F.first("d").over(whole).alias("least"), F.last("d").over(whole).alias("most"))
     cells = materialise(postings.filter("least <> most and (before is null or before <> d)").select("s", "d", "least"), "cells")
 
-    first = _links(cells.filter("d <> least").select(F.col("least").alias("a"), F.col("d").alias("b")).distinct(), nodes, source, False)
-    roots = components(first)
-    members = cells.select("s", "d").join(roots.toDF("d", "root"), "d", "left").select("s", "d", F.coalesce("root", "d").alias("root"))
+    shared = cells.filter("d <> least").groupBy("d", "least").agg(F.count("*").alias("m")).groupBy("d")
+    shared = shared.agg(F.min_by("least", F.struct(-F.col("m"), F.col("least"))).alias("most"), F.min("least").alias("low"))
+    stars = shared.select(F.explode(F.array_distinct(F.array("most", "low"))).alias("a"), F.col("d").alias("b"))
+    first = _links(stars, nodes, source, False)
+    links, roots = first, components(first)
+    members = _members(cells, roots)
+    for turn in range(TURNS):
+        pivots = members.groupBy("s", "root").agg(F.count("*").alias("m"), F.min_by("d", F.xxhash64("d", "s", F.lit(turn))).alias("a"))
+        pivots = pivots.groupBy("s").agg(F.max_by(F.struct("root", "a"), F.struct("m", "root")).alias("p"), F.count("*").alias("n")).filter("n > 1")
+        tried = members.join(pivots.select("s", "p.a", F.col("p.root").alias("other")), "s").filter("root <> other")
+        tried = tried.groupBy(F.col("d").alias("b"), "a").agg(F.count("*").alias("m"))
+        best = Window.partitionBy("b").orderBy(F.desc("m"), F.xxhash64("a", "b"))
+        tried = tried.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= TRIES).select("a", "b")
+        links = links.unionByName(_links(tried, nodes, source, False))
+        roots = components(links)
+        members = _members(members, roots)
     open_cells = members.groupBy("s").agg(
-        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m"), F.sum(F.xxhash64("d").cast("decimal(38,0)")).alias("same")
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m"), F.min("d").alias("lead"), F.sum(F.xxhash64("d").cast("decimal(38,0)")).alias("same")
     )
-    open_cells = open_cells.filter("lo <> hi").groupBy("same", "m", "lo", "hi").agg(F.min("s").alias("s")).select("s", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    open_cells = open_cells.filter("lo <> hi").groupBy("same", "m", "lo", "hi", "lead").agg(F.min("s").alias("s")).select("s", "lead", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     spread = members.join(open_cells, "s").withColumn("block", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int"))
     spread = spread.join(nodes.select("d", "n", "point"), "d")
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("s", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "d", "root", "n", "point")
-    dealt = spread.repartition("s", "x", "y").sortWithinPartitions("s", "x", "y")
-    second = _links(dealt.mapInArrow(_searched, "a long, b long").distinct(), nodes, source, True)
-    roots = components(first.unionByName(second))
+    spread = spread.select("s", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "d", "root", "n", "point", "lead")
+    # cells of one group have the same lead: a few tasks get them, and give a pair that is in many of them once
+    dealt = spread.repartition("lead", F.pmod("s", F.lit(SPREAD)), "x", "y").drop("lead").sortWithinPartitions("s", "x", "y")
+    links = links.unionByName(_links(dealt.mapInArrow(_searched, "a long, b long").distinct(), nodes, source, True))
+    roots = components(links)
 
     least = nodes.select("d", "least_id").join(roots.toDF("d", "root"), "d", "left").select("d", "least_id", F.coalesce("root", "d").alias("root"))
     lowest = least.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -331,3 +377,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     heads = join(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     named = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).join(heads, "doc_id", "left_semi")
     return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) m ON m.a = d.doc_id
+"""

@@ -107,3 +107,25 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
+
+
+def _coverage_sql() -> str:
+    return ", ".join(f"({n}, {percent})" for n, percent in COVERAGE.items())
+
+
+OP2_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+w AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+limits(n, percent) AS (VALUES {_coverage_sql()}),
+g AS (SELECT doc_id, n, percent, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS gram FROM (SELECT doc_id, w, n, percent, unnest(range(1, len(w) - n + 2)) AS i FROM d, limits WHERE len(w) >= n)),
+r AS (SELECT doc_id, n, percent, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, n, gram) > 1),
+c AS (SELECT DISTINCT doc_id, n, percent, unnest(range(i, i + n)) AS i FROM r),
+s AS (SELECT c.doc_id, n, percent, count(*) AS words, sum(length(word)) AS inside FROM c JOIN w ON c.doc_id = w.doc_id AND c.i = w.i GROUP BY ALL),
+l AS (SELECT doc_id, line, count(*) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL),
+x AS (SELECT doc_id, sum(k - 1) AS n_dup_lines, sum((k - 1) * length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS dup_line_chars FROM l GROUP BY doc_id),
+b AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols FROM d),
+a AS (SELECT b.*, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(dup_line_chars, 0) AS dup_line_chars, coalesce(max(s.words) FILTER (WHERE n = {BASE_WINDOW}), 0) AS n_repeat_words, coalesce(max(100 * inside / word_chars), 0) AS max_ngram_percent, coalesce(bool_or(100 * inside > percent * word_chars), false) AS much
+      FROM b LEFT JOIN x USING (doc_id) LEFT JOIN s USING (doc_id) GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words) AND NOT much AND 100 * dup_line_chars <= {DUP_LINE_CHARS} * word_chars AS kept, dup_line_chars::BIGINT AS dup_line_chars, max_ngram_percent FROM a
+"""

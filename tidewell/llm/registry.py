@@ -20,4 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
-ORACLE_SQL: dict[str, str] = {"op6_decontamination": decontaminate.OP6_SQL, "op9_url_filter": url_filter.OP9_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": quality.OP2_SQL,
+    "op3_jaccard_join": jaccard_join.OP3_SQL,
+    "op6_decontamination": decontaminate.OP6_SQL,
+    "op9_url_filter": url_filter.OP9_SQL,
+}
