@@ -1,8 +1,7 @@
 """License scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance by directory.
 
-Units are each line (a header) and each whole text (a licence file). Inverse document frequencies of the templates'
-terms are counted over all texts; a term that no template has counts as the rarest. For each template its heaviest terms
-are anchors, so many that the others' weight alone stays under the threshold: a unit without any anchor can't reach it,
+Units are each line (a header) and each whole text (a licence file). Inverse document frequencies of all terms are counted
+over all texts. For each template its heaviest terms are anchors, so many that the others' weight alone stays under the threshold: a unit without any anchor can't reach it,
 and only units with one are scored. A file's own licence is its best unit's. A licence file (by name, or by the cosine of
 its whole text) licenses its directory; a file without an own licence takes that of the nearest ancestor directory that
 has one, by an equi-join of the distinct directories' ancestors.
@@ -23,6 +22,8 @@ from tidewell.llm.common import materialise, table
 
 #: Least cosine of a line, and of a whole text, to a template.
 LINE_COSINE, FILE_COSINE = 0.7, 0.6
+#: Terms of most texts whose inverse frequencies are broadcast; units' other terms meet theirs by a shuffle.
+COMMON = 50_000
 _TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 #: A licence file by its name.
 FILE_NAME = r"(?i)(^|/)(un)?(licen[cs]e|copying)([.-][^/]*)?$"
@@ -61,8 +62,8 @@ def template_terms(spark: SparkSession, templates: list[tuple[str, str]]) -> lis
     return [tuple(r) for r in made.orderBy("template", "term").collect()]
 
 
-def weigh(rows: list[tuple[int, str, str, int]], frequency: dict[str, int], total: int) -> tuple[dict[str, float], float, list[tuple], set[str]]:
-    """(inverse frequency by term, that of unknown terms, template rows with unit weights, anchors)."""
+def weigh(rows: list[tuple[int, str, str, int]], frequency: dict[str, int], total: int) -> tuple[list[tuple], set[str]]:
+    """(template rows with unit weights, anchors)."""
     idf = {term: math.log((total + 1) / (frequency.get(term, 0) + 1)) + 1 for _, _, term, _ in rows}
     weighted, anchors = [], set()
     for template in sorted({r[0] for r in rows}):
@@ -74,7 +75,7 @@ def weigh(rows: list[tuple[int, str, str, int]], frequency: dict[str, int], tota
             if left > 0.98 * min(LINE_COSINE, FILE_COSINE) ** 2:
                 anchors.add(term)
                 left -= (w / norm) ** 2
-    return idf, math.log(total + 1) + 1, weighted, anchors
+    return weighted, anchors
 
 
 def scan(files: DataFrame, doc_id: str = "doc_id", path: str = "path", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
@@ -82,19 +83,23 @@ def scan(files: DataFrame, doc_id: str = "doc_id", path: str = "path", text: str
     spark = files.sparkSession
     files = files.selectExpr(f"`{doc_id}` as doc_id", f"`{path}` as path", f"`{text}` as text")
     rows = template_terms(spark, templates)
-    vocabulary = F.array(*[F.lit(t) for t in sorted({r[2] for r in rows})])
-    known = files.select(F.explode(F.array_intersect(terms(F.col("text")), vocabulary)).alias("term")).groupBy("term").count()
-    idf, rarest, weighted, anchors = weigh(rows, {r["term"]: r["count"] for r in known.collect()}, files.count())
+    frequency = files.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").count()
+    frequency, total = materialise(frequency, "frequency"), files.count()
+    known = frequency.filter(F.col("term").isin(sorted({r[2] for r in rows})))
+    weighted, anchors = weigh(rows, {r["term"]: r["count"] for r in known.collect()}, total)
     weights = F.broadcast(spark.createDataFrame(weighted, "template int, licence string, term string, weight double"))
-    inverse = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
+    inverse = frequency.select("term", (F.log(F.lit(total + 1.0) / (F.col("count") + 1)) + 1).alias("idf"))
+    common = F.broadcast(inverse.orderBy("idf", "term").limit(COMMON))
     anchor = F.array(*[F.lit(a) for a in sorted(anchors)])
 
     keyed = files.withColumn("row_key", F.xxhash64("doc_id", "path", "text"))
     lines = keyed.filter(F.arrays_overlap(terms(F.col("text")), anchor)).select("row_key", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("unit", "own"))
     units = lines.select("row_key", "unit", terms(F.col("own")).alias("terms")).filter(F.arrays_overlap("terms", anchor))
     counted = units.select("row_key", "unit", F.explode("terms").alias("term")).groupBy("row_key", "unit", "term").agg(F.count("*").alias("n"))
-    counted = counted.join(inverse, "term", "left")
-    counted = materialise(counted.withColumn("w", F.col("n") * F.coalesce("idf", F.lit(rarest))), "units")
+    counted = materialise(counted.join(common, "term", "left"), "terms")
+    rare = counted.filter("idf is null").drop("idf").join(inverse, "term")
+    counted = counted.filter("idf is not null").unionByName(rare).withColumn("w", F.col("n") * F.col("idf"))
+    counted = materialise(counted, "units")
     norms = counted.groupBy("row_key", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = counted.join(weights, "term").groupBy("row_key", "unit", "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     scored = dots.join(norms, ["row_key", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6))
