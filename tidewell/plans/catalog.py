@@ -468,7 +468,7 @@ POINTS = "pts AS (SELECT l_quantity AS x, CAST(l_linenumber AS DOUBLE) AS y, l_e
 
 
 def _points(spark, d):
-    return table(spark, d, "lineitem").filter("l_partkey % 5 = 0").select(F.col("l_quantity").alias("x"), F.col("l_linenumber").cast("double").alias("y"), F.col("l_extendedprice").alias("z"), F.col("l_orderkey").alias("k"))
+    return table(spark, d, "lineitem").select(F.col("l_quantity").alias("x"), F.col("l_linenumber").cast("double").alias("y"), F.col("l_extendedprice").alias("z"), F.col("l_orderkey").alias("k"))
 
 
 @query("grid_fill", f"WITH {POINTS}, q AS (SELECT * FROM pts WHERE z > 60000) SELECT a.x, b.y, coalesce(max(z), -9999) AS z FROM (SELECT DISTINCT x FROM q) a CROSS JOIN (SELECT DISTINCT y FROM q) b LEFT JOIN q ON q.x = a.x AND q.y = b.y GROUP BY a.x, b.y")
