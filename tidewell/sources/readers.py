@@ -157,21 +157,37 @@ def run_log(lines: DataFrame, tail: int = 100) -> DataFrame:
     return out.withColumn("settings", F.map_from_entries(first)).drop("_p")
 
 
-def batch_runs(lines: DataFrame) -> DataFrame:
-    """(path, run, duration_hours, aep, tp, values) of a hydrologic batch report, between its two headings."""
+def _batch_rows(lines: DataFrame) -> DataFrame:
+    """Lines of a hydrologic batch report between its two headings, each with its parts and those of the last header."""
     order = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     own = lines.withColumns({"_a": F.max(F.col("text").rlike(r"Peak\s+Description")).over(order), "_z": F.max(F.col("text").contains("Run,    Representative hydrograph")).over(order)})
-    p = F.split(F.trim("text"), r"\s+")
-    rows = own.filter("_a and not _z").withColumn("_p", p).filter((F.size("_p") >= 7) & F.col("_p")[0].rlike(r"^\d+$"))
+    own = own.filter("_a and not _z").withColumn("_p", F.split(F.trim("text"), r"\s+"))
+    head = F.when(F.col("text").rlike(r"^\s*Run\s+Duration\b"), F.array_remove("_p", "Unit"))
+    return own.withColumn("_head", F.last(head, ignorenulls=True).over(order))
+
+
+def batch_runs(lines: DataFrame) -> DataFrame:
+    """(path, run, duration_hours, aep, tp, values, names) of a hydrologic batch report, between its two headings.
+
+    All values of a run are taken; their names are the header's after run, duration, AEP and pattern, null without one.
+    """
+    rows = _batch_rows(lines).filter((F.size("_p") >= 7) & F.col("_p")[0].rlike(r"^\d+$"))
     size, unit = number(F.col("_p")[1]), F.lower(F.col("_p")[2])
     hours = F.when(unit.startswith("min"), size / 60).otherwise(size)
     flag = lambda x: F.when(x == "Y", F.lit(1.0)).when(x == "N", F.lit(0.0)).otherwise(number(found(x, r"^(-?[\d.]+)")))
     return rows.select(
         "path", F.col("_p")[0].cast("int").alias("run"), hours.alias("duration_hours"), F.regexp_replace(F.col("_p")[3], "%", "").alias("aep"),
-        F.col("_p")[4].try_cast("int").alias("tp"), F.transform(F.slice("_p", 6, 100), flag).alias("values"),
+        F.col("_p")[4].try_cast("int").alias("tp"), F.transform(F.slice("_p", 6, F.size("_p")), flag).alias("values"), F.slice("_head", 5, F.size("_head")).alias("names"),
     ).filter("tp is not null")
 
 
+def batch_peaks(lines: DataFrame) -> DataFrame:
+    """(path, run, duration_hours, aep, tp, place, name, value): a row of each value of ``batch_runs``, places from 0."""
+    runs = batch_runs(lines)
+    each = runs.select("path", "run", "duration_hours", "aep", "tp", "names", F.posexplode("values").alias("place", "value"))
+    return each.withColumn("name", F.get("names", "place")).select("path", "run", "duration_hours", "aep", "tp", "place", "name", "value")
+
+
 def hydrograph(lines: DataFrame, drop: Sequence[str] = ("Inc", "Time (hrs)")) -> DataFrame:
     """(path, time, location, value) of a hydrograph table under two lines of titles."""
     c = cells(lines.filter("line >= 2"))
