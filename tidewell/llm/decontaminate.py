@@ -1,6 +1,7 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
-Test items are partitioned by size: a class holds those of up to W shingles, W a power of two. A long document is cut into
+Items of a few shingles are found by looking up each of a text's shingles among theirs, which misses none. Other test
+items are partitioned by size: a class holds those of up to W shingles, W a power of two. A long document is cut into
 windows of 1.5 W shingles, half a W apart, so that an item inside it meets a window of its own scale, whose MinHash
 values then agree with the item's as often as sets of like size do. A document with an equal value in any window is a
 candidate, and the share of the item's distinct shingles that the whole document holds decides. Items come in blocks of
@@ -25,12 +26,15 @@ from tidewell.llm.common import flat, groups, mix, ngram_hashes, shingle_set, ta
 
 SHINGLE = 5
 CONTAINMENT = 0.75
-#: Hash functions. An item that a window holds to three quarters has a Jaccard similarity of 0.23 to it or more, so all
-#: of them miss it with a probability of 4e-6 at most.
+#: Hash functions. An item of more than FEW shingles that a window holds to three quarters has a Jaccard similarity of
+#: 0.23 to it or more, so all of them miss it with a probability of 4e-6 at most.
 HASHES = 48
 #: Test items that are broadcast and sought at a time.
 ITEMS = 20_000
-SMALLEST = 8
+#: Items of up to so many shingles are looked up exactly; the smallest size class is twice this.
+FEW = 8
+#: Leading bits of a hash by which shingles that no item of few has are left out.
+MARK_BITS = 22
 _rng = np.random.default_rng(20240229)
 _TIMES = (_rng.integers(0, 1 << 63, HASHES, np.int64) * 2 + 1).astype(np.uint64)
 
@@ -41,10 +45,14 @@ def values(shingles: np.ndarray, k: int) -> np.ndarray:
 
 
 class Items:
-    """Search tables of a block of items: by size class and hash function the least values, sorted, with their items."""
+    """Search tables of a block of items: by size class and hash function the least values, sorted, with their items.
+
+    Those of items of few shingles are all their shingles.
+    """
 
     def __init__(self, ids: list, texts: list[str]):
         self.ids, self.sets, self.short, by_class = ids, [], defaultdict(list), defaultdict(list)
+        few: list[int] = []
         data, offsets = flat(pa.array(texts, pa.string()))
         words, _, index = word_table(data, offsets, lower=True)
         for i in range(len(ids)):
@@ -52,8 +60,15 @@ class Items:
             self.sets.append(shingle_set(own, SHINGLE))
             if 0 < len(own) < SHINGLE:
                 self.short[len(own)].append(i)
+            elif 0 < len(self.sets[-1]) <= FEW:
+                few.append(i)
             elif len(own):
-                by_class[max(SMALLEST, 1 << int(len(self.sets[-1]) - 1).bit_length())].append(i)
+                by_class[1 << int(len(self.sets[-1]) - 1).bit_length()].append(i)
+        every = np.concatenate([np.zeros(0, np.uint64), *(self.sets[i] for i in few)])
+        order = np.argsort(every, kind="stable")
+        self.few, self.few_items = every[order], np.repeat(np.array(few, np.int64), [len(self.sets[i]) for i in few])[order]
+        self.few_mark = np.zeros(1 << MARK_BITS, bool)
+        self.few_mark[_mark(self.few)] = True
         self.classes = {}
         for size, members in sorted(by_class.items()):
             rows = []
@@ -66,12 +81,18 @@ class Items:
             self.classes[size] = rows
 
     def candidates(self, shingles: np.ndarray, sizes: np.ndarray) -> set[tuple[int, int]]:
-        """(text, item) where an item shares a least value with a window of the text.
+        """(text, item) where an item shares a least value with a window of the text, or one of few shingles any shingle.
 
         ``shingles`` of all texts stand in a row, ``sizes`` of them for each text. Windows start at every block of the
         smallest class's half; one that runs on into the next text only gains a chance hit.
         """
         found: set[tuple[int, int]] = set()
+        if len(shingles) and len(self.few):
+            at = np.flatnonzero(self.few_mark[_mark(shingles)])
+            lo, hi = np.searchsorted(self.few, shingles[at], "left"), np.searchsorted(self.few, shingles[at], "right")
+            text = np.searchsorted(np.cumsum(sizes), at, "right")
+            for i, a, b in zip(text[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
+                found.update((i, j) for j in self.few_items[a:b].tolist())
         if not len(shingles) or not self.classes:
             return found
         fine = min(self.classes) // 2
@@ -118,6 +139,10 @@ class Items:
         return out
 
 
+def _mark(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+
+
 def _joined(first: np.ndarray, second: np.ndarray, after: int) -> np.ndarray:
     """Least of ``first`` at each place and ``second`` so many places on, where there is one."""
     out, n = first.copy(), max(0, len(first) - after)
