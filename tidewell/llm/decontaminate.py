@@ -189,9 +189,10 @@ def op6_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows that hold no test item. A row without id is never found, and stays."""
-    hits = contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    """The rows that hold no test item, each judged by its own text; rows are named by a hash of id and text."""
+    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
+    hits = contaminated(keyed, benchmark, doc_id="_row_key").select(F.col("doc_id").alias("_row_key")).distinct()
+    return keyed.join(hits, "_row_key", "left_anti").select(*docs.columns)
 
 
 OP6_SQL = r"""

@@ -309,8 +309,8 @@ def _members(cells: DataFrame, roots: DataFrame) -> DataFrame:
     return materialise(spans.filter("_lo <> _hi").select("s", "d", "root"), "open")
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row: the least id that links reach, its own included."""
+def _linked(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row_key, n, d) of each row, and (d, least_id, root) of each node; equal rows have equal keys."""
     spark = docs.sparkSession
     source = docs.selectExpr(f"cast(`{doc_id}` as long) as doc_id", f"`{text}` as text")
     source = source.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
@@ -362,6 +362,12 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     roots = components(links)
 
     least = nodes.select("d", "least_id").join(roots.toDF("d", "root"), "d", "left").select("d", "least_id", F.coalesce("root", "d").alias("root"))
+    return rows.select("doc_id", "row_key", "n", "d"), least
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row: the least id that links reach, its own included."""
+    rows, least = _linked(docs, doc_id, text)
     lowest = least.groupBy("root").agg(F.min("least_id").alias("component_id"))
     known = least.join(lowest, "root").select("d", "component_id")
     out = rows.select("doc_id", "n", "d").join(known, "d", "left")
@@ -373,10 +379,16 @@ def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component: that of the least id, and of equal ids one. Rows without id stay."""
-    heads = join(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).join(heads, "doc_id", "left_semi")
-    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """One row of each component: of the least id, and of its rows the one of the least hash of id and text.
+
+    Ids come before null. Rows without words are linked with nothing; of those of equal id and text one stays.
+    """
+    rows, nodes = _linked(docs, "doc_id", "text")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_"), "doc_id", "row_key"))
+    heads = rows.filter("n > 0").groupBy("d").agg(first.alias("head")).join(nodes, "d").groupBy("root").agg(F.min("head").alias("head"))
+    kept = heads.select("head.row_key").union(rows.filter("n = 0").select("row_key").distinct()).toDF("_row_key")
+    keyed = docs.withColumn("_row_key", F.xxhash64(F.col("doc_id").cast("long"), "text")).dropDuplicates(["_row_key"])
+    return keyed.join(kept, "_row_key", "left_semi").select(*docs.columns)
 
 
 OP3_SQL = r"""
