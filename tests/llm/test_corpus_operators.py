@@ -203,6 +203,18 @@ def test_packing_odd_rows(odd, empty, docs):
     check_packing(packing.pack(docs(list(texts.values())), BYTE, capacity=16).collect(), texts, 16)
 
 
+def least_sequences(histogram, capacity):
+    """The lower bound of Martello and Toth: for each size t, pieces over capacity - t lie alone, those over half apart."""
+    most = 0
+    for t in range(capacity // 2 + 1):
+        alone = sum(n for k, n in histogram.items() if k > capacity - t)
+        apart = {k: n for k, n in histogram.items() if capacity / 2 < k <= capacity - t}
+        small = sum(k * n for k, n in histogram.items() if t <= k <= capacity / 2)
+        room = sum((capacity - k) * n for k, n in apart.items())
+        most = max(most, alone + sum(apart.values()) + max(0, -(-(small - room) // capacity)))
+    return most
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_plans_serve_the_histogram(seed):
     rnd = random.Random(seed)
@@ -214,8 +226,8 @@ def test_plans_serve_the_histogram(seed):
         for k, c in config.items():
             served[k] += c * times
     assert served == Counter(histogram) and packing.solve({}, 40) == []
-    least = max(-(-sum(k * c for k, c in histogram.items()) // 40), sum(c for k, c in histogram.items() if k > 20))
-    assert n <= least * 1.05 + 2
+    # no packing of some of these histograms comes near the sum of lengths; least_sequences is held against exact optima
+    assert n <= least_sequences(histogram, 40) * 1.05 + 2
 
 
 def test_token_files_round_trip(docs, odd, empty, spark, tmp_path, monkeypatch):

@@ -3,9 +3,10 @@
 Only the histogram of piece lengths (at most ``capacity`` counts) comes to the driver. The covering program "least number
 of sequences so that each length is served as often as it occurs" is solved by multiplicative weights: each round prices
 a configuration (lengths that fill one sequence) by knapsack dynamic programming under the current weights, gives it a
-share, and lowers the weights of the lengths it serves. Weights start at the lengths themselves, the dual prices of a
-packing without waste. Shares are rounded down; what they leave is packed best-fit decreasing, again on the histogram. Pieces are numbered within their length by task and by
-offsets of tasks, and find sequence and offset in the small table of configurations.
+small share, and lowers the weights of the lengths it serves. Weights start at the lengths themselves, the dual prices of a
+packing without waste; the knapsack's value also gives a lower bound. Shares are rounded; what they leave is packed
+best-fit decreasing, again on the histogram. Pieces are numbered within their length by task and by offsets of tasks, and
+find sequence and offset in the small table of configurations.
 
 Defined results: a null or empty text is the end id alone. Longer documents than the capacity are cut, the first piece
 taking the remainder. Repeated rows are packed as often as they occur. An empty table gives an empty result. Columns
@@ -30,12 +31,16 @@ from tidewell.llm.tokens import encoder
 
 CAPACITY = 2048
 END_ID = 0
-#: A round gives a configuration this share of what its scarcest length needs.
-STEP = 1.0
-RATE = 4.0
-ROUNDS = 500
-#: The shares are rounded with each of these least numbers of sequences, and the fewest sequences are taken.
-ROUNDING = (1, 2, 4, 8)
+#: First step: a round gives a configuration this part of what its scarcest length needs; later runs halve it.
+STEP = 0.1
+RATE = 8.0
+#: Mean change of the prices' logarithms after which the knapsack is solved anew.
+STALE = 0.1
+#: Runs end when sequences and lower bound differ by this part at most, or when a smaller step gains less.
+GAP = 0.002
+#: What is added to shares before they are rounded down, and the part of a sequence that a configuration may leave empty
+#: to be taken at all; of all these ways the one with the fewest sequences is taken.
+ROUNDING = [(up, empty) for up in (0.0, 0.5) for empty in (0.0, 0.01, 1.0)]
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
@@ -65,59 +70,109 @@ def piece_rows(path: str, capacity: int, end_id: int) -> Callable:
     return rows
 
 
-def best_configuration(value: np.ndarray, capacity: int) -> Counter:
-    """Lengths, with repeats, of most value that fit; ``value[i]`` is that of length i (unbounded knapsack)."""
-    best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    for c in range(1, capacity + 1):
-        gain = best[c - 1 :: -1] + value[1 : c + 1] if c < capacity else best[capacity - 1 :: -1] + value[1:]
-        k = int(np.argmax(gain))
-        if gain[k] > best[c - 1]:
-            best[c], choice[c] = gain[k], k + 1
-        else:
-            best[c] = best[c - 1]
-    out, c = Counter(), capacity
-    while c > 0:
-        if choice[c]:
-            out[int(choice[c])] += 1
-            c -= int(choice[c])
-        else:
-            c -= 1
-    return out
-
-
-def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[Counter, int]]:
-    """Configurations and how many sequences take each; together they serve every length as often as it occurs."""
+def prices_of_rooms(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
+    """The most that pieces which fit into each room are worth (unbounded knapsack)."""
+    best, fitting = np.zeros(capacity + 1), np.searchsorted(lengths, np.arange(capacity + 1), "right")
+    for room in range(1, capacity + 1):
+        k = fitting[room]
+        best[room] = max(best[room - 1], (best[room - lengths[:k]] + prices[:k]).max()) if k else best[room - 1]
+    return best
+
+
+def configuration(lengths: np.ndarray, prices: np.ndarray, most: np.ndarray, best: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of lengths, copies) that fill a sequence, each taken where its price and that of the room left are highest.
+
+    ``most`` bounds the copies of a length; prices of -inf are never taken.
+    """
+    room, used, prices = capacity, {}, prices.copy()
+    while k := int(np.searchsorted(lengths, room, "right")):
+        worth = best[room - lengths[:k]] + prices[:k]
+        at = int(worth.argmax())
+        if worth[at] == -np.inf:
+            break
+        used[at] = used.get(at, 0) + 1
+        if used[at] >= most[at]:
+            prices[at] = -np.inf
+        room -= int(lengths[at])
+    return np.array(list(used), np.int64), np.array(list(used.values()), np.float64)
+
+
+def cover(lengths: np.ndarray, needs: np.ndarray, capacity: int, step: float, start: np.ndarray) -> tuple[dict[tuple, float], float, np.ndarray]:
+    """(shares by configuration, lower bound, its prices) of one run of multiplicative weights.
+
+    Each round gives a configuration ``step`` of what its scarcest length needs and multiplies the price of each length
+    in it by exp(-RATE times the part of its need that it got). The knapsack table is renewed after so many rounds that
+    no price has changed much; its value also gives the dual bound: needs times prices, over the best configuration's.
+    """
+    served, shares = np.zeros(len(lengths)), {}
+    lower, bound_prices = 0.0, start
+    prices, moved, best = start.copy(), np.inf, None
+    while (short := served < 1 - 1e-9).any():
+        if moved > STALE:
+            full = start * np.exp(-RATE * served)
+            full /= full.max()
+            best, moved = prices_of_rooms(lengths, np.where(short, full, 0.0), capacity), 0.0
+            bound = float(needs[short] @ full[short]) / best[capacity]
+            if bound > lower:
+                lower, bound_prices = bound, np.where(short, full, 0.0)
+            prices = np.where(short, full, -np.inf)
+        at, copies = configuration(lengths, prices, needs, best, capacity)
+        part = copies / needs[at]
+        share = min(step / float(part.max()), float(((1 - served[at]) / part).min()))
+        served[at] += share * part
+        prices[at] *= np.exp(-RATE * share * part)
+        prices[at[served[at] >= 1 - 1e-9]] = -np.inf
+        moved += RATE * share * float(part.sum()) / len(lengths)
+        key = tuple(sorted(zip(lengths[at].tolist(), copies.astype(int).tolist(), strict=True)))
+        shares[key] = shares.get(key, 0.0) + share
+    return shares, lower, bound_prices
+
+
+def solve(histogram: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:
+    """Configurations and how many sequences take each; together they serve every length as often as it occurs.
+
+    Runs of multiplicative weights with ever smaller steps start from the prices of the best dual bound. They end when
+    sequences and bound differ by GAP at most, or when a smaller step no longer gains as much.
+    The shares are rounded in several ways, and never are more sequences taken than best-fit decreasing alone would.
+    """
     left = {k: n for k, n in histogram.items() if n > 0}
     plan: list[tuple[Counter, int]] = []
     if full := left.pop(capacity, 0):
         plan.append((Counter({capacity: 1}), full))
+    if not left:
+        return plan
     lengths = np.array(sorted(left), np.int64)
-    needs = np.array([left[k] for k in lengths], np.float64)
-    served, shares, value = np.zeros(len(lengths)), {}, np.zeros(capacity + 1)
-    at = {int(k): i for i, k in enumerate(lengths)}
-    for _ in range(rounds if len(lengths) else 0):
-        short = served < 1
-        if not short.any():
-            break
-        value[:] = -1.0
-        value[lengths[short]] = lengths[short] * np.exp(-RATE * served[short])
-        chosen = best_configuration(value, capacity)
-        index = np.array([at[k] for k in chosen])
-        copies = np.array(list(chosen.values()), np.float64)
-        share = STEP * float((needs[index] / copies).min())
-        served[index] += share * copies / needs[index]
-        key = tuple(sorted(chosen.items()))
-        shares[key] = shares.get(key, 0.0) + share
-    rounded = [plan + round_shares(shares, dict(left), least, capacity) for least in ROUNDING]
-    return min(rounded, key=lambda p: sum(n for _, n in p))
-
-
-def round_shares(shares: dict[tuple, float], left: dict[int, int], least: int, capacity: int) -> list[tuple[Counter, int]]:
-    """Shares rounded down, those of fewer than ``least`` sequences to none, and what they leave packed best-fit."""
+    needs = np.array([left[k] for k in lengths.tolist()], np.float64)
+    prices, lower, least, step = lengths / capacity, 0.0, np.inf, STEP
+    plain, plans = plan + best_fit(dict(left), capacity), []
+    while True:
+        shares, bound, at_bound = cover(lengths, needs, capacity, step, prices)
+        if bound > lower:
+            lower, prices = bound, np.maximum(at_bound, 1e-6 * at_bound.max())
+        plans += [plan + round_shares(shares, dict(left), up, empty, capacity) for up, empty in ROUNDING]
+        total, gained = sum(shares.values()), least - sum(shares.values())
+        least = min(least, total)
+        fewest = min([*plans, plain], key=sequences)
+        if sequences(fewest) - full - lower < max(1, GAP * lower) or gained < GAP * lower:
+            return fewest
+        step /= 2
+
+
+def sequences(plan: list[tuple[Counter, int]]) -> int:
+    return sum(n for _, n in plan)
+
+
+def round_shares(shares: dict[tuple, float], left: dict[int, int], up: float, empty: float, capacity: int) -> list[tuple[Counter, int]]:
+    """Shares rounded down after ``up`` is added, the largest first and as far as lengths last; the rest packed best-fit.
+
+    Configurations that leave more than the part ``empty`` of the capacity are left to best-fit as well.
+    """
     plan: list[tuple[Counter, int]] = []
     for key, share in sorted(shares.items(), key=lambda x: (-x[1], x[0])):
-        times = min([int(share), *(left[k] // n for k, n in key)])
-        if times >= least:
+        if sum(k * n for k, n in key) < (1 - empty) * capacity:
+            continue
+        times = min([int(share + up), *(left[k] // n for k, n in key)])
+        if times:
             plan.append((Counter(dict(key)), times))
             for k, n in key:
                 left[k] -= times * n
