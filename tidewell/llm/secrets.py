@@ -1,9 +1,10 @@
 """Secret scans: a trigram index says which texts a rule can match; only those are verified with its regex.
 
-Each rule names Boolean trigram queries (an OR of ANDs) derived from the literal strings that its regex must contain.
-For each block of texts an inverted index is built in numpy: the texts' trigrams (ASCII letters folded) are looked up
+A Boolean trigram query (an OR of ANDs) is derived from the parse of each rule's regex: strings that a part of it can match
+exactly are joined along sequences and multiplied over alternatives, short repeats and small classes; where a part is open,
+the trigrams of what stands before it are mandatory. For each block of texts an inverted index is built in numpy: the texts' trigrams (ASCII letters folded) are looked up
 among those that any query names, giving a posting list of texts for each; a rule's candidates are the union of the
-intersections. A rule without a mandatory literal of three characters scans every text.
+intersections. A rule without a mandatory trigram scans every text.
 
 Defined results: a null or empty text has no spans; its digest is that of the empty string. Matches are leftmost and do
 not overlap within a kind; those that fail the kind's check are dropped after matching. Offsets are code points, end
@@ -16,6 +17,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from re import _parser
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +34,10 @@ _FOLD[65:91] += 32
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret. ``literals``: a match must contain one of these tuples' strings, all of them (letters folded)."""
+    """A kind of secret: matches of the pattern that pass the check."""
 
     kind: str
     pattern: re.Pattern
-    literals: tuple[tuple[str, ...], ...] = ()
     check: Callable[[re.Match], bool] = field(default=lambda m: True)
 
 
@@ -45,34 +46,138 @@ BASE = (
     Rule(
         "assign",
         re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII),
-        (("password",), ("passwd",), ("secret",), ("token",), ("apikey",), ("api_key",)),
         lambda m: len(m[2]) >= 8,
     ),
-    Rule("access", re.compile(r"AKIA[A-Z0-9]+"), (("akia",),), lambda m: len(m[0]) >= 16),
-    Rule("hex", re.compile(r"[0-9a-f]+"), (), lambda m: len(m[0]) >= 32),
+    Rule("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16),
+    Rule("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 32),
 )
 #: Kinds that the method adds to the base ones.
 ADDED = (
-    Rule("pem", re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"), (("-----begin ", "private key-----"),)),
-    Rule("github", re.compile(r"gh[pousr]_[A-Za-z0-9]{36}"), (("ghp_",), ("gho_",), ("ghu_",), ("ghs_",), ("ghr_",))),
-    Rule("slack", re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}"), (("xoxa-",), ("xoxb-",), ("xoxp-",), ("xoxr-",), ("xoxs-",))),
-    Rule("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), (("eyj", ".eyj"),)),
-    Rule("google", re.compile(r"AIza[A-Za-z0-9_-]{35}"), (("aiza",),)),
+    Rule("pem", re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")),
+    Rule("github", re.compile(r"gh[pousr]_[A-Za-z0-9]{36}")),
+    Rule("slack", re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}")),
+    Rule("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
+    Rule("google", re.compile(r"AIza[A-Za-z0-9_-]{35}")),
 )
+#: Most strings, and most alternatives of a query, that are kept for a part of a regex; a query of more is weakened.
+MOST_STRINGS, MOST_ALTERNATIVES = 64, 64
+#: Letters that match others than their own two cases where case is ignored beyond ASCII.
+_ODD_CASES = frozenset("iksIKS")
+
+Query = frozenset[frozenset[int]]
+#: The query that every text fits: one alternative without a trigram.
+ANY: Query = frozenset([frozenset()])
 
 
 def trigrams(literal: str) -> frozenset[int]:
-    raw = literal.lower().encode()
+    raw = "".join(c.lower() if c.isascii() else c for c in literal).encode()
     return frozenset(raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2] for i in range(len(raw) - 2))
 
 
+def least(query: Query) -> Query:
+    """Without the alternatives that ask for more than another; any text if too many are left."""
+    kept = frozenset(a for a in query if not any(b < a for b in query))
+    return kept if len(kept) <= MOST_ALTERNATIVES else ANY
+
+
+def both(a: Query, b: Query) -> Query:
+    """What must fit both; if that has too many alternatives, the one that has fewer."""
+    if len(a) * len(b) > MOST_ALTERNATIVES:
+        return min(a, b, key=lambda q: (q == ANY, len(q)))
+    return least(frozenset(x | y for x in a for y in b))
+
+
+@dataclass(frozen=True)
+class Part:
+    """What is known of a part of a regex: all strings that it matches, or None, and a query that its matches fit."""
+
+    strings: frozenset[str] | None
+    query: Query
+
+    def open(self) -> Part:
+        """The part as one whose strings are not known."""
+        return self if self.strings is None else Part(None, least(frozenset(map(trigrams, self.strings))))
+
+
+NOTHING, UNKNOWN = Part(frozenset([""]), ANY), Part(None, ANY)
+
+
+def one_of(strings: frozenset[str] | set[str]) -> Part:
+    return Part(frozenset(strings), ANY) if 0 < len(strings) <= MOST_STRINGS else UNKNOWN
+
+
+def sequence(parts: list[Part]) -> Part:
+    """Parts one after the other. Strings run on over neighbours until one of them is open."""
+    run, query, closed = frozenset([""]), ANY, True
+    for part in parts:
+        if part.strings is not None and len(run) * len(part.strings) <= MOST_STRINGS:
+            run = frozenset(a + b for a in run for b in part.strings)
+            continue
+        query, closed = both(query, Part(run, ANY).open().query), False
+        run = part.strings if part.strings is not None else frozenset([""])
+        query = both(query, part.query)
+    return Part(run, query) if closed else Part(None, both(query, Part(run, ANY).open().query))
+
+
+def either(parts: list[Part]) -> Part:
+    """Alternatives."""
+    if all(p.strings is not None for p in parts):
+        strings = frozenset().union(*(p.strings for p in parts))
+        if len(strings) <= MOST_STRINGS:
+            return Part(strings, ANY)
+    return Part(None, least(frozenset().union(*(p.open().query for p in parts))))
+
+
+def repeated(part: Part, low: int, high: int) -> list[Part]:
+    """Parts for a repeat; beyond the copies that it has at least it is open."""
+    if part.strings is not None and high <= 4 and len(part.strings) ** high <= MOST_STRINGS:
+        return [either([sequence([part] * n) for n in range(low, high + 1)])]
+    if part.strings is not None and len(part.strings) == 1:
+        return [part] * min(low, 8) + [UNKNOWN]
+    return [part.open() if low else UNKNOWN]
+
+
+def literal(code: int, flags: int) -> Part:
+    c = chr(code)
+    if flags & re.IGNORECASE and not (c.isascii() and (flags & re.ASCII or c not in _ODD_CASES)) or 0xD800 <= code < 0xE000:
+        return UNKNOWN
+    return one_of({c.lower() if c.isascii() else c})
+
+
+def parsed(items, flags: int) -> Part:
+    """What is known of a sequence of the regex's parse; kinds of items that aren't listed here are open."""
+    parts = []
+    for op, value in items:
+        kind = str(op)
+        if kind == "LITERAL":
+            parts.append(literal(value, flags))
+        elif kind == "IN" and all(str(k) in ("LITERAL", "RANGE") for k, _ in value):
+            codes = {c for k, v in value for c in (range(v[0], min(v[1], v[0] + 256) + 1) if str(k) == "RANGE" else [v])}
+            parts.append(either([literal(c, flags) for c in codes]) if len(codes) <= MOST_STRINGS else UNKNOWN)
+        elif kind == "BRANCH":
+            parts.append(either([parsed(x, flags) for x in value[1]]))
+        elif kind == "SUBPATTERN":
+            parts.append(parsed(value[3], (flags | value[1]) & ~value[2]))
+        elif kind == "ATOMIC_GROUP":
+            parts.append(parsed(value, flags))
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+            parts += repeated(parsed(value[2], flags), value[0], value[1])
+        elif kind in ("AT", "ASSERT", "ASSERT_NOT"):  # they take no characters
+            parts.append(NOTHING)
+        else:
+            parts.append(UNKNOWN)
+    return sequence(parts)
+
+
+def query_of(pattern: re.Pattern) -> Query:
+    """A query that each text with a match of the pattern fits."""
+    return parsed(_parser.parse(pattern.pattern, pattern.flags), pattern.flags).open().query
+
+
 def queries(rules: tuple[Rule, ...]) -> list[list[frozenset[int]] | None]:
     """For each rule its alternatives as sets of trigrams; None if one of them has no trigram."""
-    out = []
-    for rule in rules:
-        sets = [frozenset().union(*map(trigrams, ands)) for ands in rule.literals]
-        out.append(sets if sets and all(sets) else None)
-    return out
+    derived = [sorted(query_of(rule.pattern), key=sorted) for rule in rules]
+    return [sets if all(sets) else None for sets in derived]
 
 
 def postings(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray) -> dict[int, np.ndarray]:
