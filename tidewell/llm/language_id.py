@@ -1,7 +1,8 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 Training counts hashed n-grams by language in one aggregation, over a sample of labelled rows whose bound is a
-parameter. The log-probability matrix is broadcast; texts are scored sparsely (distinct n-grams times rows) in numpy.
+parameter. The log-probability matrix is broadcast; a batch of texts is one sparse matrix (row, bucket, count), and its
+product with the log-probabilities scores all of them at once in numpy.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0. A null ``lang`` is never learned
 from. Without any training row every text is ``und``. Repeated rows are judged alike; ties go to the language that
@@ -19,38 +20,65 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import table
+from tidewell.llm.common import materialise, table
 
 BITS = 15
 ORDERS = (1, 2, 3)
-#: Rows learned from are sampled by a hash of their id once there are more than this many labelled rows.
+#: Rows learned from are sampled by a hash of all their columns once there are more than this many labelled rows.
 TRAIN_ROWS = 20_000
 #: Bound of the broadcast matrix; with more languages the hash space is folded in halves until it holds.
 MATRIX_BYTES = 64 << 20
-BLOCK = 1 << 18
+#: Characters of texts that are counted at a time, and entries of the product that are held at a time.
+BLOCK, ENTRIES = 1 << 17, 1 << 20
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 _FACTORS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
 
 
-def bucket_counts(text: str, bits: int = BITS, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
-    """How often the lower-cased text has an n-gram of each hash bucket; long texts are counted in blocks."""
-    total, text = np.zeros(1 << bits, np.int64), text.lower()
-    for begin in range(0, len(text), BLOCK):
-        block = text[begin : begin + BLOCK + max(orders) - 1]
-        points = np.frombuffer(block.encode("utf-32-le", "surrogatepass"), np.uint32)
-        own = min(BLOCK, len(text) - begin)
-        for n in orders:
-            m = min(own, len(points) - n + 1)
-            if m <= 0:
-                continue
+def pieces(texts: list[str]) -> Iterator[tuple[list[int], list[str], list[int]]]:
+    """(texts' numbers, strings, own lengths), about BLOCK characters at a time.
+
+    A long text comes in several strings; each goes on for the n-grams that begin within its own length.
+    """
+    number, strings, own, size = [], [], [], 0
+    for k, text in enumerate(texts):
+        text = text.lower()
+        for begin in range(0, len(text), BLOCK):
+            number.append(k)
+            strings.append(text[begin : begin + BLOCK + max(ORDERS) - 1])
+            own.append(min(BLOCK, len(text) - begin))
+            size += own[-1]
+            if size >= BLOCK:
+                yield number, strings, own
+                number, strings, own, size = [], [], [], 0
+    if strings:
+        yield number, strings, own
+
+
+def bucket_matrix(texts: list[str], bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, bucket, count) of the lower-cased texts' n-grams by hash bucket, in order of row and bucket.
+
+    Entries of a long text may come in several parts.
+    """
+    for number, strings, own in pieces(texts):
+        points = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32)
+        lengths = np.array([len(x) for x in strings])
+        piece = np.repeat(np.arange(len(strings)), lengths)
+        ends, place = np.cumsum(lengths), np.arange(len(points))
+        begins = place < (ends - lengths + np.array(own))[piece]
+        keys = []
+        for n in ORDERS:
+            m = max(0, len(points) - n + 1)
             h = points[:m] * _FACTORS[0] + np.uint32(n * 0x27D4EB2F & 0xFFFFFFFF)
             for j in range(1, n):
                 h = (h ^ (h >> np.uint32(15))) * _FACTORS[1] + points[j : j + m] * _FACTORS[2]
             h ^= h >> np.uint32(13)
             h *= _FACTORS[0]
-            total += np.bincount(h >> np.uint32(32 - bits), minlength=1 << bits)
-    return total
+            inside = begins[:m] & (place[:m] + n <= ends[piece[:m]])
+            keys.append(piece[:m][inside] << bits | (h[inside] >> np.uint32(32 - bits)).astype(np.int64))
+        keys = np.sort(np.concatenate(keys))
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        yield np.array(number)[keys[first] >> bits], keys[first] & ((1 << bits) - 1), np.diff(np.append(first, len(keys)))
 
 
 def has_letter(text: str | None) -> bool:
@@ -61,10 +89,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
     rows: dict[str, int] = {}
     for batch in batches:
-        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if has_letter(text):
-                sums[lang] = sums.get(lang, 0) + bucket_counts(text)
-                rows[lang] = rows.get(lang, 0) + 1
+        own = [(t, x) for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if has_letter(t)]
+        for lang in {x for _, x in own}:
+            texts = [t for t, x in own if x == lang]
+            rows[lang] = rows.get(lang, 0) + len(texts)
+            for _, bucket, n in bucket_matrix(texts):
+                sums[lang] = sums.get(lang, 0) + np.bincount(bucket, n, 1 << BITS).astype(np.int64)
     for lang, counts in sums.items():
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
@@ -77,46 +107,54 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", train_rows: int
     """(languages, log-probability matrix by bucket and language, log prior, bits) learned from all given rows.
 
     Beyond ``train_rows`` rows, those whose hash falls under the fraction that leaves about as many are taken.
+    Counts come to the driver only when the number of languages has told how far the hash space is to be folded.
     """
     rows = rows.filter(F.col(lang).isNotNull())
     total = rows.count()
     if total > train_rows:
         share = int(train_rows / total * (1 << 31))
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < share)
+        rows = rows.filter(F.pmod(F.xxhash64(*[F.col(c) for c, t in rows.dtypes if "map<" not in t]), F.lit(1 << 31)) < share)
     counted = rows.select(F.col(text), F.col(lang)).mapInArrow(_count, "lang string, bucket int, n long")
-    counted = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    counts = counted.toPandas()
-    langs = sorted(counts["lang"].unique())
-    bits = BITS
+    counted = materialise(counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "counts")
+    seen = {r["lang"]: r["n"] for r in counted.filter("bucket < 0").collect()}
+    langs, bits = sorted(seen), BITS
     while bits > 8 and len(langs) * (8 << bits) > MATRIX_BYTES:
         bits -= 1
-    matrix, seen = np.zeros((1 << bits, len(langs))), np.zeros(len(langs))
+    folded = counted.filter("bucket >= 0").groupBy("lang", F.shiftright("bucket", BITS - bits).alias("bucket")).agg(F.sum("n").alias("n"))
+    counts = folded.toPandas()
+    matrix, seen = np.zeros((1 << bits, len(langs))), np.array([seen[x] for x in langs], np.float64)
     number = counts["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)
-    bucket, n = counts["bucket"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
-    head = bucket < 0
-    np.add.at(seen, number[head], n[head])
-    np.add.at(matrix, (bucket[~head] >> (BITS - bits), number[~head]), n[~head])
+    np.add.at(matrix, (counts["bucket"].to_numpy(np.int64), number), counts["n"].to_numpy(np.int64))
     matrix += 0.5
     logs = np.log(matrix) - np.log(matrix.sum(axis=0, keepdims=True))
     return langs, logs.astype(np.float32), np.log(np.maximum(seen, 1) / max(seen.sum(), 1)), bits
 
 
-def best(text: str | None, langs: list[str], logs: np.ndarray, prior: np.ndarray, bits: int) -> tuple[str, float]:
-    """The most probable language and its posterior probability."""
-    if not langs or not has_letter(text):
-        return UNDETERMINED, 0.0
-    counts = bucket_counts(text)
-    at = np.flatnonzero(counts)
-    points = prior + counts[at].astype(np.float64) @ logs[at >> (BITS - bits)].astype(np.float64)
-    k = int(np.argmax(points))
-    return langs[k], float(1 / np.exp(points - points[k]).sum())
-
-
-def scorer(model: tuple) -> Callable[[Iterator[pd.Series]], Iterator[pd.DataFrame]]:
+def judge(texts: list[str | None], langs: list[str], logs: np.ndarray, prior: np.ndarray, bits: int) -> tuple[list[str], np.ndarray]:
+    """The most probable language of each text and its posterior probability."""
+    known = [k for k, t in enumerate(texts) if langs and has_letter(t)]
+    points = np.tile(prior, (len(known), 1))
+    step = max(1, ENTRIES // max(1, len(langs)))
+    for row, bucket, n in bucket_matrix([texts[k] for k in known], bits):
+        for k in range(0, len(row), step):
+            own = slice(k, k + step)
+            first = np.flatnonzero(np.append(True, row[own][1:] != row[own][:-1]))
+            points[row[own][first]] += np.add.reduceat(n[own, None] * logs[bucket[own]].astype(np.float64), first)
+    said, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    if known:
+        top = points.argmax(axis=1)
+        score[known] = 1 / np.exp(points - points.max(axis=1, keepdims=True)).sum(axis=1)
+        for k, i in zip(known, top, strict=True):
+            said[k] = langs[i]
+    return said, score
+
+
+def scorer(model) -> Callable[[Iterator[pd.Series]], Iterator[pd.DataFrame]]:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         langs, logs, prior, bits = model.value
         for texts in batches:
-            yield pd.DataFrame([best(t, langs, logs, prior, bits) for t in texts], columns=["lang_pred", "score"])
+            said, points = judge(texts.tolist(), langs, logs, prior, bits)
+            yield pd.DataFrame({"lang_pred": said, "score": points})
 
     return score
 
@@ -139,9 +177,9 @@ def _typed(f: Callable) -> Callable:
     return f
 
 
-def held_out() -> F.Column:
+def held_out(doc_id: str = "doc_id") -> F.Column:
     """Rows of the fold that nothing is learned from: crc32 of the id as text, modulo 5, is 0. A null id is in no fold."""
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
@@ -150,7 +188,7 @@ def op8_language_id(spark, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
+def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows whose language is determined, with their columns as they were."""
-    model = fit(docs.filter(~held_out()))
-    return docs.filter(judgement(docs.sparkSession, model).getField("lang_pred") != UNDETERMINED)
+    model = fit(docs.filter(~held_out(doc_id)), text, lang)
+    return docs.filter(judgement(docs.sparkSession, model, text).getField("lang_pred") != UNDETERMINED)
