@@ -29,8 +29,8 @@ CONTAINMENT = 0.75
 #: Hash functions. An item of more than FEW shingles that a window holds to three quarters has a Jaccard similarity of
 #: 0.23 to it or more, so all of them miss it with a probability of 4e-6 at most.
 HASHES = 48
-#: Test items that are broadcast and sought at a time.
-ITEMS = 20_000
+#: Test items that are broadcast and sought at a time, and characters that they have together, about.
+ITEMS, ITEM_CHARS = 20_000, 32 << 20
 #: Items of up to so many shingles are looked up exactly; the smallest size class is twice this.
 FEW = 8
 #: Leading bits of a hash by which shingles that no item of few has are left out.
@@ -175,7 +175,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     spark, schema = docs.sparkSession, "doc_id long, item_id long, n_shared long, n_item long"
     source = docs.selectExpr(f"cast(`{doc_id}` as long) as doc_id", f"`{text}` as text")
     items = benchmark.selectExpr(f"cast(`{item_id}` as long) as item_id", f"`{item_text}` as text")
-    items = items.filter("text is not null").withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, -(-items.count() // ITEMS)))))
+    items = items.filter("text is not null")
+    n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, -(-n // ITEMS), -(-chars // ITEM_CHARS)))))
     found = spark.createDataFrame([], schema)
     for block in sorted(r["block"] for r in items.select("block").distinct().collect()):
         rows = items.filter(F.col("block") == block).orderBy("item_id", "text").collect()
@@ -190,9 +192,9 @@ def op6_decontamination(spark, sf_dir: str) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows that hold no test item, each judged by its own text; rows are named by a hash of id and text."""
-    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
-    hits = contaminated(keyed, benchmark, doc_id="_row_key").select(F.col("doc_id").alias("_row_key")).distinct()
-    return keyed.join(hits, "_row_key", "left_anti").select(*docs.columns)
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.struct(*docs.columns).alias("row"))
+    hits = contaminated(keyed.select("row_key", "row.text"), benchmark, doc_id="row_key").select(F.col("doc_id").alias("row_key")).distinct()
+    return keyed.join(hits, "row_key", "left_anti").select("row.*")
 
 
 OP6_SQL = r"""

@@ -530,9 +530,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows, nodes = _linked(docs, "doc_id", "text")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("_"), "doc_id", "row_key"))
     heads = rows.filter("n > 0").groupBy("d").agg(first.alias("head")).join(nodes, "d").groupBy("root").agg(F.min("head").alias("head"))
-    kept = heads.select("head.row_key").union(rows.filter("n = 0").select("row_key").distinct()).toDF("_row_key")
-    keyed = docs.withColumn("_row_key", F.xxhash64(F.col("doc_id").cast("long"), "text")).dropDuplicates(["_row_key"])
-    return keyed.join(kept, "_row_key", "left_semi").select(*docs.columns)
+    kept = heads.select("head.row_key").union(rows.filter("n = 0").select("row_key").distinct()).toDF("row_key")
+    keyed = docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row_key"), F.struct(*docs.columns).alias("row"))
+    return keyed.join(kept, "row_key", "left_semi").dropDuplicates(["row_key"]).select("row.*")
 
 
 OP3_SQL = r"""

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import drop_table, materialise, runs, table
@@ -89,9 +89,13 @@ def _ranked(places: DataFrame, by: list[str], place: list[str]) -> DataFrame:
     return materialise(again.withColumn("longer", F.monotonically_increasing_id()), "ranks")
 
 
+def _key(doc_id: str, text: str) -> Column:
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
+
+
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_key, line) of each line to delete; ``doc_key`` is the hash of id and text, ``line`` counts from 0."""
-    source = docs.selectExpr("_key as doc_key", f"cast(`{doc_id}` as long) as doc_id", f"cast(`{text}` as binary) as text")
+    source = docs.select(_key(doc_id, text).alias("doc_key"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     lines = materialise(source.mapInArrow(_lines, LINES), "lines")
     ranks = _ranked(lines, ["digest"], ["doc_key", "s"])
     places = lines.join(ranks, "digest").select("doc_key", "doc_id", "s", "line", "words", F.col("longer").alias("rank"))
@@ -123,14 +127,15 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id",
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``text`` without the later copies, and ``removed_lines`` with their numbers."""
-    keyed = docs.withColumn("_key", F.xxhash64(doc_id, text))
-    gone = repeats(keyed, min_words, doc_id, text).groupBy("doc_key").agg(F.sort_array(F.collect_set("line")).alias("_gone"))
-    out = keyed.join(gone.withColumnRenamed("doc_key", "_key"), "_key", "left")
-    kept = F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    made = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    others = [F.col(c) for c in docs.columns if c not in (text, "removed_lines")]
-    out = out.select(*others, made.alias(text), F.coalesce("_gone", F.array().cast("array<int>")).alias("removed_lines"))
-    return out.select(*[c for c in docs.columns if c != "removed_lines"], "removed_lines")
+    gone = repeats(docs, min_words, doc_id, text).groupBy("doc_key").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+    rows = docs.select(_key(doc_id, text).alias("doc_key"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    out = rows.join(materialise(gone, "gone"), "doc_key", "left")  # as a table its size is known, and a small one is broadcast
+    own = F.col("row").getField(text)
+    kept = F.filter(F.split(own, "\n", -1), lambda x, i: ~F.array_contains(F.col("gone"), i))
+    made = F.when(F.col("gone").isNull(), own).otherwise(F.array_join(kept, "\n"))
+    names = [c for c in docs.columns if c != "removed_lines"]
+    columns = [(made if c == text else F.col("row").getField(c)).alias(c) for c in names]
+    return out.select(*columns, F.coalesce("gone", F.array().cast("array<int>")).alias("removed_lines"))
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
