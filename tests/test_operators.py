@@ -51,6 +51,35 @@ def test_exceedance_both_ways(spark):
         assert rows(f(df, ["k"], "t", "v", [5.0, 10.0, 30.0]), "k", "threshold", "duration_exceeding") == [("a", 10.0, 0.5), ("a", 5.0, 1.0)]
 
 
+def test_exceedance_leaves_unknown_values_out_and_keeps_null_keys(spark):
+    data = [(None, 0.0, 9.0), (None, 1.0, None), (None, 4.0, 9.0), ("a", None, 9.0), ("a", 0.0, 9.0), ("a", 2.0, 1.0)]
+    df = spark.createDataFrame(data, "k string, t double, v double")
+    for f in (series.exceedance_durations, series.exceedance_durations_plain):
+        got = [tuple(r) for r in f(df, ["k"], "t", "v", [5.0]).select("k", "n_above", "step", "duration_exceeding").collect()]
+        assert sorted(got, key=str) == [("a", 1, 2.0, 2.0), (None, 2, 4.0, 8.0)]
+
+
+def test_crossing_records(spark):
+    lit = F.lit
+    one = lambda *a, **k: spark.range(1).select(hydro.crossing(*a, **k).alias("x")).first()["x"]
+    x = one(lit(2.0), lit(10.0), lit(9.5), lit(1.2), lit(10.4), lit("c"), lit(20.0), lit(2.3), us_level=lit(11.6), us_obvert=lit(0.0), ds_obvert=lit(10.7))
+    assert [round(v, 6) for v in x["flow"]] == [1.8, 2.0, 2.2] and tuple(x["tailwater"]) == (10.4, 9.5)
+    assert x["roadway"]["width"] == pytest.approx(7.2) and x["roadway"]["elevations"][0] == pytest.approx(12.1)
+    assert (x["barrel"]["shape"], x["barrel"]["material"], x["barrel"]["barrels"]) == ("CIRCLE", "CORRUGATED_STEEL", 2)
+    y = one(lit(0.001), lit(1.0), lit(1.0), lit(0.3), lit(0.5), lit(None).cast("string"), lit(None).cast("double"), lit(9.0), channel=lit("A_1_R"))
+    assert [round(v, 6) for v in y["flow"]] == [0.005, 0.01, 0.015] and y["tailwater"]["invert"] == pytest.approx(0.45) and y["roadway"]["width"] == 5.0
+    assert (y["barrel"]["shape"], y["barrel"]["material"], y["barrel"]["barrels"], y["barrel"]["length"]) == ("BOX", "CONCRETE", 1, 0.0)
+    assert one(lit(0.0), lit(1.0), lit(1.0), lit(0.3), lit(0.5), lit("C"), lit(1.0), lit(1.0)) is None
+
+
+def test_static_columns_of_several_rows_are_the_least(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "k string, v double")
+    static = spark.createDataFrame([("a", 5, "y"), ("a", 3, "z"), ("a", 3, "q")], "k string, size int, kind string")
+    assert rows(combine.add_static(df, static, ["k"]), "k", "v", "size", "kind") == [("a", 1.0, 3, "q"), ("b", 2.0, None, None)]
+    target = df.withColumn("size", F.lit(9))
+    assert rows(combine.update_attributes(target, static, ["k"]), "k", "size", "matched") == [("a", 3, True), ("b", 9, False)]
+
+
 def test_closure_summary_fills_zeroes_only_if_asked(spark):
     df = spark.createDataFrame([("x", "1", "A", 5.0, 4.0), ("x", "1", "B", 5.0, 2.0), ("x", "1", "A", 9.0, 1.0)], "k string, dur string, tp string, threshold double, hours double")
     plain = rows(series.closure_summary(df, ["k"], "dur", "tp", "hours", False), "threshold", "central_value", "low_value")
@@ -66,10 +95,13 @@ def test_stability_ladder(spark):
 
 
 def test_peak_check_warns_of_late_peaks(spark):
-    data = {"late": [0.0, 1.0, 2.0, 3.0], "early": [0.0, 9.0, 1.0, 0.0, 0.0], "flat": [1.0, 1.0], "none": [None, None]}
+    data = {"late": [0.0, 1.0, 2.0, 3.0], "hour": [0.0, 9.0, 1.0], "early": [0.0, -9.0, 1.0, 0.0], "flat": [1.0, 1.0, 1.0], "none": [None, None]}
     df = spark.createDataFrame([(k, float(i), v) for k, vs in data.items() for i, v in enumerate(vs)], "k string, t double, v double")
-    got = dict(rows(series.peak_check(df, ["k"], ["t"], "t", "v"), "k", "status"))
-    assert got == {"late": "WARN_1H", "early": "OK", "flat": "FLAT", "none": "NO_DATA"}
+    got = rows(series.peak_check(df, ["k"], ["t"], "t", "v"), "k", "peak_kind", "peak_above_start", "end_minus_start", "hours_from_end", "end_percent_of_peak", "status")
+    assert got == [
+        ("early", "min", -9.0, 0.0, 2.0, 0.0, "OK"), ("flat", "flat", 0.0, 0.0, 2.0, 0.0, "OK"), ("hour", "max", 9.0, 1.0, 1.0, pytest.approx(100 / 9), "WARN_2H"),
+        ("late", "max", 3.0, 3.0, 0.0, 100.0, "WARN_1H"), ("none", None, None, None, None, None, "NO_DATA"),
+    ]
 
 
 def test_overlay_prefers_the_right_side(spark):
@@ -141,7 +173,12 @@ def test_scalars(spark):
     one = spark.range(1)
     get = lambda c: one.select(c).first()[0]
     assert get(scenario.dms_to_degrees(F.lit("45°30'0\""))) == 45.5 and get(scenario.dms_to_degrees(F.lit("x"))) == 0.0
-    assert get(scenario.match_key(F.lit("fc 04.129_C"))) == "FC|04.12"
+    keys = {"fc 04.129_C": None, "fc  04.129": "FC|04.12", "A B 3": "A B|3.00", "A_B3.5": "A_B|3.50", "x-1.239": "X|-1.23", "159.975": "|159.97", "nan": None, " ": None}
+    assert {k: get(scenario.match_key(F.lit(k))) for k in keys} == keys
+    labels = {"T3": "TP03", "run_TP7_x": "TP07", "tp 12": "TP12", "pattern 4 of it": "TP04", "x": None, "none": None, "123": None}
+    assert {k: get(scenario.tp_label(F.lit(k))) for k in labels} == labels
+    events = {"M_PMP_1p": "PMP", "M_2.00p_PMPF": "2.00p", "M_1.234p_x": None, "pmpf.csv": "PMPF", "5P": "5p"}
+    assert {k: get(scenario.aep_text(F.lit(k))) for k in events} == events
     assert get(scenario.duration_minutes(F.lit("1.5hr"))) == 90.0
     assert get(scenario.clean_text(F.lit(" nan "))) is None
     assert get(scenario.human_bytes(F.lit(1536))) == "1.5 KB"

@@ -64,6 +64,23 @@ def test_culvert_section(spark, tmp_path):
     assert readers.culvert_section(lines(spark, tmp_path, "b.eof", "nothing\n")).count() == 0
 
 
+def test_culvert_names_with_a_blank_and_overflow(spark, tmp_path):
+    row = "  ".join(["MLETP 156.66", "C", *["1"] * 15, "1.5", "x"])
+    got = readers.culvert_section(lines(spark, tmp_path, "c.eof", f"CULVERT AND PIPE DATA\nChannel\n{row}\nA  C  1\n"))
+    assert rows(got, "`Chan ID`", "Length", "`Ent/Exit Losses`") == [("MLETP 156.66", 1.0, None)]
+
+
+def test_cells_may_be_quoted(spark, tmp_path):
+    got = readers.cells(lines(spark, tmp_path, "q.csv", 'a,"Q a,b",c\n1,"say ""x""",\n'))
+    assert rows(got, "row", "col", "value") == [(0, 0, "a"), (0, 1, "Q a,b"), (0, 2, "c"), (1, 0, "1"), (1, 1, 'say "x"'), (1, 2, "")]
+
+
+def test_js_arrays_may_be_nested(spark):
+    html = 'x; var a = [{"k": "v];", "l": [1, [2]],}, {"k": "w, ]"},]; var b = [1]; more ];'
+    pages = spark.createDataFrame([(html,), ("nothing",)], "html string")
+    assert [r["entry"] for r in readers.js_array(pages, "a").select("entry").collect()] == [{"k": "v];", "l": "[1,[2]]"}, {"k": "w, ]"}]
+
+
 def test_run_log(spark, tmp_path):
     text = "Build: 2025.1\nComputer Name: PC1\nSimulation Started: 2025-Nov-28 00:27\nBC Event Source == ~E1~ | Q100\nBC Event Source == ~E1~ | other\nClock Time: 0:0:9 [0.0025 h]\nSimulation FINISHED\nFinal Cumulative ME: -0.50%\n"
     r = readers.run_log(lines(spark, tmp_path, "a.tlf", text)).first()

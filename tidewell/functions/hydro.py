@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def arf_short(area: Column, duration: Column, aep: Column) -> Column:
-    """Areal reduction factor for durations of up to 12 hours; area in km2, duration in minutes, aep as a fraction."""
+    """Areal reduction factor for durations of up to 12 hours; area in km2, duration in minutes, aep as a fraction.
+
+    All constants are fixed values.
+    """
     lost = 0.287 * (F.pow(area, 0.265) - 0.439 * F.log10(duration)) * F.pow(duration, -0.36)
     rare = 2.26e-3 * F.pow(area, 0.226) * F.pow(duration, 0.125) * (0.3 + F.log10(aep))
     daily = 0.0141 * F.pow(area, 0.213) * F.pow(F.lit(10.0), -0.021 * F.pow(duration - 180, 2) / 1440) * (0.3 + F.log10(aep))
@@ -69,27 +73,63 @@ def barrel_count(area: Column, single: Column) -> Column:
 
 
 #: Flags of channels and their shapes and materials.
-SHAPES = {"C": "CIRCLE", "R": "BOX", "I": "IRREGULAR"}
-MATERIALS = {"C": "CONCRETE", "R": "CONCRETE"}
+SHAPES = {"C": "CIRCLE", "R": "BOX"}
+MATERIALS = {"C": "CORRUGATED_STEEL", "R": "CONCRETE"}
+
+
+@dataclass(frozen=True)
+class CrossingOptions:
+    """How culvert maxima become crossings; the defaults are fixed values."""
+
+    least_flow: float = 0.005
+    minimum_factor: float = 0.9
+    maximum_factor: float = 1.1
+    tailwater_gap: float = 0.05
+    crest_offset: float = 0.5
+    width_factor: float = 6.0
+    least_width: float = 5.0
+    barrels: int = 1
+    material: str = "CONCRETE"
+    shapes: Mapping[str, str] = field(default_factory=lambda: SHAPES)
+    materials: Mapping[str, str] = field(default_factory=lambda: MATERIALS)
 
 
-def _of(flag: Column, known: Mapping[str, str], default: str) -> Column:
+def _of(flag: Column, known: Mapping[str, str]) -> Column:
     pairs = [x for k, v in known.items() for x in (F.lit(k), F.lit(v))]
-    return F.coalesce(F.element_at(F.create_map(*pairs), F.upper(F.trim(flag))), F.lit(default))
+    return F.element_at(F.create_map(*pairs), F.upper(F.trim(F.coalesce(flag, F.lit("")))))
 
 
-def crossing(flow: Column, us_invert: Column, ds_invert: Column, height: Column, ds_level: Column, flag: Column, length: Column, area: Column) -> Column:
-    """A culvert crossing as a nested record; null unless flow and height are positive and levels are known."""
+def crossing(
+    flow: Column, us_invert: Column, ds_invert: Column, height: Column, ds_level: Column, flag: Column, length: Column, area: Column,
+    us_level: Column | None = None, us_obvert: Column | None = None, ds_obvert: Column | None = None, channel: Column | None = None, options: CrossingOptions = CrossingOptions(),
+) -> Column:
+    """A culvert crossing as a nested record; null unless flow and height are positive and levels are known.
+
+    The shape is that of the flag, else of the last part of the channel's name, else a circle; a box has the default number of
+    barrels, as its width isn't known. Design flow lies strictly between minimum and maximum. An obvert that is null or 0 is
+    taken as invert and height. The tailwater is constant at the downstream level, over an invert at least a gap lower.
+    """
+    o, nothing = options, F.lit(None).cast("double")
     valid = (flow > 0) & (height > 0) & ds_level.isNotNull() & us_invert.isNotNull() & ds_invert.isNotNull()
-    crest = F.greatest(us_invert + height, ds_invert + height, ds_level) + 1.0
-    width = F.greatest(F.lit(10.0), 6 * height)
+    design = F.greatest(F.lit(o.least_flow), flow)
+    least, most = F.greatest(F.lit(o.least_flow), design * o.minimum_factor), F.greatest(design + o.least_flow, design * o.maximum_factor)
+    chosen = F.when(least >= design, least + o.least_flow).otherwise(design)
+    flows = F.struct(least.alias("minimum"), chosen.alias("design"), F.when(chosen >= most, chosen + o.least_flow).otherwise(most).alias("maximum"))
+    bed = F.least(ds_invert, ds_level - o.tailwater_gap)
+    tailwater = F.struct(ds_level.alias("elevation"), bed.alias("invert"))
+    top = lambda obvert, invert: F.coalesce(F.nullif(obvert, F.lit(0.0)), invert + height)
+    levels = [nothing if us_level is None else us_level, ds_level, top(nothing if us_obvert is None else us_obvert, us_invert), top(nothing if ds_obvert is None else ds_obvert, ds_invert)]
+    crest = F.greatest(*levels) + max(0.0, o.crest_offset)
+    width = F.greatest(F.lit(o.least_width), height * o.width_factor)
+    roadway = F.struct(width.alias("width"), F.array(-width / 2, F.lit(0.0), width / 2).alias("stations"), F.array(crest, crest, crest).alias("elevations"))
+    hint = F.lit("") if channel is None else F.element_at(F.split(F.coalesce(channel, F.lit("")), "_"), -1)
+    shape = F.coalesce(_of(flag, o.shapes), _of(hint, o.shapes), F.lit("CIRCLE"))
+    counted = (area > 0) & (shape == "CIRCLE")
     barrel = F.struct(
-        height.alias("span"), height.alias("rise"), us_invert.alias("us_invert"), ds_invert.alias("ds_invert"), F.coalesce(length, F.lit(0.0)).alias("length"),
-        _of(flag, SHAPES, "CIRCLE").alias("shape"), _of(flag, MATERIALS, "CONCRETE").alias("material"), barrel_count(area, circle_area(height)).alias("barrels"),
+        height.alias("span"), height.alias("rise"), us_invert.alias("us_invert"), ds_invert.alias("ds_invert"), F.coalesce(length, F.lit(0.0)).alias("length"), shape.alias("shape"),
+        F.coalesce(_of(flag, o.materials), F.lit(o.material)).alias("material"), F.when(counted, barrel_count(area, circle_area(height))).otherwise(max(1, o.barrels)).alias("barrels"),
     )
-    flows = F.struct((flow * 0.5).alias("minimum"), flow.alias("design"), (flow * 1.5).alias("maximum"))
-    roadway = F.struct(width.alias("width"), F.array(-width / 2, F.lit(0.0), width / 2).alias("stations"), F.array(crest, crest, crest).alias("elevations"))
-    return F.when(valid, F.struct(flows.alias("flow"), F.greatest(ds_level, ds_invert).alias("tailwater"), roadway.alias("roadway"), barrel.alias("barrel")))
+    return F.when(valid, F.struct(flows.alias("flow"), tailwater.alias("tailwater"), roadway.alias("roadway"), barrel.alias("barrel")))
 
 
 def wkt_line(points: list[tuple[Column, Column]]) -> Column:

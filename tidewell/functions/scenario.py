@@ -51,20 +51,26 @@ def tokens(code: Column) -> Column:
     return F.split(F.translate(code, "+", "_"), "_")
 
 
+def token_like(text: Column, pattern: str) -> Column:
+    """A group of the first token between ``_`` and ``+`` that the pattern matches from its start up to a dot or its end."""
+    whole = rf"(?i)^(?:{pattern})(?:\.|$)"
+    return found(F.get(F.filter(F.split(text, r"[_+]"), lambda t: t.rlike(whole)), 0), whole)
+
+
 def tp_text(text: Column) -> Column:
-    digits = found(text, r"(?i)(?:[_+]|^)TP(\d{1,2})(?:[_+.]|$)")
-    return F.concat(F.lit("TP"), F.lpad(digits, 2, "0"))
+    return F.concat(F.lit("TP"), F.lpad(token_like(text, r"TP(\d{1,2})"), 2, "0"))
 
 
 def tp_label(text: Column) -> Column:
-    """TPnn of any text that names a pattern by TP and digits, or by digits alone."""
-    digits = F.coalesce(found(text, r"(?i)TP\s*0*(\d{1,2})"), found(F.trim(text), r"^0*(\d{1,2})(?:\.0+)?$"))
+    """TPnn of any text that names a pattern: by a token, else by T or TP and digits, else by one or two digits alone."""
+    own = clean_text(text)
+    digits = F.coalesce(token_like(own, r"TP(\d{1,2})"), found(own, r"(?i)TP?\s*(\d{1,2})"), found(own, r"\b(\d{1,2})\b"))
     return F.concat(F.lit("TP"), F.lpad(digits, 2, "0"))
 
 
 def duration_text(text: Column) -> Column:
     """Minutes as ``120m``; else hours or minutes with a unit as they are written."""
-    return F.coalesce(F.concat(found(text, r"(?i)(?:[_+]|^)(\d{3,5})m(?:[_+.]|$)"), F.lit("m")), found(text, r"(?i)(?:[_+]|^)(\d+(?:\.\d+)?(?:hours?|hrs?|h|mins?|minutes?))(?:[_+.]|$)"))
+    return F.coalesce(F.concat(token_like(text, r"(\d{3,5})m"), F.lit("m")), token_like(text, r"(\d+(?:\.\d+)?(?:hours?|hrs?|h|mins?|minutes?))"))
 
 
 def duration_minutes(text: Column) -> Column:
@@ -75,8 +81,9 @@ def duration_minutes(text: Column) -> Column:
 
 
 def aep_text(text: Column) -> Column:
-    number = F.concat(found(text, r"(?i)(?:[_+]|^)(\d+(?:\.\d+)?)p(?:[_+.]|$)"), F.lit("p"))
-    return F.coalesce(number, F.upper(found(text, r"(?i)(?:[_+]|^)(PMPF?)(?:[_+.]|$)")))
+    """The first token that is a number of up to two decimals and p, or PMP or PMPF."""
+    token = token_like(text, r"(\d+(?:\.\d{1,2})?p|PMPF?)")
+    return F.when(token.rlike(r"^\d"), F.lower(token)).otherwise(F.upper(token))
 
 
 def number_of(text: Column) -> Column:
@@ -86,23 +93,27 @@ def number_of(text: Column) -> Column:
 def trim_code(code: Column) -> Column:
     """The run code without its tokens for pattern, duration and event."""
     parts = [F.coalesce(F.lower(p), F.lit("")) for p in (tp_text(code), duration_text(code), aep_text(code))]
-    raw = F.concat(F.lit("tp"), F.coalesce(found(code, r"(?i)(?:[_+]|^)TP(\d{1,2})(?:[_+.]|$)"), F.lit("")))
+    raw = F.concat(F.lit("tp"), F.coalesce(token_like(code, r"TP(\d{1,2})"), F.lit("")))
     drop = F.array(*parts, raw)
     return F.array_join(F.filter(tokens(code), lambda t: ~F.array_contains(drop, F.lower(t))), "_")
 
 
 def match_key(name: Column) -> Column:
-    """Upper-case prefix and a number cut, not rounded, to two decimals."""
-    prefix = F.upper(F.regexp_replace(F.regexp_extract(name, r"^(.*?)(\d+)(?:\.(\d+))?[^\d]*$", 1), r"[\s_]+", ""))
-    whole = F.regexp_extract(name, r"^(.*?)(\d+)(?:\.(\d+))?[^\d]*$", 2)
-    part = F.rpad(F.substring(F.regexp_extract(name, r"^(.*?)(\d+)(?:\.(\d+))?[^\d]*$", 3), 1, 2), 2, "0")
-    return F.when(whole != "", F.concat(prefix, F.lit("|"), whole, F.lit("."), part))
+    """Upper-case prefix and the number at the name's end, cut, not rounded, to two decimals; null without a number.
+
+    Blanks within the prefix become one; everything else in it stays, so differently named channels don't share a key.
+    """
+    own = clean_text(name)
+    parts = r"(?s)^(.*?)(-?\d+)(?:\.(\d+))?$"
+    prefix = F.upper(F.regexp_replace(F.trim(F.regexp_extract(own, parts, 1)), r"\s+", " "))
+    cents = F.rpad(F.substring(F.regexp_extract(own, parts, 3), 1, 2), 2, "0")
+    return F.when(own.rlike(parts), F.concat(prefix, F.lit("|"), F.regexp_extract(own, parts, 2), F.lit("."), cents))
 
 
 def clean_text(text: Column) -> Column:
     """Null for blank text and for the usual words for nothing."""
     own = F.trim(text)
-    return F.when(F.lower(own).isin("", "nan", "none", "<na>"), None).otherwise(own)
+    return F.when(F.lower(own).isin("", "nan", "none", "<na>", "nat"), None).otherwise(own)
 
 
 def first_text(*columns: Column) -> Column:
@@ -115,12 +126,17 @@ def dms_to_degrees(text: Column) -> Column:
     return F.coalesce(part(1) + part(2) / 60 + part(3) / 3600, F.lit(0.0))
 
 
+def kept_runs(text: Column, kept: str, fallback: str) -> Column:
+    """Runs of kept characters joined by ``_``; the fallback if there are none."""
+    return F.coalesce(F.nullif(F.array_join(F.regexp_extract_all(text, F.lit(f"[{kept}]+"), F.lit(0)), "_"), F.lit("")), F.lit(fallback))
+
+
 def slug(text: Column, fallback: str = "item") -> Column:
-    return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(text, r"[^A-Za-z0-9]+", "_"), r"^_+|_+$", ""), F.lit("")), F.lit(fallback))
+    return kept_runs(text, "A-Za-z0-9", fallback)
 
 
 def sheet_name(text: Column) -> Column:
-    return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(text, r"[^A-Za-z0-9_-]+", "_"), r"^_+|_+$", ""), F.lit("")), F.lit("Sheet"))
+    return kept_runs(text, "A-Za-z0-9_-", "Sheet")
 
 
 def without_token(name: Column, k: int) -> Column:
@@ -129,6 +145,11 @@ def without_token(name: Column, k: int) -> Column:
     return F.array_join(F.filter(parts, lambda t, i: i != k), "_")
 
 
+def numbered_name(name: Column, n: Column) -> Column:
+    """The name itself for the first of equal names, then name(1), name(2) and so on."""
+    return F.concat(name, F.when(n > 1, F.concat(F.lit("("), (n - 1).cast("string"), F.lit(")"))).otherwise(F.lit("")))
+
+
 def human_bytes(size: Column) -> Column:
     out = None
     for power, unit in reversed(list(enumerate(["B", "KB", "MB", "GB", "TB"]))):

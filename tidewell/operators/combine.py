@@ -31,9 +31,21 @@ def overlay(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame
 
 
 def add_static(df: DataFrame, static: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join of those static columns that ``df`` lacks, one row of them for each key."""
+    """Left join of those static columns that ``df`` lacks; of several rows of a key the least by these columns, in order."""
     new = [c for c in static.columns if c not in df.columns]
-    return df.join(static.select(*keys, *new).dropDuplicates(list(keys)), list(keys), "left")
+    one = static.groupBy(*keys).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in new])).alias("_one")) if new else static.select(*keys).distinct()
+    return df.join(one, list(keys), "left").select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"_one.`{c}`").alias(c) for c in new])
+
+
+def lookup(df: DataFrame, known: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Left join of columns of a lookup table, replacing any of these names; of several rows of a key the least one's."""
+    others = [c for c in df.columns if c not in columns]
+    return add_static(df.select(*[F.col(f"`{c}`") for c in others]), known.select(*keys, *columns), keys)
+
+
+def outer_all(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Full outer join of all frames on the keys; other columns must have names of their own."""
+    return reduce(lambda a, b: a.join(b, list(keys), "full_outer"), frames)
 
 
 def last_file_of_run(df: DataFrame, run: str, order: str) -> DataFrame:
@@ -72,11 +84,14 @@ def align_ids(df: DataFrame, full: DataFrame, keys: Sequence[str], key: str, ide
 
 
 def update_attributes(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Common columns of ``target`` taken from the source row of equal keys, where there is one; ``matched`` says so."""
+    """Common columns of ``target`` taken from the source row of equal keys, where there is one; ``matched`` says so.
+
+    Of several source rows the least by these columns, in order, is taken.
+    """
     common = [c for c in target.columns if c in source.columns and c not in keys]
-    taken = source.select(*keys, *[F.col(c).alias(f"_s_{c}") for c in common], F.lit(True).alias("matched")).dropDuplicates(list(keys))
-    out = target.join(taken, list(keys), "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
-    return out.select(*[F.when(F.col("matched"), F.col(f"_s_{c}")).otherwise(F.col(c)).alias(c) if c in common else F.col(c) for c in target.columns], "matched")
+    taken = source.groupBy(*keys).agg(F.min(F.struct(F.lit(True).alias("_there"), *common)).alias("_s"))
+    out = target.join(taken, list(keys), "left").withColumn("matched", F.col("_s").isNotNull())
+    return out.select(*[F.when(F.col("matched"), F.col(f"_s.{c}")).otherwise(F.col(c)).alias(c) if c in common else F.col(c) for c in target.columns], "matched")
 
 
 def normalise_files(df: DataFrame, columns: Sequence[str], file_id: str = "file_id") -> tuple[DataFrame, DataFrame]:

@@ -112,11 +112,8 @@ def critical_median(df: DataFrame, keys: Sequence[str], duration: str, value: st
     Durations are text, so of equal medians the duration that sorts first as text wins.
     """
     stats = ensemble_statistics(df, [*keys, duration], value, tp, name)
-    return arg_max(
-        stats.drop("low", "high", "count_tp").join(stats.select(*keys, duration, "low", "high", "count_tp"), [*keys, duration]),
-        keys, "median", [duration],
-        F.min("low").alias("low_all"), F.max("high").alias("high_all"), F.sum("count_tp").alias("count_all"), F.count("*").alias("count_duration"),
-    ).drop("low", "high", "count_tp")
+    over_all = [F.min("low").alias("low_all"), F.max("high").alias("high_all"), F.sum("count_tp").alias("count_all"), F.count("*").alias("count_duration")]
+    return arg_max(stats, keys, "median", [duration], *over_all).drop("low", "high", "count_tp")
 
 
 def statistic_of_columns(df: DataFrame, keys: Sequence[str], columns: Sequence[str], statistic: str, adopt: str, name: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ENTITY_COLUMNS = ("Chan ID", "Location", "Node ID", "ID")
@@ -72,10 +72,34 @@ def duplicates(df: DataFrame, keys: Sequence[str], member: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.min(member).alias("first_member"), F.max(member).alias("last_member")).filter("n > 1")
 
 
+def counts_with_first(df: DataFrame, keys: Sequence[str], member: str, first: int) -> DataFrame:
+    """(keys, n, member): how many rows each group has, and its ``first`` least members, cut down before the shuffle."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    least = df.select(*keys, member).withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(member))).filter(F.col("_r") <= first)
+    return least.drop("_r").join(counts, list(keys))
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: str, name: str, parts: int = 1024) -> DataFrame:
+    """``df`` with the place of each row, from 1, in its group by a number ``order``, however few and large the groups are.
+
+    The numbers' range is cut into equal parts; rows are numbered within a part, after the counts of the parts before.
+    Nulls come first; rows of equal numbers follow each other in any order.
+    """
+    span = df.agg(F.min(order).cast("double").alias("_lo"), F.max(order).cast("double").alias("_hi"))
+    share = F.when(F.col("_hi") > F.col("_lo"), (F.col(order) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
+    part = F.when(F.col(order).isNull(), -1).otherwise(F.floor(share * parts))
+    placed = df.join(F.broadcast(span)).withColumn("_part", part).drop("_lo", "_hi")
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(*keys, "_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(order))
+    out = placed.withColumn("_within", within)
+    named = counts.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    out = out.join(named, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [out["_part"] == named["_part"]])
+    return out.select(*df.columns, (F.col("_within") + F.col("_before")).cast("int").alias(name))
+
+
 def duplicate_contents(df: DataFrame, member: str, content: str, kind: str) -> DataFrame:
-    """Members of equal content with the one that is kept, the least. Only contents of equal kind and size are hashed."""
-    sized = df.withColumn("_size", F.octet_length(content))
-    likely = sized.groupBy(kind, "_size").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    hashed = sized.join(likely, [kind, "_size"]).select(member, kind, F.col("_size").alias("size"), F.sha2(content, 256).alias("digest"))
+    """Members of equal content with the one that is kept, the least. Contents are hashed where they are read."""
+    hashed = df.select(member, kind, F.octet_length(content).alias("size"), F.sha2(content, 256).alias("digest"))
     groups = hashed.groupBy(kind, "size", "digest").agg(F.min(member).alias("kept"), F.count("*").alias("copies")).filter("copies > 1")
     return hashed.join(groups, [kind, "size", "digest"]).filter(F.col(member) != F.col("kept"))

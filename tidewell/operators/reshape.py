@@ -100,3 +100,8 @@ def in_polygon(x: Column, y: Column, polygon: Sequence[tuple[float, float]]) ->
         if y1 != y2:
             crossed = crossed + F.when(((y < y1) != (y < y2)) & (x < x1 + (y - y1) * ((x2 - x1) / (y2 - y1))), 1).otherwise(0)
     return x.between(min(xs), max(xs)) & y.between(min(ys), max(ys)) & (on | (crossed % 2 == 1))
+
+
+def signed_peak(high: Column, low: Column) -> tuple[Column, Column]:
+    """(size, value) of whichever of two extremes is farther from 0; the high one if they are as far."""
+    return F.greatest(F.abs(high), F.abs(low)), F.when(F.abs(high) >= F.abs(low), high).otherwise(low)

@@ -10,10 +10,17 @@ from pyspark.sql import functions as F
 from tidewell.operators.ensemble import ensemble_statistics
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys of which a null equals a null."""
+    named = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    equal = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return left.join(named, equal).drop(*[f"_k_{k}" for k in keys])
+
+
 def first_steps(df: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
     """(keys, step): the difference of the two least distinct times, kept as two values and never as a list."""
     least = df.groupBy(*keys).agg(F.min(time).alias("_t0"))
-    after = df.join(least, list(keys)).filter(F.col(time) > F.col("_t0"))
+    after = join_keys(df, least, keys).filter(F.col(time) > F.col("_t0"))
     return after.groupBy(*keys, "_t0").agg((F.min(time) - F.col("_t0")).alias("step")).drop("_t0")
 
 
@@ -21,8 +28,10 @@ def exceedance_durations(df: DataFrame, keys: Sequence[str], time: str, value: s
     """Time that each series is above each threshold: the count of values above times the first step; zeros are left out.
 
     Each value is put into a bucket once and counts are summed from the highest bucket down, so rows don't multiply with
-    thresholds. A series with one distinct time has no step and no rows.
+    thresholds. Rows without time or value count for nothing, the step included; keys may be null. A series with one
+    distinct time has no step and no rows.
     """
+    df = df.dropna(subset=[time, value])
     limits = sorted(set(thresholds))
     above = F.array(*[F.lit(float(t)) for t in limits])
     passed = F.size(F.filter(above, lambda t: F.col(value) > t))
@@ -31,16 +40,17 @@ def exceedance_durations(df: DataFrame, keys: Sequence[str], time: str, value: s
     counts = counts.withColumn("_c", F.sum("_n").over(down)).withColumn("_next", F.coalesce(F.lead("_b").over(down), F.lit(0)))
     each = counts.withColumn("_i", F.explode(F.sequence(F.col("_next") + 1, F.col("_b"))))
     each = each.select(*keys, F.element_at(above, F.col("_i")).alias("threshold"), F.col("_c").alias("n_above"))
-    return each.join(first_steps(df, keys, time), list(keys)).withColumn("duration_exceeding", F.col("n_above") * F.col("step"))
+    return join_keys(each, first_steps(df, keys, time), keys).withColumn("duration_exceeding", F.col("n_above") * F.col("step"))
 
 
 def exceedance_durations_plain(df: DataFrame, keys: Sequence[str], time: str, value: str, thresholds: Sequence[float]) -> DataFrame:
     """The same by one conditional sum for each threshold."""
+    df = df.dropna(subset=[time, value])
     sums = [F.sum(F.when(F.col(value) > t, 1).otherwise(0)).alias(f"_t{i}") for i, t in enumerate(thresholds)]
     wide = df.groupBy(*keys).agg(*sums)
     rows = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"_t{i}").alias("n_above")) for i, t in enumerate(thresholds)]))
     each = wide.select(*keys, rows.alias("r")).select(*keys, "r.threshold", "r.n_above").filter("n_above > 0")
-    return each.join(first_steps(df, keys, time), list(keys)).withColumn("duration_exceeding", F.col("n_above") * F.col("step"))
+    return join_keys(each, first_steps(df, keys, time), keys).withColumn("duration_exceeding", F.col("n_above") * F.col("step"))
 
 
 def zero_filled(exceeding: DataFrame, keys: Sequence[str], member: Sequence[str], value: str) -> DataFrame:
@@ -91,16 +101,25 @@ def stability_check(
 
 
 def peak_check(df: DataFrame, keys: Sequence[str], order: Sequence[str], time: str, value: str, warn_1: float = 1.0, warn_2: float = 2.0, flat_tol: float = 1e-6) -> DataFrame:
-    """How long before its end a series is farthest from its first known value, and a warning if that is late."""
-    ordered = F.struct(*order)
-    start = df.groupBy(*keys).agg(F.min_by(value, F.when(F.col(value).isNotNull(), ordered)).alias("start_value"), F.max(time).alias("end_time"), F.max_by(value, ordered).alias("end_value"))
+    """How long before its end a series is farthest from its first known value, and a warning if that is late.
+
+    The end is the last row with a time; its value may be unknown. A series that moves by ``flat_tol`` at most is of the
+    kind ``flat``, and is warned of like any other; its end is 0 per cent of the peak if it is at the start's value.
+    """
+    ordered, known = F.struct(*order), F.when(F.col(value).isNotNull(), F.struct(*order))
+    timed = F.when(F.col(time).isNotNull(), ordered)
+    start = df.groupBy(*keys).agg(F.min_by(value, known).alias("start_value"), F.max_by(time, timed).alias("end_time"), F.max_by(value, timed).alias("end_value"))
     far = F.struct(F.col("_far").isNull(), -F.col("_far"), *[F.col(c) for c in order])
-    moved = df.join(start, list(keys)).withColumn("_far", F.abs(F.col(value) - F.col("start_value")))
-    out = moved.groupBy(*keys, "start_value", "end_time", "end_value").agg(F.min_by(value, far).alias("peak_value"), F.min_by(time, far).alias("peak_time"), F.max("_far").alias("peak_change"))
+    moved = join_keys(df, start, keys).withColumn("_far", F.abs(F.col(value) - F.col("start_value")))
+    out = moved.groupBy(*keys, "start_value", "end_time", "end_value").agg(F.min_by(value, far).alias("peak_value"), F.min_by(F.when(F.col(value).isNotNull(), F.col(time)), far).alias("peak_time"))
+    above, ends = F.col("peak_value") - F.col("start_value"), F.col("end_value") - F.col("start_value")
     hours = F.col("end_time") - F.col("peak_time")
-    share = F.when(F.col("peak_change") != 0, F.abs(F.col("end_value") - F.col("start_value")) / F.col("peak_change") * 100)
-    status = F.when(F.col("start_value").isNull(), "NO_DATA").when(F.col("peak_change") <= flat_tol, "FLAT").when(hours <= warn_1, "WARN_1H").when(hours <= warn_2, "WARN_2H").otherwise("OK")
-    return out.withColumns({"hours_from_end": hours, "end_percent_of_peak": share, "status": status})
+    kind = F.when(above.isNull(), None).when(F.abs(above) <= flat_tol, "flat").when(above > 0, "max").otherwise("min")
+    share = F.when(F.abs(above) > flat_tol, F.abs(ends) / F.abs(above) * 100).when(F.abs(ends) <= flat_tol, 0.0)
+    status = F.when(F.col("start_value").isNull(), "NO_DATA").when(F.col("peak_time").isNull(), "TIME_PARSE_FAIL").when(hours < warn_1, "WARN_1H").when(hours < warn_2, "WARN_2H").otherwise("OK")
+    return out.withColumns({"peak_kind": kind, "peak_above_start": above, "end_minus_start": ends, "hours_from_end": hours, "end_percent_of_peak": share, "status": status}).withColumn(
+        "end_value", F.when(F.col("start_value").isNotNull(), F.col("end_value"))
+    )
 
 
 def running_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], starts: Column) -> DataFrame:

@@ -155,7 +155,7 @@ def critical_series(spark, d):
 # ---- series
 
 LIMITS = [float(x) for x in range(2, 502, 2)]
-STEPS = "steps AS (SELECT location, type, min(time) FILTER (WHERE time > t0) - min(t0) AS step FROM (SELECT *, min(time) OVER (PARTITION BY location, type) AS t0 FROM series) GROUP BY location, type)"
+STEPS = "steps AS (SELECT location, type, min(time) FILTER (WHERE time > t0) - min(t0) AS step FROM (SELECT *, min(time) OVER (PARTITION BY location, type) AS t0 FROM series WHERE value IS NOT NULL) GROUP BY location, type)"
 EXCEED = f"""{STEPS}, ex AS (SELECT location, type, CAST(threshold AS DOUBLE) AS threshold, count(*) AS n_above, count(*) * min(step) AS duration_exceeding
   FROM series JOIN steps USING (location, type) CROSS JOIN range(2, 502, 2) r(threshold) WHERE value > threshold AND step IS NOT NULL GROUP BY location, type, threshold)"""
 
@@ -213,12 +213,13 @@ def stability_check(spark, d):
 
 
 @query("peak_check", f"""WITH {SERIES}, st AS (SELECT location, type, arg_min(value, (time, event_id)) FILTER (WHERE value IS NOT NULL) AS start_value, max(time) AS end_time, arg_max((value,), (time, event_id))[1] AS end_value FROM series GROUP BY ALL),
-  f AS (SELECT s.location, s.type, start_value, end_time, end_value, value, time, event_id, abs(value - start_value) AS far, row_number() OVER (PARTITION BY s.location, s.type ORDER BY abs(value - start_value) DESC NULLS LAST, time, event_id) AS r FROM series s JOIN st ON s.location = st.location AND s.type = st.type)
- SELECT location, type, start_value, round(end_time + 1e-9, 4) AS end_time, end_value, value AS peak_value, round(time + 1e-9, 4) AS peak_time, round(far + 1e-9, 4) AS peak_change, round(end_time - time + 1e-9, 4) AS hours_from_end, round(CASE WHEN far <> 0 THEN abs(end_value - start_value) / far * 100 END + 1e-9, 4) AS end_percent_of_peak,
-  CASE WHEN start_value IS NULL THEN 'NO_DATA' WHEN far <= 1e-6 THEN 'FLAT' WHEN end_time - time <= 1 THEN 'WARN_1H' WHEN end_time - time <= 2 THEN 'WARN_2H' ELSE 'OK' END AS status FROM f WHERE r = 1""")
+  f AS (SELECT s.location, s.type, start_value, end_time, end_value, value, time, event_id, value - start_value AS up, end_value - start_value AS ends, row_number() OVER (PARTITION BY s.location, s.type ORDER BY abs(value - start_value) DESC NULLS LAST, time, event_id) AS r FROM series s JOIN st ON s.location = st.location AND s.type = st.type)
+ SELECT location, type, start_value, round(end_time + 1e-9, 4) AS end_time, CASE WHEN start_value IS NOT NULL THEN end_value END AS end_value, value AS peak_value, CASE WHEN value IS NOT NULL THEN round(time + 1e-9, 4) END AS peak_time, CASE WHEN abs(up) <= 1e-6 THEN 'flat' WHEN up > 0 THEN 'max' WHEN up < 0 THEN 'min' END AS peak_kind,
+  round(up + 1e-9, 4) AS peak_above_start, round(ends + 1e-9, 4) AS end_minus_start, CASE WHEN value IS NOT NULL THEN round(end_time - time + 1e-9, 4) END AS hours_from_end, round(CASE WHEN abs(up) > 1e-6 THEN abs(ends) / abs(up) * 100 WHEN abs(ends) <= 1e-6 THEN 0.0 END + 1e-9, 4) AS end_percent_of_peak,
+  CASE WHEN start_value IS NULL THEN 'NO_DATA' WHEN end_time - time < 1 THEN 'WARN_1H' WHEN end_time - time < 2 THEN 'WARN_2H' ELSE 'OK' END AS status FROM f WHERE r = 1""")
 def peak_check(spark, d):
     out = ts.peak_check(series(spark, d), ["location", "type"], ["time", "event_id"], "time", "value")
-    return rounded(out, "end_time", "peak_time", "peak_change", "hours_from_end", "end_percent_of_peak")
+    return rounded(out, "end_time", "peak_time", "peak_above_start", "end_minus_start", "hours_from_end", "end_percent_of_peak")
 
 
 @query("running_groups", """SELECT user_id, event_id, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS group_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id)::INTEGER AS place FROM events""")
@@ -269,16 +270,24 @@ def ts_max_all(spark, d):
     return combine.max_of_columns(s, ["location", "hour"])
 
 
-GEOMETRY = "SELECT l_partkey AS id, max(l_quantity) AS v, max(l_tax) AS only_left FROM lineitem WHERE l_partkey % 3 <> 0 GROUP BY l_partkey"
+GEOMETRY = "SELECT CASE WHEN l_partkey % 3 = 0 THEN -l_partkey ELSE l_partkey END AS id, max(l_quantity) AS v, max(l_tax) AS only_left FROM lineitem GROUP BY ALL"
+
+
+def _odd_apart(key):
+    """Odd keys get a number that no even one has, so that some keys have no match."""
+    return F.when(F.col(key) % 2 == 0, F.col(key)).otherwise(F.col(key) + 1_000_000_000_000)
+
+
+ODD_APART = "CASE WHEN p_partkey % 2 = 0 THEN p_partkey ELSE p_partkey + 1000000000000 END"
 
 
 def _overlay_sides(spark, d):
-    left = table(spark, d, "lineitem").filter("l_partkey % 3 <> 0").groupBy(F.col("l_partkey").alias("id")).agg(F.max("l_quantity").alias("v"), F.max("l_tax").alias("only_left"))
-    right = table(spark, d, "part").filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") > 10, F.col("p_size").cast("double")).alias("v"), F.col("p_brand").alias("only_right"))
+    left = table(spark, d, "lineitem").groupBy(F.when(F.col("l_partkey") % 3 == 0, -F.col("l_partkey")).otherwise(F.col("l_partkey")).alias("id")).agg(F.max("l_quantity").alias("v"), F.max("l_tax").alias("only_left"))
+    right = table(spark, d, "part").select(_odd_apart("p_partkey").alias("id"), F.when(F.col("p_size") > 10, F.col("p_size").cast("double")).alias("v"), F.col("p_brand").alias("only_right"))
     return left, right
 
 
-@query("geometry_overlay", f"WITH a AS ({GEOMETRY}), b AS (SELECT p_partkey AS id, CASE WHEN p_size > 10 THEN CAST(p_size AS DOUBLE) END AS v, p_brand AS only_right FROM part WHERE p_partkey % 2 = 0) SELECT coalesce(a.id, b.id) AS id, coalesce(b.v, a.v) AS v, only_left, only_right FROM a FULL JOIN b ON a.id = b.id")
+@query("geometry_overlay", f"WITH a AS ({GEOMETRY}), b AS (SELECT {ODD_APART} AS id, CASE WHEN p_size > 10 THEN CAST(p_size AS DOUBLE) END AS v, p_brand AS only_right FROM part) SELECT coalesce(a.id, b.id) AS id, coalesce(b.v, a.v) AS v, only_left, only_right FROM a FULL JOIN b ON a.id = b.id")
 def geometry_overlay(spark, d):
     return combine.overlay(*_overlay_sides(spark, d), ["id"])
 
@@ -310,35 +319,38 @@ def headwater_ratio(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", combine.headwater_ratio(F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")).alias("hw_d"))
 
 
-@query("id_alignment", """WITH f AS (SELECT n_name AS region, c_name AS id, upper(substr(c_name, 1, 8)) || '|' || CAST(CAST(substr(c_name, 10) AS BIGINT) // 7 AS VARCHAR) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey),
- r AS (SELECT region, k, min(id) AS resolved FROM f GROUP BY region, k HAVING min(id) = max(id)) SELECT f.region, f.k, coalesce(resolved, 'cut:' || f.k) AS id FROM (SELECT DISTINCT region, k FROM f) f LEFT JOIN r ON f.region = r.region AND f.k = r.k""")
+@query("id_alignment", """WITH f AS (SELECT n_name AS region, c_name || '.' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') AS id, upper(c_name) || '.' || lpad(CAST(c_custkey % 1000 // 10 AS VARCHAR), 2, '0') AS printed FROM (SELECT n_name, c_custkey, 'Customer ' || (c_custkey // 7) AS c_name FROM customer JOIN nation ON c_nationkey = n_nationkey)),
+ k AS (SELECT region, id, printed, regexp_extract(printed, '^CUSTOMER (.*)$', 1) AS k FROM f), r AS (SELECT region, k, min(id) AS resolved FROM k GROUP BY region, k HAVING min(id) = max(id))
+ SELECT c.region, 'CUSTOMER|' || c.k AS k, coalesce(resolved, c.printed) AS id FROM (SELECT DISTINCT region, k, printed FROM k) c LEFT JOIN r ON c.region = r.region AND c.k = r.k""")
 def id_alignment(spark, d):
     c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    k = F.concat(F.upper(F.substring("c_name", 1, 8)), F.lit("|"), F.expr("cast(substring(c_name, 10) as bigint) div 7").cast("string"))
-    full = c.select(F.col("n_name").alias("region"), F.col("c_name").alias("id"), k.alias("k"))
-    cut = full.select("region", "k").distinct().withColumn("id", F.concat(F.lit("cut:"), "k"))
+    name = F.concat(F.lit("Customer "), F.expr("c_custkey div 7").cast("string"), F.lit("."))
+    cents = F.lpad((F.col("c_custkey") % 1000).cast("string"), 3, "0")
+    both = c.select(F.col("n_name").alias("region"), F.concat(name, cents).alias("id"), F.concat(F.upper(name), F.substring(cents, 1, 2)).alias("printed"))
+    full = both.select("region", "id", scenario.match_key(F.col("id")).alias("k"))
+    cut = both.select("region", F.col("printed").alias("id")).distinct().withColumn("k", scenario.match_key(F.col("id")))
     return combine.align_ids(cut, full, ["region"], "k", "id")
 
 
-@query("attribute_update", "SELECT c_custkey, coalesce(u.p_size, NULL) AS size, CASE WHEN u.p_partkey IS NOT NULL THEN u.p_brand ELSE c_mktsegment END AS label, u.p_partkey IS NOT NULL AS matched FROM customer LEFT JOIN (SELECT * FROM part WHERE p_partkey % 2 = 0) u ON p_partkey = c_custkey")
+@query("attribute_update", f"SELECT c_custkey, u.p_size AS size, CASE WHEN u.k IS NOT NULL THEN u.p_brand ELSE c_mktsegment END AS label, u.k IS NOT NULL AS matched FROM customer LEFT JOIN (SELECT *, {ODD_APART} AS k FROM part) u ON k = c_custkey")
 def attribute_update(spark, d):
     target = table(spark, d, "customer").select("c_custkey", F.lit(None).cast("int").alias("size"), F.col("c_mktsegment").alias("label"))
-    source = table(spark, d, "part").filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("c_custkey"), F.col("p_size").alias("size"), F.col("p_brand").alias("label"))
+    source = table(spark, d, "part").select(_odd_apart("p_partkey").alias("c_custkey"), F.col("p_size").alias("size"), F.col("p_brand").alias("label"))
     return combine.update_attributes(target, source, ["c_custkey"])
 
 
-@query("lookup_join", "SELECT n_name, r_name, s_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN (SELECT * FROM region WHERE r_regionkey > 1) ON n_regionkey = r_regionkey")
+@query("lookup_join", "SELECT s_suppkey, n_name, r_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN (SELECT *, CASE WHEN r_regionkey > 1 THEN r_regionkey ELSE -1 END AS k FROM region) ON n_regionkey = k")
 def lookup_join(spark, d):
-    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
-    return s.join(table(spark, d, "region").filter("r_regionkey > 1"), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_name", "r_name", "s_name")
+    s = combine.lookup(table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n_nationkey")), table(spark, d, "nation"), ["n_nationkey"], ["n_name", "n_regionkey"])
+    region = table(spark, d, "region").select(F.when(F.col("r_regionkey") > 1, F.col("r_regionkey")).otherwise(-1).alias("n_regionkey"), "r_name")
+    return combine.lookup(s, region, ["n_regionkey"], ["r_name"]).select("s_suppkey", "n_name", "r_name")
 
 
 @query("nway_outer", f"""WITH {STORM}, {stats_sql("storm", "duration, aep", "abs_max", "tp", "name", "a")}, {stats_sql("storm", "duration, aep", "v", "tp", "name", "b")} SELECT coalesce(a.duration, b.duration) AS duration, coalesce(a.aep, b.aep) AS aep, a.median AS m1, a.median_tp AS t1, b.median AS m2, b.median_tp AS t2 FROM a FULL JOIN b ON a.duration = b.duration AND a.aep = b.aep""")
 def nway_outer(spark, d):
-    long = reshape.wide_to_long(storm(spark, d).select("duration", "aep", "tp", "name", "abs_max", "v"), ["duration", "aep", "tp", "name"], ["abs_max", "v"], "peak", "value")
-    stats = ensemble.ensemble_statistics(long, ["duration", "aep", "peak"], "value", "tp", "name")
-    pick = lambda c, p: F.max(F.when(F.col("peak") == p, F.col(c)))
-    return stats.groupBy("duration", "aep").agg(pick("median", "abs_max").alias("m1"), pick("median_tp", "abs_max").alias("t1"), pick("median", "v").alias("m2"), pick("median_tp", "v").alias("t2"))
+    s = storm(spark, d)
+    stats = [ensemble.ensemble_statistics(s, ["duration", "aep"], c, "tp", "name").select("duration", "aep", F.col("median").alias(f"m{i}"), F.col("median_tp").alias(f"t{i}")) for i, c in ((1, "abs_max"), (2, "v"))]
+    return combine.outer_all(stats, ["duration", "aep"])
 
 
 @query("file_dimension", "SELECT DISTINCT l_returnflag AS kind, l_linestatus AS folder, count(*) OVER (PARTITION BY l_returnflag, l_linestatus) AS n FROM lineitem")
@@ -380,30 +392,29 @@ def drop_all_null(spark, d):
     return quality.drop_all_null(s, ["value", "other"]).select("event_id", "value")
 
 
-SETS = f"WITH {STORM}, e AS (SELECT 'TP' || lpad(CAST(i AS VARCHAR), 2, '0') AS tp FROM range(1, 8) r(i)), g AS (SELECT DISTINCT run, aep, location FROM storm WHERE us_h > 0.08), h AS (SELECT DISTINCT run, aep, location, tp FROM storm WHERE us_h > 0.08)"
+SETS = f"WITH {STORM}, e AS (SELECT 'TP' || lpad(CAST(i AS VARCHAR), 2, '0') AS tp FROM range(1, 8) r(i)), g AS (SELECT DISTINCT aep, location, v FROM storm), h AS (SELECT DISTINCT aep, location, v, tp FROM storm)"
 
 
-def _thin_storm(spark, d):
-    return storm(spark, d).filter("us_h > 0.08")
+ON_SET = "g.aep = h.aep AND g.location = h.location AND g.v = h.v AND e.tp = h.tp"
 
 
-@query("completed_sets", SETS + " SELECT g.run, g.aep, g.location, string_agg(e.tp, ',' ORDER BY e.tp) FILTER (WHERE h.tp IS NULL) AS missing, count(h.tp) = 7 AS complete FROM g CROSS JOIN e LEFT JOIN h ON g.run = h.run AND g.aep = h.aep AND g.location = h.location AND e.tp = h.tp GROUP BY g.run, g.aep, g.location")
+@query("completed_sets", SETS + f" SELECT g.aep, g.location, g.v, string_agg(e.tp, ',' ORDER BY e.tp) FILTER (WHERE h.tp IS NULL) AS missing, count(h.tp) = 7 AS complete FROM g CROSS JOIN e LEFT JOIN h ON {ON_SET} GROUP BY g.aep, g.location, g.v")
 def completed_sets(spark, d):
-    sets = quality.member_sets(_thin_storm(spark, d), ["run", "aep", "location"], "tp", 7)
+    sets = quality.member_sets(storm(spark, d), ["aep", "location", "v"], "tp", 7)
     return sets.withColumn("missing", F.nullif(F.array_join("missing", ","), F.lit("")))
 
 
-@query("missing_patterns", SETS + ", m AS (SELECT g.run, g.aep, g.location, e.tp, h.tp AS got FROM g CROSS JOIN e LEFT JOIN h ON g.run = h.run AND g.aep = h.aep AND g.location = h.location AND e.tp = h.tp) SELECT run, aep, location, tp AS missing_tp FROM m WHERE got IS NULL AND EXISTS (SELECT 1 FROM m GROUP BY run, aep, location HAVING count(got) = 7)")
+@query("missing_patterns", SETS + f", m AS (SELECT g.aep, g.location, g.v, e.tp, h.tp AS got FROM g CROSS JOIN e LEFT JOIN h ON {ON_SET}) SELECT aep, location, v, tp AS missing_tp FROM m WHERE got IS NULL AND EXISTS (SELECT 1 FROM m GROUP BY aep, location, v HAVING count(got) = 7)")
 def missing_patterns(spark, d):
-    return quality.missing_members(_thin_storm(spark, d), ["run", "aep", "location"], "tp", 7)
+    return quality.missing_members(storm(spark, d), ["aep", "location", "v"], "tp", 7)
 
 
-@query("coverage_grid", f"""WITH {STORM}, s AS (SELECT location AS run, aep, duration, tp FROM storm WHERE us_h > 0.09), e AS (SELECT 'TP' || lpad(CAST(i AS VARCHAR), 2, '0') AS tp FROM range(1, 8) r(i)),
+@query("coverage_grid", f"""WITH {STORM}, s AS (SELECT location AS run, aep, duration || v AS duration, tp FROM storm), e AS (SELECT 'TP' || lpad(CAST(i AS VARCHAR), 2, '0') AS tp FROM range(1, 8) r(i)),
  g AS (SELECT a.run, a.aep, b.duration FROM (SELECT DISTINCT run, aep FROM s) a JOIN (SELECT DISTINCT run, duration FROM s) b ON a.run = b.run), h AS (SELECT DISTINCT * FROM s),
  m AS (SELECT g.run, g.aep, g.duration, count(*) FILTER (WHERE h.tp IS NULL) AS n, string_agg(e.tp, ',' ORDER BY e.tp) FILTER (WHERE h.tp IS NULL) AS t FROM g CROSS JOIN e LEFT JOIN h ON g.run = h.run AND g.aep = h.aep AND g.duration = h.duration AND e.tp = h.tp GROUP BY ALL)
  SELECT run, aep, duration, n::INTEGER AS n_missing, CASE WHEN n = 0 THEN 'complete' WHEN n >= 6 THEN n || ' missing' ELSE t END AS message FROM m""")
 def coverage_grid(spark, d):
-    return quality.coverage_grid(storm(spark, d).filter("us_h > 0.09").select(F.col("location").alias("run"), "aep", "duration", "tp"), "run", "aep", "duration", "tp", 7)
+    return quality.coverage_grid(storm(spark, d).select(F.col("location").alias("run"), "aep", F.concat("duration", F.col("v").cast("string")).alias("duration"), "tp"), "run", "aep", "duration", "tp", 7)
 
 
 @query("duplicate_groups", "SELECT l_orderkey, l_linenumber, count(*) AS n, min(l_partkey) AS first_member, max(l_partkey) AS last_member FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -456,7 +467,8 @@ def transpose_summary(spark, d):
 @query("signed_abs_max", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, greatest(abs(hi), abs(lo)) AS abs_max, CASE WHEN abs(hi) >= abs(lo) THEN hi ELSE lo END AS signed_abs_max FROM (SELECT *, l_discount AS hi, -l_tax AS lo FROM lineitem)")
 def signed_abs_max(spark, d):
     hi, lo = F.col("l_discount"), -F.col("l_tax")
-    return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.greatest(F.abs(hi), F.abs(lo)).alias("abs_max"), F.when(F.abs(hi) >= F.abs(lo), hi).otherwise(lo).alias("signed_abs_max"))
+    size, signed = reshape.signed_peak(hi, lo)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", size.alias("abs_max"), signed.alias("signed_abs_max"))
 
 
 @query("run_matrix", "SELECT * FROM (VALUES ('1%'), ('2%')) a(aep) CROSS JOIN (VALUES ('60m'), ('120m'), ('1440m')) b(duration) CROSS JOIN (SELECT 'TP' || lpad(CAST(i AS VARCHAR), 2, '0') AS tp FROM range(1, 11) r(i))")
@@ -464,16 +476,16 @@ def run_matrix(spark, d):
     return reshape.cross_product(spark, {"aep": ["1%", "2%"], "duration": ["60m", "120m", "1440m"], "tp": [f"TP{i:02d}" for i in range(1, 11)]})
 
 
-POINTS = "pts AS (SELECT l_quantity AS x, CAST(l_linenumber AS DOUBLE) AS y, l_extendedprice AS z, l_orderkey AS k FROM lineitem WHERE l_partkey % 5 = 0)"
+POINTS = "pts AS (SELECT l_quantity AS x, CAST(l_linenumber AS DOUBLE) AS y, l_extendedprice AS z, l_orderkey AS k FROM lineitem)"
 
 
 def _points(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_quantity").alias("x"), F.col("l_linenumber").cast("double").alias("y"), F.col("l_extendedprice").alias("z"), F.col("l_orderkey").alias("k"))
 
 
-@query("grid_fill", f"WITH {POINTS}, q AS (SELECT * FROM pts WHERE z > 60000) SELECT a.x, b.y, coalesce(max(z), -9999) AS z FROM (SELECT DISTINCT x FROM q) a CROSS JOIN (SELECT DISTINCT y FROM q) b LEFT JOIN q ON q.x = a.x AND q.y = b.y GROUP BY a.x, b.y")
+@query("grid_fill", f"WITH {POINTS}, q AS (SELECT x, y * 10 + k % 977 AS y, z FROM pts) SELECT a.x, b.y, coalesce(max(z), -9999) AS z FROM (SELECT DISTINCT x FROM q) a CROSS JOIN (SELECT DISTINCT y FROM q) b LEFT JOIN q ON q.x = a.x AND q.y = b.y GROUP BY a.x, b.y")
 def grid_fill(spark, d):
-    return reshape.fill_grid(_points(spark, d).filter("z > 60000"), "x", "y", "z", -9999.0)
+    return reshape.fill_grid(_points(spark, d).withColumn("y", F.col("y") * 10 + F.col("k") % 977), "x", "y", "z", -9999.0)
 
 
 @query("tile_counts", f"WITH {POINTS}, c AS (SELECT min(x) AS x0, min(y) AS y0 FROM pts) SELECT CAST(floor((x - x0) / 7) AS BIGINT) AS tile_i, CAST(floor((y - y0) / 7) AS BIGINT) AS tile_j, count(*) AS n FROM pts, c GROUP BY ALL")
@@ -548,9 +560,13 @@ def duration_minutes(spark, d):
     return table(spark, d, "events").select("event_id", say(9, " hours").alias("hours"), say(90, "min").alias("minutes"), say(50, "").alias("bare"))
 
 
-@query("match_key", "SELECT c_custkey, 'CUSTOMER#|' || (c_custkey % 100) || '.' || substr(rpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0'), 1, 2) AS k FROM customer")
+@query("match_key", """SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'A B|' || n || '.00' WHEN 1 THEN 'A_B|' || n || '.' || substr(f, 1, 2) WHEN 2 THEN 'P|-' || n || '.' || substr(f, 1, 1) || '0' WHEN 3 THEN '|' || n || '.' || substr(f, 1, 2) END AS k
+ FROM (SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS n, lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') AS f FROM customer)""")
 def match_key(spark, d):
-    name = F.concat(F.lit("Customer# "), (F.col("c_custkey") % 100).cast("string"), F.lit("."), F.rpad((F.col("c_custkey") % 1000).cast("string"), 3, "0"))
+    k = F.col("c_custkey")
+    n, f, of = k.cast("string"), F.lpad((k % 1000).cast("string"), 3, "0"), k % 5
+    name = F.when(of == 0, F.concat(F.lit(" a \t b  "), n)).when(of == 1, F.concat(F.lit("A_b"), n, F.lit("."), f)).when(of == 2, F.concat(F.lit("p-"), n, F.lit("."), F.substring(f, 1, 1)))
+    name = name.when(of == 3, F.concat(n, F.lit("."), f)).otherwise(F.concat(F.lit("fc "), n, F.lit(".5_C")))
     return table(spark, d, "customer").select("c_custkey", scenario.match_key(name).alias("k"))
 
 
@@ -589,32 +605,35 @@ def grid_snap(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", hydro.round_to_grid(F.col("l_quantity"), 4.0).alias("snapped"))
 
 
-@query("crossing_records", """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, q * 0.5 AS minimum, q AS design, q * 1.5 AS maximum, greatest(ds, di) AS tailwater, greatest(10.0, 6 * h) AS width, greatest(ui + h, di + h, ds) + 1.0 AS crest, CASE l_returnflag WHEN 'R' THEN 'BOX' ELSE 'CIRCLE' END AS shape,
- greatest(1.0, round_even(a / (pi() * power(h / 2, 2)), 0))::INTEGER AS barrels FROM (SELECT *, l_quantity - 5 AS q, l_discount * 10 AS ui, l_tax * 10 AS di, CAST(l_linenumber AS DOUBLE) AS h, CASE WHEN l_partkey % 4 <> 0 THEN l_quantity / 10 END AS ds, l_extendedprice / 1000 AS a FROM lineitem) WHERE q > 0 AND h > 0 AND ds IS NOT NULL""")
+@query("crossing_records", """WITH c AS (SELECT *, l_quantity - 5 AS q, l_discount * 10 AS ui, l_tax * 10 AS di, CAST(l_linenumber AS DOUBLE) AS h, CASE WHEN l_partkey % 4 <> 0 THEN l_quantity / 10 END AS ds, l_extendedprice / 1000 AS a, CASE WHEN l_suppkey % 3 > 0 THEN l_quantity / 8 END AS us, CASE WHEN l_suppkey % 5 > 1 THEN l_tax * 90 WHEN l_suppkey % 5 = 1 THEN 0.0 END AS uo FROM lineitem)
+ SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, greatest(0.005, q * 0.9) AS minimum, q AS design, greatest(q + 0.005, q * 1.1) AS maximum, ds AS tailwater, least(di, ds - 0.05) AS tailwater_invert, greatest(5.0, 6 * h) AS width, greatest(us, ds, coalesce(nullif(uo, 0.0), ui + h), di + h) + 0.5 AS crest,
+ CASE WHEN l_returnflag = 'R' OR l_returnflag = 'N' AND l_linestatus = 'F' THEN 'BOX' ELSE 'CIRCLE' END AS shape, CASE l_returnflag WHEN 'R' THEN 'CONCRETE' WHEN 'A' THEN 'CORRUGATED_STEEL' ELSE 'CONCRETE' END AS material,
+ CASE WHEN l_returnflag = 'R' OR l_returnflag = 'N' AND l_linestatus = 'F' THEN 1 ELSE greatest(1.0, round_even(a / (pi() * power(h / 2, 2)), 0))::INTEGER END AS barrels FROM c WHERE q > 0 AND h > 0 AND ds IS NOT NULL""")
 def crossing_records(spark, d):
     c = F.col
     level = F.when(c("l_partkey") % 4 != 0, c("l_quantity") / 10)
-    made = hydro.crossing(c("l_quantity") - 5, c("l_discount") * 10, c("l_tax") * 10, c("l_linenumber").cast("double"), level, c("l_returnflag"), F.lit(12.0), c("l_extendedprice") / 1000)
+    flag = F.when(c("l_returnflag") == "A", "c").otherwise(c("l_returnflag"))
+    channel = F.concat(F.lit("C1_"), F.when(c("l_linestatus") == "F", "r").otherwise("x"))
+    obvert = F.when(c("l_suppkey") % 5 > 1, c("l_tax") * 90).when(c("l_suppkey") % 5 == 1, F.lit(0.0))
+    made = hydro.crossing(
+        c("l_quantity") - 5, c("l_discount") * 10, c("l_tax") * 10, c("l_linenumber").cast("double"), level, flag, F.lit(12.0), c("l_extendedprice") / 1000,
+        us_level=F.when(c("l_suppkey") % 3 > 0, c("l_quantity") / 8), us_obvert=obvert, channel=channel,
+    )
     ids = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
     out = table(spark, d, "lineitem").select(*ids, made.alias("x")).filter("x is not null")
-    return out.select(*ids, "x.flow.minimum", "x.flow.design", "x.flow.maximum", "x.tailwater", "x.roadway.width", c("x.roadway.elevations")[0].alias("crest"), "x.barrel.shape", "x.barrel.barrels")
+    record = ["x.flow.minimum", "x.flow.design", "x.flow.maximum", c("x.tailwater.elevation").alias("tailwater"), c("x.tailwater.invert").alias("tailwater_invert"), "x.roadway.width"]
+    return out.select(*ids, *record, c("x.roadway.elevations")[0].alias("crest"), "x.barrel.shape", "x.barrel.material", "x.barrel.barrels")
 
 
 @query("style_counts", "SELECT event_type, n, event_id FROM (SELECT event_type, event_id, count(*) OVER (PARTITION BY event_type) AS n, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events) WHERE r <= 20")
 def style_counts(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("event_type")
-    e = table(spark, d, "events").select("event_type", "event_id", F.count("*").over(w).alias("n"), F.row_number().over(w.orderBy("event_id")).alias("r"))
-    return e.filter("r <= 20").drop("r")
+    return quality.counts_with_first(table(spark, d, "events"), ["event_type"], "event_id", 20).select("event_type", "n", "event_id")
 
 
 @query("numbered_names", "SELECT doc_id, lang || CASE WHEN r > 1 THEN '(' || (r - 1) || ')' ELSE '' END AS name FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS r FROM documents)")
 def numbered_names(spark, d):
-    from pyspark.sql import Window
-
-    r = F.row_number().over(Window.partitionBy("lang", "source").orderBy("doc_id"))
-    return table(spark, d, "documents").select("doc_id", F.concat("lang", F.when(r > 1, F.concat(F.lit("("), (r - 1).cast("string"), F.lit(")"))).otherwise("")).alias("name"))
+    rows = quality.numbered(table(spark, d, "documents").select("doc_id", "lang", "source"), ["lang", "source"], "doc_id", "r")
+    return rows.select("doc_id", scenario.numbered_name(F.col("lang"), F.col("r")).alias("name"))
 
 
 @query("js_array_extract", r"SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))) AS href FROM pages")

@@ -26,9 +26,13 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], glob: str | None
 
 
 def cells(lines: DataFrame, separator: str = ",") -> DataFrame:
-    """(path, row, col, value) of delimited lines; blank lines are left out."""
+    """(path, row, col, value) of delimited lines; blank lines are left out, and quoted cells may hold the separator."""
     rows = lines.filter(F.trim("text") != "")
-    return rows.select("path", F.col("line").alias("row"), F.posexplode(F.split("text", separator)).alias("col", "value")).withColumn("value", F.trim("value"))
+    quoted = F.split("text", separator + r'(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    split = F.when(F.contains("text", F.lit('"')), quoted).otherwise(F.split("text", separator))
+    own = F.trim("value")
+    bare = F.when(own.rlike(r'(?s)^".*"$') & (F.length(own) > 1), F.replace(F.expr("substring(trim(value), 2, length(trim(value)) - 2)"), F.lit('""'), F.lit('"')))
+    return rows.select("path", F.col("line").alias("row"), F.posexplode(split).alias("col", "value")).withColumn("value", F.coalesce(bare, own))
 
 
 def number(text: Column) -> Column:
@@ -88,8 +92,8 @@ def peak_summary(lines: DataFrame) -> DataFrame:
     labels = labels.select("path", "row", F.element_at(names, F.col("_k")).alias("label"))
     wide = reshape.transpose(c.filter("col > 1").join(labels, ["path", "row"]), ["path"], "col", "label", "value", list(SUMMARY.values()))
     out = wide.select("path", "type", "location", *[number(F.col(x)).alias(x) for x in ("max", "tmax", "min", "tmin")])
-    signed = F.when(F.abs("max") >= F.abs("min"), F.col("max")).otherwise(F.col("min"))
-    return out.withColumns({"abs_max": F.greatest(F.abs("max"), F.abs("min")), "signed_abs_max": signed})
+    size, signed = reshape.signed_peak(F.col("max"), F.col("min"))
+    return out.withColumns({"abs_max": size, "signed_abs_max": signed})
 
 
 def maximums(lines: DataFrame, columns: dict[str, str], text: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -129,10 +133,14 @@ def section(lines: DataFrame, starts: str, header: str) -> DataFrame:
 
 
 def culvert_section(lines: DataFrame) -> DataFrame:
-    """Culverts of an end-of-run report; dashes and ``Adjusted`` are null."""
-    parts = section(lines, "CULVERT AND PIPE DATA", "Channel").withColumn("_p", F.split("text", r"\s+"))
-    parts = parts.filter(F.size("_p") == len(CULVERT_COLUMNS))
-    field = lambda i: F.when(~F.col("_p")[i].rlike(r"^(-{3,}|Adjusted)$"), F.col("_p")[i])
+    """Culverts of an end-of-run report, its columns two blanks or more apart; dashes and ``Adjusted`` are null.
+
+    What a row has beyond the last column belongs to that; a row with fewer columns is left out.
+    """
+    parts = section(lines, "CULVERT AND PIPE DATA", "Channel").withColumn("_p", F.split("text", r"\s{2,}"))
+    parts, last = parts.filter(F.size("_p") >= len(CULVERT_COLUMNS)), len(CULVERT_COLUMNS) - 1
+    own = lambda i: F.col("_p")[i] if i < last else F.array_join(F.slice("_p", last + 1, F.size("_p")), " ")
+    field = lambda i: F.when(~own(i).isin("---", "-----", "Adjusted"), own(i))
     return parts.select("path", "line", *[(field(i) if i < 2 else number(field(i))).alias(c) for i, c in enumerate(CULVERT_COLUMNS)])
 
 
@@ -233,9 +241,12 @@ def surfaces(points: DataFrame, faces: DataFrame) -> DataFrame:
 
 
 def js_array(pages: DataFrame, variable: str, html: str = "html") -> DataFrame:
-    """Objects of a JavaScript array in a page, as maps; trailing commas are allowed."""
-    raw = F.regexp_extract(html, rf"(?s)\b{variable}\s*=\s*(\[.*?\])\s*;", 1)
-    tidy = F.regexp_replace(raw, r",\s*([\]}])", "$1")
+    """Objects of a JavaScript array in a page, as maps; trailing commas are allowed, values may be nested.
+
+    The parser of JSON stops where the array's own bracket closes, so the rest of the page may follow.
+    """
+    raw = F.regexp_extract(html, rf"(?s)\b{variable}\s*=\s*(\[.*)", 1)
+    tidy = F.regexp_replace(raw, r"""("(?:[^"\\]|\\.)*+")|,(?=\s*[\]}])""", "$1")
     return pages.withColumn("_o", F.from_json(tidy, "array<map<string,string>>")).select(*pages.columns, F.explode("_o").alias("entry"))
 
 
