@@ -144,7 +144,8 @@ def test_licence_cosines_against_brute_force(spark):
     want = {}
     for i, t in texts.items():
         hits = []
-        for unit, own in enumerate([t, *t.split("\n")]):
+        blocks = re.split(license_scan._BETWEEN, t)
+        for unit, own in enumerate([t, *t.split("\n"), *(b for b in blocks if "\n" in b and len(blocks) > 1)]):
             v = weight(Counter(split(own)))
             for name, u in templates:
                 score = round(sum(x * u.get(w, 0) for w, x in v.items()) / (norm(v) * norm(u)), 6) if v else 0

@@ -1,8 +1,11 @@
 """License scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance by directory.
 
-Units are each line (a header) and each whole text (a licence file). Inverse document frequencies of all terms are counted
-over all texts. For each template its heaviest terms are anchors, so many that the others' weight alone stays under the threshold: a unit without any anchor can't reach it,
-and only units with one are scored. A file's own licence is its best unit's. A licence file (by name, or by the cosine of
+Units are each whole text (a licence file), each line, and each block of several lines (a header: a notice wrapped over
+lines, up to a line that is blank or has comment marks alone). Templates are short notices, file headers and whole texts
+of short licences; long licences are known by the notice that they end with, which is a block. Inverse document
+frequencies of all terms are counted over all texts. For each template its heaviest terms are anchors, so many that the
+others' weight alone stays under the threshold: a unit without any anchor can't reach it, and only units with one are
+scored. A file's own licence is its best unit's. A licence file (by name, or by the cosine of
 its whole text) licenses its directory; a file without an own licence takes that of the nearest ancestor directory that
 has one, by an equi-join of the distinct directories' ancestors.
 
@@ -20,14 +23,73 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import materialise, table
 
-#: Least cosine of a line, and of a whole text, to a template.
+#: Least cosine of a line or block, and of a whole text, to a template.
 LINE_COSINE, FILE_COSINE = 0.7, 0.6
 #: Terms of most texts whose inverse frequencies are broadcast; units' other terms meet theirs by a shuffle.
 COMMON = 50_000
 _TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 #: A licence file by its name.
 FILE_NAME = r"(?i)(^|/)(un)?(licen[cs]e|copying)([.-][^/]*)?$"
-#: Notices by which licences are known.
+#: Lines that end a block: blank ones and those of comment marks alone.
+_BETWEEN = r"\n(?:[ \t]*(?:#+|//+|/?\*+/?|;+|--+|%+|<!--|-->|\"\"\")?[ \t]*\r?\n)+"
+_AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
+merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included
+in all copies or substantial portions of the Software."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
+following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_3 = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission."""
+_BSD_AS_IS = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN
+NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS;
+OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+DAMAGE."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE
+AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO
+EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING
+FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
+CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable
+for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin
+of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a
+product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be
+plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered
+from any source distribution."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+non-commercial, and by any means."""
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or
+agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF
+ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the
+License."""
+_MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+
+
+def _gnu(licence: str, version: str) -> list[str]:
+    """The blocks of the notice that a licence of this family ends with; its first one also stands alone."""
+    first = f"""This program is free software: you can redistribute it and/or modify it under the terms of the {licence} as published
+by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."""
+    rest = f"""This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {licence} for more details. You should have received a copy
+of the {licence} along with this program. If not, see <https://www.gnu.org/licenses/>."""
+    return [first, f"{first} {rest}"]
+
+
+#: Notices, headers and whole texts by which licences are known.
 TEMPLATES = [
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -48,6 +110,22 @@ TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Apache-2.0", _APACHE),
+    ("BSD-2-Clause", _BSD),
+    ("BSD-2-Clause", f"{_BSD} {_BSD_AS_IS}"),
+    ("BSD-3-Clause", f"{_BSD} {_BSD_3}"),
+    ("BSD-3-Clause", f"{_BSD} {_BSD_3} {_BSD_AS_IS}"),
+    ("ISC", _ISC),
+    ("MIT", _MIT),
+    ("MIT", f"{_MIT} {_AS_IS}"),
+    ("MPL-2.0", _MPL),
+    ("Unlicense", _UNLICENSE),
+    ("Zlib", _ZLIB),
+    *[("AGPL-3.0", x) for x in _gnu("GNU Affero General Public License", "3")],
+    *[("GPL-2.0", x) for x in _gnu("GNU General Public License", "2")],
+    *[("GPL-3.0", x) for x in _gnu("GNU General Public License", "3")],
+    *[("LGPL-2.1", x) for x in _gnu("GNU Lesser General Public License", "2.1")],
+    *[("LGPL-3.0", x) for x in _gnu("GNU Lesser General Public License", "3")],
 ]
 
 
@@ -55,6 +133,13 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TERM), F.lit(0))
 
 
+def units(text: Column) -> Column:
+    """The whole text, its lines, and its blocks of several lines where there are several blocks."""
+    blocks = F.split(text, _BETWEEN)
+    several = F.filter(blocks, lambda b: F.contains(b, F.lit("\n")) & (F.size(blocks) > 1))
+    return F.concat(F.array(text), F.split(text, "\n"), several)
+
+
 def template_terms(spark: SparkSession, templates: list[tuple[str, str]]) -> list[tuple[int, str, str, int]]:
     """(template, licence, term, count): as many rows as the templates have distinct terms."""
     made = spark.createDataFrame([(i, *t) for i, t in enumerate(templates)], "template int, licence string, text string")
@@ -93,9 +178,9 @@ def scan(files: DataFrame, doc_id: str = "doc_id", path: str = "path", text: str
     anchor = F.array(*[F.lit(a) for a in sorted(anchors)])
 
     keyed = files.withColumn("row_key", F.xxhash64("doc_id", "path", "text"))
-    lines = keyed.filter(F.arrays_overlap(terms(F.col("text")), anchor)).select("row_key", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("unit", "own"))
-    units = lines.select("row_key", "unit", terms(F.col("own")).alias("terms")).filter(F.arrays_overlap("terms", anchor))
-    counted = units.select("row_key", "unit", F.explode("terms").alias("term")).groupBy("row_key", "unit", "term").agg(F.count("*").alias("n"))
+    lines = keyed.filter(F.arrays_overlap(terms(F.col("text")), anchor)).select("row_key", F.posexplode(units(F.col("text"))).alias("unit", "own"))
+    scored = lines.select("row_key", "unit", terms(F.col("own")).alias("terms")).filter(F.arrays_overlap("terms", anchor))
+    counted = scored.select("row_key", "unit", F.explode("terms").alias("term")).groupBy("row_key", "unit", "term").agg(F.count("*").alias("n"))
     counted = materialise(counted.join(common, "term", "left"), "terms")
     rare = counted.filter("idf is null").drop("idf").join(inverse, "term")
     counted = counted.filter("idf is not null").unionByName(rare).withColumn("w", F.col("n") * F.col("idf"))
