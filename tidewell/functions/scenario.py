@@ -68,9 +68,15 @@ def tp_label(text: Column) -> Column:
     return F.concat(F.lit("TP"), F.lpad(digits, 2, "0"))
 
 
+def member_label(text: Column, count: int = 10) -> Column:
+    """TPnn of a number from 1 to ``count``, with or without TP before it; blank for anything else."""
+    number = F.regexp_replace(F.upper(F.trim(text.cast("string"))), "^TP", "").try_cast("int")
+    return F.when(number.between(1, count), F.concat(F.lit("TP"), F.lpad(number.cast("string"), 2, "0"))).otherwise(F.lit(""))
+
+
 def duration_text(text: Column) -> Column:
     """Minutes as ``120m``; else hours or minutes with a unit as they are written."""
-    return F.coalesce(F.concat(token_like(text, r"(\d{3,5})m"), F.lit("m")), token_like(text, r"(\d+(?:\.\d+)?(?:hours?|hrs?|h|mins?|minutes?))"))
+    return F.coalesce(F.concat(token_like(text, r"(\d{3,5})m"), F.lit("m")), token_like(text, r"(\d+(?:\.\d+)?(?:hours?|hrs?|h|minutes?|mins?|m))"))
 
 
 def duration_minutes(text: Column) -> Column:

@@ -96,19 +96,21 @@ def peak_summary(lines: DataFrame) -> DataFrame:
     return out.withColumns({"abs_max": size, "signed_abs_max": signed})
 
 
-def maximums(lines: DataFrame, columns: dict[str, str], text: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+def maximums(lines: DataFrame, columns: dict[str, str], text: Sequence[str] = (), optional: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(rows, status by path) of a table with a header: ``columns`` names what is read and how it is
     called, ``text`` those called so that stay text.
 
-    A file that lacks a column fails and gives no rows; what else it has is left out.
+    A file that lacks a column fails and gives no rows, but for ``optional`` ones, which are null there; what else it
+    has is left out.
     """
+    required = [c for c in columns if c not in optional]
     c = cells(lines)
     first = c.groupBy("path").agg(F.min("row").alias("_h"), F.max("row").alias("_e"))
     c = c.join(first, "path")
     head = c.filter("row = _h").select("path", "col", F.col("value").alias("label")).filter(F.col("label").isin(list(columns)))
-    have = head.groupBy("path").agg(F.countDistinct("label").alias("n"))
+    have = head.filter(F.col("label").isin(required)).groupBy("path").agg(F.countDistinct("label").alias("n"))
     status = first.join(have, "path", "left").select(
-        "path", F.when(F.coalesce("n", F.lit(0)) < len(columns), "FAILURE").when(F.col("_h") == F.col("_e"), "EMPTY").otherwise("SUCCESS").alias("status")
+        "path", F.when(F.coalesce("n", F.lit(0)) < len(required), "FAILURE").when(F.col("_h") == F.col("_e"), "EMPTY").otherwise("SUCCESS").alias("status")
     )
     good = status.filter("status = 'SUCCESS'").select("path")
     wide = reshape.transpose(c.filter("row > _h").join(head, ["path", "col"]).join(good, "path"), ["path"], "row", "label", "value", list(columns))
