@@ -3,9 +3,9 @@
 Units are each whole text (a licence file), each line, and each block of several lines (a header: a notice wrapped over
 lines, up to a line that is blank or has comment marks alone). Templates are short notices, file headers and whole texts
 of short licences; long licences are known by the notice that they end with, which is a block. Inverse document
-frequencies of all terms are counted over all texts. For each template its heaviest terms are anchors, so many that the
-others' weight alone stays under the threshold: a unit without any anchor can't reach it, and only units with one are
-scored. A file's own licence is its best unit's. A licence file (by name, or by the cosine of
+frequencies of all terms are counted over all texts. For each template its rarest terms are anchors, so many that the others'
+weight alone stays under the threshold: a unit without any anchor can't reach it. Nor can one with fewer of the template's
+terms than the heaviest that reach the threshold's square together. Only units that pass both are scored. A file's own licence is its best unit's. A licence file (by name, or by the cosine of
 its whole text) licenses its directory; a file without an own licence takes that of the nearest ancestor directory that
 has one, by an equi-join of the distinct directories' ancestors.
 
@@ -17,6 +17,7 @@ path and text are ignored.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -147,20 +148,25 @@ def template_terms(spark: SparkSession, templates: list[tuple[str, str]]) -> lis
     return [tuple(r) for r in made.orderBy("template", "term").collect()]
 
 
-def weigh(rows: list[tuple[int, str, str, int]], frequency: dict[str, int], total: int) -> tuple[list[tuple], set[str]]:
-    """(template rows with unit weights, anchors)."""
+def weigh(rows: list[tuple[int, str, str, int]], frequency: dict[str, int], total: int) -> tuple[list[tuple], set[str], list[tuple[list[str], int]]]:
+    """(template rows with unit weights, anchors, each template's terms and how many of them a unit needs)."""
     idf = {term: math.log((total + 1) / (frequency.get(term, 0) + 1)) + 1 for _, _, term, _ in rows}
-    weighted, anchors = [], set()
+    weighted, anchors, needs, least = [], set(), [], 0.98 * min(LINE_COSINE, FILE_COSINE) ** 2
     for template in sorted({r[0] for r in rows}):
         own = [(licence, term, n * idf[term]) for t, licence, term, n in rows if t == template]
         norm = math.sqrt(sum(w * w for *_, w in own))
-        left = 1.0
-        for licence, term, w in sorted(own, key=lambda x: (-x[2], x[1])):
-            weighted.append((template, licence, term, w / norm))
-            if left > 0.98 * min(LINE_COSINE, FILE_COSINE) ** 2:
+        weighted += [(template, licence, term, w / norm) for licence, term, w in own]
+        left, most = 1.0, 0.0
+        for _, term, w in sorted(own, key=lambda x: (frequency.get(x[1], 0), -x[2], x[1])):
+            if left > least:
                 anchors.add(term)
                 left -= (w / norm) ** 2
-    return weighted, anchors
+        for n, w in enumerate(sorted((w for *_, w in own), reverse=True), 1):
+            most += (w / norm) ** 2
+            if most >= least:
+                needs.append((sorted(term for _, term, _ in own), n))
+                break
+    return weighted, anchors, needs
 
 
 def scan(files: DataFrame, doc_id: str = "doc_id", path: str = "path", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
@@ -171,15 +177,16 @@ def scan(files: DataFrame, doc_id: str = "doc_id", path: str = "path", text: str
     frequency = files.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").count()
     frequency, total = materialise(frequency, "frequency"), files.count()
     known = frequency.filter(F.col("term").isin(sorted({r[2] for r in rows})))
-    weighted, anchors = weigh(rows, {r["term"]: r["count"] for r in known.collect()}, total)
+    weighted, anchors, needs = weigh(rows, {r["term"]: r["count"] for r in known.collect()}, total)
     weights = F.broadcast(spark.createDataFrame(weighted, "template int, licence string, term string, weight double"))
     inverse = frequency.select("term", (F.log(F.lit(total + 1.0) / (F.col("count") + 1)) + 1).alias("idf"))
     common = F.broadcast(inverse.orderBy("idf", "term").limit(COMMON))
     anchor = F.array(*[F.lit(a) for a in sorted(anchors)])
 
     keyed = files.withColumn("row_key", F.xxhash64("doc_id", "path", "text"))
-    lines = keyed.filter(F.arrays_overlap(terms(F.col("text")), anchor)).select("row_key", F.posexplode(units(F.col("text"))).alias("unit", "own"))
-    scored = lines.select("row_key", "unit", terms(F.col("own")).alias("terms")).filter(F.arrays_overlap("terms", anchor))
+    lines = keyed.filter(F.arrays_overlap(terms(F.col("text")), anchor)).select("row_key", F.posexplode(F.transform(units(F.col("text")), terms)).alias("unit", "terms"))
+    enough = [F.size(F.array_intersect("terms", F.array(*[F.lit(t) for t in own]))) >= n for own, n in needs]
+    scored = lines.filter(F.arrays_overlap("terms", anchor)).filter(reduce(lambda a, b: a | b, enough))
     counted = scored.select("row_key", "unit", F.explode("terms").alias("term")).groupBy("row_key", "unit", "term").agg(F.count("*").alias("n"))
     counted = materialise(counted.join(common, "term", "left"), "terms")
     rare = counted.filter("idf is null").drop("idf").join(inverse, "term")
