@@ -129,7 +129,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", t
     """``docs`` with ``text`` without the later copies, and ``removed_lines`` with their numbers."""
     gone = repeats(docs, min_words, doc_id, text).groupBy("doc_key").agg(F.sort_array(F.collect_set("line")).alias("gone"))
     rows = docs.select(_key(doc_id, text).alias("doc_key"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
-    out = rows.join(materialise(gone, "gone"), "doc_key", "left")  # as a table its size is known, and a small one is broadcast
+    out = rows.join(gone.hint("merge"), "doc_key", "left")  # the same way at every size
     own = F.col("row").getField(text)
     kept = F.filter(F.split(own, "\n", -1), lambda x, i: ~F.array_contains(F.col("gone"), i))
     made = F.when(F.col("gone").isNull(), own).otherwise(F.array_join(kept, "\n"))
