@@ -52,31 +52,69 @@ def peak_of_peaks(peaks: DataFrame, keys: Sequence[str], value: str, ties: Seque
     return arg_max(peaks.drop("count_tp_aep"), keys, value, ties, F.count("*").alias("count_tp_aep"))
 
 
+#: Parts that an octave of values is cut into, and the bucket of nulls, which come first.
+PARTS, NULLS = 64, -1_000_000
+
+
+def bucket(value: Column) -> Column:
+    """A number that rises with the value: few different ones whatever the number of rows, so that large groups come apart.
+
+    Values of either sign go by their logarithm; 0 and null have buckets of their own.
+    """
+    size = 100_000 + F.floor(F.log2(F.abs(value)) * PARTS)
+    return F.when(value.isNull(), F.lit(NULLS)).when(value == 0, F.lit(0)).when(value > 0, size).otherwise(-size).cast("int")
+
+
+#: Rows of a small table that is broadcast, once they are counted.
+SMALL = 200_000
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """``df``, kept and counted; it is broadcast if it has SMALL rows at most, and else left to a shuffle."""
+    df = df.persist()
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def ensemble_statistics(df: DataFrame, keys: Sequence[str], value: str, tp: str, name: str) -> DataFrame:
     """Median, mean and extremes of each ensemble, with the runs at the upper-middle place and closest to the mean.
 
-    The median is the element at int(n / 2), counted from 0, in ascending order with nulls first; nulls count.
+    The median is the element at int(n / 2), counted from 0, in ascending order with nulls first; nulls count. Of runs as
+    close to the mean the one of the least value, pattern and name is taken.
+
+    Groups may be few and large: rows are counted by bucket of their value, which tells the bucket that holds the middle
+    place and that of the mean, and only rows of these two buckets are put in order. The counts are taken at once, the
+    rest when it is asked for.
     """
+    known = drop_null_keys(df, keys).select(*keys, F.col(value).cast("double").alias("_v"), F.col(tp).alias("_t"), F.col(name).alias("_i")).withColumn("_b", bucket(F.col("_v")))
+    parts = known.groupBy(*keys, "_b").agg(
+        F.count("*").alias("_c"), F.count("_v").alias("_k"), F.sum("_v").alias("_s"), F.count(F.when(F.col("_v") != 0, 1)).alias("_z"),
+        F.min(F.struct("_v", "_t", "_i")).alias("_lo"), F.min(F.struct((-F.col("_v")).alias("_v"), "_t", "_i")).alias("_hi"),
+    )
     group = Window.partitionBy(*keys)
-    order = group.orderBy(F.col(value).asc_nulls_first(), tp, name)
-    df = drop_null_keys(df, keys).withColumns({"_rank": F.row_number().over(order), "_n": F.count("*").over(group), "_mean": F.avg(value).over(group)})
-    middle = F.col("_rank") == F.floor(F.col("_n") / 2) + 1
-    near = F.struct(F.col(value).isNull(), F.abs(F.col(value) - F.col("_mean")), F.col(value), F.col(tp), F.col(name))
-    closest = F.min_by(F.struct(F.col(value).alias("v"), F.col(tp).alias("t"), F.col(name).alias("i")), near)
-    out = df.groupBy(*keys).agg(
-        F.max(F.when(middle, F.col(value))).alias("median"),
-        F.max(F.when(middle, F.col(tp))).alias("median_tp"),
-        F.max(F.when(middle, F.col(name))).alias("median_name"),
-        F.avg(value).alias("mean_including_zeroes"),
-        F.avg(F.when(F.col(value) != 0, F.col(value))).alias("mean_excluding_zeroes"),
-        closest.alias("_near"),
-        F.min(value).alias("low"),
-        F.max(value).alias("high"),
-        F.count("*").alias("count_tp"),
-    )
-    named = {"mean_peak": F.col("_near.v"), "mean_tp": F.col("_near.t"), "mean_name": F.col("_near.i")}
-    out = out.withColumns(named).drop("_near")
-    return out.withColumn("mean_is_median", F.col("mean_name").eqNullSafe(F.col("median_name")))
+    before = F.coalesce(F.sum("_c").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    over = {"_n": F.sum("_c").over(group), "_before": before, "_mean": F.sum("_s").over(group) / F.nullif(F.sum("_k").over(group), F.lit(0))}
+    parts = parts.withColumns(over).withColumn("_mb", bucket(F.col("_mean"))).persist()
+    place = F.floor(F.col("_n") / 2) - F.col("_before")
+    here, valued = (place >= 0) & (place < F.col("_c")), F.col("_b") != NULLS
+    groups = parts.groupBy(*keys).agg(
+        F.max("_n").alias("count_tp"), F.max("_mean").alias("mean_including_zeroes"), (F.sum("_s") / F.nullif(F.sum("_z"), F.lit(0))).alias("mean_excluding_zeroes"),
+        F.min("_lo._v").alias("low"), (-F.min("_hi._v")).alias("high"),
+        F.min(F.when(valued & (F.col("_b") < F.col("_mb")), F.col("_hi"))).alias("_under"), F.min(F.when(valued & (F.col("_b") > F.col("_mb")), F.col("_lo"))).alias("_over"), F.min(F.when(~valued, F.col("_lo"))).alias("_none"),
+    )
+    wanted = parts.filter(here | (valued & (F.col("_b") == F.col("_mb")))).select(*keys, "_b", F.when(here, place).alias("_place"), F.when(valued & (F.col("_b") == F.col("_mb")), F.col("_mean")).alias("_mean"))
+    near = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(F.col("_v").asc_nulls_first(), "_t", "_i"))
+    rows = known.join(broadcast_if_small(wanted), [*keys, "_b"]).withColumn("_r", near)
+    distance = lambda s, v, mean: F.struct(F.abs(v - mean).alias("d"), v.alias("v"), s["_t"].alias("t"), s["_i"].alias("i"))
+    row = F.struct("_v", "_t", "_i")
+    picked = rows.groupBy(*keys).agg(F.max(F.when(F.col("_r") == F.col("_place") + 1, row)).alias("_median"), F.min(F.when(F.col("_mean").isNotNull(), distance(row, F.col("_v"), F.col("_mean")))).alias("_close"))
+    mean = F.col("mean_including_zeroes")
+    sides = [F.when(F.col(c).isNotNull(), distance(F.col(c), F.col(f"{c}._v") * sign, mean)) for c, sign in (("_under", -1), ("_over", 1))]
+    out = groups.join(picked, list(keys)).withColumn("_near", F.least("_close", *sides))
+    told = {"median": F.col("_median._v"), "median_tp": F.col("_median._t"), "median_name": F.col("_median._i")}
+    told |= {"mean_peak": F.col("_near.v"), "mean_tp": F.coalesce("_near.t", "_none._t"), "mean_name": F.coalesce("_near.i", "_none._i")}
+    out = out.withColumns(told)
+    names = ["median", "median_tp", "median_name", "mean_including_zeroes", "mean_excluding_zeroes", "low", "high", "count_tp", "mean_peak", "mean_tp", "mean_name"]
+    return out.select(*keys, *names, F.col("mean_name").eqNullSafe(F.col("median_name")).alias("mean_is_median"))
 
 
 def median_by_group(df: DataFrame, keys: Sequence[str], duration: str, value: str, tp: str, name: str) -> DataFrame:
@@ -119,21 +157,22 @@ def critical_median(df: DataFrame, keys: Sequence[str], duration: str, value: st
 def statistic_of_columns(df: DataFrame, keys: Sequence[str], columns: Sequence[str], statistic: str, adopt: str, name: str) -> DataFrame:
     """Mean, or upper-middle median, of several columns for each group, their extremes, and the run whose ``adopt``
     value is closest to that column's statistic."""
-    df = drop_null_keys(df, keys)
-    group = Window.partitionBy(*keys)
+    df = drop_null_keys(df, keys).select(*keys, *columns, F.col(name).alias("_name"))
+    spans = [f(c).alias(f"{c}_{n}") for c in columns for n, f in (("min", F.min), ("max", F.max))]
     if statistic == "mean":
-        df = df.withColumns({f"_{c}": F.avg(c).over(group) for c in columns})
+        stats = df.groupBy(*keys).agg(F.count("*").alias("count_bin"), *[F.avg(c).alias(f"{c}_mean") for c in columns], *spans)
     else:
-        n = F.count("*").over(group)
-        for c in columns:
-            rank = F.row_number().over(group.orderBy(F.col(c).asc_nulls_first(), name))
-            df = df.withColumn("_r", rank == F.floor(n / 2) + 1).withColumn(f"_{c}", F.max(F.when(F.col("_r"), F.col(c))).over(group))
-    near = F.struct(F.col(adopt).isNull(), F.abs(F.col(adopt) - F.col(f"_{adopt}")), F.col(name))
-    spans = [f(c).alias(f"{c}_{n}") for c in columns for n, f in (("min", F.min), ("max", F.max))]
-    return df.groupBy(*keys).agg(
-        F.count("*").alias("count_bin"), *[F.max(f"_{c}").alias(f"{c}_{statistic}") for c in columns], *spans,
-        F.min_by(name, near).alias("adopted_name"), F.min_by(adopt, near).alias("adopted_value"),
-    )
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_value")) for c in columns]))
+        long = df.select(*keys, "_name", each.alias("_e")).select(*keys, "_name", "_e._column", "_e._value")
+        medians = ensemble_statistics(long, [*keys, "_column"], "_value", "_name", "_name")
+        of = lambda c, what: F.max(F.when(F.col("_column") == c, F.col(what)))
+        spans = [of(c, what).alias(f"{c}_{n}") for c in columns for n, what in (("min", "low"), ("max", "high"))]
+        stats = medians.groupBy(*keys).agg(F.max("count_tp").alias("count_bin"), *[of(c, "median").alias(f"{c}_median") for c in columns], *spans)
+    near = F.struct(F.col(adopt).isNull(), F.abs(F.col(adopt) - F.col("_stat")), F.col("_name"))
+    chosen = broadcast_if_small(stats.select(*keys, F.col(f"{adopt}_{statistic}").alias("_stat")))
+    rows = df.select(*keys, F.col(adopt), "_name").join(chosen, list(keys))
+    adopted = rows.groupBy(*keys).agg(F.min_by("_name", near).alias("adopted_name"), F.min_by(adopt, near).alias("adopted_value"))
+    return stats.join(adopted, list(keys))
 
 
 def preferred_column(columns: Sequence[str], preferred: Sequence[str]) -> str:
