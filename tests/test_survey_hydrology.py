@@ -110,7 +110,7 @@ def test_profile_areas(spark):
 
 
 def test_run_lists(lines, spark):
-    text = 'REM nothing\ntuflow -e1 Q100 -s Exg -pu0 # note -e2 x\n  tuflow -S exg -E1 q100\n-e1 Q20 -e1 Q50 -s "a #b" ; c\n:: -e1 z\nno flags\n-e1 Q10'
+    text = 'REM nothing\nsolver -e1 Q100 -s Exg -pu0 # note -e2 x\n  solver -S exg -E1 q100\n-e1 Q20 -e1 Q50 -s "a #b" ; c\n:: -e1 z\nno flags\n-e1 Q10'
     got = survey.run_list(lines(text))
     assert sorted((r["line"], r["combo"]) for r in got.collect()) == [(1, {"e1": "Q100", "s": "Exg"}), (3, {"e1": "Q50", "s": '"a'}), (6, {"e1": "Q10"})]
     assert dict(rows(survey.run_variables(got.filter("line <> 3")), "flag", "values")) == {"e1": "Q10 Q100", "s": "Exg"}

@@ -138,12 +138,12 @@ def test_names_must_tell(spark):
         df.select(logs.checked(F.lit("plain"), "tp").alias("x")).collect()
 
 
-def test_rorb_closures(spark, tmp_path):
+def test_hydrologic_closures(spark, tmp_path):
     batch = "Peak Description\n Run Duration Unit AEP TPat Peak0001\n 1 24 hour 1% 10 12.5 Y 100\n 2 24 hour 1% 11 12.5 Y 100\n Run,    Representative hydrograph\n"
     (tmp_path / "batch.out").write_text(batch)
     for tp, v in ((10, 10.0), (11, 4.0)):
         (tmp_path / f"aep1_du24hourtp{tp}.csv").write_text(f"title\ntitle\nInc,Time (hrs),Calculated hydrograph:  Loc1\n1,0,0\n2,1,{v}\n3,2,{v}\n")
-    sheets = workflows.rorb_closure_durations(readers.read_lines(spark, str(tmp_path / "batch.out")), readers.read_lines(spark, str(tmp_path), "*.csv"), [3.0, 5.0])
+    sheets = workflows.hydrologic_closure_durations(readers.read_lines(spark, str(tmp_path / "batch.out")), readers.read_lines(spark, str(tmp_path), "*.csv"), [3.0, 5.0])
     assert rows(sheets["Duration_Exceedance"], "location", "tp_text", "threshold", "duration_exceeding") == [("Loc1", "10", 3.0, 2.0), ("Loc1", "10", 5.0, 2.0), ("Loc1", "11", 3.0, 2.0)]
     assert rows(sheets["Duration_Summary"], "threshold", "central_value", "low_value", "high_value") == [(3.0, 2.0, 2.0, 2.0), (5.0, 2.0, 0.0, 2.0)]
 

@@ -13,7 +13,7 @@ from tidewell.functions import scenario
 from tidewell.operators import columns
 from tidewell.plans.bindings import SERIES, STORM, series, storm, table
 from tidewell.plans.catalog import ORACLE_SQL, query, rounded
-from tidewell.sources import readers, results
+from tidewell.sources import hydrology, readers, results, survey
 from tidewell.streaming import incremental
 
 
@@ -270,3 +270,40 @@ def merged_peaks(spark, d):
 def member_labels(spark, d):
     n = F.col("event_id") % 14
     return table(spark, d, "events").select("event_id", scenario.member_label(F.when(n % 2 == 0, F.concat(F.lit(" tp"), text(n))).otherwise(text(n))).alias("a"))
+
+
+@query("sentinel_points", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem WHERE NOT (l_quantity % 3 = 0)")
+def sentinel_points(spark, d):
+    ids = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    z = F.when(F.col("l_quantity") % 3 == 0, F.when(F.col("l_quantity") % 2 == 0, "-9999").otherwise("-9999.0")).when(F.col("l_quantity") % 5 == 0, "odd").otherwise("1.5")
+    lines = table(spark, d, "lineitem").select(*ids, joined(" ", F.col("l_tax"), F.col("l_discount"), z).alias("text"))
+    return survey.without_sentinel(lines, -9999.0).select(*ids)
+
+
+@query("command_list", "SELECT DISTINCT 'Q' || (c_custkey % 5) AS e1, CASE WHEN c_custkey % 3 > 0 THEN 'Exg' || (c_custkey % 3) END AS s FROM customer WHERE c_custkey % 11 > 0")
+def command_list(spark, d):
+    k = F.col("c_custkey")
+    scene = F.when(k % 3 > 0, F.concat(F.lit(" -s Exg"), text(k % 3))).otherwise("")
+    line = F.when(k % 11 == 0, F.concat(F.lit(":: -e1 never"), text(k))).otherwise(F.concat(F.lit("solver -b -e1 Q"), text(k % 5), scene, F.lit(" # -e2 none")))
+    lines = table(spark, d, "customer").select(F.lit("/r/list.bat").alias("path"), k.cast("int").alias("line"), line.alias("text"))
+    return survey.run_list(lines).select(F.col("combo")["e1"].alias("e1"), F.col("combo")["s"].alias("s"))
+
+
+@query("culvert_pairs", "SELECT 'K' || s_suppkey AS name, s_acctbal AS us_x, CAST(s_suppkey AS DOUBLE) AS ds_x, CASE WHEN s_suppkey % 2 = 0 THEN 1.5 ELSE 2.5 END AS diameter, (s_suppkey % 4)::INTEGER AS pipes FROM supplier WHERE s_suppkey % 5 > 0")
+def culvert_pairs(spark, d):
+    s = F.col("s_suppkey")
+    even = s % 2 == 0
+    up = joined("\t", F.concat(F.lit("K"), text(s)), F.col("s_acctbal"), "1", "2", "", "RCP", F.when(even, F.lit("1.5")), "", s % 4, "", "")
+    down = joined("\t", F.concat(F.when(s % 5 > 0, "K").otherwise("other"), text(s)), s, "1", "", "3", "", F.when(even, F.lit("9.9")).otherwise("2.5"), "", "", "", "")
+    rows = table(spark, d, "supplier").select(s.alias("s"), F.posexplode(F.array(up, down)).alias("i", "t"))
+    lines = lines_of(rows, F.lit("/r/a.txt"), F.col("s") * 2 + F.col("i"), F.col("t"), "title", "\t".join(survey.CULVERT), "units")
+    return survey.culvert_pairs(lines).select(F.col("Name").alias("name"), F.col("US_X").alias("us_x"), F.col("DS_X").alias("ds_x"), F.col("Diameter").alias("diameter"), F.col("Number of Pipes").alias("pipes"))
+
+
+@query("design_rainfall", "SELECT n_name AS place, -1.0 - n_nationkey AS lat, i::INTEGER AS minutes, CASE k WHEN 0 THEN '1EY' ELSE '1%' END AS aep, CAST(i * (n_nationkey + 1) * (k + 1) AS DOUBLE) AS value FROM nation CROSS JOIN range(1, 31) r(i) CROSS JOIN range(0, 2) c(k)")
+def design_rainfall(spark, d):
+    n = F.col("n_nationkey")
+    head = F.array(*[F.lit("c")] * 4, F.concat(F.lit("x,"), F.col("n_name")), F.concat(F.lit("x,Requested,"), text(n + 1), F.lit(",long,1")), F.lit("x,Nearest,1,long,1"), F.lit("note"), F.lit("Duration,Duration in min,1EY,1%"))
+    body = F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.concat(text(i), F.lit(" min,"), text(i), F.lit(","), text(i * (n + 1)), F.lit(","), text(i * (n + 1) * 2)))
+    lines = table(spark, d, "nation").select(F.concat(F.lit("/r/"), text(n)).alias("path"), F.posexplode(F.concat(head, body)).alias("line", "text"))
+    return hydrology.design_rainfall(lines).select(F.col("location_label").alias("place"), F.col("req_lat").alias("lat"), "minutes", "aep", "value")

@@ -159,7 +159,7 @@ def _closures(lasting: DataFrame, keys: list[str], aep: str, duration: str, tp:
     return {"Duration_Exceedance": lasting, "Duration_Summary": columns.sorted_by(summary, by)}
 
 
-def rorb_closure_durations(batch_lines: DataFrame, hydrograph_lines: DataFrame, thresholds: Sequence[float] = THRESHOLDS, zero_fill: bool = True) -> Sheets:
+def hydrologic_closure_durations(batch_lines: DataFrame, hydrograph_lines: DataFrame, thresholds: Sequence[float] = THRESHOLDS, zero_fill: bool = True) -> Sheets:
     """The same of hydrologic runs: a batch report names runs, whose hydrographs lie beside it under names of their own."""
     runs = readers.batch_runs(batch_lines)
     place = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
