@@ -16,10 +16,17 @@ def merge_peaks(known: DataFrame | None, new: DataFrame, keys: Sequence[str], va
     return arg_max(new if known is None else known.unionByName(new), keys, value, ties)
 
 
+def drop(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder on whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def stream_peaks(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, keys: Sequence[str], value: str, ties: Sequence[str]) -> StreamingQuery:
     """Reads the Parquet files that appear in ``source`` and keeps the peak of each group in ``target``.
 
-    Each batch writes a new version beside the last one, so that a batch that is run again gives the same.
+    Each batch writes a new version beside the last one, so that a batch that is run again gives the same; what is older
+    than these two goes.
     """
 
     def renew(batch: DataFrame, number: int) -> None:
@@ -27,6 +34,8 @@ def stream_peaks(spark: SparkSession, source: str, schema: str, target: str, che
         if number:
             known = batch.sparkSession.read.parquet(f"{target}/version={number - 1}")
         merge_peaks(known, batch, keys, value, ties).write.mode("overwrite").parquet(f"{target}/version={number}")
+        if number > 1:
+            drop(batch.sparkSession, f"{target}/version={number - 2}")
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(renew).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
