@@ -1,7 +1,10 @@
 """A corpus pipeline: language ID, line dedup, near-duplicate join, decontamination, packing.
 
 Each stage takes the rows that its predecessor kept, written as Parquet, and returns the columns of ``documents``; the
-last returns the packed pieces.
+last returns the packed pieces. Defined results: rows without a letter, null and empty texts among them, go with the first
+stage; a row that loses all its words goes with the second; of equal or linked texts the row of the least id stays, ids before
+null; a row that holds a test item goes, whatever its id. Empty tables give an empty result. Further columns are carried as
+they are up to the packing, which leaves them out.
 """
 
 from __future__ import annotations
