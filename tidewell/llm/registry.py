@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import decontaminate, jaccard_join, language_id, license_scan, line_dedup, packing, quality, secrets, token_store, url_filter
+from tidewell.llm import decontaminate, jaccard_join, language_id, license_scan, line_dedup, merkle, packing, quality, secrets, token_store, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -19,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": language_id.op8_language_id,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_secret_scan": secrets.op10_secret_scan,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality.OP2_SQL,
     "op3_jaccard_join": jaccard_join.OP3_SQL,
     "op6_decontamination": decontaminate.OP6_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
+    "op12_merkle_manifest": merkle.OP12_SQL,
 }
