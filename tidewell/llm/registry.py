@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import decontaminate, jaccard_join, language_id, license_scan, line_dedup, merkle, packing, quality, secrets, token_store, url_filter
+from tidewell.llm import alignment, decontaminate, jaccard_join, language_id, license_scan, line_dedup, merkle, packing, quality, secrets, simhash, token_store, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -19,7 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": language_id.op8_language_id,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_secret_scan": secrets.op10_secret_scan,
+    "op11_alignment": alignment.op11_alignment,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_simhash": simhash.op13_simhash,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality.OP2_SQL,
