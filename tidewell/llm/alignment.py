@@ -21,6 +21,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import drop_table, materialise, table
-from tidewell.llm.tokens import CACHE, _Cache, byte_letters, encoder
+from tidewell.llm.tokens import _Cache, byte_letters, encoder
 
 #: Memoised transitions, dropped when there are so many.
 TRANSITIONS = 2_000_000
@@ -88,25 +89,31 @@ class Transducer:
         return after
 
     def groups(self, a: Sequence[int], b: Sequence[int]) -> tuple[list[int], list[int]]:
-        """How many tokens of A and of B have been read at the end of each group."""
+        """How many tokens of A and of B have been read at the end of each group; ValueError if they spell different bytes."""
         if self.size > TRANSITIONS:
             self.clear()
-        start = state = self.start
+        start = self.start
         i = j = 0
         a_ends, b_ends = [], []
         n = len(a)
-        while i < n:
-            state = state[a[i]]
-            i += 1
-            while state is not start:
-                if state.a_leads:
-                    state = state[b[j]]
-                    j += 1
-                else:
-                    state = state[a[i]]
-                    i += 1
-            a_ends.append(i)
-            b_ends.append(j)
+        try:
+            while i < n:
+                state = start[a[i]][b[j]]
+                i += 1
+                j += 1
+                while state is not start:
+                    if state.a_leads:
+                        state = state[b[j]]
+                        j += 1
+                    else:
+                        state = state[a[i]]
+                        i += 1
+                a_ends.append(i)
+                b_ends.append(j)
+        except IndexError:
+            raise ValueError("one stream ends before the other") from None
+        if j < len(b):
+            raise ValueError("one stream ends before the other")
         return a_ends, b_ends
 
 
@@ -133,13 +140,9 @@ class Pieces:
         return self.model.encode(text, num_threads=1)
 
     def _chunk(self, chunk: str) -> bytes:
-        if chunk == " ":
-            ids = self.space
-        elif chunk[0] == " ":
-            ids = self._ids(chunk[1:])  # the model adds a space
-        else:
-            ids = self._ids(chunk)[1:]
-        return np.array(ids, "<u4").tobytes()
+        """The model adds a space: it stands for the chunk's first space, or goes again before a line feed."""
+        own = self.space if chunk == " " else self._ids(chunk[1:]) if chunk[0] == " " else self._ids(chunk)[1:]
+        return array("I", own).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids of a space and the text, little-endian unsigned 32-bit."""
@@ -169,19 +172,23 @@ class Aligner:
         self.a_bytes, self.b_bytes = byte_level_tokens(a_path), self.b.bytes
         self.transducer = Transducer(self.a_bytes, self.b_bytes)
 
-    def tokens(self, text: str | None) -> tuple[list[int], list[int]]:
-        """Ids of A and of B, none where a side doesn't spell the space and the text."""
-        if not text:
-            return [], []
-        whole = (" " + text).encode()
-        a, b = (np.frombuffer(x, "<u4").tolist() for x in (self.a.encode(" " + text), self.b.encode(text)))
-        if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
-            return [], []
-        return a, b
+    def align(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A and of B and how many of each the groups have read; none where a side doesn't spell the space and the text.
 
-    def align(self, text: str | None) -> tuple[list[int], list[int], list[int], list[int]]:
-        a, b = self.tokens(text)
-        return a, b, *(self.transducer.groups(a, b) if a else ([], []))
+        B is held against the text, and A against B by the transducer.
+        """
+        none = (np.zeros(0, np.int64),) * 4
+        if not text:
+            return none
+        a, b = (np.frombuffer(x, "<u4") for x in (self.a.encode(" " + text), self.b.encode(text)))
+        b_list = b.tolist()
+        if b"".join(map(self.b_bytes.__getitem__, b_list)) != (" " + text).encode():
+            return none
+        try:
+            ends = self.transducer.groups(a.tolist(), b_list)
+        except ValueError:
+            return none
+        return a, b, *(np.array(x, np.int64) for x in ends)
 
 
 @lru_cache(maxsize=2)
@@ -189,16 +196,20 @@ def aligner(a_path: str, b_path: str) -> Aligner:
     return Aligner(a_path, b_path)
 
 
-def groups_text(a: list[int], b: list[int], a_ends: list[int], b_ends: list[int]) -> str:
-    """``a1,a2|b1;a3|b2,b3``"""
-    a_texts, b_texts = [str(x) for x in a], [str(x) for x in b]
-    parts, i, j = [], 0, 0
-    for p, q in zip(a_ends, b_ends, strict=True):
-        left = a_texts[i] if p == i + 1 else ",".join(a_texts[i:p])
-        right = b_texts[j] if q == j + 1 else ",".join(b_texts[j:q])
-        parts.append(f"{left}|{right}")
-        i, j = p, q
-    return ";".join(parts)
+@lru_cache(maxsize=4)
+def _written(size: int, separator: str) -> np.ndarray:
+    return np.array([f"{i}{separator}" for i in range(size)], object)
+
+
+def groups_text(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> str:
+    """``a1,a2|b1;a3|b2,b3``: each id with what follows it, put in the place that it has in the text."""
+    out = np.empty(len(a) + len(b), object)
+    for ids, ends, before, last in ((a, a_ends, np.r_[0, b_ends[:-1]], "|"), (b, b_ends, a_ends, ";")):
+        size = 1 << 16 if ids.max() < 1 << 16 else int(ids.max()) + 1
+        place = np.arange(len(ids)) + np.repeat(before, np.diff(np.r_[0, ends]))
+        out[place] = _written(size, ",")[ids]
+        out[place[ends - 1]] = _written(size, last)[ids[ends - 1]]
+    return "".join(out.tolist())[:-1]
 
 
 def _align(a_path: str, b_path: str) -> Callable:
@@ -209,10 +220,11 @@ def _align(a_path: str, b_path: str) -> Callable:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 a, b, a_ends, b_ends = align(text.as_py())
-                digest = hashlib.sha256(groups_text(a, b, a_ends, b_ends).encode()).hexdigest() if a else ""
-                last_a, last_b = (np.array(x, np.int64)[np.array(e, np.int64) - 1] for x, e in ((a, a_ends), (b, b_ends)))
-                pairs, times = np.unique(last_a << 32 | last_b, return_counts=True)
-                out.append((doc_id, len(a), len(b), len(a_ends), digest, pairs, times.astype(np.int32)))
+                digest = hashlib.sha256(groups_text(a, b, a_ends, b_ends).encode()).hexdigest() if len(a) else ""
+                links = np.sort(a[a_ends - 1].astype(np.int64) << 32 | b[b_ends - 1].astype(np.int64))
+                new = np.flatnonzero(np.r_[True, links[1:] != links[:-1]]) if len(links) else links
+                times = np.diff(np.r_[new, len(links)]).astype(np.int32)
+                out.append((doc_id, len(a), len(b), len(a_ends), digest, links[new], times))
             columns = zip(*out, strict=True) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], list(names))
 
