@@ -69,6 +69,10 @@ class Items:
         self.few, self.few_items = every[order], np.repeat(np.array(few, np.int64), [len(self.sets[i]) for i in few])[order]
         self.few_mark = np.zeros(1 << MARK_BITS, bool)
         self.few_mark[_mark(self.few)] = True
+        for n, members in self.short.items():
+            hashes = np.array([self.sets[i][0] for i in members], np.uint64)
+            order = np.argsort(hashes, kind="stable")
+            self.short[n] = hashes[order], np.array(members)[order]
         self.classes = {}
         for size, members in sorted(by_class.items()):
             rows = []
@@ -132,10 +136,17 @@ class Items:
             shared = int((sets[i][at] == self.sets[j]).sum())
             if shared >= CONTAINMENT * len(self.sets[j]):
                 out.append((i, self.ids[j], shared, len(self.sets[j])))
-        for n, members in self.short.items():
-            for i in range(len(sizes)):
-                runs = mix(ngram_hashes(words[index[i] : index[i + 1]], n) + np.uint64(n))
-                out += [(i, self.ids[j], 1, 1) for j in members if self.sets[j][0] in runs]
+        for n, (hashes, members) in self.short.items():
+            runs = mix(ngram_hashes(words, n) + np.uint64(n))
+            whole = np.ones(len(words), bool)
+            for back in range(1, n):
+                edge = index[1:] - back
+                whole[edge[edge >= 0]] = False
+            at = np.flatnonzero(whole[: len(runs)] & np.isin(runs, hashes))
+            lo, hi = np.searchsorted(hashes, runs[at], "left"), np.searchsorted(hashes, runs[at], "right")
+            text = np.searchsorted(index[1:], at, "right")
+            held = {(i, j) for i, a, b in zip(text.tolist(), lo.tolist(), hi.tolist(), strict=True) for j in members[a:b].tolist()}
+            out += [(i, self.ids[j], 1, 1) for i, j in sorted(held)]
         return out
 
 
@@ -200,8 +211,9 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 OP6_SQL = r"""
 WITH w AS (SELECT doc_id AS id, 0 AS kind, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
            UNION ALL SELECT item_id, 1, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') FROM benchmark),
-s AS (SELECT DISTINCT id, kind, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS g FROM w WHERE len(w) >= 5),
+k AS (SELECT DISTINCT least(len(w), 5) AS k FROM w WHERE kind = 1 AND len(w) > 0),
+s AS (SELECT DISTINCT id, kind, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(list_slice(w, i, i + k - 1), ' '))) AS g FROM w JOIN k ON len(w) >= k AND (kind = 0 OR k = least(len(w), 5))),
 n AS (SELECT id AS item_id, count(*) AS n_item FROM s WHERE kind = 1 GROUP BY id),
-m AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared FROM s d JOIN s b ON d.g = b.g AND d.kind = 0 AND b.kind = 1 GROUP BY 1, 2)
+m AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared FROM s d JOIN s b ON d.g = b.g AND d.k = b.k AND d.kind = 0 AND b.kind = 1 GROUP BY 1, 2)
 SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM m JOIN n USING (item_id) WHERE n_shared >= 0.75 * n_item
 """

@@ -1,8 +1,10 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 Training counts hashed n-grams by language in one aggregation, over a sample of labelled rows whose bound is a
-parameter. The log-probability matrix is broadcast; a batch of texts is one sparse matrix (row, bucket, count), and its
-product with the log-probabilities scores all of them at once in numpy.
+parameter. The log-probability matrix is broadcast, in blocks of languages; a batch of texts is one sparse matrix (row,
+bucket, count), and its product with a block's log-probabilities scores all of them at once in numpy. A text's best language
+and the sum of its probabilities go from block to block, so that the number of blocks changes nothing. The matrix grows with
+the languages that are learned, 128 KiB each, and never with the rows.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0. A null ``lang`` is never learned
 from. Without any training row every text is ``und``. Repeated rows are judged alike; ties go to the language that
@@ -26,11 +28,13 @@ BITS = 15
 ORDERS = (1, 2, 3)
 #: Rows learned from are sampled by a hash of all their columns once there are more than this many labelled rows.
 TRAIN_ROWS = 20_000
-#: Bound of the broadcast matrix; with more languages the hash space is folded in halves until it holds.
-MATRIX_BYTES = 64 << 20
+#: Languages of a block of the matrix: 64 MiB of log-probabilities.
+LANGUAGES = 512
 #: Characters of texts that are counted at a time, and entries of the product that are held at a time.
 BLOCK, ENTRIES = 1 << 17, 1 << 20
 UNDETERMINED = "und"
+#: Languages of a block, their log-probabilities by bucket and language, their log prior.
+Part = tuple[list[str], np.ndarray, np.ndarray]
 _LETTER = regex.compile(r"\p{L}")
 _FACTORS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
 
@@ -103,11 +107,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def fit(rows: DataFrame, text: str = "text", lang: str = "lang", train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray, np.ndarray, int]:
-    """(languages, log-probability matrix by bucket and language, log prior, bits) learned from all given rows.
+def fit(rows: DataFrame, text: str = "text", lang: str = "lang", train_rows: int = TRAIN_ROWS) -> list[Part]:
+    """Blocks of languages, in order, learned from all given rows; none without any.
 
     Beyond ``train_rows`` rows, those whose hash falls under the fraction that leaves about as many are taken.
-    Counts come to the driver only when the number of languages has told how far the hash space is to be folded.
     """
     rows = rows.filter(F.col(lang).isNotNull())
     total = rows.count()
@@ -117,55 +120,61 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", train_rows: int
     counted = rows.select(F.col(text), F.col(lang)).mapInArrow(_count, "lang string, bucket int, n long")
     counted = materialise(counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "counts")
     seen = {r["lang"]: r["n"] for r in counted.filter("bucket < 0").collect()}
-    langs, bits = sorted(seen), BITS
-    while bits > 8 and len(langs) * (8 << bits) > MATRIX_BYTES:
-        bits -= 1
-    folded = counted.filter("bucket >= 0").groupBy("lang", F.shiftright("bucket", BITS - bits).alias("bucket")).agg(F.sum("n").alias("n"))
-    counts = folded.toPandas()
-    matrix, seen = np.zeros((1 << bits, len(langs))), np.array([seen[x] for x in langs], np.float64)
+    every, learned = sorted(seen), max(sum(seen.values()), 1)
+    return [_part(counted, every[k : k + LANGUAGES], seen, learned) for k in range(0, len(every), LANGUAGES)]
+
+
+def _part(counted: DataFrame, langs: list[str], seen: dict[str, int], learned: int) -> Part:
+    counts = counted.filter((F.col("bucket") >= 0) & F.col("lang").isin(langs)).toPandas()
+    matrix = np.full((1 << BITS, len(langs)), 0.5)
     number = counts["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)
     np.add.at(matrix, (counts["bucket"].to_numpy(np.int64), number), counts["n"].to_numpy(np.int64))
-    matrix += 0.5
     logs = np.log(matrix) - np.log(matrix.sum(axis=0, keepdims=True))
-    return langs, logs.astype(np.float32), np.log(np.maximum(seen, 1) / max(seen.sum(), 1)), bits
+    return langs, logs.astype(np.float32), np.log(np.array([max(seen[x], 1) for x in langs], np.float64) / learned)
 
 
-def judge(texts: list[str | None], langs: list[str], logs: np.ndarray, prior: np.ndarray, bits: int) -> tuple[list[str], np.ndarray]:
+def judge(texts: list[str | None], parts: list[Part]) -> tuple[list[str], np.ndarray]:
     """The most probable language of each text and its posterior probability."""
-    known = [k for k, t in enumerate(texts) if langs and has_letter(t)]
-    points = np.tile(prior, (len(known), 1))
-    step = max(1, ENTRIES // max(1, len(langs)))
-    for row, bucket, n in bucket_matrix([texts[k] for k in known], bits):
-        for k in range(0, len(row), step):
-            own = slice(k, k + step)
-            first = np.flatnonzero(np.append(True, row[own][1:] != row[own][:-1]))
-            points[row[own][first]] += np.add.reduceat(n[own, None] * logs[bucket[own]].astype(np.float64), first)
+    known = [k for k, t in enumerate(texts) if parts and has_letter(t)]
+    counts = list(bucket_matrix([texts[k] for k in known]))
     said, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-    if known:
+    best, total, names = np.full(len(known), -np.inf), np.full(len(known), -np.inf), np.full(len(known), UNDETERMINED, object)
+    for langs, logs, prior in parts if known else []:
+        points, step = np.tile(prior, (len(known), 1)), max(1, ENTRIES // len(langs))
+        for row, bucket, n in counts:
+            for k in range(0, len(row), step):
+                own = slice(k, k + step)
+                first = np.flatnonzero(np.append(True, row[own][1:] != row[own][:-1]))
+                points[row[own][first]] += np.add.reduceat(n[own, None] * logs[bucket[own]].astype(np.float64), first)
         top = points.argmax(axis=1)
-        score[known] = 1 / np.exp(points - points.max(axis=1, keepdims=True)).sum(axis=1)
-        for k, i in zip(known, top, strict=True):
-            said[k] = langs[i]
+        most = points[np.arange(len(known)), top]
+        total = np.logaddexp(total, most + np.log(np.exp(points - most[:, None]).sum(axis=1)))
+        better = most > best
+        best, names = np.where(better, most, best), np.where(better, np.array(langs, object)[top], names)
+    if known:
+        score[known] = np.minimum(np.exp(best - total), 1)
+        for k, name in zip(known, names, strict=True):
+            said[k] = name
     return said, score
 
 
-def scorer(model) -> Callable[[Iterator[pd.Series]], Iterator[pd.DataFrame]]:
+def scorer(shared: list) -> Callable[[Iterator[pd.Series]], Iterator[pd.DataFrame]]:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        langs, logs, prior, bits = model.value
+        parts = [x.value for x in shared]
         for texts in batches:
-            said, points = judge(texts.tolist(), langs, logs, prior, bits)
+            said, points = judge(texts.tolist(), parts)
             yield pd.DataFrame({"lang_pred": said, "score": points})
 
     return score
 
 
-def judgement(spark, model: tuple, text: str = "text") -> F.Column:
+def judgement(spark, model: list[Part], text: str = "text") -> F.Column:
     """A struct of the predicted language and its score."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = [spark.sparkContext.broadcast(part) for part in model]
     return F.pandas_udf(_typed(scorer(shared)), "lang_pred string, score double")(F.col(text))
 
 
-def predict(rows: DataFrame, model: tuple, text: str = "text") -> DataFrame:
+def predict(rows: DataFrame, model: list[Part], text: str = "text") -> DataFrame:
     """``rows`` with columns ``lang_pred`` and ``score``, which replace any of these names."""
     others = [c for c in rows.columns if c not in ("lang_pred", "score", "__said")]
     made = rows.select(*others, judgement(rows.sparkSession, model, text).alias("__said"))

@@ -19,6 +19,8 @@ from tidewell.llm.common import table
 #: Rules up to this many bytes of expressions are broadcast; more are joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
 PREFIX_HEX = 8
+#: Hosts of their own that urls without a host are dealt to.
+SPREAD = 4096
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The production rules.
 RULES = [
@@ -65,8 +67,11 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     hits = expanded.join(known, "key").filter("own = digest")
     chosen = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("size"), "action", "rule")).alias("best"))
     chosen = chosen.select("host", "path", F.col("best.rule").alias("rule"), F.col("best.action").alias("verdict"))
-    out = pages.join(chosen, ["host", "path"], "left")
-    return out.select(*said, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    # urls without a host, however many, go to hosts of their own that no rule fits
+    apart = F.when(F.col("host") == "", F.concat(F.lit("/"), (F.monotonically_increasing_id() % SPREAD).cast("string"))).otherwise(F.col("host"))
+    rows = pages.select(F.struct(*said).alias("row"), apart.alias("sought"), "host", "path")
+    out = rows.join(chosen.toDF("sought", "path", "rule", "verdict"), ["sought", "path"], "left")
+    return out.select("row.*", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
