@@ -81,13 +81,6 @@ def test_js_arrays_may_be_nested(spark):
     assert [r["entry"] for r in readers.js_array(pages, "a").select("entry").collect()] == [{"k": "v];", "l": "[1,[2]]"}, {"k": "w, ]"}]
 
 
-def test_run_log(spark, tmp_path):
-    text = "Build: 2025.1\nComputer Name: PC1\nSimulation Started: 2025-Nov-28 00:27\nBC Event Source == ~E1~ | Q100\nBC Event Source == ~E1~ | other\nClock Time: 0:0:9 [0.0025 h]\nSimulation FINISHED\nFinal Cumulative ME: -0.50%\n"
-    r = readers.run_log(lines(spark, tmp_path, "a.tlf", text)).first()
-    assert (r["version"], r["computer"], r["runtime"], r["mass_error"], r["finished"], r["settings"]) == ("2025.1", "PC1", 0.0025, -0.5, True, {"-e1": "Q100"})
-    assert str(r["start"]) == "2025-11-28 00:27:00"
-
-
 def test_batch_and_hydrograph(spark, tmp_path):
     text = "x\n Peak  Description\n 01 Calc\n 1 24 hour 1% 10 12.5 Y 100\n 2 30 minutes 2% 3 1.5 N 7\nRun,    Representative hydrograph\n 9 24 hour 1% 1 1 Y 1\n"
     got = rows(readers.batch_runs(lines(spark, tmp_path, "batch.out", text)), "run", "duration_hours", "aep", "tp", "values")

@@ -43,10 +43,26 @@ def test_peak_table(lines):
     assert tuple(hydrology.report_parameters(text).first()) == ("/r/a", 12.5, 0.8, 15.0, 2.5)
 
 
+def cells_of(lines, column):
+    return lines("x").select(column).first()[0]
+
+
+def test_rainfall_of_a_file(lines):
+    text = "Time increment (hours)=  0.50\nother = 3\nTime  Mean  \n\nIncs        A\n   1   2.0  1.0\n\n   2   3.0  4.0\nend"
+    other = lines("Time increment (hours)= 2\nTime Incs   A\n 1     x   5.0 9\n", "/r/b")
+    got = hydrology.rainfall(lines(text).union(other), 3, 8)
+    assert rows(got.filter("path = '/r/a'"), "increment", "time", "name", "value") == [
+        (1.0, 0.5, "Mean", 2.0), (1.0, 0.5, "Sub-area A", 0.0), (2.0, 1.0, "Mean", 3.0), (2.0, 1.0, "Sub-area A", 5.0), (3.0, 1.5, "Mean", 0.0), (3.0, 1.5, "Sub-area A", 0.0)]
+    assert rows(hydrology.rainfall(other, 3, 3), "increment", "time", "name", "value")[0] == (1.0, 2.0, "Column 2", 0.0)
+    failed = hydrology.rainfall_failures(lines(text).union(lines("no step\n1 2\n", "/r/c")).union(lines("Time increment (hours)=1\n", "/r/d")), 3, 8)
+    assert rows(failed, "path", "reason") == [("/r/c", "no time increment"), ("/r/d", "no rows of a table")]
+
+
 def test_rainfall_table(lines):
-    heads = ["Time  Sub-         ", "Incs  catch        ", "      ment    A   B"]
-    assert hydrology.column_names(heads, "   1   2.0  1.0 3.0") == ["Time Increment", "Sub-catchment area area", "Sub-area A", "Sub-area B"]  # fragments are replaced one after the other
-    assert hydrology.column_names(["Time  Mean   ", "Incs       A "], "  1   2.0  1.0") == ["Time Increment", "Mean", "Sub-area A"]
+    names = lambda heads, sample: cells_of(lines, hydrology.column_names(F.array(*[F.lit(h) for h in heads]), F.lit(sample)))
+    assert names(["Time  Sub-         ", "Incs  catch        ", "      ment    A   B"], "   1   2.0  1.0 3.0") == ["Time Increment", "Sub-catchment area area", "Sub-area A", "Sub-area B"]  # fragments are replaced one after the other
+    assert names(["Time  Mean   ", "Incs       A "], "  1   2.0  1.0") == ["Time Increment", "Mean", "Sub-area A"]
+    assert names(["ABCDEFGHIJKL"], "1 2   3") == ["AB", "CDEF", "GHIJKL"] and names(["x"], "  1      2") == ["x", "Column 2"] and names(["a  bb   "], "1     2 ") == ["Sub-area a", "Column 2"]
     cells = hydrology.rainfall_cells(lines("head\n1 5.0 1.0\n\n2 x 2.0\n3 0 0.5"), 2, 5)
     got = hydrology.rainfall_table(cells, ["Time Increment", "Mean", "Sub-area A"], 0.5)
     assert rows(got.filter("name = 'Sub-area A'"), "increment", "time", "value") == [(1.0, 0.5, 0.0), (2.0, 1.0, 3.0), (3.0, 1.5, 0.5), (4.0, 2.0, 0.0)]
@@ -110,11 +126,12 @@ def test_profile_areas(spark):
 
 
 def test_run_lists(lines, spark):
-    text = 'REM nothing\nsolver -e1 Q100 -s Exg -pu0 # note -e2 x\n  solver -S exg -E1 q100\n-e1 Q20 -e1 Q50 -s "a #b" ; c\n:: -e1 z\nno flags\n-e1 Q10'
+    text = 'REM nothing\nsolver -e1 Q100 -s1 Exg -pu0 # note -e2 x\n  solver -S1 exg -E1 q100\n-e1 Q20 -e1 Q50 -s2 "a #b" ; c\n:: -e1 z\nno flags\n-e1 Q10\n@REM solver -e1 ghost\n @:: -e1 ghost\n-s Exg -e0 x\n! solver -e3 kept\nrun-e4 glued -e1 -s1\nsolver -pu 1 -e5 y\n'
     got = survey.run_list(lines(text))
-    assert sorted((r["line"], r["combo"]) for r in got.collect()) == [(1, {"e1": "Q100", "s": "Exg"}), (3, {"e1": "Q50", "s": '"a'}), (6, {"e1": "Q10"})]
-    assert dict(rows(survey.run_variables(got.filter("line <> 3")), "flag", "values")) == {"e1": "Q10 Q100", "s": "Exg"}
-    assert rows(survey.runnable(got, ["s"], ["e1"]).filter("line = 1"), "arguments") == [("-e1 Q100 -s Exg",)]
+    want = [(1, {"e1": "Q100", "s1": "Exg"}), (3, {"e1": "Q50", "s2": '"a'}), (6, {"e1": "Q10"}), (10, {"e3": "kept"}), (11, {"e1": "-s1", "e4": "glued"}), (12, {"e5": "y"})]
+    assert sorted((r["line"], r["combo"]) for r in got.collect()) == want
+    assert dict(rows(survey.run_variables(got.filter("line in (1, 6)")), "flag", "values")) == {"e1": "Q10 Q100", "s1": "Exg"}
+    assert rows(survey.runnable(got, ["s1"], ["e1"]), "arguments") == [("-e1 Q100 -s1 Exg",)]
     marks = {"a # b": "a", 'a "x # y" c': 'a "x # y" c', "a REM b": "a", "a#b": "a#b", 'a "open # b': 'a "open # b'}
     assert {k: spark.range(1).select(survey.without_comment(F.lit(k))).first()[0] for k in marks} == marks
 

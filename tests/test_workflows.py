@@ -94,6 +94,8 @@ Specified Scenarios:
 
 BC Database == ..\\bc\\dbase.csv
 Geometry Control File == ..\\model\\a.tgc
+BC Event File == ..\\bc\\older.tef
+Trying to open (I) file C:\\bc\\events.tef...OK.  File Unit: 12
 Number of defined variables: 2
  Set Variable ~E1~ == Q100
  Set Variable DEPTH == 1.5
@@ -124,7 +126,7 @@ def test_log_report(spark, tmp_path):
     assert [r["completion"] for r in sheets["Log_Summary"].collect()] == [1, 2]
     r = logs_.filter("completion = 2").first()
     assert (r["version"], r["username"], r["computer"], str(r["start"])) == ("2025.1 iDP", "someone", "PC 1", "2025-11-28 00:27:00")
-    assert (r["bc_dbase"], r["tgc"], r["tcf"], r["model_end"], r["mass_error"]) == ("dbase.csv", "a.tgc", "EG16_Q100_2hr_Exg_006.tcf", 3.5, -0.5)
+    assert (r["bc_dbase"], r["tgc"], r["tef"], r["tcf"], r["model_end"], r["mass_error"]) == ("dbase.csv", "a.tgc", "events.tef", "EG16_Q100_2hr_Exg_006.tcf", 3.5, -0.5)
     assert (r["init_runtime"], r["init_cpu"], r["final_runtime"], r["final_cpu"]) == (0.0001, None, 0.0025, 0.005)
     assert r["settings"] == {"-e1": "Q100", "-e2": "2hr", "-s1": "Exg", "DEPTH": "1.5", "bcdbase: -e1": "Q100.csv"}
     assert (r["trim_tcf"], r["tp_text"]) == ("EG16_TP03_006", "TP03")

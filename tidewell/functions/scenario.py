@@ -30,21 +30,22 @@ def found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
-def _by_suffix(name: Column, what) -> Column:
-    chain = None
-    for suffix, kind in SUFFIXES:
-        hit = F.lower(name).endswith(suffix.lower())
-        chain = F.when(hit, what(suffix, kind)) if chain is None else chain.when(hit, what(suffix, kind))
-    return chain
+def _literal(text: str) -> str:
+    return "".join("\\" + c if not c.isalnum() and c != "_" else c for c in text)
+
+
+#: A file's name: what stands before the first suffix that fits, and the suffix.
+_NAME = r"(?is)^(.*?)(" + "|".join(_literal(s) for s, _ in SUFFIXES) + ")$"
 
 
 def data_type(name: Column) -> Column:
-    return _by_suffix(name, lambda suffix, kind: F.lit(kind))
+    kinds = F.create_map(*[F.lit(x) for s, k in SUFFIXES for x in (s.lower(), k)])
+    return F.try_element_at(kinds, F.lower(F.regexp_extract(name, _NAME, 2)))
 
 
 def run_code(name: Column) -> Column:
     """The file's name without its suffix, or as it is if no suffix is known."""
-    return F.coalesce(_by_suffix(name, lambda suffix, kind: F.substring(name, F.lit(1), F.length(name) - len(suffix))), name)
+    return F.regexp_replace(name, _NAME, "$1")
 
 
 def tokens(code: Column) -> Column:
@@ -53,8 +54,7 @@ def tokens(code: Column) -> Column:
 
 def token_like(text: Column, pattern: str) -> Column:
     """A group of the first token between ``_`` and ``+`` that the pattern matches from its start up to a dot or its end."""
-    whole = rf"(?i)^(?:{pattern})(?:\.|$)"
-    return found(F.get(F.filter(F.split(text, r"[_+]"), lambda t: t.rlike(whole)), 0), whole)
+    return F.get(F.regexp_extract_all(text, F.lit(rf"(?i)(?<![^_+])(?:{pattern})(?=[._+]|$)"), F.lit(1)), 0)
 
 
 def tp_text(text: Column) -> Column:
@@ -88,19 +88,18 @@ def duration_minutes(text: Column) -> Column:
 
 def aep_text(text: Column) -> Column:
     """The first token that is a number of up to two decimals and p, or PMP or PMPF."""
-    token = token_like(text, r"(\d+(?:\.\d{1,2})?p|PMPF?)")
-    return F.when(token.rlike(r"^\d"), F.lower(token)).otherwise(F.upper(token))
+    return F.regexp_replace(F.upper(token_like(text, r"(\d+(?:\.\d{1,2})?p|PMPF?)")), r"(?<=\d)P$", "p")
 
 
 def number_of(text: Column) -> Column:
     return found(text, r"(\d+(?:\.\d+)?)").try_cast("double")
 
 
-def trim_code(code: Column) -> Column:
-    """The run code without its tokens for pattern, duration and event."""
-    parts = [F.coalesce(F.lower(p), F.lit("")) for p in (tp_text(code), duration_text(code), aep_text(code))]
+def trim_code(code: Column, tp: Column | None = None, duration: Column | None = None, aep: Column | None = None) -> Column:
+    """The run code without its tokens for pattern, duration and event, which may be given where they are known."""
+    known = [tp_text(code) if tp is None else tp, duration_text(code) if duration is None else duration, aep_text(code) if aep is None else aep]
     raw = F.concat(F.lit("tp"), F.coalesce(token_like(code, r"TP(\d{1,2})"), F.lit("")))
-    drop = F.array(*parts, raw)
+    drop = F.array(*[F.coalesce(F.lower(p), F.lit("")) for p in known], raw)
     return F.array_join(F.filter(tokens(code), lambda t: ~F.array_contains(drop, F.lower(t))), "_")
 
 

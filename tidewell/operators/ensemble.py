@@ -18,7 +18,10 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def drop_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.dropna(subset=list(keys))
+    """Rows whose keys are all known; said of each key, as joins say it, so that Spark sees one and the same shuffle."""
+    for k in keys:
+        df = df.filter(F.col(k).isNotNull())
+    return df
 
 
 def largest(value: str, ties: Sequence[str]) -> Column:
@@ -62,17 +65,8 @@ def bucket(value: Column) -> Column:
     Values of either sign go by their logarithm; 0 and null have buckets of their own.
     """
     size = 100_000 + F.floor(F.log2(F.abs(value)) * PARTS)
-    return F.when(value.isNull(), F.lit(NULLS)).when(value == 0, F.lit(0)).when(value > 0, size).otherwise(-size).cast("int")
-
-
-#: Rows of a small table that is broadcast, once they are counted.
-SMALL = 200_000
-
-
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """``df``, kept and counted; it is broadcast if it has SMALL rows at most, and else left to a shuffle."""
-    df = df.persist()
-    return F.broadcast(df) if df.count() <= SMALL else df
+    place = F.when(value.isNull(), F.lit(NULLS)).when(value == 0, F.lit(0)).when(value > 0, size).otherwise(-size)
+    return F.coalesce(place.cast("int"), F.lit(NULLS))
 
 
 def ensemble_statistics(df: DataFrame, keys: Sequence[str], value: str, tp: str, name: str) -> DataFrame:
@@ -81,40 +75,54 @@ def ensemble_statistics(df: DataFrame, keys: Sequence[str], value: str, tp: str,
     The median is the element at int(n / 2), counted from 0, in ascending order with nulls first; nulls count. Of runs as
     close to the mean the one of the least value, pattern and name is taken.
 
-    Groups may be few and large: rows are counted by bucket of their value, which tells the bucket that holds the middle
-    place and that of the mean, and only rows of these two buckets are put in order. The counts are taken at once, the
-    rest when it is asked for.
+    Groups may be few and large, and many of their rows may have one value. Equal rows are counted once, in one shuffle that
+    all that follows shares. Buckets of values tell which one holds the middle place and which the mean; only these two are
+    opened, as counts by value and pattern. Names are put in order only within the value and pattern of the middle place,
+    and only if it is neither the first nor the last of them. Nothing is kept or run while the query is built.
     """
-    known = drop_null_keys(df, keys).select(*keys, F.col(value).cast("double").alias("_v"), F.col(tp).alias("_t"), F.col(name).alias("_i")).withColumn("_b", bucket(F.col("_v")))
-    parts = known.groupBy(*keys, "_b").agg(
-        F.count("*").alias("_c"), F.count("_v").alias("_k"), F.sum("_v").alias("_s"), F.count(F.when(F.col("_v") != 0, 1)).alias("_z"),
+    known = drop_null_keys(df, keys).select(*keys, F.col(value).cast("double").alias("_v"), F.col(tp).alias("_t"), F.col(name).alias("_i"))
+    rows = known.groupBy(*keys, "_v", "_t", "_i").agg(F.count("*").alias("_c")).withColumn("_b", bucket(F.col("_v")))
+    group = Window.partitionBy(*keys)
+    parts = rows.groupBy(*keys, "_b").agg(
+        F.sum("_c").alias("_n"), F.sum(F.when(F.col("_v").isNotNull(), F.col("_c"))).alias("_k"), F.sum(F.col("_v") * F.col("_c")).alias("_s"), F.sum(F.when(F.col("_v") != 0, F.col("_c"))).alias("_z"),
         F.min(F.struct("_v", "_t", "_i")).alias("_lo"), F.min(F.struct((-F.col("_v")).alias("_v"), "_t", "_i")).alias("_hi"),
     )
-    group = Window.partitionBy(*keys)
-    before = F.coalesce(F.sum("_c").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    over = {"_n": F.sum("_c").over(group), "_before": before, "_mean": F.sum("_s").over(group) / F.nullif(F.sum("_k").over(group), F.lit(0))}
-    parts = parts.withColumns(over).withColumn("_mb", bucket(F.col("_mean"))).persist()
-    place = F.floor(F.col("_n") / 2) - F.col("_before")
-    here, valued = (place >= 0) & (place < F.col("_c")), F.col("_b") != NULLS
-    groups = parts.groupBy(*keys).agg(
-        F.max("_n").alias("count_tp"), F.max("_mean").alias("mean_including_zeroes"), (F.sum("_s") / F.nullif(F.sum("_z"), F.lit(0))).alias("mean_excluding_zeroes"),
-        F.min("_lo._v").alias("low"), (-F.min("_hi._v")).alias("high"),
-        F.min(F.when(valued & (F.col("_b") < F.col("_mb")), F.col("_hi"))).alias("_under"), F.min(F.when(valued & (F.col("_b") > F.col("_mb")), F.col("_lo"))).alias("_over"), F.min(F.when(~valued, F.col("_lo"))).alias("_none"),
+    total, valued = (lambda c: F.sum(c).over(group)), F.col("_b") != NULLS
+    parts = parts.withColumns({"_mean": total("_s") / F.nullif(total("_k"), F.lit(0)), "_before": F.coalesce(F.sum("_n").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    parts = parts.withColumn("_mb", bucket(F.col("_mean")))
+    side = lambda which, c: F.min(F.when(which, F.col(c))).over(group)
+    told = F.struct(
+        total("_n").alias("count_tp"), F.col("_mean").alias("mean_including_zeroes"), (total("_s") / F.nullif(total("_z"), F.lit(0))).alias("mean_excluding_zeroes"),
+        F.min("_lo._v").over(group).alias("low"), (-F.min("_hi._v").over(group)).alias("high"),
+        side(valued & (F.col("_b") < F.col("_mb")), "_hi").alias("under"), side(valued & (F.col("_b") > F.col("_mb")), "_lo").alias("over"), side(~valued, "_lo").alias("none"),
+    )
+    place = F.floor(F.col("_told.count_tp") / 2) - F.col("_before")
+    open_ = parts.withColumn("_told", told).withColumn("_place", F.when((place >= 0) & (place < F.col("_n")), place))
+    open_ = open_.filter(F.col("_place").isNotNull() | (valued & (F.col("_b") == F.col("_mb")))).select(*keys, "_b", "_place", "_told")
+    opened = rows.join(open_, [*keys, "_b"])
+    values = opened.groupBy(*keys, "_b", "_v", "_t").agg(F.sum("_c").alias("_c"), F.min("_i").alias("_first"), F.max("_i").alias("_last"), F.first("_place").alias("_place"), F.first("_told").alias("_told"))
+    order = Window.partitionBy(*keys, "_b").orderBy(F.col("_v").asc_nulls_first(), F.col("_t").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    values = values.withColumn("_at", F.col("_place") - F.coalesce(F.sum("_c").over(order), F.lit(0)))
+    here = (F.col("_at") >= 0) & (F.col("_at") < F.col("_c"))
+    mean = F.col("_told.mean_including_zeroes")
+    distance = lambda v, t, i, mean: F.struct(F.abs(v - mean).alias("d"), v.alias("v"), t.alias("t"), i.alias("i"))
+    own = distance(F.col("_v"), F.col("_t"), F.col("_first"), mean)
+    picked = values.groupBy(*keys).agg(
+        F.max(F.when(here, F.struct("_v", "_t", "_at", "_c", "_first", "_last"))).alias("_m"), F.min(F.when(F.col("_v").isNotNull() & mean.isNotNull() & (F.col("_b") == bucket(mean)), own)).alias("_close"), F.first("_told").alias("_told"),
     )
-    wanted = parts.filter(here | (valued & (F.col("_b") == F.col("_mb")))).select(*keys, "_b", F.when(here, place).alias("_place"), F.when(valued & (F.col("_b") == F.col("_mb")), F.col("_mean")).alias("_mean"))
-    near = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(F.col("_v").asc_nulls_first(), "_t", "_i"))
-    rows = known.join(broadcast_if_small(wanted), [*keys, "_b"]).withColumn("_r", near)
-    distance = lambda s, v, mean: F.struct(F.abs(v - mean).alias("d"), v.alias("v"), s["_t"].alias("t"), s["_i"].alias("i"))
-    row = F.struct("_v", "_t", "_i")
-    picked = rows.groupBy(*keys).agg(F.max(F.when(F.col("_r") == F.col("_place") + 1, row)).alias("_median"), F.min(F.when(F.col("_mean").isNotNull(), distance(row, F.col("_v"), F.col("_mean")))).alias("_close"))
-    mean = F.col("mean_including_zeroes")
-    sides = [F.when(F.col(c).isNotNull(), distance(F.col(c), F.col(f"{c}._v") * sign, mean)) for c, sign in (("_under", -1), ("_over", 1))]
-    out = groups.join(picked, list(keys)).withColumn("_near", F.least("_close", *sides))
-    told = {"median": F.col("_median._v"), "median_tp": F.col("_median._t"), "median_name": F.col("_median._i")}
-    told |= {"mean_peak": F.col("_near.v"), "mean_tp": F.coalesce("_near.t", "_none._t"), "mean_name": F.coalesce("_near.i", "_none._i")}
-    out = out.withColumns(told)
-    names = ["median", "median_tp", "median_name", "mean_including_zeroes", "mean_excluding_zeroes", "low", "high", "count_tp", "mean_peak", "mean_tp", "mean_name"]
-    return out.select(*keys, *names, F.col("mean_name").eqNullSafe(F.col("median_name")).alias("mean_is_median"))
+    within = picked.filter((F.col("_m._at") > 0) & (F.col("_m._at") < F.col("_m._c") - 1)).select(*[F.col(k).alias(f"_k_{j}") for j, k in enumerate(keys)], F.col("_m._v").alias("_mv"), F.col("_m._t").alias("_mt"), F.col("_m._at").alias("_ma"))
+    same = [F.col(k) == F.col(f"_k_{j}") for j, k in enumerate(keys)] + [F.col("_v").eqNullSafe(F.col("_mv")), F.col("_t").eqNullSafe(F.col("_mt"))]
+    names = rows.join(within, same).withColumn("_to", F.sum("_c").over(Window.partitionBy(*keys).orderBy(F.col("_i").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)))
+    names = names.filter((F.col("_to") > F.col("_ma")) & (F.col("_to") - F.col("_c") <= F.col("_ma"))).select(*keys, F.struct("_i").alias("_within"))
+    sides = [F.when(F.col(f"_told.{c}").isNotNull(), distance(F.col(f"_told.{c}._v") * sign, F.col(f"_told.{c}._t"), F.col(f"_told.{c}._i"), mean)) for c, sign in (("under", -1), ("over", 1))]
+    out = picked.join(names, list(keys), "left").withColumn("_near", F.least("_close", *sides))
+    ends = F.when(F.col("_m._at") == 0, F.col("_m._first")).otherwise(F.col("_m._last"))
+    median_name = F.when(F.col("_within").isNotNull(), F.col("_within._i")).otherwise(ends)
+    columns = {"median": F.col("_m._v"), "median_tp": F.col("_m._t"), "median_name": median_name}
+    columns |= {c: F.col(f"_told.{c}") for c in ("mean_including_zeroes", "mean_excluding_zeroes", "low", "high", "count_tp")}
+    columns |= {"mean_peak": F.col("_near.v"), "mean_tp": F.coalesce("_near.t", "_told.none._t"), "mean_name": F.coalesce("_near.i", "_told.none._i")}
+    out = out.select(*keys, *[c.alias(n) for n, c in columns.items()])
+    return out.withColumn("mean_is_median", F.col("mean_name").eqNullSafe(F.col("median_name")))
 
 
 def median_by_group(df: DataFrame, keys: Sequence[str], duration: str, value: str, tp: str, name: str) -> DataFrame:
@@ -168,11 +176,11 @@ def statistic_of_columns(df: DataFrame, keys: Sequence[str], columns: Sequence[s
         of = lambda c, what: F.max(F.when(F.col("_column") == c, F.col(what)))
         spans = [of(c, what).alias(f"{c}_{n}") for c in columns for n, what in (("min", "low"), ("max", "high"))]
         stats = medians.groupBy(*keys).agg(F.max("count_tp").alias("count_bin"), *[of(c, "median").alias(f"{c}_median") for c in columns], *spans)
-    near = F.struct(F.col(adopt).isNull(), F.abs(F.col(adopt) - F.col("_stat")), F.col("_name"))
-    chosen = broadcast_if_small(stats.select(*keys, F.col(f"{adopt}_{statistic}").alias("_stat")))
-    rows = df.select(*keys, F.col(adopt), "_name").join(chosen, list(keys))
-    adopted = rows.groupBy(*keys).agg(F.min_by("_name", near).alias("adopted_name"), F.min_by(adopt, near).alias("adopted_value"))
-    return stats.join(adopted, list(keys))
+    near = F.struct(F.col(adopt).isNull(), F.abs(F.col(adopt) - F.col(f"_s.{adopt}_{statistic}")), F.col("_name"))
+    told = [c for c in stats.columns if c not in keys]
+    rows = df.select(*keys, adopt, "_name").join(stats.select(*keys, F.struct(*told).alias("_s")), list(keys))
+    adopted = rows.groupBy(*keys).agg(F.first("_s").alias("_s"), F.min_by("_name", near).alias("adopted_name"), F.min_by(adopt, near).alias("adopted_value"))
+    return adopted.select(*keys, *[F.col(f"_s.{c}").alias(c) for c in told], "adopted_name", "adopted_value")
 
 
 def preferred_column(columns: Sequence[str], preferred: Sequence[str]) -> str:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.operators.ensemble import ensemble_statistics
+from tidewell.operators.ensemble import drop_null_keys, ensemble_statistics
 
 
 def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -17,11 +17,22 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFra
     return left.join(named, equal).drop(*[f"_k_{k}" for k in keys])
 
 
+def _counted(df: DataFrame, keys: Sequence[str], time: str, what: Column) -> DataFrame:
+    """(keys, time, _b, _n): rows of a series counted by time and by ``what``. All that is asked of a series comes from this
+    one shuffle; each use reads ``_n``, so that all uses have the same columns and Spark runs it once."""
+    return df.filter(F.col(time).isNotNull()).groupBy(*keys, time, what.alias("_b")).agg(F.count("*").alias("_n"))
+
+
+def _steps(counted: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
+    rows = counted.filter("_n > 0")
+    least = rows.groupBy(*keys).agg(F.min(time).alias("_t0"))
+    after = join_keys(rows, least, keys).filter(F.col(time) > F.col("_t0"))
+    return after.groupBy(*keys, "_t0").agg((F.min(time) - F.col("_t0")).alias("step")).drop("_t0")
+
+
 def first_steps(df: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
     """(keys, step): the difference of the two least distinct times, kept as two values and never as a list."""
-    least = df.groupBy(*keys).agg(F.min(time).alias("_t0"))
-    after = join_keys(df, least, keys).filter(F.col(time) > F.col("_t0"))
-    return after.groupBy(*keys, "_t0").agg((F.min(time) - F.col("_t0")).alias("step")).drop("_t0")
+    return _steps(_counted(df, keys, time, F.lit(0)), keys, time)
 
 
 def exceedance_durations(df: DataFrame, keys: Sequence[str], time: str, value: str, thresholds: Sequence[float]) -> DataFrame:
@@ -31,16 +42,15 @@ def exceedance_durations(df: DataFrame, keys: Sequence[str], time: str, value: s
     thresholds. Rows without time or value count for nothing, the step included; keys may be null. A series with one
     distinct time has no step and no rows.
     """
-    df = df.dropna(subset=[time, value])
     limits = sorted(set(thresholds))
     above = F.array(*[F.lit(float(t)) for t in limits])
-    passed = F.size(F.filter(above, lambda t: F.col(value) > t))
-    counts = df.withColumn("_b", passed).filter("_b > 0").groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    counted = _counted(df.filter(F.col(time).isNotNull()).filter(F.col(value).isNotNull()), keys, time, F.size(F.filter(above, lambda t: F.col(value) > t)))
     down = Window.partitionBy(*keys).orderBy(F.desc("_b"))
+    counts = counted.groupBy(*keys, "_b").agg(F.sum("_n").alias("_n"))
     counts = counts.withColumn("_c", F.sum("_n").over(down)).withColumn("_next", F.coalesce(F.lead("_b").over(down), F.lit(0)))
-    each = counts.withColumn("_i", F.explode(F.sequence(F.col("_next") + 1, F.col("_b"))))
+    each = counts.withColumn("_i", F.explode(F.when(F.col("_next") < F.col("_b"), F.sequence(F.col("_next") + 1, F.col("_b")))))
     each = each.select(*keys, F.element_at(above, F.col("_i")).alias("threshold"), F.col("_c").alias("n_above"))
-    return join_keys(each, first_steps(df, keys, time), keys).withColumn("duration_exceeding", F.col("n_above") * F.col("step"))
+    return join_keys(each, _steps(counted, keys, time), keys).withColumn("duration_exceeding", F.col("n_above") * F.col("step"))
 
 
 def exceedance_durations_plain(df: DataFrame, keys: Sequence[str], time: str, value: str, thresholds: Sequence[float]) -> DataFrame:
@@ -55,11 +65,15 @@ def exceedance_durations_plain(df: DataFrame, keys: Sequence[str], time: str, va
 
 def zero_filled(exceeding: DataFrame, keys: Sequence[str], member: Sequence[str], value: str) -> DataFrame:
     """Adds a zero for each threshold that a member of a group doesn't exceed, if the group exceeds it and the member
-    any: the members and the thresholds that exist are paired within the group."""
-    members = exceeding.select(*keys, *member).distinct()
-    limits = exceeding.select(*keys, "threshold").distinct()
-    filled = members.join(limits, list(keys)).join(exceeding.select(*keys, *member, "threshold", value), [*keys, *member, "threshold"], "left")
-    return filled.withColumn(value, F.coalesce(value, F.lit(0.0)))
+    any: the members and the thresholds that exist are paired within the group.
+
+    A member's thresholds, few as they are, go into one row; keys and members that are null have no rows.
+    """
+    own = drop_null_keys(exceeding, [*keys, *member]).groupBy(*keys, *member).agg(F.collect_list(F.struct(F.col("threshold").alias("t"), F.col(value).alias("v"))).alias("_own"))
+    limits = own.select(*keys, F.explode("_own").alias("_e")).groupBy(*keys).agg(F.collect_set(F.col("_e.t")).alias("_limits"))
+    each = own.join(limits, list(keys)).select(*keys, *member, "_own", F.explode("_limits").alias("threshold"))
+    held = F.filter("_own", lambda e: e["t"] == F.col("threshold"))
+    return each.select(*keys, *member, "threshold", F.coalesce(F.get(held, F.lit(0))["v"], F.lit(0.0)).alias(value))
 
 
 def closure_summary(exceeding: DataFrame, keys: Sequence[str], duration: str, tp: str, value: str, zero_fill: bool) -> DataFrame:

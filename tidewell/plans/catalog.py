@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import hydro, scenario
 from tidewell.operators import combine, ensemble, quality, reshape, series as ts
 from tidewell.plans.bindings import SERIES, STORM, series, storm, table
+from tidewell.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -537,9 +538,8 @@ def _names(spark, d):
 @query("scenario_parse", f"""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'POMM' WHEN 1 THEN 'Cmx' ELSE 'PO' END AS data_type, 'TP' || lpad(CAST(event_id % 12 AS VARCHAR), 2, '0') AS tp, (event_id % 4 * 60 + 120) || 'm' AS duration, (event_id % 5 + 1) || '.0p' AS aep,
  regexp_replace({NAME}, '(_POMM|_1d_cmx|_PO)\\.csv$', '') AS run_code, 'R0' || (event_id % 3) || '_Exg' AS trim_code, CAST(event_id % 5 + 1 AS DOUBLE) AS aep_number FROM events""")
 def scenario_parse(spark, d):
-    n = _names(spark, d).withColumn("run_code", scenario.run_code(F.col("name")))
-    code = F.col("run_code")
-    return n.select("event_id", scenario.data_type(F.col("name")).alias("data_type"), scenario.tp_text(code).alias("tp"), scenario.duration_text(code).alias("duration"), scenario.aep_text(code).alias("aep"), "run_code", scenario.trim_code(code).alias("trim_code"), scenario.number_of(scenario.aep_text(code)).alias("aep_number"))
+    n = files.with_scenario(_names(spark, d))
+    return n.select("event_id", "data_type", F.col("tp_text").alias("tp"), F.col("duration_text").alias("duration"), F.col("aep_text").alias("aep"), "run_code", F.col("trim_run_code").alias("trim_code"), F.col("aep_numeric").alias("aep_number"))
 
 
 @query("run_tokens", f"SELECT event_id, i::INTEGER AS place, t AS token FROM (SELECT event_id, unnest(string_split(translate({NAME}, '+', '_'), '_')) AS t, generate_subscripts(string_split(translate({NAME}, '+', '_'), '_'), 1) AS i FROM events)")

@@ -280,13 +280,15 @@ def sentinel_points(spark, d):
     return survey.without_sentinel(lines, -9999.0).select(*ids)
 
 
-@query("command_list", "SELECT DISTINCT 'Q' || (c_custkey % 5) AS e1, CASE WHEN c_custkey % 3 > 0 THEN 'Exg' || (c_custkey % 3) END AS s FROM customer WHERE c_custkey % 11 > 0")
+@query("command_list", """SELECT DISTINCT 'Q' || (c_custkey % 5) AS e1, CASE WHEN c_custkey % 3 > 0 THEN 'Exg' || (c_custkey % 3) END AS s1 FROM customer WHERE c_custkey % 11 > 1
+ UNION SELECT 'kept', NULL FROM customer WHERE c_custkey % 11 = 1""")
 def command_list(spark, d):
     k = F.col("c_custkey")
-    scene = F.when(k % 3 > 0, F.concat(F.lit(" -s Exg"), text(k % 3))).otherwise("")
-    line = F.when(k % 11 == 0, F.concat(F.lit(":: -e1 never"), text(k))).otherwise(F.concat(F.lit("solver -b -e1 Q"), text(k % 5), scene, F.lit(" # -e2 none")))
-    lines = table(spark, d, "customer").select(F.lit("/r/list.bat").alias("path"), k.cast("int").alias("line"), line.alias("text"))
-    return survey.run_list(lines).select(F.col("combo")["e1"].alias("e1"), F.col("combo")["s"].alias("s"))
+    scene = F.when(k % 3 > 0, F.concat(F.lit(" -s1 Exg"), text(k % 3))).otherwise(" -s Exg")
+    line = F.when(k % 11 == 0, F.concat(F.when(k % 2 == 0, "::").otherwise(" @REM"), F.lit(" solver -e1 never"), text(k))).when(k % 11 == 1, "! solver -e1 kept")
+    line = line.otherwise(F.concat(F.lit("solver -b -e1 Q"), text(k % 5), scene, F.lit(" -pu0 # -e2 none")))
+    lines = table(spark, d, "customer").select(F.concat(F.lit("/r/list"), text(k % 64), F.lit(".bat")).alias("path"), k.cast("int").alias("line"), line.alias("text"))
+    return survey.run_list(lines).select(F.col("combo")["e1"].alias("e1"), F.col("combo")["s1"].alias("s1"))
 
 
 @query("culvert_pairs", "SELECT 'K' || s_suppkey AS name, s_acctbal AS us_x, CAST(s_suppkey AS DOUBLE) AS ds_x, CASE WHEN s_suppkey % 2 = 0 THEN 1.5 ELSE 2.5 END AS diameter, (s_suppkey % 4)::INTEGER AS pipes FROM supplier WHERE s_suppkey % 5 > 0")

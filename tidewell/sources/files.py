@@ -43,14 +43,14 @@ def collect_files(spark: SparkSession, roots: Sequence[str], data_types: Sequenc
 
 def with_scenario(files: DataFrame, name: str = "name") -> DataFrame:
     """Adds data type, run code, its tokens and the scenario that a file's name tells."""
-    out = files.withColumn("data_type", scenario.data_type(F.col(name))).withColumn("run_code", scenario.run_code(F.col(name)))
+    out = files.withColumns({"data_type": scenario.data_type(F.col(name)), "run_code": scenario.run_code(F.col(name))})
     code = F.col("run_code")
-    return out.withColumns(
-        {
-            "trim_run_code": scenario.trim_code(code), "run_tokens": scenario.tokens(code), "tp_text": scenario.tp_text(code), "duration_text": scenario.duration_text(code), "aep_text": scenario.aep_text(code),
-            "tp_numeric": scenario.number_of(scenario.tp_text(code)).cast("int"), "duration_numeric": scenario.duration_minutes(scenario.duration_text(code)), "aep_numeric": scenario.number_of(scenario.aep_text(code)),
-        }
-    )
+    out = out.withColumns({"tp_text": scenario.tp_text(code), "duration_text": scenario.duration_text(code), "aep_text": scenario.aep_text(code)})
+    tp, duration, aep = (F.col(c) for c in ("tp_text", "duration_text", "aep_text"))
+    numbers = {"tp_numeric": scenario.number_of(tp).cast("int"), "duration_numeric": scenario.duration_minutes(duration), "aep_numeric": scenario.number_of(aep)}
+    out = out.withColumns({"trim_run_code": scenario.trim_code(code, tp, duration, aep), "run_tokens": scenario.tokens(code)} | numbers)
+    names = ["data_type", "run_code", "trim_run_code", "run_tokens", "tp_text", "duration_text", "aep_text", *numbers]
+    return out.select(*[F.col(f"`{c}`") for c in files.columns if c not in names], *names)
 
 
 def summary(files: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from tidewell.functions.scenario import found, signed_coordinate
 from tidewell.operators import reshape
 from tidewell.sources import readers
 
-NUMBER = r"[-+]?\d*\.\d+|\d+"
+#: A number in running text: digits, a point among or before them, and a sign.
+NUMBER = r"[-+]?(?:\d+(?:\.\d*)?|\.\d+)"
 
 
 def summary_names(lines: DataFrame) -> DataFrame:
@@ -80,34 +81,71 @@ LABELS = {
 }
 
 
-def column_names(heads: Sequence[str], sample: str) -> list[str]:
-    """Names of the columns of one table from the lines above it: each column takes what overlaps with its first value.
+def column_names(heads: Column, sample: Column) -> Column:
+    """Names of a table's columns from the lines above it (an array) and its first row.
 
-    A single letter in the last line names a sub-area. Only a table's few heading lines are looked at here.
+    The ink profile of the headings tells which places any of them uses. A column is a word of the first row, widened over
+    the ink that touches it, but not beyond its neighbours; its name is what the headings have there. A single letter in the
+    last heading names a sub-area.
     """
-    import re
-
-    width = max(len(sample), *(len(h) for h in heads))
-    grid = [h.ljust(width) for h in heads]
-    inked = [any(h[i] != " " for h in grid) for i in range(width)]
-    values = [m.span() for m in re.finditer(r"\S+", sample)]
-    names, taken = [], 0
-    for k, (start, end) in enumerate(values):
-        limit = values[k + 1][0] if k + 1 < len(values) else width
-        while start > taken and inked[start - 1]:
-            start -= 1
-        while end < limit and inked[end]:
-            end += 1
-        taken = end
-        words = [h[start:end].strip() for h in grid]
-        if len(words[-1]) == 1 and words[-1].isalpha():
-            names.append(f"Sub-area {words[-1]}")
-            continue
-        label = " ".join(w for w in words if w)
+    width = F.greatest(F.length(sample), F.coalesce(F.array_max(F.transform(heads, lambda h: F.length(h))), F.lit(0)))
+    at = lambda text, i: F.coalesce(F.nullif(F.substring(text, i, F.lit(1)), F.lit("")), F.lit(" "))
+    places = F.sequence(F.lit(1), width)
+    ink = F.array_join(F.transform(places, lambda i: F.when(F.exists(heads, lambda h: at(h, i) != " "), "#").otherwise(" ")), "")
+    begins = F.filter(places, lambda i: (at(sample, i) != " ") & ((i == 1) | (at(sample, i - 1) == " ")))
+    ends = F.filter(places, lambda i: (at(sample, i) != " ") & (at(sample, i + 1) == " "))
+    words = F.arrays_zip(begins.alias("a"), ends.alias("z"))
+    ink_from = lambda i: F.length(F.regexp_extract(F.substring(ink, i, width), "^(#*)", 1))
+    ink_up_to = lambda i: F.length(F.regexp_extract(F.substring(ink, F.lit(1), i), "(#*)$", 1))
+    after = lambda k: F.coalesce(F.get(begins, k + 1), width + 1)
+    last = lambda k: F.least(F.get(ends, k) + ink_from(F.get(ends, k) + 1), after(k) - 1)
+
+    def name(word: Column, k: Column) -> Column:
+        first = F.greatest(word["a"] - ink_up_to(word["a"] - 1), F.coalesce(F.when(k > 0, last(k - 1)), F.lit(0)) + 1)
+        parts = F.transform(heads, lambda h: F.trim(F.substring(h, first, last(k) - first + 1)))
+        label = F.array_join(F.filter(parts, lambda p: p != ""), " ")
         for old, new in LABELS.items():
-            label = label.replace(old, new)
-        names.append(" ".join(label.split()) or f"Column {k + 1}")
-    return names
+            label = F.replace(label, F.lit(old), F.lit(new))
+        label = F.nullif(F.trim(F.regexp_replace(label, r"\s+", " ")), F.lit(""))
+        letter = F.element_at(parts, -1)
+        return F.when(letter.rlike(r"^\p{L}$"), F.concat(F.lit("Sub-area "), letter)).otherwise(F.coalesce(label, F.concat(F.lit("Column "), (k + 1).cast("string"))))
+
+    return F.transform(words, name)
+
+
+def _rainfall_files(lines: DataFrame, start: int, end: int, heads: int) -> DataFrame:
+    """(path, step, heads, rows) of each file, in one pass: its time step, the last headings above the table, the table."""
+    blank = F.trim("text") == ""
+    above, inside = ~blank & (F.col("line") < start - 1), ~blank & F.col("line").between(start - 1, end - 1)
+    nearest = F.row_number().over(Window.partitionBy("path").orderBy(F.when(above, F.col("line")).desc_nulls_last()))
+    label = "Time increment (hours)"
+    step = F.regexp_replace(F.substring_index("text", label, -1), r"^\s*=\s*", "").alias("step")
+    step = readers.number(F.split(step, r"\s")[0])
+    lines = lines.withColumn("_near", nearest)
+    row = F.struct("line", "text")
+    texts = lambda chosen: F.sort_array(F.collect_list(F.when(chosen, row)))
+    own = lines.groupBy("path").agg(F.min_by(step, F.when(F.contains("text", F.lit(label)), F.col("line"))).alias("step"), texts(above & (F.col("_near") <= heads)).alias("_heads"), texts(inside).alias("rows"))
+    return own.withColumn("heads", F.col("_heads.text")).drop("_heads")
+
+
+def rainfall(lines: DataFrame, start: int, end: int, heads: int = 3) -> DataFrame:
+    """(path, increment, time, name, value) of the rainfall tables in lines ``start`` to ``end``, counted from 1.
+
+    Each file tells its own time step, and its headings name the columns. Files without a step, a heading or rows are left
+    out; ``rainfall_failures`` names them.
+    """
+    files = _rainfall_files(lines, start, end, heads).filter(F.col("step").isNotNull() & (F.size("heads") > 0) & (F.size("rows") > 0))
+    named = files.select("path", "step", column_names(F.col("heads"), F.col("rows")[0]["text"]).alias("names"), F.explode("rows").alias("r"))
+    values = F.transform(F.split(F.trim(F.col("r.text")), r"\s+"), lambda v: F.coalesce(readers.number(v), F.lit(0.0)))
+    own = named.select("path", "step", F.col("r.line").alias("row"), "names", values.alias("values"))
+    each = own.select("path", "step", "row", F.col("values")[0].alias("increment"), "names", F.posexplode("values").alias("col", "value")).filter((F.col("col") > 0) & (F.col("col") < F.size("names")))
+    return _hyetograph(each.withColumn("name", F.get("names", "col")))
+
+
+def rainfall_failures(lines: DataFrame, start: int, end: int, heads: int = 3) -> DataFrame:
+    """(path, reason) of the files that ``rainfall`` leaves out."""
+    reason = F.when(F.col("step").isNull(), "no time increment").when(F.size("rows") == 0, "no rows of a table").when(F.size("heads") == 0, "no headings")
+    return _rainfall_files(lines, start, end, heads).select("path", reason.alias("reason")).filter("reason is not null")
 
 
 def rainfall_cells(lines: DataFrame, start: int, end: int) -> DataFrame:
@@ -124,14 +162,20 @@ def rainfall_table(cells: DataFrame, names: Sequence[str], step: float) -> DataF
     """
     counts = cells.filter("col = 0").select("path", "row", F.col("value").alias("increment"))
     known = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("col") + 1)
-    long = cells.filter((F.col("col") > 0) & (F.col("col") < len(names))).join(counts, ["path", "row"]).select("path", "row", "increment", known.alias("name"), "value")
-    line = Window.partitionBy("path", "name").orderBy("row")
-    place, moves = F.row_number().over(line), F.col("name").startswith("Sub-area ")
-    long = long.withColumns({"_r": place, "_before": F.lag("value").over(line), "_n": F.count("*").over(Window.partitionBy("path", "name"))})
+    long = cells.filter((F.col("col") > 0) & (F.col("col") < len(names))).join(counts, ["path", "row"])
+    return _hyetograph(long.select("path", "row", "increment", known.alias("name"), "value", F.lit(float(step)).alias("step")))
+
+
+def _hyetograph(long: DataFrame) -> DataFrame:
+    """Moves the first increment's rain and adds the last increment, of rows (path, row, increment, name, value, step)."""
+    line, whole = Window.partitionBy("path", "name").orderBy("row"), Window.partitionBy("path", "name")
+    moves = F.col("name").startswith("Sub-area ")
+    long = long.withColumns({"_r": F.row_number().over(line), "_before": F.lag("value").over(line), "_n": F.count("*").over(whole)})
     moved = F.when(moves & (F.col("_n") > 1) & (F.col("_r") == 1), F.least(F.col("value"), F.lit(0.0))).when(moves & (F.col("_r") == 2) & (F.col("_before") > 0), F.col("value") + F.col("_before")).otherwise(F.col("value"))
-    out = long.select("path", "increment", "name", moved.alias("value"))
-    end = long.groupBy("path", "name").agg((F.max_by("increment", "row") + 1).alias("increment")).select("path", "increment", "name", F.lit(0.0).alias("value"))
-    return out.unionByName(end).withColumn("time", F.col("increment") * step).select("path", "increment", "time", "name", "value")
+    own = F.struct(F.col("increment").alias("increment"), moved.alias("value"))
+    added = F.struct((F.col("increment") + 1).alias("increment"), F.lit(0.0).alias("value"))
+    each = long.select("path", "name", "step", F.explode(F.when(F.col("_r") == F.col("_n"), F.array(own, added)).otherwise(F.array(own))).alias("x"))
+    return each.select("path", "x.increment", (F.col("x.increment") * F.col("step")).alias("time"), "name", "x.value")
 
 
 def padded_table(lines: DataFrame, start: int, end: int, step: float) -> DataFrame:

@@ -10,26 +10,45 @@ from tidewell.sources.files import file_name, with_scenario
 
 #: Lines at a log's end that tell how the run ended; a head that is known whole is read no further than HEAD lines.
 TAIL, HEAD, KNOWN = 100, 4000, 4
-#: Labels of the head; the last line that begins with one counts. After a path the last part is taken.
-HEAD_LABELS = {
-    "version": r"^Build:\s*(.*?)\s*$", "username": r"^Simulations Log Folder == .*\\([^\\]+?)\s*$", "computer": r"^Computer Name:\s*(.*?)\s*$",
-    "gpu_ids": r"GPU Device IDs\s*==\s*([\d,\s]*\d)", "bc_dbase": r"BC Database == .*\\([^\\]+?)\s*$", "tgc": r"Geometry Control File == .*\\([^\\]+?)\s*$",
-    "tbc": r"BC Control File == .*\\([^\\]+?)\s*$", "ecf": r"ESTRY Control File == .*\\([^\\.]+)", "tef": r"(?:BC Event File == .*\\([^\\.]+)|Trying to open \(I\) file .*\\[^\\]+\.tef\.\.\.OK\.)",
-    "results_path": r"Output Files to be Pre-fixed by:\s*(.*?)\s*$",
-}
-#: Labels of the tail.
-TAIL_LABELS = {
-    "tcf_path": r"^Input File:\s*(.+\.tcf)", "log_path": r"^Log File:\s*(.+?)\s*$", "model_end": r"End Time \(h\):\s*(\d+\.?\d*)", "model_start": r"Start Time \(h\):\s*(\d+\.?\d*)",
-    "mass_error": r"Final Cumulative ME:\s*(-?[\d.]+)%", "end_status": r"^\s*(.*Simulation FINISHED.*?)\s*$",
-}
-CLOCK, PROCESSOR = r"Clock Time:.*\[([-+]?\d*\.\d+|\d+)\s*h\]", r"Processor Time:.*\[([-+]?\d*\.\d+|\d+)\s*h\]"
+#: Field, label, whether lines begin with it, and how the value is taken; the last line that gives one counts.
+HEAD_LABELS = [
+    ("version", "Build:", True, "text"), ("username", "Simulations Log Folder == ", True, "leaf"), ("computer", "Computer Name:", True, "text"),
+    ("gpu_ids", "GPU Device IDs", False, "ids"), ("bc_dbase", "BC Database == ", False, "leaf"), ("tgc", "Geometry Control File == ", False, "leaf"),
+    ("tbc", "BC Control File == ", False, "leaf"), ("ecf", "ESTRY Control File == ", False, "stem"), ("tef", "BC Event File == ", False, "stem"),
+    ("tef", "Trying to open (I) file ", False, "opened"), ("results_path", "Output Files to be Pre-fixed by:", False, "text"),
+]
+#: The same of the tail.
+TAIL_LABELS = [
+    ("tcf_path", "Input File:", True, "text"), ("log_path", "Log File:", True, "text"), ("model_end", "End Time (h):", False, "number"), ("model_start", "Start Time (h):", False, "number"),
+    ("mass_error", "Final Cumulative ME:", False, "percent"), ("end_status", "Simulation FINISHED", False, "line"),
+]
+#: Labels of run times, and the sections of the tail that give one each.
+CLOCKS, SECTIONS = {"runtime": "Clock Time:", "cpu": "Processor Time:"}, {"init": "Initialisation Times", "final": "Final Times"}
 _NUMBERS = ("model_end", "model_start", "mass_error")
 _OLD_SOLVER = "! GPU Solver from 2016-03 Release or earlier invoked."
 
 
-def last_match(pattern: str, within: Column, text: str = "text") -> Column:
-    hit = F.col(text).rlike(pattern) & within
-    return F.max_by(found(F.col(text), pattern), F.when(hit, F.col("line")))
+def told(line: Column, label: str, begins: bool, kind: str) -> Column:
+    """What a line tells after its label, null where it doesn't: all of it, the last part of a path or that up to a dot, the
+    file that was opened, a number, one before a per cent sign or the hours in brackets, or the line itself."""
+    at = F.instr(line, label)
+    rest = F.trim(F.substring(line, at + len(label), F.length(line)))
+    leaf = F.when(F.contains(rest, F.lit("\\")), F.trim(F.substring_index(rest, "\\", -1)))
+    opened = F.substring_index(leaf, "...OK.", 1)
+    value = {
+        "text": rest, "leaf": leaf, "stem": F.substring_index(leaf, ".", 1), "opened": F.when(F.endswith(opened, F.lit(".tef")) & (opened != leaf), opened), "ids": F.nullif(F.trim(F.translate(rest, "=", " ")), F.lit("")),
+        "number": F.substring_index(rest, " ", 1).try_cast("double").cast("string"), "percent": F.when(F.contains(rest, F.lit("%")), F.substring_index(rest, "%", 1).try_cast("double").cast("string")),
+        "hours": F.trim(F.substring_index(F.substring_index(rest, "[", -1), "h]", 1)).try_cast("double").cast("string"), "line": F.trim(line),
+    }[kind]
+    return F.when(at == 1 if begins else at > 0, value)
+
+
+def last_told(rules: list[tuple[str, str, bool, str]], within: Column) -> dict[str, Column]:
+    """Aggregates: for each field the value of the last line within that tells it."""
+    fields = {}
+    for field, *rule in rules:
+        fields.setdefault(field, []).append(told(F.col("text"), *rule))
+    return {k: F.max_by(F.coalesce(*v), F.when(within & F.coalesce(*v).isNotNull(), F.col("line"))) for k, v in fields.items()}
 
 
 def _marked(lines: DataFrame) -> DataFrame:
@@ -41,15 +60,16 @@ def _marked(lines: DataFrame) -> DataFrame:
     started = F.try_to_timestamp(found(text, r"^Simulation Started\s*:\s*(.+?)\.?\s*$"), F.lit("yyyy-MMM-dd HH:mm"))
     out = lines.withColumns({"_block": F.last(opens, ignorenulls=True).over(before), "_started": started, "_n": F.max("line").over(Window.partitionBy("path"))})
     ends = (F.trim(text) == "") & F.col("_block").isin("event", "scenario")
-    told = text.rlike(r"^Computer Name:") | F.col("_started").isNotNull() | ends | text.rlike(r"No Specified (Scenarios|Events)\.")
-    out = out.withColumn("_told", F.coalesce(told, F.lit(False)).cast("int")).withColumn("_known", F.sum("_told").over(upto))
+    said = text.rlike(r"^Computer Name:") | F.col("_started").isNotNull() | ends | text.rlike(r"No Specified (Scenarios|Events)\.")
+    out = out.withColumn("_told", F.coalesce(said, F.lit(False)).cast("int")).withColumn("_known", F.sum("_told").over(upto))
     enough = F.when((F.col("_known") == KNOWN) & (F.col("line") >= HEAD), F.col("line"))
     out = out.withColumns({"_tail": F.col("line") > F.col("_n") - TAIL, "_head": F.col("line") <= F.coalesce(F.min(enough).over(Window.partitionBy("path")), F.col("_n"))})
     done = F.when(F.col("_tail") & F.contains(text, F.lit("Simulation FINISHED")), F.col("line"))
     out = out.withColumn("_done", F.min(done).over(Window.partitionBy("path")))
-    final = F.when(F.col("_tail") & text.rlike(TAIL_LABELS["mass_error"]) & (F.col("line") > F.col("_done")), F.col("line"))
+    error = told(text, "Final Cumulative ME:", False, "percent")
+    final = F.when(F.col("_tail") & error.isNotNull() & (F.col("line") > F.col("_done")), F.col("line"))
     out = out.withColumn("_final", F.min(final).over(Window.partitionBy("path")))
-    section = F.when(F.contains(text, F.lit("Initialisation Times")), "init").when(F.contains(text, F.lit("Final Times")), "final")
+    section = F.coalesce(*[F.when(F.contains(text, F.lit(label)), k) for k, label in SECTIONS.items()])
     out = out.withColumn("_section", F.last(F.when(F.col("_tail"), section), ignorenulls=True).over(upto))
     return out.withColumn("_tail", F.col("_tail") & (F.col("line") <= F.coalesce("_final", "_n")))
 
@@ -77,12 +97,10 @@ def run_summary(lines: DataFrame) -> DataFrame:
     complete with 2, or with 1 and a final run time. The head must have told computer, start, events and scenarios.
     """
     marked = _marked(lines)
-    head = [last_match(p, F.col("_head")).alias(k) for k, p in HEAD_LABELS.items()]
-    tail = [(last_match(p, F.col("_tail")).try_cast("double") if k in _NUMBERS else last_match(p, F.col("_tail"))).alias(k) for k, p in TAIL_LABELS.items()]
-    times = [
-        last_match(p, F.col("_tail") & (F.col("_section") == s)).try_cast("double").alias(f"{s}_{k}")
-        for s in ("init", "final") for k, p in (("runtime", CLOCK), ("cpu", PROCESSOR))
-    ]
+    head = [c.alias(k) for k, c in last_told(HEAD_LABELS, F.col("_head")).items()]
+    tail = [(c.cast("double") if k in _NUMBERS else c).alias(k) for k, c in last_told(TAIL_LABELS, F.col("_tail")).items()]
+    clocks = [(f"{s}_{k}", label, s) for s in SECTIONS for k, label in CLOCKS.items()]
+    times = [last_told([(k, label, False, "hours")], F.col("_tail") & (F.col("_section") == s))[k].cast("double").alias(k) for k, label, s in clocks]
     note = F.max(F.when(F.col("_head") & F.contains("text", F.lit(_OLD_SOLVER)), F.lit(_OLD_SOLVER))).alias("version_note")
     known = F.max(F.when(F.col("_head"), F.col("_known"))).alias("_known")
     start = F.max_by("_started", F.when(F.col("_head") & F.col("_started").isNotNull(), F.col("line"))).alias("start")

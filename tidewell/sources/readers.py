@@ -25,14 +25,29 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], glob: str | None
     return raw.select("path", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line", "text"))
 
 
+def split_cells(text: Column, separator: str = ",") -> Column:
+    """The trimmed cells of a line; quoted cells may hold the separator, and lose their quotes."""
+    quoted = F.split(text, separator + r'(?=(?:[^"]*"[^"]*")*[^"]*$)')
+
+    def bare(cell: Column) -> Column:
+        own = F.trim(cell)
+        return F.when(own.rlike(r'(?s)^".*"$') & (F.length(own) > 1), F.replace(F.substring(own, F.lit(2), F.length(own) - 2), F.lit('""'), F.lit('"'))).otherwise(own)
+
+    return F.when(F.contains(text, F.lit('"')), F.transform(quoted, bare)).otherwise(F.transform(F.split(text, separator), lambda x: F.trim(x)))
+
+
 def cells(lines: DataFrame, separator: str = ",") -> DataFrame:
-    """(path, row, col, value) of delimited lines; blank lines are left out, and quoted cells may hold the separator."""
-    rows = lines.filter(F.trim("text") != "")
-    quoted = F.split("text", separator + r'(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    split = F.when(F.contains("text", F.lit('"')), quoted).otherwise(F.split("text", separator))
-    own = F.trim("value")
-    bare = F.when(own.rlike(r'(?s)^".*"$') & (F.length(own) > 1), F.replace(F.expr("substring(trim(value), 2, length(trim(value)) - 2)"), F.lit('""'), F.lit('"')))
-    return rows.select("path", F.col("line").alias("row"), F.posexplode(split).alias("col", "value")).withColumn("value", F.coalesce(bare, own))
+    """(path, row, col, value) of delimited lines; blank lines are left out."""
+    return lines.filter(F.trim("text") != "").select("path", F.col("line").alias("row"), F.posexplode(split_cells(F.col("text"), separator)).alias("col", "value"))
+
+
+def headed(lines: DataFrame, heads: int = 1, least: int = 1, separator: str = ",") -> DataFrame:
+    """(path, row, place, cells, head_1, ...) of the lines that have ``least`` cells: the first ``heads`` of a file go along
+    with each of its lines, so that a table is read in one pass over the files and one shuffle by path."""
+    own = lines.filter(F.trim("text") != "").select("path", F.col("line").alias("row"), split_cells(F.col("text"), separator).alias("cells")).filter(F.size("cells") >= least)
+    line = Window.partitionBy("path").orderBy("row")
+    so_far = line.rowsBetween(Window.unboundedPreceding, 0)
+    return own.withColumns({"place": F.row_number().over(line)} | {f"head_{k}": F.nth_value("cells", k).over(so_far) for k in range(1, heads + 1)})
 
 
 def number(text: Column) -> Column:
@@ -42,15 +57,12 @@ def number(text: Column) -> Column:
 
 def time_series(lines: DataFrame, kind: str, clean: str | None = None) -> DataFrame:
     """(path, time, entity, value) of a wide table: first column dropped, second is time, headers ``kind id [unit]``."""
-    c = cells(lines).filter("col > 0")
-    first = c.groupBy("path").agg(F.min("row").alias("_h"))
-    c = c.join(first, "path")
     prefix = clean if clean is not None else f"{kind} "
-    label = F.trim(F.regexp_replace(F.regexp_replace("value", r"\s*\[[^\]]*\]\s*$", ""), "^" + "".join("\\" + x if not x.isalnum() else x for x in prefix), ""))
-    head = c.filter("row = _h and col > 1").select("path", "col", label.alias("entity"))
-    time = c.filter("row > _h and col = 1").select("path", "row", number(F.col("value")).alias("time"))
-    body = c.filter("row > _h and col > 1").select("path", "row", "col", "value")
-    return body.join(head, ["path", "col"]).join(time, ["path", "row"]).filter("time is not null and value <> ''").select("path", "time", "entity", "value")
+    start = "^" + "".join("\\" + x if not x.isalnum() else x for x in prefix)
+    label = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"\s*\[[^\]]*\]\s*$", ""), start, ""))
+    body = headed(lines, least=2).filter("place > 1").withColumn("time", number(F.get("cells", F.lit(1)))).filter("time is not null")
+    each = body.select("path", "time", "head_1", F.posexplode("cells").alias("col", "value")).filter((F.col("col") > 1) & (F.col("col") < F.size("head_1")) & (F.col("value") != ""))
+    return each.select("path", "time", label(F.get("head_1", "col")).alias("entity"), "value")
 
 
 def levels(lines: DataFrame) -> DataFrame:
@@ -60,20 +72,19 @@ def levels(lines: DataFrame) -> DataFrame:
     return out.dropna(how="all", subset=["us_h", "ds_h"])
 
 
+def place_of(labels: Column, wanted: str) -> Column:
+    """The place, from 0, of the first label that is ``wanted`` in any case, after the first column; else null."""
+    return F.nullif(F.array_position(F.transform(labels, lambda x, i: (i > 0) & (F.lower(x) == wanted)), F.lit(True)), F.lit(0)) - 1
+
+
 def point_output(lines: DataFrame) -> DataFrame:
     """(path, time, location, type, value, abs_value) of a table with a row of types above one of locations."""
-    c = cells(lines).filter("col > 0")
-    rows = c.groupBy("path").agg(F.array_sort(F.collect_set("row")).alias("_r"))
-    rows = rows.select("path", F.col("_r")[0].alias("_t"), F.try_element_at("_r", F.lit(2)).alias("_l")).filter("_l is not null")
-    c = c.join(rows, "path")
-    heads = c.filter("row = _t").select("path", "col", F.col("value").alias("type")).join(c.filter("row = _l").select("path", "col", F.col("value").alias("location")), ["path", "col"])
-    is_time = F.when(F.lower("location") == "time", 0).when(F.lower("type") == "time", 1)
-    at = heads.withColumn("_o", is_time).filter("_o is not null").groupBy("path").agg(F.min(F.struct("_o", "col")).alias("b")).select("path", F.col("b.col").alias("_c"))
-    body = c.filter("row > _l").join(at, "path")
-    time = body.filter("col = _c").select("path", "row", number(F.col("value")).alias("time"))
-    values = body.filter("col <> _c").select("path", "row", "col", number(F.col("value")).alias("value")).filter("value is not null")
-    out = values.join(heads, ["path", "col"]).join(time, ["path", "row"]).filter("time is not null")
-    return out.select("path", "time", "location", "type", "value", F.abs("value").alias("abs_value"))
+    body = headed(lines, heads=2, least=2).filter("place > 2")
+    at = F.coalesce(place_of(F.col("head_2"), "time"), place_of(F.col("head_1"), "time")).cast("int")
+    body = body.withColumn("_at", at).withColumn("time", number(F.get("cells", "_at"))).filter("time is not null")
+    each = body.select("path", "time", "head_1", "head_2", "_at", F.posexplode("cells").alias("col", "text"))
+    each = each.filter((F.col("col") > 0) & (F.col("col") != F.col("_at")) & (F.col("col") < F.least(F.size("head_1"), F.size("head_2")))).withColumn("value", number(F.col("text"))).filter("value is not null")
+    return each.select("path", "time", F.get("head_2", "col").alias("location"), F.get("head_1", "col").alias("type"), "value", F.abs("value").alias("abs_value"))
 
 
 #: Labels of the transposed summary, in order.
@@ -85,13 +96,11 @@ SUMMARY = {
 
 def peak_summary(lines: DataFrame) -> DataFrame:
     """A row for each series of a transposed summary: a label in each row, a series in each column."""
-    c = cells(lines).filter("col > 0")
-    order = Window.partitionBy("path").orderBy("row")
-    labels = c.filter("col = 1").withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= len(SUMMARY))
-    names = F.array(*[F.lit(v) for v in SUMMARY.values()])
-    labels = labels.select("path", "row", F.element_at(names, F.col("_k")).alias("label"))
-    wide = reshape.transpose(c.filter("col > 1").join(labels, ["path", "row"]), ["path"], "col", "label", "value", list(SUMMARY.values()))
-    out = wide.select("path", "type", "location", *[number(F.col(x)).alias(x) for x in ("max", "tmax", "min", "tmin")])
+    rows = headed(lines, heads=0, least=2).filter(F.col("place") <= len(SUMMARY))
+    own = rows.groupBy("path").agg(*[F.max(F.when(F.col("place") == k, F.slice("cells", 3, F.size("cells")))).alias(x) for k, x in enumerate(SUMMARY.values(), 1)])
+    filled = [F.coalesce(F.col(x), F.array().cast("array<string>")).alias(x) for x in SUMMARY.values()]
+    each = own.select("path", *filled).select("path", F.explode(F.arrays_zip(*SUMMARY.values())).alias("s"))
+    out = each.select("path", "s.type", "s.location", *[number(F.col(f"s.{x}")).alias(x) for x in ("max", "tmax", "min", "tmin")])
     size, signed = reshape.signed_peak(F.col("max"), F.col("min"))
     return out.withColumns({"abs_max": size, "signed_abs_max": signed})
 
@@ -103,19 +112,14 @@ def maximums(lines: DataFrame, columns: dict[str, str], text: Sequence[str] = ()
     A file that lacks a column fails and gives no rows, but for ``optional`` ones, which are null there; what else it
     has is left out.
     """
-    required = [c for c in columns if c not in optional]
-    c = cells(lines)
-    first = c.groupBy("path").agg(F.min("row").alias("_h"), F.max("row").alias("_e"))
-    c = c.join(first, "path")
-    head = c.filter("row = _h").select("path", "col", F.col("value").alias("label")).filter(F.col("label").isin(list(columns)))
-    have = head.filter(F.col("label").isin(required)).groupBy("path").agg(F.countDistinct("label").alias("n"))
-    status = first.join(have, "path", "left").select(
-        "path", F.when(F.coalesce("n", F.lit(0)) < len(required), "FAILURE").when(F.col("_h") == F.col("_e"), "EMPTY").otherwise("SUCCESS").alias("status")
-    )
-    good = status.filter("status = 'SUCCESS'").select("path")
-    wide = reshape.transpose(c.filter("row > _h").join(head, ["path", "col"]).join(good, "path"), ["path"], "row", "label", "value", list(columns))
-    q = lambda k: F.nullif(F.col(f"`{k}`"), F.lit(""))
-    return wide.select("path", "row", *[(q(k) if v in text else number(q(k))).alias(v) for k, v in columns.items()]), status
+    needed = F.array(*[F.lit(c) for c in columns if c not in optional])
+    own = headed(lines)
+    lacks = F.size(F.array_except(needed, "head_1"))
+    status = own.groupBy("path").agg(F.max(lacks).alias("_l"), F.count("*").alias("_n"))
+    status = status.select("path", F.when(F.col("_l") > 0, "FAILURE").when(F.col("_n") == 1, "EMPTY").otherwise("SUCCESS").alias("status"))
+    cell = lambda label: F.nullif(F.get("cells", F.array_position("head_1", F.lit(label)).cast("int") - 1), F.lit(""))
+    rows = own.filter((F.col("place") > 1) & (lacks == 0))
+    return rows.select("path", "row", *[(cell(k) if v in text else number(cell(k))).alias(v) for k, v in columns.items()]), status
 
 
 #: Columns of the culvert section, in order.
@@ -146,27 +150,6 @@ def culvert_section(lines: DataFrame) -> DataFrame:
     return parts.select("path", "line", *[(field(i) if i < 2 else number(field(i))).alias(c) for i, c in enumerate(CULVERT_COLUMNS)])
 
 
-def run_log(lines: DataFrame, tail: int = 100) -> DataFrame:
-    """(path, start, version, computer, runtime, mass_error, finished, settings) of a run's log; ``settings`` is a map.
-
-    The last match of a key in the last lines counts at the end, the first one in the whole text for the header.
-    """
-    n = lines.groupBy("path").agg(F.max("line").alias("_n"))
-    own = lines.join(n, "path").withColumn("_tail", F.col("line") > F.col("_n") - tail)
-    head = lambda p: F.min_by(found(F.col("text"), p), F.when(F.col("text").rlike(p), F.col("line")))
-    last = lambda p: F.max_by(found(F.col("text"), p), F.when(F.col("_tail") & F.col("text").rlike(p), F.col("line")))
-    pair = r"^\s*BC Event Source\s*==\s*([^|]+?)\s*\|\s*(.+?)\s*$"
-    entry = F.when(F.col("text").rlike(pair), F.struct(F.lower(F.regexp_replace(found(F.col("text"), pair, 1), r"~([ESes]\d*)~", "-$1")).alias("k"), found(F.col("text"), pair, 2).alias("v")))
-    out = own.groupBy("path").agg(
-        F.try_to_timestamp(head(r"Simulation Started\s*:\s*(\d{4}-[A-Za-z]{3}-\d{2} \d{2}:\d{2})"), F.lit("yyyy-MMM-dd HH:mm")).alias("start"),
-        head(r"Build:\s*(\S+)").alias("version"), head(r"Computer Name:\s*(\S+)").alias("computer"),
-        last(r"Clock Time:.*\[\s*([\d.]+)\s*h\]").try_cast("double").alias("runtime"), last(r"Final Cumulative ME:\s*(-?[\d.]+)%").try_cast("double").alias("mass_error"),
-        F.max(F.col("_tail") & F.col("text").contains("Simulation FINISHED")).alias("finished"), F.array_distinct(F.collect_list(entry)).alias("_p"),
-    )
-    first = F.aggregate("_p", F.expr("cast(array() as array<struct<k:string,v:string>>)"), lambda a, x: F.when(F.exists(a, lambda y: y["k"] == x["k"]), a).otherwise(F.array_append(a, x)))
-    return out.withColumn("settings", F.map_from_entries(first)).drop("_p")
-
-
 def _batch_rows(lines: DataFrame) -> DataFrame:
     """Lines of a hydrologic batch report between its two headings, each with its parts and those of the last header."""
     order = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
@@ -200,14 +183,13 @@ def batch_peaks(lines: DataFrame) -> DataFrame:
 
 def hydrograph(lines: DataFrame, drop: Sequence[str] = ("Inc", "Time (hrs)")) -> DataFrame:
     """(path, time, location, value) of a hydrograph table under two lines of titles."""
-    c = cells(lines.filter("line >= 2"))
-    c = c.join(c.groupBy("path").agg(F.min("row").alias("_h")), "path")
-    head = c.filter("row = _h").select("path", "col", F.trim(F.regexp_replace("value", r"^Calculated hydrograph:\s*", "")).alias("location"))
-    at = head.filter("location = 'Time (hrs)'").groupBy("path").agg(F.min("col").alias("_c"))
-    body = c.filter("row > _h").join(at, "path")
-    time = body.filter("col = _c").select("path", "row", number(F.col("value")).alias("time"))
-    values = body.join(head, ["path", "col"]).filter(~F.col("location").isin(list(drop)))
-    return values.join(time, ["path", "row"]).select("path", "time", "location", number(F.col("value")).alias("value")).filter("value is not null")
+    name = lambda x: F.trim(F.regexp_replace(x, r"^Calculated hydrograph:\s*", ""))
+    body = headed(lines.filter("line >= 2")).filter("place > 1")
+    at = (F.nullif(F.array_position(F.transform("head_1", name), F.lit("Time (hrs)")), F.lit(0)) - 1).cast("int")
+    body = body.withColumn("_at", at).filter("_at is not null and _at < size(cells)")
+    each = body.select("path", number(F.get("cells", "_at")).alias("time"), "head_1", F.posexplode("cells").alias("col", "text")).filter(F.col("col") < F.size("head_1"))
+    each = each.select("path", "time", name(F.get("head_1", "col")).alias("location"), number(F.col("text")).alias("value"))
+    return each.filter(~F.col("location").isin(list(drop)) & F.col("value").isNotNull())
 
 
 def culvert_angles(lines: DataFrame) -> DataFrame:

@@ -142,13 +142,15 @@ def without_comment(text: Column) -> Column:
 def run_list(lines: DataFrame) -> DataFrame:
     """(path, line, combo): the distinct combinations of flags of command lists, as maps, as they come.
 
-    A flag is ``-e``, ``-s`` and a digit or none, with the word after it; of equal flags in a line the last counts. Values
-    that differ by case alone are one, and the first that comes stays. Comments and flags of processors are left out.
+    A flag is ``-e`` or ``-s`` with a digit from 1 to 9, with the word after it; of equal flags in a line the last counts.
+    Values that differ by case alone are one, and the first that comes stays. Flags of processors, what follows a comment
+    mark, and lines that begin with one, ``@`` before it or not, are left out.
     """
-    plain = F.regexp_replace("text", r"(?i)(?<=^|\s)-pu\s*\d+(?=\s|$)", " ")
-    own = lines.filter(~F.col("text").rlike(r"(?i)^\s*(::|#|;|//|rem\b|!|$)")).select("path", "line", without_comment(plain).alias("text"))
-    pair = r"(?i)(?<=^|\s)-([es]\d*)\s+([^\s-]\S*)"
-    keys, values = (F.transform(F.regexp_extract_all("text", F.lit(pair), F.lit(i)), f) for i, f in ((1, F.lower), (2, lambda v: F.trim(v))))
+    commented = r"(?i)^\s*(?:@?(?:rem\b|::|#|;|//)|$)"
+    plain = F.trim(F.regexp_replace("text", r"(?i)(?<!\S)-pu\d+(?!\S)", " "))
+    own = lines.filter(~F.col("text").rlike(commented)).select("path", "line", without_comment(plain).alias("text"))
+    pair = r"(?i)-([es][1-9])\s+(\S+)"
+    keys, values = (F.transform(F.regexp_extract_all("text", F.lit(pair), F.lit(i)), f) for i, f in ((1, lambda k: F.lower(k)), (2, lambda v: F.trim(v))))
     each = own.select("path", "line", F.posexplode(F.arrays_zip(keys.alias("k"), values.alias("v"))).alias("i", "x"))
     last = each.groupBy("path", "line", "x.k").agg(F.max_by("x.v", "i").alias("v"))
     combos = last.groupBy("path", "line").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("c"))
