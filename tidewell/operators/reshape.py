@@ -43,6 +43,14 @@ def transpose(cells: DataFrame, keys: Sequence[str], column: str, label: str, va
     return cells.groupBy(*keys, column).pivot(label, list(labels)).agg(F.min(value))
 
 
+def cross_of(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Every combination of the distinct values of each column; the columns must have few."""
+    out = df.select(columns[0]).distinct()
+    for c in columns[1:]:
+        out = out.crossJoin(df.select(c).distinct())
+    return out
+
+
 def cross_product(spark, variables: dict[str, Sequence[str]]) -> DataFrame:
     """All combinations of run variables, a bounded table of parameters."""
     frames = [spark.createDataFrame([(v,) for v in values], f"`{name}` string") for name, values in variables.items()]

@@ -472,9 +472,9 @@ def signed_abs_max(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", size.alias("abs_max"), signed.alias("signed_abs_max"))
 
 
-@query("run_matrix", "SELECT * FROM (VALUES ('1%'), ('2%')) a(aep) CROSS JOIN (VALUES ('60m'), ('120m'), ('1440m')) b(duration) CROSS JOIN (SELECT 'TP' || lpad(CAST(i AS VARCHAR), 2, '0') AS tp FROM range(1, 11) r(i))")
+@query("run_matrix", f"WITH {STORM} SELECT * FROM (SELECT DISTINCT aep FROM storm) a CROSS JOIN (SELECT DISTINCT duration FROM storm) b CROSS JOIN (SELECT DISTINCT tp FROM storm) c")
 def run_matrix(spark, d):
-    return reshape.cross_product(spark, {"aep": ["1%", "2%"], "duration": ["60m", "120m", "1440m"], "tp": [f"TP{i:02d}" for i in range(1, 11)]})
+    return reshape.cross_of(storm(spark, d), ["aep", "duration", "tp"])
 
 
 POINTS = "pts AS (SELECT l_quantity AS x, CAST(l_linenumber AS DOUBLE) AS y, l_extendedprice AS z, l_orderkey AS k FROM lineitem)"
@@ -587,12 +587,21 @@ def dms_degrees(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.round(scenario.dms_to_degrees(text), 6).alias("degrees"))
 
 
-@query("arf_table", """SELECT p_partkey, round(CASE WHEN area <= 1 THEN 1.0 WHEN area < 10 THEN 1 - 0.6614 * (1 - least(1.0, 1 - 0.287 * (power(10.0, 0.265) - 0.439 * log10(dur)) * power(dur, -0.36) + 2.26e-3 * power(10.0, 0.226) * power(dur, 0.125) * (0.3 + log10(0.01)) + 0.0141 * power(10.0, 0.213) * power(10.0, -0.021 * power(dur - 180, 2) / 1440) * (0.3 + log10(0.01)))) * (power(area, 0.4) - 1)
- ELSE least(1.0, 1 - 0.287 * (power(area, 0.265) - 0.439 * log10(dur)) * power(dur, -0.36) + 2.26e-3 * power(area, 0.226) * power(dur, 0.125) * (0.3 + log10(0.01)) + 0.0141 * power(area, 0.213) * power(10.0, -0.021 * power(dur - 180, 2) / 1440) * (0.3 + log10(0.01))) END, 6) AS arf
- FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS area, CAST(60 + p_partkey % 600 AS DOUBLE) AS dur FROM part)""")
+def _arf_sql(area: str, dur: str, aep: str) -> str:
+    rare = f"(0.3 + log10({aep}))"
+    short = lambda a, d: f"least(1.0, 1 - 0.287 * (power({a}, 0.265) - 0.439 * log10({d})) * power({d}, -0.36) + 2.26e-3 * power({a}, 0.226) * power({d}, 0.125) * {rare} + 0.0141 * power({a}, 0.213) * power(10.0, -0.021 * power({d} - 180, 2) / 1440) * {rare})"
+    long = lambda a, d: f"least(1.0, 1 - 0.327 * (power({a}, 0.241) - 0.448 * log10({d})) * power({d}, -0.36) + 0.00096 * power({a}, 0.48) * power({d}, -0.21) * {rare} + 0.012 * power(10.0, -0.0013 * {a} * {d} / 1440) * {rare})"
+    large = lambda a: f"CASE WHEN {dur} <= 720 THEN {short(a, dur)} WHEN {dur} >= 1440 THEN {long(a, dur)} ELSE {short(a, '720.0')} + ({long(a, '1440.0')} - {short(a, '720.0')}) * ({dur} - 720) / 720 END"
+    return f"CASE WHEN {area} > 30000 OR {dur} > 10080 THEN NULL WHEN {area} <= 1 THEN 1.0 WHEN {area} < 10 THEN 1 - 0.6614 * (1 - ({large('10.0')})) * (power({area}, 0.4) - 1) ELSE {large(area)} END"
+
+
+@query("arf_table", f"""SELECT p_partkey, round({_arf_sql('area', 'dur', 'aep')}, 6) AS arf
+ FROM (SELECT p_partkey, CAST(p_size * (1 + p_partkey % 3 * 50) AS DOUBLE) AS area, CAST(60 + p_partkey * 37 % 10500 AS DOUBLE) AS dur, CASE p_partkey % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.1 ELSE 0.01 END AS aep FROM part)""")
 def arf_table(spark, d):
-    area, dur = F.col("p_size").cast("double"), (60 + F.col("p_partkey") % 600).cast("double")
-    return table(spark, d, "part").select("p_partkey", F.round(hydro.arf(area, dur, F.lit(0.01), hydro.EAST_COAST_NORTH), 6).alias("arf"))
+    k = F.col("p_partkey")
+    area, dur, aep = (F.col("p_size") * (1 + k % 3 * 50)).cast("double"), (60 + k * 37 % 10500).cast("double"), F.when(k % 3 == 0, 0.5).when(k % 3 == 1, 0.1).otherwise(0.01)
+    rows = table(spark, d, "part").select("p_partkey", area.alias("area"), dur.alias("dur"), aep.alias("aep"))
+    return rows.select("p_partkey", F.round(hydro.arf(F.col("area"), F.col("dur"), F.col("aep"), hydro.EAST_COAST_NORTH), 6).alias("arf"))
 
 
 @query("bearing", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(CASE WHEN a < 0 THEN a + 360 ELSE a END, 6) AS bearing FROM (SELECT *, degrees(atan2(l_quantity - 25, l_linenumber - 3.5)) AS a FROM lineitem)")

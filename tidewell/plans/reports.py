@@ -110,7 +110,7 @@ def read_culvert_section(spark, d):
     size = F.col("p_size")
     height = F.when(size % 3 > 0, text(size)).otherwise(F.when(size % 2 == 0, "-----").otherwise("Adjusted"))
     row = joined("  ", F.concat(F.lit("X "), text(F.col("p_partkey"))), "C", size, F.col("p_retailprice"), *["1.0"] * 7, height, *["0.5"] * 6)
-    lines = lines_of(table(spark, d, "part"), F.concat(F.lit("/r/b"), text(F.col("p_partkey") % 9), F.lit(".eof")), F.col("p_partkey"), row, "top", "CULVERT AND PIPE DATA", "", "Channel  Type")
+    lines = lines_of(table(spark, d, "part"), F.concat(F.lit("/r/b"), text(F.pmod(F.xxhash64("p_partkey"), F.lit(499))), F.lit(".eof")), F.col("p_partkey"), row, "top", "CULVERT AND PIPE DATA", "", "Channel  Type")
     return results.tidy(lines, "EOF").select(F.col("Chan ID").alias("id"), F.col("Num_barrels").alias("barrels"), F.col("US Invert").alias("us_invert"), F.col("Height").alias("height"))
 
 
@@ -119,10 +119,10 @@ def read_peak_summary(spark, d):
     s = F.col("s_suppkey")
     labels = list(readers.SUMMARY)
     cells = [F.col("s_name"), F.lit("Flow"), F.col("s_acctbal"), F.lit("1.0"), -s - 1, F.lit("2.0")]
-    each = table(spark, d, "supplier").select(s.alias("s"), F.posexplode(F.array(*[text(c) for c in cells])).alias("line", "v"))
-    rows = each.groupBy("line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "v"))), lambda x: x["v"]), ",").alias("v"))
+    each = table(spark, d, "supplier").select(s.alias("s"), F.posexplode(F.array(*[text(c) for c in cells])).alias("line", "v")).withColumn("f", F.pmod(F.xxhash64("s"), F.lit(97)))
+    rows = each.groupBy("f", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "v"))), lambda x: x["v"]), ",").alias("v"))
     label = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("line") + 1)
-    lines = rows.select(F.lit("/r/a_POMM.csv").alias("path"), "line", joined(",", "x", label, F.col("v")).alias("text"))
+    lines = rows.select(F.concat(F.lit("/r/a"), text(F.col("f")), F.lit("_POMM.csv")).alias("path"), "line", joined(",", "x", label, F.col("v")).alias("text"))
     out = results.tidy(lines, "POMM")
     return out.select(F.col("Type").alias("type"), F.col("Max").alias("high"), (F.col("Min") + 0.0).alias("low"), F.col("AbsMax").alias("abs_max"), F.col("SignedAbsMax").alias("signed"))
 
@@ -224,15 +224,17 @@ def workflow_log_summary(spark, d):
 def read_batch_runs(spark, d):
     unit = F.when(F.col("o_custkey") % 2 == 0, "min").otherwise("hour")
     row = joined(" ", F.col("o_orderkey"), F.col("o_custkey") % 99, unit, F.concat(text(F.col("o_custkey") % 50), F.lit("%")), F.col("o_orderkey") % 10, "1.5", "Y", F.col("o_totalprice"))
-    lines = lines_of(table(spark, d, "orders"), F.lit("/r/batch.out"), F.monotonically_increasing_id() % 1_000_000, row, "Peak  Description", " Run Duration Unit AEP TPat A B Peak1")
+    lines = lines_of(table(spark, d, "orders"), F.concat(F.lit("/r/batch"), text(F.pmod(F.xxhash64("o_orderkey"), F.lit(997))), F.lit(".out")), F.col("o_orderkey") * 2, row, "Peak  Description", " Run Duration Unit AEP TPat A B Peak1")
     out = readers.batch_peaks(lines).filter("name = 'Peak1'")
     return out.select("run", F.col("duration_hours").alias("hours"), "aep", "tp", F.col("value").alias("peak"))
 
 
-@query("read_js_array", "SELECT page_id, url AS u, '[' || page_id || ']' AS n FROM pages WHERE position('\"' IN url) = 0 AND position('\\' IN url) = 0")
+@query("read_js_array", "SELECT page_id, url AS u, '[' || page_id || ']' AS n FROM pages")
 def read_js_array(spark, d):
-    page = F.concat(F.lit('<script>var rows = [{"u": "'), F.col("url"), F.lit('", "n": ['), text(F.col("page_id")), F.lit("],},]; var other = [1];</script>"))
-    pages = table(spark, d, "pages").filter(~F.contains("url", F.lit('"')) & ~F.contains("url", F.lit("\\"))).select("page_id", page.alias("html"))
+    quoted = F.regexp_extract(F.to_json(F.struct(F.coalesce("url", F.lit(None).cast("string")).alias("u"))), r'(?s)^\{"u":(".*")\}$', 1)
+    quoted = F.when(F.col("url").isNull(), "null").otherwise(quoted)
+    page = F.concat(F.lit('<script>var rows = [{"u": '), quoted, F.lit(', "n": ['), text(F.col("page_id")), F.lit("],},]; var other = [1];</script>"))
+    pages = table(spark, d, "pages").select("page_id", page.alias("html"))
     return readers.js_array(pages, "rows").select("page_id", F.col("entry")["u"].alias("u"), F.col("entry")["n"].alias("n"))
 
 
@@ -298,7 +300,7 @@ def culvert_pairs(spark, d):
     up = joined("\t", F.concat(F.lit("K"), text(s)), F.col("s_acctbal"), "1", "2", "", "RCP", F.when(even, F.lit("1.5")), "", s % 4, "", "")
     down = joined("\t", F.concat(F.when(s % 5 > 0, "K").otherwise("other"), text(s)), s, "1", "", "3", "", F.when(even, F.lit("9.9")).otherwise("2.5"), "", "", "", "")
     rows = table(spark, d, "supplier").select(s.alias("s"), F.posexplode(F.array(up, down)).alias("i", "t"))
-    lines = lines_of(rows, F.lit("/r/a.txt"), F.col("s") * 2 + F.col("i"), F.col("t"), "title", "\t".join(survey.CULVERT), "units")
+    lines = lines_of(rows, F.concat(F.lit("/r/a"), text(F.col("s") % 61), F.lit(".txt")), F.col("s") * 2 + F.col("i"), F.col("t"), "title", "\t".join(survey.CULVERT), "units")
     return survey.culvert_pairs(lines).select(F.col("Name").alias("name"), F.col("US_X").alias("us_x"), F.col("DS_X").alias("ds_x"), F.col("Diameter").alias("diameter"), F.col("Number of Pipes").alias("pipes"))
 
 

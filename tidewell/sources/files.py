@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import scenario
@@ -55,3 +57,76 @@ def with_scenario(files: DataFrame, name: str = "name") -> DataFrame:
 
 def summary(files: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("n_files"), F.sum("length").alias("bytes"), F.max_by("path", F.struct("length", "path")).alias("largest"))
+
+
+#: Bytes of a file's head and of its tail that the second stage compares, and that are read at a time in the third.
+EDGE, BLOCK = 1 << 16, 1 << 20
+
+
+def _opened(path: str):
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+    return store.open_input_file(inner)
+
+
+def edge_digest(path: str) -> str:
+    with _opened(path) as f:
+        size = f.size()
+        digest = hashlib.sha256(f.read(min(EDGE, size)))
+        if size > EDGE:
+            f.seek(max(EDGE, size - EDGE))
+            digest.update(f.read())
+    return digest.hexdigest()
+
+
+def whole_digest(path: str) -> str:
+    digest = hashlib.sha256()
+    with _opened(path) as f:
+        while block := f.read(BLOCK):
+            digest.update(block)
+    return digest.hexdigest()
+
+
+def _digested(files: DataFrame, name: str, digest: Callable[[str], str]) -> DataFrame:
+    """``files`` with a digest of each; null for one that can't be opened, which then equals no other."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def safe(path: str) -> str | None:
+            try:
+                return digest(path)
+            except OSError:
+                return None
+
+        for batch in batches:
+            made = pa.array([safe(p) for p in batch.column("path").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, name])
+
+    return files.mapInArrow(rows, ", ".join(f"{c} {t}" for c, t in files.dtypes) + f", {name} string")
+
+
+def duplicate_actions(files: DataFrame, across: bool = True, placeholder: str = ".DUPLICATE_REMOVED.txt") -> DataFrame:
+    """(action, path, keep, suffix, length, digest, files): what to do about files (path, folder, length) of equal content.
+
+    In stages, each only for files that the one before left equal: suffix and length, digest of head and tail, digest of
+    all. Of equal files the first by name, whatever its case, is kept and the others are deleted; where files go from a
+    folder that doesn't hold the kept one, a placeholder named after the first of them tells so. ``across`` compares folders
+    with each other.
+    """
+    suffix = F.lower(F.regexp_extract(file_name(F.col("path")), r"(\.[^.]*)$", 1))
+    own = files.select("path", "folder", "length", suffix.alias("suffix")).filter("length > 0")
+    keys = ["suffix", "length"] + ([] if across else ["folder"])
+    several = lambda df, by: df.withColumn("_n", F.count("*").over(Window.partitionBy(*by))).filter("_n > 1").drop("_n")
+    near = several(_digested(several(own, keys), "edge", edge_digest).filter("edge is not null"), [*keys, "edge"])
+    same = _digested(near.drop("edge"), "digest", whole_digest).filter("digest is not null")
+    first = Window.partitionBy(*keys, "digest").orderBy(F.lower("path"), "path")
+    kept = same.withColumns({"keep": F.first("path").over(first), "_folder": F.first("folder").over(first)})
+    gone = kept.filter(F.col("path") != F.col("keep"))
+    rows = gone.groupBy("folder", "_folder", "suffix", "length", "digest", "keep").agg(F.sort_array(F.collect_list(F.struct(F.lower("path").alias("o"), "path"))).alias("f"))
+    paths = F.transform("f", lambda e: e["path"])
+    act = lambda action, path, told: F.struct(F.lit(action).alias("action"), path.alias("path"), told.alias("files"))
+    one = F.array().cast("array<string>")
+    deletes = F.transform(paths, lambda p: act("delete", p, one))
+    writes = F.when(F.col("folder") != F.col("_folder"), F.array(act("placeholder", F.concat(paths[0], F.lit(placeholder)), paths))).otherwise(F.array().cast("array<struct<action:string,path:string,files:array<string>>>"))
+    each = rows.select("keep", "suffix", "length", "digest", F.explode(F.concat(deletes, writes)).alias("a"))
+    return each.select("a.action", "a.path", "keep", "suffix", "length", "digest", "a.files")

@@ -9,38 +9,36 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.scenario import SUFFIXES
 from tidewell.operators import quality, reshape
-from tidewell.sources import files, logs, readers
+from tidewell.sources import files, layouts, logs, readers
 
-#: Optional columns of the channel table.
-CHANNEL_OPTIONAL = ["DS Invert", "Flags", "Length", "pSlope", "pBlockage", "n or Cd"]
-#: Which tables give maxima, series, geometry.
+#: Which tables give maxima, series, geometry.
 MAXIMUMS, SERIES, GEOMETRY = ("Cmx", "Nmx", "Chan", "ccA", "RLL_Qmx"), ("Q", "V", "CF", "H"), ("EOF", "Chan")
 
 
+def _rows(lines: DataFrame, data_type: str) -> DataFrame:
+    """A table of the columns and types that its layout names."""
+    layout = layouts.LAYOUTS[data_type]
+    return readers.maximums(lines, layout.names, layout.texts, layout.optional)[0]
+
+
 def cmx(lines: DataFrame) -> DataFrame:
     """A row for each channel's largest flow and one for its largest velocity; rows without anything are dropped."""
-    rows, _ = readers.maximums(lines, {"Chan ID": "Chan ID", "Time Qmax": "tq", "Qmax": "q", "Time Vmax": "tv", "Vmax": "v"}, ["Chan ID"])
-    out = reshape.stack_metrics(rows, ["path", "Chan ID"], {"q": {"Time": "tq", "Q": "q"}, "v": {"Time": "tv", "V": "v"}}, {"Time": "double", "Q": "double", "V": "double"})
+    out = reshape.stack_metrics(_rows(lines, "Cmx"), ["path", "Chan ID"], {"q": {"Time": "tq", "Q": "q"}, "v": {"Time": "tv", "V": "v"}}, {"Time": "double", "Q": "double", "V": "double"})
     return out.dropna(how="all", subset=["Chan ID", "Time", "Q", "V"])
 
 
 def nmx(lines: DataFrame) -> DataFrame:
     """The largest levels at a channel's ends, by the time at which they occur; other nodes are dropped."""
-    rows, _ = readers.maximums(lines, {"Node ID": "node", "Time Hmax": "Time", "Hmax": "h"}, ["node"])
-    return reshape.suffix_pivot(rows, ["path", "Time"], "node", "h", {"1": "US_h", "2": "DS_h"}).withColumnRenamed("entity", "Chan ID")
+    return reshape.suffix_pivot(_rows(lines, "Nmx"), ["path", "Time"], "node", "h", {"1": "US_h", "2": "DS_h"}).withColumnRenamed("entity", "Chan ID")
 
 
 def chan(lines: DataFrame) -> DataFrame:
     """Channels with their height, from upstream invert to obvert."""
-    columns = {"Channel": "Chan ID", "LBUS Obvert": "US Obvert", "US Invert": "US Invert"} | {c: c for c in CHANNEL_OPTIONAL}
-    rows, _ = readers.maximums(lines, columns, ["Chan ID", "Flags"], CHANNEL_OPTIONAL)
-    return rows.drop("row").withColumn("Height", F.col("US Obvert") - F.col("US Invert"))
+    return _rows(lines, "Chan").drop("row").withColumn("Height", F.col("US Obvert") - F.col("US Invert"))
 
 
 def rll_qmx(lines: DataFrame) -> DataFrame:
-    columns = {"ID": "Chan ID", "Qmax": "Q", "Time Qmax": "Time", "dQmax": "dQ", "Time dQmax": "Time dQ", "H": "H"}
-    rows, _ = readers.maximums(lines, columns, ["Chan ID"])
-    return rows.select("path", "Chan ID", "Time", "Q", "dQ", "Time dQ", "H")
+    return _rows(lines, "RLL_Qmx").select("path", "Chan ID", "Time", "Q", "dQ", "Time dQ", "H")
 
 
 def _series(kind: str, name: str, prefix: str | None = None, text: bool = False) -> Callable[[DataFrame], DataFrame]:

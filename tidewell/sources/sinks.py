@@ -50,6 +50,25 @@ def read_cache(spark: SparkSession, path: str, **wanted: Sequence[str]) -> DataF
     return df
 
 
+#: Chosen rows that a read is pruned by.
+CHOSEN = 10_000
+
+
+def read_chosen(spark: SparkSession, path: str, chosen: DataFrame, by: str, on: Sequence[str] = ()) -> DataFrame:
+    """Rows of a cache whose ``by`` folder, and ``on`` columns, are among the chosen ones.
+
+    The chosen rows are worked out when the read is built. Up to CHOSEN of them name the only folders that are listed and
+    read; where there are more, the cache is joined with them.
+    """
+    wanted = chosen.select(by, *on).filter(F.col(by).isNotNull()).distinct()
+    first = wanted.limit(CHOSEN + 1).collect()
+    rows = spark.read.parquet(path)
+    if len(first) <= CHOSEN:
+        rows = rows.filter(F.col(by).isin(sorted({r[0] for r in first})))
+        wanted = spark.createDataFrame(first, wanted.schema)
+    return rows.join(wanted, [by, *on])
+
+
 def column_widths(df: DataFrame) -> DataFrame:
     """The length of the longest value or name of each column, and two more."""
     widths = df.agg(*[F.greatest(F.coalesce(F.max(F.length(F.col(f"`{c}`").cast("string"))), F.lit(0)), F.lit(len(c))).alias(c) for c in df.columns])

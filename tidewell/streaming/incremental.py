@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewell.operators.ensemble import arg_max
+from tidewell.sources import versions
 
 
 def merge_peaks(known: DataFrame | None, new: DataFrame, keys: Sequence[str], value: str, ties: Sequence[str]) -> DataFrame:
@@ -16,31 +17,37 @@ def merge_peaks(known: DataFrame | None, new: DataFrame, keys: Sequence[str], va
     return arg_max(new if known is None else known.unionByName(new), keys, value, ties)
 
 
-def drop(spark: SparkSession, folder: str) -> None:
-    """Deletes a folder on whatever store it is."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+def peaks(spark: SparkSession, target: str, schema: str, version: int | None = None) -> DataFrame:
+    """The peaks of a version, the latest without one."""
+    return versions.read(spark, target, schema, version)
 
 
 def stream_peaks(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, keys: Sequence[str], value: str, ties: Sequence[str]) -> StreamingQuery:
     """Reads the Parquet files that appear in ``source`` and keeps the peak of each group in ``target``.
 
-    Each batch writes a new version beside the last one, so that a batch that is run again gives the same; what is older
-    than these two goes.
+    Each batch commits a version that takes the place of the last one, under the batch's number, so that a batch that is run
+    again changes nothing; what is older than these two goes.
     """
 
     def renew(batch: DataFrame, number: int) -> None:
-        known = None
-        if number:
-            known = batch.sparkSession.read.parquet(f"{target}/version={number - 1}")
-        merge_peaks(known, batch, keys, value, ties).write.mode("overwrite").parquet(f"{target}/version={number}")
-        if number > 1:
-            drop(batch.sparkSession, f"{target}/version={number - 2}")
+        own = batch.sparkSession
+        merged = merge_peaks(peaks(own, target, schema), batch, keys, value, ties).select(*batch.columns)
+        if versions.append(merged, target, f"{checkpoint}#{number}", replaces=True):
+            versions.vacuum(own, target, keep=2)
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(renew).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stream_append(stream: DataFrame, target: str, checkpoint: str, by: Sequence[str] = ()) -> StreamingQuery:
+    """Adds each batch of a stream to a table of whole versions, once."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        versions.append(batch, target, f"{checkpoint}#{number}", by)
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def windowed_maximum(stream: DataFrame, time: str, key: str, value: str, size: str, late: str) -> DataFrame:
     """The greatest value by key and tumbling window; later rows than the watermark are dropped by Spark."""
     return stream.withWatermark(time, late).groupBy(F.window(time, size), key).agg(F.max(value).alias(value))

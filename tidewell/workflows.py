@@ -1,7 +1,8 @@
 """From result tables to reports: what each report's sheets hold. ``write`` takes any of them to files.
 
 Every workflow takes tables as ``results.read_results`` gives them, so that ``culvert_maximums(read_results(spark, paths))``
-goes from paths to a report, and returns its sheets by name; nothing runs before they are written.
+goes from paths to a report, and returns its sheets by name; nothing runs before they are written, but for the count by which
+``write`` tells whether a sheet fits a spreadsheet.
 """
 
 from __future__ import annotations
@@ -172,6 +173,14 @@ def hydrologic_closure_durations(batch_lines: DataFrame, hydrograph_lines: DataF
     return _closures(lasting, ["directory_path", "location", "aep_text"], "aep_text", "duration_text", "tp_text", zero_fill)
 
 
+def critical_series(spark: SparkSession, cache: str, values: DataFrame, keys: Sequence[str] = ("trim_runcode", "aep_text", "Chan ID"), duration: str = "duration_text", value: str = "Q") -> DataFrame:
+    """The series of the critical runs: of each group the run closest to the mean of its largest duration, from a cache of
+    series that lies in folders by run (``sinks.write_cache`` by internalName). Only these runs' folders are read."""
+    chosen = ensemble.critical_runs(values.withColumnRenamed("Chan ID", "channel"), ["channel" if k == "Chan ID" else k for k in keys], duration, value, "internalName")
+    chosen = chosen.select(F.col("critical_name").alias("internalName"), F.col("channel").alias("Chan ID"))
+    return sinks.read_chosen(spark, cache, chosen, "internalName", ["Chan ID"])
+
+
 def stability_report(tables: Mapping[str, DataFrame], kinds: Sequence[str] = ("PO", "Q"), **limits: float) -> Sheets:
     """Status of every series, and those that are unstable."""
     parts = []
