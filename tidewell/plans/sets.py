@@ -11,7 +11,7 @@ from tidewell.plans.catalog import NAME, ORACLE_SQL, POINTS, _names, _points, qu
 from tidewell.plans.reports import _cmx_lines, _po, _pomm, joined, lines_of, text
 from tidewell.sources import files, hydrology, readers, results, survey
 
-TRIANGLES = "tri AS (SELECT n_nationkey AS n, n_nationkey * 2.0 AS ax, 0.0 AS ay, n_nationkey * 2.0 + 30 AS bx, 1.0 AS by, n_nationkey + 5.0 AS cx, 8.0 AS cy FROM nation)"
+TRIANGLES = "tri AS (SELECT n_nationkey AS n, n_nationkey * 2.0 AS ux, 0.0 AS uy, n_nationkey * 2.0 + 30 AS vx, 1.0 AS vy, n_nationkey + 5.0 AS wx, 8.0 AS wy FROM nation)"
 
 
 def _triangles(spark, d):
@@ -24,19 +24,19 @@ _SIDE = lambda p, q: f"(t.{q}x - t.{p}x) * (y - t.{p}y) - (t.{q}y - t.{p}y) * (x
 
 
 @query("points_in_polygons", f"""WITH {POINTS}, {TRIANGLES} SELECT n, count(*) AS points, sum(k)::BIGINT AS orders FROM pts JOIN tri t ON
- ({_SIDE('a', 'b')} >= 0 AND {_SIDE('b', 'c')} >= 0 AND {_SIDE('c', 'a')} >= 0) OR ({_SIDE('a', 'b')} <= 0 AND {_SIDE('b', 'c')} <= 0 AND {_SIDE('c', 'a')} <= 0) GROUP BY n""")
+ ({_SIDE('u', 'v')} >= 0 AND {_SIDE('v', 'w')} >= 0 AND {_SIDE('w', 'u')} >= 0) OR ({_SIDE('u', 'v')} <= 0 AND {_SIDE('v', 'w')} <= 0 AND {_SIDE('w', 'u')} <= 0) GROUP BY n""")
 def points_in_polygons(spark, d):
     met = polygons.points_in_polygons(_points(spark, d), _triangles(spark, d), "x", "y", "n", "corners", 1.5)
     return met.groupBy("n").agg(F.count("*").alias("points"), F.sum("k").alias("orders"))
 
 
-@query("polygon_cell_areas", f"WITH {TRIANGLES} SELECT n, round(abs((bx - ax) * (cy - ay) - (by - ay) * (cx - ax)) / 2, 6) AS area FROM tri")
+@query("polygon_cell_areas", f"WITH {TRIANGLES} SELECT n, round(abs((vx - ux) * (wy - uy) - (vy - uy) * (wx - ux)) / 2, 6) AS area FROM tri")
 def polygon_cell_areas(spark, d):
     return polygons.cell_areas(_triangles(spark, d), "n", "corners", 0.75).groupBy("n").agg(F.round(F.sum("area"), 6).alias("area"))
 
 
 @query("polygon_area_means", """WITH g AS (SELECT CAST(l_quantity AS BIGINT) AS i, l_linenumber AS j, avg(l_extendedprice) AS v FROM lineitem GROUP BY ALL),
- b AS (SELECT s_suppkey AS s, s_suppkey % 40 + 0.25 AS x0, s_suppkey % 40 + 1.5 + s_suppkey % 5 AS x1, s_suppkey % 4 + 0.5 AS y0, s_suppkey % 4 + 2.75 AS y1 FROM supplier),
+ b AS (SELECT s_suppkey AS s, CAST(s_suppkey % 40 + 0.25 AS DOUBLE) AS x0, CAST(s_suppkey % 40 + 1.5 + s_suppkey % 5 AS DOUBLE) AS x1, CAST(s_suppkey % 4 + 0.5 AS DOUBLE) AS y0, CAST(s_suppkey % 4 + 2.75 AS DOUBLE) AS y1 FROM supplier),
  o AS (SELECT s, v, (least(x1, i + 1) - greatest(x0, i)) * (least(y1, j + 1) - greatest(y0, j)) AS a FROM b JOIN g ON i < x1 AND i + 1 > x0 AND j < y1 AND j + 1 > y0)
  SELECT s, round(sum(a), 6) AS area, round(sum(a * v) / sum(a), 4) AS mean FROM o GROUP BY s""")
 def polygon_area_means(spark, d):
@@ -113,12 +113,13 @@ def workflow_culvert_statistics(spark, d):
     return out.select("aep_text", F.col("Chan ID").alias("channel"), "type", "trim_runcode", F.col("duration_text").alias("duration"), F.round(F.col("Q_median") + 1e-9, 4).alias("Q_median"), "adopted_name", "duration_bin")
 
 
-@query("workflow_missing_runs", f"""WITH {STORM}, have AS (SELECT DISTINCT run, aep, duration, tp FROM storm WHERE location <> 'CANADA' AND abs_max > 30000), sets AS (SELECT run, aep, duration FROM have GROUP BY ALL),
- miss AS (SELECT s.run, s.aep, s.duration, 'TP' || lpad(CAST(i AS VARCHAR), 2, '0') AS tp FROM sets s CROSS JOIN range(1, 11) r(i)) SELECT m.run, m.aep, m.duration, m.tp FROM miss m ANTI JOIN have h ON m.run = h.run AND m.aep = h.aep AND m.duration = h.duration AND m.tp = h.tp""")
+@query("workflow_missing_runs", f"""WITH {STORM}, have AS (SELECT DISTINCT run, aep, duration, tp FROM storm WHERE abs_max > 85000), sets AS (SELECT run, aep, duration, count(*) AS n FROM have GROUP BY ALL),
+ miss AS (SELECT s.run, s.aep, s.duration, 'TP' || lpad(CAST(i AS VARCHAR), 2, '0') AS tp FROM sets s CROSS JOIN range(1, 8) r(i) WHERE EXISTS (SELECT 1 FROM sets WHERE n = 7))
+ SELECT m.run, m.aep, m.duration, m.tp FROM miss m ANTI JOIN have h ON m.run = h.run AND m.aep = h.aep AND m.duration = h.duration AND m.tp = h.tp""")
 def workflow_missing_runs(spark, d):
-    runs = storm(spark, d).filter("location <> 'CANADA' and abs_max > 30000").select(F.col("run").alias("trim_runcode"), "aep", "duration", "tp")
-    out = workflows.missing_runs_report(runs)["missing"]
-    return out.select(F.col("trim_run_code").alias("run"), "aep", "duration", F.explode(F.split("missing_tp", ",")).alias("tp")) if dict(out.dtypes)["missing_tp"] == "string" else out.select(F.col("trim_run_code").alias("run"), "aep", "duration", F.explode("missing_tp").alias("tp"))
+    runs = storm(spark, d).filter("abs_max > 85000").select(F.col("run").alias("trim_runcode"), "aep", "duration", "tp")
+    out = workflows.missing_runs_report(runs, 7)["missing"]
+    return out.select(F.col("trim_run_code").alias("run"), "aep", "duration", F.col("missing_tp").alias("tp"))
 
 
 @query("workflow_report_facts", f"WITH {STORM} SELECT 'storm rows' AS name, CAST(count(*) AS VARCHAR) AS value FROM storm UNION ALL SELECT 'events rows', CAST(count(*) AS VARCHAR) FROM events UNION ALL SELECT 'Source directories', string_agg(DISTINCT '/runs/' || event_type, chr(10) ORDER BY '/runs/' || event_type) FROM events UNION ALL VALUES ('made by', 'me')")
@@ -156,13 +157,13 @@ def combined_culverts(spark, d):
     return out.select(F.col("Name").alias("name"), F.col("US_X").alias("us_x"), F.round("Angle_Degrees", 6).alias("degrees"))
 
 
-@query("profile_areas", "SELECT s_suppkey AS k, round((2.0 + s_suppkey % 5) / 2 * (2.0 + s_suppkey % 5), 6) AS below, round((2.0 + s_suppkey % 5) / 2 * (2.0 + s_suppkey % 5), 6) AS above FROM supplier")
+@query("profile_areas", "SELECT s_suppkey AS k, CAST((2 + s_suppkey % 5) * (2 + s_suppkey % 5) AS DOUBLE) AS below, CAST((2 + s_suppkey % 5) * (2 + s_suppkey % 5) AS DOUBLE) AS above FROM supplier")
 def profile_areas(spark, d):
-    """A step of height h at x = h against a line of slope one half from the origin: two equal triangles up to x = 2 h."""
-    h = 2.0 + F.col("s_suppkey") % 5
-    each = F.array(*[F.struct((h * a).alias("x"), (h * b).alias("y")) for a, b in ((0.0, 0.0), (1.0, 0.0), (1.0 + 1e-12, 1.0), (2.0, 1.0))])
-    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), h.alias("h"), F.explode(each).alias("p")).select("k", "p.x", "p.y", F.col("h").alias("cx"), (F.col("h") / 2).alias("cy"), F.lit(0.5).alias("s"))
-    return survey.profile_areas(rows, ["k"], "x", "y", "cx", "cy", "s").select("k", F.round(F.col("below") * 4, 6).alias("below"), F.round(F.col("above") * 4, 6).alias("above"))
+    """A profile that is flat, rises twice as steep as the line and is flat again: two triangles of equal area."""
+    corners = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in ((0.0, 0.0), (1.0, 0.0), (3.0, 4.0), (4.0, 4.0))])
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), (2.0 + F.col("s_suppkey") % 5).alias("h"), F.explode(corners).alias("p"))
+    rows = rows.select("k", (F.col("p.x") * F.col("h")).alias("x"), (F.col("p.y") * F.col("h")).alias("y"), (2 * F.col("h")).alias("cx"), (2 * F.col("h")).alias("cy"), F.lit(1.0).alias("s"))
+    return survey.profile_areas(rows, ["k"], "x", "y", "cx", "cy", "s")
 
 
 @query("workflow_hydrologic_closures", """WITH f AS (SELECT n_nationkey AS n, tp, i, CAST((n_nationkey + tp * 3 + i * 5) % 17 AS DOUBLE) AS v FROM nation CROSS JOIN range(1, 6) t(tp) CROSS JOIN range(0, 24) s(i))

@@ -94,14 +94,13 @@ def column_names(heads: Column, sample: Column) -> Column:
     ink = F.array_join(F.transform(places, lambda i: F.when(F.exists(heads, lambda h: at(h, i) != " "), "#").otherwise(" ")), "")
     begins = F.filter(places, lambda i: (at(sample, i) != " ") & ((i == 1) | (at(sample, i - 1) == " ")))
     ends = F.filter(places, lambda i: (at(sample, i) != " ") & (at(sample, i + 1) == " "))
-    words = F.arrays_zip(begins.alias("a"), ends.alias("z"))
     ink_from = lambda i: F.length(F.regexp_extract(F.substring(ink, i, width), "^(#*)", 1))
     ink_up_to = lambda i: F.length(F.regexp_extract(F.substring(ink, F.lit(1), i), "(#*)$", 1))
     after = lambda k: F.coalesce(F.get(begins, k + 1), width + 1)
     last = lambda k: F.least(F.get(ends, k) + ink_from(F.get(ends, k) + 1), after(k) - 1)
 
     def name(word: Column, k: Column) -> Column:
-        first = F.greatest(word["a"] - ink_up_to(word["a"] - 1), F.coalesce(F.when(k > 0, last(k - 1)), F.lit(0)) + 1)
+        first = F.greatest(word - ink_up_to(word - 1), F.coalesce(F.when(k > 0, last(k - 1)), F.lit(0)) + 1)
         parts = F.transform(heads, lambda h: F.trim(F.substring(h, first, last(k) - first + 1)))
         label = F.array_join(F.filter(parts, lambda p: p != ""), " ")
         for old, new in LABELS.items():
@@ -110,7 +109,7 @@ def column_names(heads: Column, sample: Column) -> Column:
         letter = F.element_at(parts, -1)
         return F.when(letter.rlike(r"^\p{L}$"), F.concat(F.lit("Sub-area "), letter)).otherwise(F.coalesce(label, F.concat(F.lit("Column "), (k + 1).cast("string"))))
 
-    return F.transform(words, name)
+    return F.transform(begins, name)
 
 
 def _rainfall_files(lines: DataFrame, start: int, end: int, heads: int) -> DataFrame:
