@@ -32,6 +32,8 @@ TRAIN_ROWS = 20_000
 LANGUAGES = 512
 #: Characters of texts that are counted at a time, and entries of the product that are held at a time.
 BLOCK, ENTRIES = 1 << 17, 1 << 20
+#: Texts whose scores are held at a time.
+TEXTS = 1024
 UNDETERMINED = "und"
 #: Languages of a block, their log-probabilities by bucket and language, their log prior.
 Part = tuple[list[str], np.ndarray, np.ndarray]
@@ -135,27 +137,34 @@ def _part(counted: DataFrame, langs: list[str], seen: dict[str, int], learned: i
 
 def judge(texts: list[str | None], parts: list[Part]) -> tuple[list[str], np.ndarray]:
     """The most probable language of each text and its posterior probability."""
-    known = [k for k, t in enumerate(texts) if parts and has_letter(t)]
-    counts = list(bucket_matrix([texts[k] for k in known]))
     said, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-    best, total, names = np.full(len(known), -np.inf), np.full(len(known), -np.inf), np.full(len(known), UNDETERMINED, object)
-    for langs, logs, prior in parts if known else []:
-        points, step = np.tile(prior, (len(known), 1)), max(1, ENTRIES // len(langs))
-        for row, bucket, n in counts:
+    known = [k for k, t in enumerate(texts) if parts and has_letter(t)]
+    for first in range(0, len(known), TEXTS):
+        own = known[first : first + TEXTS]
+        score[own], names = _judged([texts[k] for k in own], parts)
+        for k, name in zip(own, names, strict=True):
+            said[k] = name
+    return said, score
+
+
+def _judged(texts: list[str], parts: list[Part]) -> tuple[np.ndarray, np.ndarray]:
+    """(posterior probability, language) of texts with a letter; entries of the sparse matrix are dropped as they are used."""
+    points = [np.tile(prior, (len(texts), 1)) for _, _, prior in parts]
+    for row, bucket, n in bucket_matrix(texts):
+        for (langs, logs, _), own_points in zip(parts, points, strict=True):
+            step = max(1, ENTRIES // len(langs))
             for k in range(0, len(row), step):
                 own = slice(k, k + step)
                 first = np.flatnonzero(np.append(True, row[own][1:] != row[own][:-1]))
-                points[row[own][first]] += np.add.reduceat(n[own, None] * logs[bucket[own]].astype(np.float64), first)
-        top = points.argmax(axis=1)
-        most = points[np.arange(len(known)), top]
-        total = np.logaddexp(total, most + np.log(np.exp(points - most[:, None]).sum(axis=1)))
+                own_points[row[own][first]] += np.add.reduceat(n[own, None] * logs[bucket[own]].astype(np.float64), first)
+    best, total, names = np.full(len(texts), -np.inf), np.full(len(texts), -np.inf), np.full(len(texts), UNDETERMINED, object)
+    for (langs, _, _), own_points in zip(parts, points, strict=True):
+        top = own_points.argmax(axis=1)
+        most = own_points[np.arange(len(texts)), top]
+        total = np.logaddexp(total, most + np.log(np.exp(own_points - most[:, None]).sum(axis=1)))
         better = most > best
         best, names = np.where(better, most, best), np.where(better, np.array(langs, object)[top], names)
-    if known:
-        score[known] = np.minimum(np.exp(best - total), 1)
-        for k, name in zip(known, names, strict=True):
-            said[k] = name
-    return said, score
+    return np.minimum(np.exp(best - total), 1), names
 
 
 def scorer(shared: list) -> Callable[[Iterator[pd.Series]], Iterator[pd.DataFrame]]:
