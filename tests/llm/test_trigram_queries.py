@@ -83,3 +83,8 @@ def test_random_patterns_lose_no_match(flags):
             index = secrets.postings(data, offsets, np.array(sorted(frozenset().union(*query)), np.int32))
             assert matching <= set(secrets.candidates(index, query, len(texts)).tolist()), rule.pattern.pattern
     assert hits > 1000
+
+
+def test_rules_are_scanned_in_full_without_a_parser(monkeypatch):
+    monkeypatch.setattr(secrets, "_PARSER", None)
+    assert secrets.queries(secrets.BASE + secrets.ADDED) == [None] * len(secrets.BASE + secrets.ADDED)

@@ -17,7 +17,6 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from re import _parser
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +24,8 @@ from pyspark.sql import DataFrame
 
 from tidewell.llm.common import flat, groups, table
 
+#: Python's own parser of regexes, which has no public name; without it every rule is sought in all of every text.
+_PARSER = getattr(re, "_parser", None)
 #: Texts are indexed in blocks of about this many bytes, one text at least.
 BLOCK = 1 << 20
 PIECE = 1 << 20
@@ -171,7 +172,9 @@ def parsed(items, flags: int) -> Part:
 
 def query_of(pattern: re.Pattern) -> Query:
     """A query that each text with a match of the pattern fits."""
-    return parsed(_parser.parse(pattern.pattern, pattern.flags), pattern.flags).open().query
+    if _PARSER is None:
+        return ANY
+    return parsed(_PARSER.parse(pattern.pattern, pattern.flags), pattern.flags).open().query
 
 
 def queries(rules: tuple[Rule, ...]) -> list[list[frozenset[int]] | None]:
