@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell import workflows
-from tidewell.operators import dictionary, polygons
+from tidewell.operators import combine, dictionary, polygons
 from tidewell.sources import files, sinks
 
 
@@ -124,3 +124,18 @@ def test_only_chosen_runs_are_read(spark, tmp_path, monkeypatch):
     assert re.search(r"PartitionFilters: \[[^\]]*internalName#\d+ (= R3|IN \(R3\))", got._jdf.queryExecution().executedPlan().toString())
     monkeypatch.setattr(sinks, "CHOSEN", 0)
     assert workflows.critical_series(spark, str(tmp_path / "cache"), spark.read.parquet(str(tmp_path / "peaks"))).count() == 3
+
+
+@pytest.mark.parametrize("spread", [0.5, 5.0, 60.0])
+def test_nearest_points(spark, spread):
+    rnd = random.Random(3)
+    draw = lambda n, first: [(first + i, round(rnd.gauss(0, spread), 2), round(rnd.gauss(0, spread), 2)) for i in range(n)]
+    left, right = draw(150, 0), draw(200, 1000)
+    right += [(2000 + i, x, y) for i, (_, x, y) in enumerate(right[:20])]  # equal places
+    got = combine.nearest(spark.createDataFrame(left, "l long, x double, y double"), spark.createDataFrame(right, "r long, x double, y double"), "l", "r", "x", "y", 3.0)
+    want = {}
+    for n, x, y in left:
+        near = min(((x - u) * (x - u) + (y - v) * (y - v), r) for r, u, v in right)
+        if near[0] <= 9.0:
+            want[n] = near[1]
+    assert {r["l"]: r["r"] for r in got.collect()} == want

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from string import Formatter
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewell.functions import scenario
+
 
 def arf_short(area: Column, duration: Column, aep: Column) -> Column:
     """Areal reduction factor for durations of up to 12 hours; area in km2, duration in minutes, aep as a fraction.
@@ -79,7 +82,11 @@ MATERIALS = {"C": "CORRUGATED_STEEL", "R": "CONCRETE"}
 
 @dataclass(frozen=True)
 class CrossingOptions:
-    """How culvert maxima become crossings; the defaults are fixed values."""
+    """How culvert maxima become crossings; the defaults are fixed values.
+
+    ``flow`` (of the design flow), ``roadway`` (of height and crest) and ``barrel_count`` (of area and height) take the place
+    of the rules for these parts; each gives a column of the same shape.
+    """
 
     least_flow: float = 0.005
     minimum_factor: float = 0.9
@@ -92,6 +99,9 @@ class CrossingOptions:
     material: str = "CONCRETE"
     shapes: Mapping[str, str] = field(default_factory=lambda: SHAPES)
     materials: Mapping[str, str] = field(default_factory=lambda: MATERIALS)
+    flow: Callable[[Column], Column] | None = None
+    roadway: Callable[[Column, Column], Column] | None = None
+    barrel_count: Callable[[Column, Column], Column] | None = None
 
 
 def _of(flag: Column, known: Mapping[str, str]) -> Column:
@@ -115,6 +125,7 @@ def crossing(
     least, most = F.greatest(F.lit(o.least_flow), design * o.minimum_factor), F.greatest(design + o.least_flow, design * o.maximum_factor)
     chosen = F.when(least >= design, least + o.least_flow).otherwise(design)
     flows = F.struct(least.alias("minimum"), chosen.alias("design"), F.when(chosen >= most, chosen + o.least_flow).otherwise(most).alias("maximum"))
+    flows = flows if o.flow is None else o.flow(flow)
     bed = F.least(ds_invert, ds_level - o.tailwater_gap)
     tailwater = F.struct(ds_level.alias("elevation"), bed.alias("invert"))
     top = lambda obvert, invert: F.coalesce(F.nullif(obvert, F.lit(0.0)), invert + height)
@@ -122,15 +133,28 @@ def crossing(
     crest = F.greatest(*levels) + max(0.0, o.crest_offset)
     width = F.greatest(F.lit(o.least_width), height * o.width_factor)
     roadway = F.struct(width.alias("width"), F.array(-width / 2, F.lit(0.0), width / 2).alias("stations"), F.array(crest, crest, crest).alias("elevations"))
+    roadway = roadway if o.roadway is None else o.roadway(height, crest)
     hint = F.lit("") if channel is None else F.element_at(F.split(F.coalesce(channel, F.lit("")), "_"), -1)
     shape = F.coalesce(_of(flag, o.shapes), _of(hint, o.shapes), F.lit("CIRCLE"))
     counted = (area > 0) & (shape == "CIRCLE")
+    barrels = F.when(counted, barrel_count(area, circle_area(height))).otherwise(max(1, o.barrels)) if o.barrel_count is None else o.barrel_count(area, height)
     barrel = F.struct(
         height.alias("span"), height.alias("rise"), us_invert.alias("us_invert"), ds_invert.alias("ds_invert"), F.coalesce(length, F.lit(0.0)).alias("length"), shape.alias("shape"),
-        F.coalesce(_of(flag, o.materials), F.lit(o.material)).alias("material"), F.when(counted, barrel_count(area, circle_area(height))).otherwise(max(1, o.barrels)).alias("barrels"),
+        F.coalesce(_of(flag, o.materials), F.lit(o.material)).alias("material"), barrels.alias("barrels"),
     )
     return F.when(valid, F.struct(flows.alias("flow"), tailwater.alias("tailwater"), roadway.alias("roadway"), barrel.alias("barrel")))
 
 
+def crossing_name(internal: Column, trimmed: Column, channel: Column, template: str = "{internal}_{channel}") -> Column:
+    """A crossing's name: slugs of run and channel put into a template; of what is blank, the run's code or plain words."""
+    run = scenario.slug(scenario.first_text(internal, trimmed, F.lit("Scenario")), "Scenario")
+    parts = {"internal": run, "channel": scenario.slug(scenario.first_text(channel, F.lit("CHAN")), "CHAN")}
+    pieces = [p for p in Formatter().parse(template)]
+    if any(field is not None and field not in parts for _, field, _, _ in pieces):
+        raise ValueError(f"a crossing's name is made of {', '.join(parts)}, not of {template!r}")
+    text = F.concat(*[F.concat(F.lit(plain), parts[field] if field else F.lit("")) for plain, field, _, _ in pieces])
+    return F.coalesce(F.nullif(scenario.slug(text, ""), F.lit("")), run)
+
+
 def wkt_line(points: list[tuple[Column, Column]]) -> Column:
     return F.concat(F.lit("LINESTRING ("), F.concat_ws(", ", *[F.format_string("%.3f %.3f", x, y) for x, y in points]), F.lit(")"))

@@ -70,3 +70,23 @@ def unique_sorted(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     plain = F.forall(numbers, lambda x: x["n"].isNotNull())
     by_number = F.transform(F.array_sort(numbers), lambda x: x["t"])
     return one.select(*keys, F.when(plain, by_number).otherwise(F.array_sort("_v")).alias("values"))
+
+
+def clean_numbers(df: DataFrame, doubles: Sequence[str] = (), integers: Sequence[str] = ()) -> DataFrame:
+    """Columns as numbers: what isn't one is 0 in ``doubles`` and null in ``integers``; columns that aren't there are left out."""
+    as_double = {c: F.coalesce(F.nanvl(quoted(c).cast("string").try_cast("double"), F.lit(None)), F.lit(0.0)) for c in doubles if c in df.columns}
+    whole = lambda c: quoted(c).cast("string").try_cast("double")
+    as_long = {c: F.when(whole(c) == F.floor(whole(c)), whole(c).try_cast("long")) for c in integers if c in df.columns}
+    return df.withColumns(as_double | as_long)
+
+
+def number_or(text: Column, default: float | int | None, kind: str = "double") -> Column:
+    """A text as a number, or the default where it isn't one."""
+    return F.coalesce(F.trim(text).try_cast(kind), F.lit(default).cast(kind))
+
+
+def grouping_keys(df: DataFrame, optional: Sequence[str], required: Sequence[str]) -> list[str]:
+    """Those of the optional keys that there are, and the required ones; an error names what is required and missing."""
+    if missing := [c for c in required if c not in df.columns]:
+        raise KeyError(f"no column {', '.join(missing)} to group by; there are {', '.join(df.columns)}")
+    return [c for c in (*optional, *required) if c in df.columns]

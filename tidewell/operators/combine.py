@@ -104,14 +104,31 @@ def weighted_mean(df: DataFrame, keys: Sequence[str], value: str, weight: str) -
     return df.groupBy(*keys).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("weighted_mean"))
 
 
+#: Parts of a grid cell's side that dense cells are told apart by.
+FINE = 8
+
+
 def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, x: str, y: str, max_dist: float) -> DataFrame:
-    """The nearest right point within ``max_dist`` of each left point, by an equi-join of grid cells of that size."""
-    cell = lambda c: F.floor(F.col(c) / max_dist)
+    """The nearest right point within ``max_dist`` of each left point; of several as near the one of the least id.
+
+    Cells of a grid of that size are cut into small ones. A left point meets the small cells that hold any point, 64 of each
+    of nine cells at most, and keeps those whose nearest corner is no farther than the farthest corner of another; only the
+    points in these are measured, however many lie in the cells around.
+    """
+    small = max_dist / FINE
+    at = lambda c, size: F.floor(F.col(c) / size)
+    points = right.select(right_id, F.col(x).alias("_rx"), F.col(y).alias("_ry"), at(x, small).alias("_u"), at(y, small).alias("_v"))
+    held = points.select("_u", "_v").distinct().select(F.floor(F.col("_u") / FINE).alias("_i"), F.floor(F.col("_v") / FINE).alias("_j"), "_u", "_v")
     around = F.explode(F.expr("transform(sequence(0, 8), i -> named_struct('i', cast(i div 3 as long) - 1, 'j', i % 3 - 1))"))
-    probe = left.select(left_id, F.col(x).alias("_x"), F.col(y).alias("_y"), around.alias("_o"), cell(x).alias("_i"), cell(y).alias("_j"))
+    probe = left.select(left_id, F.col(x).alias("_x"), F.col(y).alias("_y"), around.alias("_o"), F.floor(at(x, small) / FINE).alias("_i"), F.floor(at(y, small) / FINE).alias("_j"))
     probe = probe.select(left_id, "_x", "_y", (F.col("_i") + F.col("_o.i")).alias("_i"), (F.col("_j") + F.col("_o.j")).alias("_j"))
-    hits = probe.join(right.select(right_id, F.col(x).alias("_rx"), F.col(y).alias("_ry"), cell(x).alias("_i"), cell(y).alias("_j")), ["_i", "_j"])
-    d2 = (F.col("_x") - F.col("_rx")) * (F.col("_x") - F.col("_rx")) + (F.col("_y") - F.col("_ry")) * (F.col("_y") - F.col("_ry"))
-    near = hits.withColumn("_d2", d2).filter(F.col("_d2") <= max_dist * max_dist)
-    best = near.groupBy(left_id).agg(F.min(F.struct("_d2", right_id)).alias("b"))
+    away = lambda p, c: F.greatest(F.lit(0.0), F.col(c) * small - F.col(p), F.col(p) - (F.col(c) + 1) * small)
+    across = lambda p, c: F.greatest(F.abs(F.col(p) - F.col(c) * small), F.abs(F.col(p) - (F.col(c) + 1) * small))
+    square = lambda a, b: a * a + b * b
+    met = probe.join(held, ["_i", "_j"]).withColumns({"_low": square(away("_x", "_u"), away("_y", "_v")), "_high": square(across("_x", "_u"), across("_y", "_v"))})
+    met = met.filter(F.col("_low") <= max_dist * max_dist * (1 + 1e-9))
+    own = met.groupBy(left_id, "_x", "_y").agg(F.min("_high").alias("_most"), F.collect_list(F.struct("_u", "_v", "_low")).alias("_cells"))
+    kept = own.select(left_id, "_x", "_y", F.explode(F.filter("_cells", lambda c: c["_low"] <= F.col("_most") * (1 + 1e-9))).alias("_c"))
+    near = kept.select(left_id, "_x", "_y", "_c._u", "_c._v").join(points, ["_u", "_v"]).withColumn("_d2", square(F.col("_x") - F.col("_rx"), F.col("_y") - F.col("_ry")))
+    best = near.filter(F.col("_d2") <= max_dist * max_dist).groupBy(left_id).agg(F.min(F.struct("_d2", right_id)).alias("b"))
     return best.select(left_id, F.col(f"b.{right_id}").alias(right_id), F.sqrt("b._d2").alias("distance"))

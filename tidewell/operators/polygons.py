@@ -78,25 +78,20 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, x: str, y: str, k
     return met.filter("inside").select(*points.columns, key).unionByName(near.select(*points.columns, key))
 
 
-def clipped(df: DataFrame, vertices: str, x0: Column, y0: Column, x1: Column, y1: Column) -> DataFrame:
-    """``df`` with ``vertices`` cut down to a rectangle, one side after the other."""
-    none = F.array().cast(f"array<{POINT}>")
+def clipped(vertices: Column, sides: Column) -> Column:
+    """The vertices of what is left of a polygon within half-planes (a, b, c): where a x + b y is c at least."""
+    shape = f"array<{POINT}>"
+    beyond = lambda p, s: s["a"] * p["x"] + s["b"] * p["y"] - s["c"]
 
-    def cut(axis: str, limit: Column, sign: int) -> Column:
-        other = "y" if axis == "x" else "x"
-        within = lambda p: p[axis] * sign >= limit * sign
+    def meeting(p: Column, q: Column, s: Column) -> Column:
+        share = beyond(p, s) / (beyond(p, s) - beyond(q, s))
+        return point(p["x"] + share * (q["x"] - p["x"]), p["y"] + share * (q["y"] - p["y"]))
 
-        def meeting(a: Column, b: Column) -> Column:
-            v = a[other] + (limit - a[axis]) * (b[other] - a[other]) / (b[axis] - a[axis])
-            return point(limit, v) if axis == "x" else point(v, limit)
+    def cut(own: Column, s: Column) -> Column:
+        step = lambda p, q: F.concat(F.when((beyond(p, s) >= 0) != (beyond(q, s) >= 0), F.array(meeting(p, q, s))).otherwise(F.array().cast(shape)), F.when(beyond(q, s) >= 0, F.array(q)).otherwise(F.array().cast(shape)))
+        return F.flatten(F.zip_with(own, turned(own), step)).cast(shape)
 
-        own = F.col(vertices)
-        step = lambda a, b: F.when(within(b), F.when(within(a), F.array(b)).otherwise(F.array(meeting(a, b), b))).otherwise(F.when(within(a), F.array(meeting(a, b))).otherwise(none))
-        return F.flatten(F.zip_with(own, turned(own), step))
-
-    for axis, limit, sign in (("x", x0, 1), ("x", x1, -1), ("y", y0, 1), ("y", y1, -1)):
-        df = df.withColumn(vertices, cut(axis, limit, sign))
-    return df
+    return F.aggregate(sides, vertices.cast(shape), cut)
 
 
 def cell_areas(polygons: DataFrame, key: str, vertices: str, size: float) -> DataFrame:
@@ -104,8 +99,10 @@ def cell_areas(polygons: DataFrame, key: str, vertices: str, size: float) -> Dat
     cells = covering(polygons, key, vertices, size)
     own = polygons.select(key, F.transform(F.col(vertices), lambda p: point(p["x"], p["y"])).alias("_v"))
     border = cells.filter(~F.col("inside")).join(own, key)
-    at = lambda c, k: (F.col(c) + k) * size
-    cut = clipped(border, "_v", at("i", 0), at("j", 0), at("i", 1), at("j", 1)).select(key, "i", "j", area(F.col("_v")).alias("area")).filter("area > 0")
+    side = lambda x, y, c: F.struct(F.lit(float(x)).alias("a"), F.lit(float(y)).alias("b"), (c * float(size)).cast("double").alias("c"))
+    sides = F.array(side(1, 0, F.col("i")), side(-1, 0, -F.col("i") - 1), side(0, 1, F.col("j")), side(0, -1, -F.col("j") - 1))
+    left = border.select(key, "i", "j", clipped(F.col("_v"), sides).alias("_left"))
+    cut = left.select(key, "i", "j", area(F.col("_left")).alias("area")).filter("area > 0")
     return cells.filter("inside").select(key, "i", "j", F.lit(float(size * size)).alias("area")).unionByName(cut)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +25,19 @@ def allowed(name: Column, include: Sequence[str], exclude: Sequence[str] = (), c
     return inside & ~own.isin([fold(x) for x in exclude]) if exclude else inside
 
 
+def containing(df: DataFrame, column: str, part: str) -> DataFrame:
+    """Rows whose column contains the text, whatever the case; all rows if none does."""
+    hit = F.coalesce(F.contains(F.lower(F.col(f"`{column}`")), F.lit(part.lower())), F.lit(False))
+    some = df.agg(F.coalesce(F.max(hit), F.lit(False)).alias("_some"))
+    return df.join(F.broadcast(some), hit | ~F.col("_some")).drop("_some")  # one row
+
+
+def filtered_tables(tables: Mapping[str, DataFrame], wanted: Sequence[str]) -> dict[str, DataFrame]:
+    """The tables of several data types with the wanted entities alone; those that are left without rows go."""
+    own = {k: entity_filter(df, wanted) for k, df in tables.items()}
+    return {k: df for k, df in own.items() if not df.isEmpty()}
+
+
 def drop_all_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.dropna(how="all", subset=list(columns))
 

@@ -169,3 +169,12 @@ def level_crossings(df: DataFrame, keys: Sequence[str], x: str, y: str, level: C
     line = Window.partitionBy(*keys).orderBy(x, y)
     d = df.withColumn("_d", F.col(y) - level).withColumns({"_x0": F.lag(x).over(line), "_d0": F.lag("_d").over(line)})
     return d.filter("_d0 * _d < 0").withColumn("crossing", F.col("_x0") + (F.col(x) - F.col("_x0")) * F.col("_d0") / (F.col("_d0") - F.col("_d"))).drop("_d", "_x0", "_d0")
+
+
+def plot_times(df: DataFrame, keys: Sequence[str], order: Sequence[str], time: str = "Time", name: str = "plot_time") -> DataFrame:
+    """``df`` with a time to draw by: the column's timestamp, rows without one left out; the row's place where there is no such column."""
+    if time in df.columns:
+        kind = dict(df.dtypes)[time]
+        own = F.col(time).cast("timestamp") if kind.startswith(("timestamp", "date")) else F.try_to_timestamp(F.col(time).cast("string"))
+        return df.withColumn(name, own).filter(F.col(name).isNotNull())
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)

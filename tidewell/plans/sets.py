@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell import workflows
-from tidewell.operators import combine, dictionary, polygons
+from tidewell.functions import hydro
+from tidewell.operators import combine, dictionary, polygons, quality
 from tidewell.plans.bindings import STORM, storm, table
 from tidewell.plans.catalog import NAME, ORACLE_SQL, POINTS, _names, _points, query
 from tidewell.plans.reports import _cmx_lines, _po, _pomm, joined, lines_of, text
@@ -199,3 +200,45 @@ def weighted_maxima(spark, d):
     own = rows.groupBy("internalName", "Chan ID").agg(F.max("Q").alias("q"), F.max("V").alias("v")).filter("q is not null")
     out = combine.weighted_mean(own.filter("v > 0"), ["internalName"], "q", "v")
     return out.select(F.regexp_extract("internalName", r"^R(\d+)", 1).cast("long").alias("run"), F.round("weighted_mean", 4).alias("mean"))
+
+
+@query("name_contains", "SELECT page_id, url FROM pages WHERE contains(lower(url), 'example') OR NOT EXISTS (SELECT 1 FROM pages WHERE contains(lower(url), 'example'))")
+def name_contains(spark, d):
+    return quality.containing(table(spark, d, "pages").select("page_id", "url"), "url", "EXAMPLE")
+
+
+@query("crossing_names", """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN 'Scenario' WHEN l_linenumber % 3 = 1 THEN 'Run_' || l_orderkey ELSE 'R_' || l_orderkey END || '_at_' || CASE WHEN l_linenumber % 2 = 0 THEN 'CHAN' ELSE 'C_' || l_linenumber END AS name FROM lineitem""")
+def crossing_names(spark, d):
+    n, key = F.col("l_linenumber"), text(F.col("l_orderkey"))
+    internal = F.when(n % 3 == 1, F.concat(F.lit("Run #"), key)).otherwise(" ")
+    trimmed = F.when(n % 3 == 2, F.concat(F.lit("R+"), key))
+    channel = F.when(n % 2 == 1, F.concat(F.lit("C."), text(n)))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", hydro.crossing_name(internal, trimmed, channel, "{internal} at {channel}").alias("name"))
+
+
+@query("page_arrays", "SELECT page_id, 'rows' AS variable, 0 AS place, url AS u FROM pages WHERE page_id % 5 > 0 UNION ALL SELECT page_id, 'more', i::INTEGER, CAST(page_id + i AS VARCHAR) FROM pages CROSS JOIN range(0, 2) r(i) WHERE page_id % 5 > 0")
+def page_arrays(spark, d):
+    k = F.col("page_id")
+    rows = F.to_json(F.array(F.create_map(F.lit("u"), F.col("url"))))
+    more = F.concat(F.lit('[{"u": "'), text(k), F.lit('",}, {"u": '), text(k + 1), F.lit("},]"))
+    html = F.when(k % 5 > 0, F.concat(F.lit("<script>var rows = "), rows, F.lit("; var more = "), more, F.lit("; x = 1;</script>"))).otherwise("nothing here")
+    found, _ = readers.js_arrays(table(spark, d, "pages").select("page_id", "url", html.alias("html")), ["rows", "more"], "page_id")
+    return found.select("page_id", "variable", "place", F.col("entry")["u"].alias("u"))
+
+
+@query("page_failures", "SELECT page_id, 'has no more, has no rows' AS reason FROM pages WHERE page_id % 5 = 0")
+def page_failures(spark, d):
+    k = F.col("page_id")
+    html = F.when(k % 5 > 0, F.lit('var rows = []; var more = [{"u": 1}];')).otherwise("nothing here")
+    return readers.js_arrays(table(spark, d, "pages").select("page_id", html.alias("html")), ["rows", "more"], "page_id")[1]
+
+
+@query("design_rainfall_kinds", "SELECT 'Town' || n_nationkey AS location, k AS kind, 1::BIGINT AS n_files, 6::BIGINT AS n_rows FROM nation CROSS JOIN (VALUES ('ifds'), ('rare'), ('very_frequent')) x(k)")
+def design_rainfall_kinds(spark, d):
+    n = F.col("n_nationkey")
+    head = F.array(*[F.lit("c")] * 4, F.lit("x,Town"), F.lit("x,Requested,1,long,1"), F.lit("x,Nearest,1,long,1"), F.lit("note"), F.lit("Duration,Duration in min,1EY,1%"))
+    body = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.concat(text(i), F.lit(" min,"), text(i), F.lit(","), text(i * (n + 1)), F.lit(","), text(i)))
+    kinds = F.explode(F.array(*[F.lit(x) for x in (*hydrology.DESIGN_KINDS, "_other")]))
+    each = table(spark, d, "nation").select(n, kinds.alias("mark"))
+    lines = each.select(F.concat(F.lit("/r/Town"), text(n), "mark", F.lit("_depths.csv")).alias("path"), F.posexplode(F.concat(head, body)).alias("line", "text"))
+    return hydrology.combined_design_rainfall(lines)[1]

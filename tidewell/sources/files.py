@@ -130,3 +130,11 @@ def duplicate_actions(files: DataFrame, across: bool = True, placeholder: str =
     writes = F.when(F.col("folder") != F.col("_folder"), F.array(act("placeholder", F.concat(paths[0], F.lit(placeholder)), paths))).otherwise(F.array().cast("array<struct<action:string,path:string,files:array<string>>>"))
     each = rows.select("keep", "suffix", "length", "digest", F.explode(F.concat(deletes, writes)).alias("a"))
     return each.select("a.action", "a.path", "keep", "suffix", "length", "digest", "a.files")
+
+
+def duplicate_report(actions: DataFrame) -> DataFrame:
+    """(keep, lines): for each kept file what a report says of it: its size and digest, and what is deleted and written."""
+    said = F.when(F.col("action") == "delete", F.concat(F.lit("delete "), "path")).otherwise(F.concat(F.lit("placeholder "), "path", F.lit(" for "), F.array_join("files", ", ")))
+    own = actions.groupBy("keep", "length", "digest").agg(F.sort_array(F.collect_list(said)).alias("said"), F.count(F.when(F.col("action") == "delete", 1)).alias("n"))
+    head = F.concat(F.lit("keep "), "keep", F.lit(" ("), F.col("length").cast("string"), F.lit(" bytes, "), "digest", F.lit("), "), F.col("n").cast("string"), F.lit(" deleted"))
+    return own.select("keep", F.concat(F.array(head), F.col("said")).alias("lines"))

@@ -205,6 +205,28 @@ def design_rainfall(lines: DataFrame, lookup: DataFrame | None = None, raw: str
     return out if lookup is None else out.join(lookup.withColumnRenamed(raw, "aep"), "aep", "left")
 
 
+#: What the names of design rainfall's files end with, and how the kinds are called.
+DESIGN_KINDS = {"_ifds": "ifds", "_rare": "rare", "_very_frequent": "very_frequent"}
+
+
+def design_kind(name: Column) -> Column:
+    """(location, kind) of a design rainfall file's name; null for others."""
+    hits = [F.when(F.instr(name, mark) > 0, F.struct(F.substring(name, F.lit(1), F.instr(name, mark) - 1).alias("location"), F.lit(kind).alias("kind"))) for mark, kind in DESIGN_KINDS.items()]
+    return F.coalesce(*hits)
+
+
+def combined_design_rainfall(lines: DataFrame, lookup: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``design_rainfall`` with location and kind, (location, kind, n_files, n_rows) of what there was)."""
+    from tidewell.sources.files import file_name
+
+    own = lines.withColumn("_k", design_kind(file_name(F.col("path")))).filter("_k is not null")
+    read = design_rainfall(own.select("path", "line", "text"), lookup)
+    rows = read.withColumn("_k", design_kind(file_name(F.col("path")))).withColumns({"location": F.col("_k.location"), "kind": F.col("_k.kind")}).drop("_k")
+    files = own.select("_k.*", "path").groupBy("location", "kind").agg(F.count_distinct("path").alias("n_files"))
+    counts = rows.groupBy("location", "kind").agg(F.count("*").alias("n_rows"))
+    return rows, files.join(counts, ["location", "kind"], "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+
+
 def hydrograph_name(name: Column) -> Column:
     """(creek, aep, duration, tp) of a hydrograph file's name; null for others."""
     p = r"(?i)^([^_]+)_\d+_\s*aep(\d+)_du(\d+)hourtp(\d+)"

@@ -234,6 +234,18 @@ def js_array(pages: DataFrame, variable: str, html: str = "html") -> DataFrame:
     return pages.withColumn("_o", F.from_json(tidy, "array<map<string,string>>")).select(*pages.columns, F.explode("_o").alias("entry"))
 
 
+def js_arrays(pages: DataFrame, variables: Sequence[str], key: str, html: str = "html") -> tuple[DataFrame, DataFrame]:
+    """((key, variable, place, entry), (key, reason)): the objects of several arrays of each page, and the pages that lack one
+    or whose array can't be read."""
+    array = lambda v: F.from_json(F.regexp_replace(F.regexp_extract(html, rf"(?s)\b{v}\s*=\s*(\[.*)", 1), r"""("(?:[^"\\]|\\.)*+")|,(?=\s*[\]}])""", "$1"), "array<map<string,string>>")
+    told = F.array(*[F.struct(F.lit(v).alias("variable"), F.coalesce(F.col(html), F.lit("")).rlike(rf"\b{v}\s*=\s*\[").alias("there"), array(v).alias("entries")) for v in variables])
+    each = pages.select(key, F.explode(told).alias("a")).select(key, "a.variable", "a.there", "a.entries")
+    rows = each.select(key, "variable", F.posexplode("entries").alias("place", "entry"))
+    reason = F.when(~F.col("there"), F.concat(F.lit("has no "), F.col("variable"))).when(F.col("entries").isNull(), F.concat(F.lit("can't read "), F.col("variable")))
+    failed = each.select(key, reason.alias("reason")).filter("reason is not null").groupBy(key).agg(F.array_join(F.sort_array(F.collect_list("reason")), ", ").alias("reason"))
+    return rows, failed
+
+
 def dbf_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(path, row, field, value) of dBASE tables read as binary files."""
     for batch in batches:

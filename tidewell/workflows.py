@@ -181,6 +181,13 @@ def critical_series(spark: SparkSession, cache: str, values: DataFrame, keys: Se
     return sinks.read_chosen(spark, cache, chosen, "internalName", ["Chan ID"])
 
 
+def crossing_project(crossings: DataFrame, title: str, designer: str = "", notes: str = "", by: Sequence[str] = ()) -> DataFrame:
+    """A project's record with its crossings (name, crossing) in order of their names; one for each group of ``by``, as a run's."""
+    own = crossings.filter(F.col("crossing").isNotNull())
+    listed = own.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("name", "crossing"))).alias("crossings"))
+    return listed.select(*by, F.lit(title).alias("title"), F.lit(designer).alias("designer"), F.lit(notes).alias("notes"), F.size("crossings").alias("n_crossings"), "crossings")
+
+
 def stability_report(tables: Mapping[str, DataFrame], kinds: Sequence[str] = ("PO", "Q"), **limits: float) -> Sheets:
     """Status of every series, and those that are unstable."""
     parts = []
