@@ -114,11 +114,11 @@ def workflow_culvert_statistics(spark, d):
     return out.select("aep_text", F.col("Chan ID").alias("channel"), "type", "trim_runcode", F.col("duration_text").alias("duration"), F.round(F.col("Q_median") + 1e-9, 4).alias("Q_median"), "adopted_name", "duration_bin")
 
 
-@query("workflow_missing_runs", f"""WITH {STORM}, have AS (SELECT DISTINCT run, aep, duration, tp FROM storm WHERE abs_max > 85000), sets AS (SELECT run, aep, duration, count(*) AS n FROM have GROUP BY ALL),
+@query("workflow_missing_runs", f"""WITH {STORM}, have AS (SELECT DISTINCT run, aep, duration, tp FROM storm WHERE abs_max > 102000), sets AS (SELECT run, aep, duration, count(*) AS n FROM have GROUP BY ALL),
  miss AS (SELECT s.run, s.aep, s.duration, 'TP' || lpad(CAST(i AS VARCHAR), 2, '0') AS tp FROM sets s CROSS JOIN range(1, 8) r(i) WHERE EXISTS (SELECT 1 FROM sets WHERE n = 7))
  SELECT m.run, m.aep, m.duration, m.tp FROM miss m ANTI JOIN have h ON m.run = h.run AND m.aep = h.aep AND m.duration = h.duration AND m.tp = h.tp""")
 def workflow_missing_runs(spark, d):
-    runs = storm(spark, d).filter("abs_max > 85000").select(F.col("run").alias("trim_runcode"), "aep", "duration", "tp")
+    runs = storm(spark, d).filter("abs_max > 102000").select(F.col("run").alias("trim_runcode"), "aep", "duration", "tp")
     out = workflows.missing_runs_report(runs, 7)["missing"]
     return out.select(F.col("trim_run_code").alias("run"), "aep", "duration", F.col("missing_tp").alias("tp"))
 
