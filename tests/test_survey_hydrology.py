@@ -50,10 +50,10 @@ def cells_of(lines, column):
 def test_rainfall_of_a_file(lines):
     text = "Time increment (hours)=  0.50\nother = 3\nTime  Mean  \n\nIncs        A\n   1   2.0  1.0\n\n   2   3.0  4.0\nend"
     other = lines("Time increment (hours)= 2\nTime Incs   A\n 1     x   5.0 9\n", "/r/b")
-    got = hydrology.rainfall(lines(text).union(other), 3, 8)
-    assert rows(got.filter("path = '/r/a'"), "increment", "time", "name", "value") == [
+    got = hydrology.rainfall(lines(text).union(lines("no step", "/r/c")), 6, 8, 2)
+    assert rows(got, "increment", "time", "name", "value") == [
         (1.0, 0.5, "Mean", 2.0), (1.0, 0.5, "Sub-area A", 0.0), (2.0, 1.0, "Mean", 3.0), (2.0, 1.0, "Sub-area A", 5.0), (3.0, 1.5, "Mean", 0.0), (3.0, 1.5, "Sub-area A", 0.0)]
-    assert rows(hydrology.rainfall(other, 3, 3), "increment", "time", "name", "value")[0] == (1.0, 2.0, "Column 2", 0.0)
+    assert rows(hydrology.rainfall(other, 3, 3, 1).filter("increment = 1"), "time", "name", "value") == [(2.0, "Column 4", 9.0), (2.0, "Incs", 0.0), (2.0, "Sub-area A", 5.0)]
     failed = hydrology.rainfall_failures(lines(text).union(lines("no step\n1 2\n", "/r/c")).union(lines("Time increment (hours)=1\n", "/r/d")), 3, 8)
     assert rows(failed, "path", "reason") == [("/r/c", "no time increment"), ("/r/d", "no rows of a table")]
 
@@ -62,7 +62,7 @@ def test_rainfall_table(lines):
     names = lambda heads, sample: cells_of(lines, hydrology.column_names(F.array(*[F.lit(h) for h in heads]), F.lit(sample)))
     assert names(["Time  Sub-         ", "Incs  catch        ", "      ment    A   B"], "   1   2.0  1.0 3.0") == ["Time Increment", "Sub-catchment area area", "Sub-area A", "Sub-area B"]  # fragments are replaced one after the other
     assert names(["Time  Mean   ", "Incs       A "], "  1   2.0  1.0") == ["Time Increment", "Mean", "Sub-area A"]
-    assert names(["ABCDEFGHIJKL"], "1 2   3") == ["AB", "CDEF", "GHIJKL"] and names(["x"], "  1      2") == ["x", "Column 2"] and names(["a  bb   "], "1     2 ") == ["Sub-area a", "Column 2"]
+    assert names(["ABCDEFGHIJKL"], "1 2   3") == ["AB", "CDEF", "GHIJKL"] and names(["x"], "  1      2") == ["Column 1", "Column 2"] and names(["a  bb   "], "1     2 ") == ["Sub-area a", "Column 2"]
     cells = hydrology.rainfall_cells(lines("head\n1 5.0 1.0\n\n2 x 2.0\n3 0 0.5"), 2, 5)
     got = hydrology.rainfall_table(cells, ["Time Increment", "Mean", "Sub-area A"], 0.5)
     assert rows(got.filter("name = 'Sub-area A'"), "increment", "time", "value") == [(1.0, 0.5, 0.0), (2.0, 1.0, 3.0), (3.0, 1.5, 0.5), (4.0, 2.0, 0.0)]
