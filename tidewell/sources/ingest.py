@@ -23,20 +23,6 @@ MANIFEST = "path string, data_type string, length long, modified timestamp, dige
 SUCCESS, FAILURE, REMOVED = "SUCCESS", "FAILURE", "REMOVED"
 
 
-def plain_path(path: Column) -> Column:
-    """A local file's path in one spelling, whichever reader gives it."""
-    return F.regexp_replace(path, "^file:/+", "file:/")
-
-
-def listing(spark: SparkSession, roots: str | Sequence[str], data_types: Sequence[str] | None = None) -> DataFrame:
-    """(path, length, modified, data_type) of the result files under the roots; no contents are read."""
-    found = files.find_files(spark, [roots] if isinstance(roots, str) else roots).select(plain_path(F.col("path")).alias("path"), "name", "length", "modified")
-    kinds = layouts.by_suffix()
-    kind = F.coalesce(*[F.when(F.lower("name").endswith(s.lower()), F.lit(t)) for s, t in kinds.items()])
-    out = found.select("path", "length", "modified", kind.alias("data_type")).filter("data_type is not null")
-    return out.filter(F.col("data_type").isin(list(data_types))) if data_types else out
-
-
 def manifest(spark: SparkSession, cache: str) -> DataFrame:
     """The last manifest row of each file that is still there."""
     known = versions.history(spark, cache)
@@ -48,7 +34,7 @@ def manifest(spark: SparkSession, cache: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, paths: list[str]) -> DataFrame:
-    raw = spark.read.text(paths, wholetext=True).select(plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value"))
+    raw = spark.read.text([readers.literal_path(p) for p in paths], wholetext=True).select(readers.read_path().alias("path"), F.col("value"))
     return raw.select("path", F.sha2("value", 256).alias("digest"), F.col("value").alias("content"))
 
 
@@ -57,15 +43,15 @@ def _lines(texts: DataFrame) -> DataFrame:
 
 
 def _digests(spark: SparkSession, paths: list[str]) -> DataFrame:
-    raw = spark.read.format("binaryFile").load(paths)
-    return raw.select(plain_path(F.col("path")).alias("path"), F.sha2("content", 256).alias("digest"))
+    raw = spark.read.format("binaryFile").load([readers.literal_path(p) for p in paths])
+    return raw.select(results.plain_path(F.col("path")).alias("path"), F.sha2("content", 256).alias("digest"))
 
 
 def refresh(spark: SparkSession, roots: str | Sequence[str], cache: str, data_types: Sequence[str] | None = None) -> dict[str, int]:
     """Brings the cache up to the files under the roots; returns how many were added, changed, touched, removed and left alone."""
     batch = uuid.uuid4().hex
     folder, work = f"{cache}/data/{batch}", f"{cache}/work/{batch}"
-    listing(spark, roots, data_types).write.parquet(f"{work}/listing")
+    results.listing(spark, roots, data_types).write.parquet(f"{work}/listing")
     now = spark.read.parquet(f"{work}/listing")
     known = manifest(spark, cache)
     if data_types:
@@ -105,7 +91,7 @@ def refresh(spark: SparkSession, roots: str | Sequence[str], cache: str, data_ty
             results.READERS[kind](lines).write.parquet(f"{folder}/rows/{kind}")
             status.append(_status(spark, f"{folder}/rows/{kind}", kind, layouts.faults(lines, layouts.LAYOUTS[kind])))
     if binary:
-        areas = results.channel_areas(readers.channel_areas(spark, binary)).withColumn("path", plain_path(F.col("path")))
+        areas = results.channel_areas(readers.channel_areas(spark, [readers.literal_path(p) for p in binary])).withColumn("path", results.plain_path(F.col("path")))
         areas.write.parquet(f"{folder}/rows/ccA")
         status.append(_status(spark, f"{folder}/rows/ccA", "ccA", spark.createDataFrame([], "path string, reason string")))
 

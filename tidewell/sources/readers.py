@@ -6,6 +6,7 @@ that lacks what the layout needs gives no rows and never fails the others.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -16,12 +17,23 @@ from tidewell.functions.scenario import dms_to_degrees, found
 from tidewell.operators import reshape
 
 
+def literal_path(path: str) -> str:
+    """A file's path as Spark takes it: what would be a pattern is escaped."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def read_path() -> Column:
+    """The path of the file that a row is read from, in the spelling of listings."""
+    encoded = F.regexp_replace("_metadata.file_path", "^file:/+", "file:/")
+    return F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
+
+
 def read_lines(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None) -> DataFrame:
     """Lines of small text files, each read whole so that lines keep their numbers."""
     reader = spark.read.option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    raw = reader.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
+    raw = reader.text(paths, wholetext=True).select(read_path().alias("path"), F.col("value"))
     return raw.select("path", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line", "text"))
 
 
@@ -68,7 +80,7 @@ def time_series(lines: DataFrame, kind: str, clean: str | None = None) -> DataFr
 def levels(lines: DataFrame) -> DataFrame:
     """(path, time, entity, us_h, ds_h) of a wide table of levels whose columns end in .1 and .2."""
     long = time_series(lines, "H").withColumn("value", number(F.col("value")))
-    out = reshape.suffix_pivot(long.select("path", "time", F.col("entity").alias("node"), "value"), ["path", "time"], "node", "value", {"1": "us_h", "2": "ds_h"})
+    out = reshape.suffix_pivot(long.select("path", "time", F.regexp_replace("entity", r" +(\.[^.]*)$", "$1").alias("node"), "value"), ["path", "time"], "node", "value", {"1": "us_h", "2": "ds_h"})
     return out.dropna(how="all", subset=["us_h", "ds_h"])
 
 
@@ -84,7 +96,7 @@ def point_output(lines: DataFrame) -> DataFrame:
     body = body.withColumn("_at", at).withColumn("time", number(F.get("cells", "_at"))).filter("time is not null")
     each = body.select("path", "time", "head_1", "head_2", "_at", F.posexplode("cells").alias("col", "text"))
     each = each.filter((F.col("col") > 0) & (F.col("col") != F.col("_at")) & (F.col("col") < F.least(F.size("head_1"), F.size("head_2")))).withColumn("value", number(F.col("text"))).filter("value is not null")
-    return each.select("path", "time", F.get("head_2", "col").alias("location"), F.get("head_1", "col").alias("type"), "value", F.abs("value").alias("abs_value"))
+    return each.select("path", "time", F.trim(F.get("head_2", "col")).alias("location"), F.get("head_1", "col").alias("type"), "value", F.abs("value").alias("abs_value"))
 
 
 #: Labels of the transposed summary, in order.

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.functions.scenario import SUFFIXES
 from tidewell.operators import quality, reshape
-from tidewell.sources import files, layouts, logs, readers
+from tidewell.sources import files, layouts, logs, packed, readers
 
 #: Which tables give maxima, series, geometry.
 MAXIMUMS, SERIES, GEOMETRY = ("Cmx", "Nmx", "Chan", "ccA", "RLL_Qmx"), ("Q", "V", "CF", "H"), ("EOF", "Chan")
@@ -81,11 +80,6 @@ def channel_areas(cells: DataFrame) -> DataFrame:
     return wide.select("path", "Chan ID", *[readers.number(F.col(c)).alias(c) for c in AREA_FIELDS])
 
 
-def suffix_glob(suffix: str) -> str:
-    """The glob of names with the suffix in any case."""
-    return "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
-
-
 def normalised_types(requested: Iterable[str] | None, accepted: Sequence[str]) -> tuple[list[str], list[str]]:
     """(types that are accepted, each once in the order asked for; others). Nothing asked for means all."""
     wanted = list(dict.fromkeys(requested or accepted))
@@ -109,14 +103,56 @@ def named(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({"run_code": "internalName", "trim_run_code": "trim_runcode"})
 
 
+def plain_path(path: Column) -> Column:
+    """A local file's path in one spelling, whichever reader gives it."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def listing(spark: SparkSession, roots: str | Sequence[str], data_types: Sequence[str] | None = None) -> DataFrame:
+    """(path, length, modified, data_type) of the result files under the roots; no contents are read."""
+    found = files.find_files(spark, [roots] if isinstance(roots, str) else roots).select(plain_path(F.col("path")).alias("path"), "name", "length", "modified")
+    kinds = layouts.by_suffix()
+    kind = F.coalesce(*[F.when(F.lower("name").endswith(s.lower()), F.lit(t)) for s, t in kinds.items()])
+    out = found.select("path", "length", "modified", kind.alias("data_type")).filter("data_type is not null")
+    return out.filter(F.col("data_type").isin(list(data_types))) if data_types else out
+
+
+def packed_series(long: DataFrame, kind: str) -> DataFrame:
+    """A series type's table, as its reader gives it, of rows of the packed source."""
+    timed = long.withColumn("Time", readers.number(F.col("time_text"))).filter(F.col("Time").isNotNull())
+    value = readers.number(F.col("text"))
+    if kind == "PO":
+        out = timed.select("path", "Time", F.col("entity").alias("Location"), F.col("measure").alias("Type"), value.alias("Value")).filter(F.col("Value").isNotNull())
+        return out.withColumn("AbsValue", F.abs("Value"))
+    if kind == "H":
+        ends = [F.min(F.when(F.col("measure") == k, value)).alias(n) for k, n in (("1", "US_h"), ("2", "DS_h"))]
+        out = timed.filter(F.col("measure").isin("1", "2")).groupBy("path", "Time", F.col("entity").alias("Chan ID")).agg(*ends)
+        return out.dropna(how="all", subset=["US_h", "DS_h"])
+    out = timed.select("path", "Time", F.col("entity").alias("Chan ID"), (F.col("text") if kind == "CF" else value).alias(kind))
+    return out.filter(F.col(kind).isNotNull())
+
+
 def read_results(spark: SparkSession, paths: str | Sequence[str], data_types: Sequence[str] | None = None, locations: Iterable[str] | None = None) -> dict[str, DataFrame]:
-    """Tables by data type of all result files under the paths. Files that lack what their layout needs give no rows."""
+    """Tables by data type of all result files under the paths. Files that lack what their layout needs give no rows.
+
+    The tree is listed once, when the tables are built, and each type reads the files of the listing: series from the packed
+    source, which takes the wanted locations' columns alone, others from lines.
+    """
     kinds, _ = normalised_types(data_types, [*READERS, "ccA"])
     wanted, out = normalised_locations(locations), {}
-    for kind in kinds:
-        if kind == "ccA":
-            out[kind] = named(quality.entity_filter(channel_areas(readers.channel_areas(spark, paths)), wanted))
+    listed: dict[str, list[tuple[str, int, str]]] = {k: [] for k in kinds}
+    for r in listing(spark, paths, kinds).orderBy("path").collect():
+        listed[r["data_type"]].append((r["path"], r["length"], r["data_type"]))
+    for kind, own in listed.items():
+        if kind in packed.PREFIXES:
+            long = packed.series(spark, own, wanted).withColumnRenamed("time", "time_text")
+            out[kind] = named(packed_series(long, kind))
             continue
-        (suffix,) = [s for s, k in SUFFIXES if k == kind]
-        out[kind] = tidy(readers.read_lines(spark, paths, suffix_glob(suffix)), kind, wanted)
+        names = [readers.literal_path(p) for p, _, _ in own]
+        if kind == "ccA":
+            cells = readers.channel_areas(spark, names) if names else spark.createDataFrame([], "path string, row int, field string, value string")
+            out[kind] = named(quality.entity_filter(channel_areas(cells), wanted))
+        else:
+            lines = readers.read_lines(spark, names) if names else spark.createDataFrame([], "path string, line int, text string")
+            out[kind] = tidy(lines, kind, wanted)
     return out
