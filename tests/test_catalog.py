@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidewell.plans import reports  # noqa: F401  registers its queries
+from tidewell.plans import reports, sets, stored  # noqa: F401  register their queries
 from tidewell.plans.catalog import ORACLE_SQL, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A new folder's name where driver and executors share one; local mode makes its own if none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="tidewell-")
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def storm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem with its order's, customer's, nation's and region's names. The joins' small sides are left to the
     optimizer, which broadcasts what its statistics prove small."""

@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,16 @@ def glob_regex(glob: str) -> str:
     return "(?i)^" + "".join(".*" if c == "*" else "." if c == "?" else "\\" + c if not c.isalnum() and c != "_" else c for c in glob) + "$"
 
 
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """The store that Arrow opens inside tasks, and a path's place there, under the name that Spark gives it."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or scheme == "file":
+        return fs.LocalFileSystem(), "/" + (rest if colon else path).lstrip("/")
+    authority, _, place = rest.lstrip("/").partition("/")
+    store, root = fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{authority}/")
+    return store, f"{root.rstrip('/')}/{place}"
+
+
 def file_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/\\]*)$", 1)
 

@@ -16,11 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
 
+from tidewell.sources.files import located
+
 FORMAT = "tidewell_series"
 #: ``measure`` is a point output's type, a level's end (1 upstream, 2 downstream), else the data type.
 SCHEMA = "path string, data_type string, time string, entity string, measure string, text string"
@@ -58,15 +59,8 @@ def packed(files: Sequence[tuple[str, int, str]], task_bytes: int = TASK_BYTES,
 
 
 def opened(path: str) -> io.BufferedReader:
-    """A file of any store that Arrow reads, under the name that Spark gives it."""
-    scheme, colon, rest = path.partition(":")
-    if not colon or scheme == "file":
-        own = fs.LocalFileSystem().open_input_file("/" + (rest if colon else path).lstrip("/"))
-    else:
-        authority, _, place = rest.lstrip("/").partition("/")
-        store, root = fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{authority}/")
-        own = store.open_input_file(f"{root.rstrip('/')}/{place}")
-    return io.BufferedReader(own, 1 << 20)
+    store, place = located(path)
+    return io.BufferedReader(store.open_input_file(place), 1 << 20)
 
 
 def cells_of(line: str) -> list[str]:

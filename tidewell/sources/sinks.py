@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.sources.files import located
+
 #: Rows and columns of a spreadsheet.
 MAX_ROWS, MAX_COLUMNS = 1_048_576, 16_384
 
@@ -38,6 +42,45 @@ def export(frames: Mapping[str, DataFrame], folder: str, mode: str = "parquet",
     return paths
 
 
+def _file_writer(folder: str):
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = located(folder)
+        name, out, part, n = None, None, None, 0
+
+        def done() -> pa.RecordBatch:
+            out.close()
+            store.move(part, f"{root}/{name}")
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["path", "n_lines"])
+
+        for batch in batches:
+            for own, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if own != name:
+                    if name is not None:
+                        yield done()
+                    name, n = own, 0
+                    store.create_dir(f"{root}/{own}".rpartition("/")[0], recursive=True)
+                    part = f"{root}/{own}.{uuid.uuid4().hex}.part"
+                    out = store.open_output_stream(part)
+                out.write(((text or "") + "\n").encode())
+                n += 1
+        if name is not None:
+            yield done()
+
+    return write
+
+
+def write_files(lines: DataFrame, folder: str) -> dict[str, int]:
+    """One text file for each ``path``, under the folder, of (path, line, text) in order of line; returns files and lines.
+
+    A task streams its files one after another, each under another name until it is whole, so that a repeated task only
+    replaces a file by its like. Null and blank paths name no file.
+    """
+    dealt = lines.filter(F.trim("path") != "").select(F.ltrim("path", F.lit("/")).alias("path"), "line", F.col("text").cast("string").alias("text"))
+    dealt = dealt.repartition("path").sortWithinPartitions("path", "line").select("path", "text")
+    told = dealt.mapInArrow(_file_writer(folder), "path string, n_lines long").agg(F.count("*").alias("files"), F.coalesce(F.sum("n_lines"), F.lit(0)).alias("lines"))
+    return told.first().asDict()
+
+
 def write_cache(df: DataFrame, path: str, by: Sequence[str] = ("data_type", "run")) -> None:
     """A cache whose folders are the columns that reads filter by."""
     df.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(path)
