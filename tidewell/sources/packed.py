@@ -1,9 +1,11 @@
-"""Wide series files as a data source: small files are packed into tasks by bytes, large ones come apart, filters reach the scan.
+"""Wide series files as a data source: small files are packed into tasks by bytes, large ones come apart, columns are chosen.
 
 The listing is made once by the caller and is what tasks are planned from. A task takes pieces of files up to ``task_bytes``;
 a file beyond that is several pieces, each of which reads the file's headings first and then the lines that begin in its
-range. Filters on path and data type leave out files before tasks are planned; those on entities leave out columns, whose
-cells are then neither converted nor sent to Spark. Cells stay text: the numbers are Spark's.
+range. Of the entities that aren't wanted no cell is converted or sent to Spark. Cells stay text: the numbers are Spark's.
+
+The wanted entities are an option of the scan and no pushed filter: all scans of one such source within a plan share what was
+pushed last, so that a table joined with a filtered part of itself would lose rows.
 """
 
 from __future__ import annotations
@@ -17,8 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidewell.sources.files import located
 
@@ -110,23 +111,10 @@ class SeriesReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.files = [tuple(f) for f in json.loads(options["files"])]
         self.task_bytes = int(options.get("task_bytes", TASK_BYTES))
-        self.wanted: dict[str, set[str]] = {}
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            name = f.attribute[0] if isinstance(f, EqualTo | In | IsNotNull) and len(f.attribute) == 1 else None
-            if name not in ("path", "data_type", "entity"):
-                yield f
-            elif not isinstance(f, IsNotNull):
-                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.wanted[name] = self.wanted.get(name, values) & values
-
-    def keeps(self, name: str, value: str) -> bool:
-        return name not in self.wanted or value in self.wanted[name]
+        self.wanted = set(json.loads(options.get("entities", "[]")))
 
     def partitions(self) -> list[Pieces]:
-        own = [f for f in self.files if self.keeps("path", f[0]) and self.keeps("data_type", f[2])]
-        return packed(own, self.task_bytes) or [Pieces([])]  # Spark reads one partition where a source plans none
+        return packed(self.files, self.task_bytes) or [Pieces([])]  # Spark reads one partition where a source plans none
 
     def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
         for piece in partition.pieces:
@@ -146,7 +134,7 @@ class SeriesReader(DataSourceReader):
                     elif len(cells := cells_of(line)) > 1:
                         heads.append(cells)
             at, columns = columns_of(kind, heads)
-            columns = [c for c in columns if self.keeps("entity", c[1])]
+            columns = [c for c in columns if not self.wanted or c[1] in self.wanted]
             if at < 0 or not columns:
                 return
             if start == 0:
@@ -184,10 +172,8 @@ class SeriesSource(DataSource):
 def series(spark: SparkSession, files: Sequence[tuple[str, int, str]], entities: Sequence[str] = (), task_bytes: int = TASK_BYTES) -> DataFrame:
     """(path, data_type, time, entity, measure, text) of the (path, length, data type) listed; all entities if none is named.
 
-    The listing is on the driver, as Spark's own index of files is. Lets the session push filters to sources in Python.
+    The listing is on the driver, as Spark's own index of files is.
     """
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SeriesSource)
-    listed = json.dumps([list(f) for f in files])
-    out = spark.read.format(FORMAT).option("files", listed).option("task_bytes", task_bytes).load()
-    return out.filter(F.col("entity").isin(list(entities))) if entities else out
+    own = {"files": json.dumps([list(f) for f in files]), "entities": json.dumps(list(entities)), "task_bytes": task_bytes}
+    return spark.read.format(FORMAT).options(**own).load()
