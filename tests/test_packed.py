@@ -113,3 +113,12 @@ def test_names_that_are_patterns_or_encoded(spark, tmp_path):
         assert {r[0] for r in ingest.table(spark, cache, kind).select("internalName").collect()} == {name}
         assert rows(ingest.table(spark, cache, kind)) == rows(tables[kind])
     assert ingest.failures(spark, cache).count() == 0 and tables["Q"].select(F.col("directory_path")).first()[0].endswith("/in put")
+
+
+def test_locations_by_data_type(spark, tmp_path):
+    assert results.locations_of({"Q": ["a", " a "], "po": "b", "PO": ["c"]}, "PO") == ["c"] and results.locations_of({"po": "b"}, "PO") == ["b"]
+    assert results.locations_of({"Q": ["a"]}, "V") == [] and results.locations_of(["x", ""], "V") == ["x"] and results.locations_of(None, "V") == []
+    for kind in ("Q", "V"):
+        (tmp_path / f"R_1d_{kind}.csv").write_text(f"d,Time (h),{kind} a,{kind} b\nd,0,1,2\n")
+    tables = results.read_results(spark, str(tmp_path), ["Q", "V"], {"q": ["b"]})
+    assert {r[0] for r in tables["Q"].select("Chan ID").collect()} == {"b"} and tables["V"].count() == 2

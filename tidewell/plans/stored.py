@@ -28,6 +28,17 @@ def packed_flow_series(spark, d):
     return _flows(results.read_results(spark, folder, ["Q"], [f"c{i}" for i in range(5)])["Q"])
 
 
+@query("locations_by_type", f"WITH {CELLS} SELECT 'Q' AS kind, 'c' || k AS id, count(v) AS n, round(sum(v), 2) AS total FROM cells WHERE k IN (1, 4) GROUP BY k UNION ALL SELECT 'V', 'c' || k, count(v), round(sum(v), 2) FROM cells GROUP BY k")
+def locations_by_type(spark, d):
+    """Flows at two locations, and velocities at all."""
+    folder = new_folder(spark, "flows")
+    velocities = _wide_lines(spark, d, "_1d_V.csv", ["d"], [FLOWS[0].replace("Q ", "V ")])
+    sinks.write_files(_flow_lines(spark, d).unionByName(velocities), folder)
+    tables = results.read_results(spark, folder, ["Q", "V"], {"q": ["c1", " c4 "]})
+    sums = [tables[k].groupBy(F.lit(k).alias("kind"), F.col("Chan ID").alias("id")).agg(F.count(k).alias("n"), F.round(F.sum(k), 2).alias("total")) for k in ("Q", "V")]
+    return sums[0].unionByName(sums[1])
+
+
 @query("packed_results", f"""WITH {CELLS} SELECT 'PO' AS kind, translate(p, ' ', 'x') AS run, CAST(r AS DOUBLE) AS time, 'L' || k AS place, v AS value FROM cells WHERE v IS NOT NULL
  UNION ALL SELECT 'H', translate(p, ' ', 'x'), CAST(r AS DOUBLE), 'c' || (k // 2), max(v) FROM cells GROUP BY p, r, k // 2
  UNION ALL SELECT 'Cmx', run, time, id, coalesce(q, v) FROM ({ORACLE_SQL['read_cmx']})""")

@@ -11,7 +11,7 @@ A file that isn't of its layout gives no rows; its manifest row says why, and ``
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -138,10 +138,10 @@ def raw(spark: SparkSession, cache: str, data_type: str) -> DataFrame | None:
     return out.join(current, ["path", "batch"], "left_semi").drop("batch")
 
 
-def table(spark: SparkSession, cache: str, data_type: str, locations: Iterable[str] | None = None) -> DataFrame | None:
+def table(spark: SparkSession, cache: str, data_type: str, locations: Iterable[str] | Mapping[str, Iterable[str]] | None = None) -> DataFrame | None:
     """A type's tidy table with the scenario of each file, as ``results.read_results`` gives it."""
     rows = raw(spark, cache, data_type)
-    return None if rows is None else results.named(quality.entity_filter(rows, results.normalised_locations(locations)))
+    return None if rows is None else results.named(quality.entity_filter(rows, results.locations_of(locations, data_type)))
 
 
 def failures(spark: SparkSession, cache: str) -> DataFrame:

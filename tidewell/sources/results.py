@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,6 +90,16 @@ def normalised_locations(locations: Iterable[str] | None) -> list[str]:
     return list(dict.fromkeys(x.strip() for x in locations or () if x and x.strip()))
 
 
+def locations_of(locations: Iterable[str] | Mapping[str, Iterable[str]] | None, data_type: str) -> list[str]:
+    """The locations wanted of a data type: the same of all, or by type, its name as it is before its name in small letters.
+
+    A type that isn't named keeps all its locations.
+    """
+    if isinstance(locations, Mapping):
+        locations = locations.get(data_type, locations.get(data_type.lower()))
+    return normalised_locations([locations] if isinstance(locations, str) else locations)
+
+
 def tidy(lines: DataFrame, data_type: str, locations: Sequence[str] = ()) -> DataFrame:
     """A data type's table of these lines, filtered by location, with the scenario of each file."""
     return named(quality.entity_filter(READERS[data_type](lines), locations))
@@ -132,18 +142,19 @@ def packed_series(long: DataFrame, kind: str) -> DataFrame:
     return out.filter(F.col(kind).isNotNull())
 
 
-def read_results(spark: SparkSession, paths: str | Sequence[str], data_types: Sequence[str] | None = None, locations: Iterable[str] | None = None) -> dict[str, DataFrame]:
+def read_results(spark: SparkSession, paths: str | Sequence[str], data_types: Sequence[str] | None = None, locations: Iterable[str] | Mapping[str, Iterable[str]] | None = None) -> dict[str, DataFrame]:
     """Tables by data type of all result files under the paths. Files that lack what their layout needs give no rows.
 
     The tree is listed once, when the tables are built, and each type reads the files of the listing: series from the packed
-    source, which takes the wanted locations' columns alone, others from lines.
+    source, which takes the wanted locations' columns alone, others from lines. Locations may be named by data type.
     """
     kinds, _ = normalised_types(data_types, [*READERS, "ccA"])
-    wanted, out = normalised_locations(locations), {}
+    out: dict[str, DataFrame] = {}
     listed: dict[str, list[tuple[str, int, str]]] = {k: [] for k in kinds}
     for r in listing(spark, paths, kinds).orderBy("path").collect():
         listed[r["data_type"]].append((r["path"], r["length"], r["data_type"]))
     for kind, own in listed.items():
+        wanted = locations_of(locations, kind)
         if kind in packed.PREFIXES:
             long = packed.series(spark, own, wanted).withColumnRenamed("time", "time_text")
             out[kind] = named(packed_series(long, kind))
