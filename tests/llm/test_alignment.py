@@ -4,8 +4,11 @@ import hashlib
 import json
 import random
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from tidewell.llm import alignment
@@ -137,3 +140,36 @@ def test_odd_rows_and_empty_tables(odd, empty):
     assert {(1, False), (2, False), (6, True), (None, True)} <= by
     assert all((r["groups_sha256"] == "") == (r["n_a"] == 0) for r in rows)
     assert alignment.align(empty, A, B).collect() == []
+
+
+def test_a_task_holds_few_documents_pairs(monkeypatch):
+    """However many rows a batch has, on the way out and when pairs are summed and looked up."""
+    monkeypatch.setattr(alignment, "HELD", 8, raising=False)
+    texts = [f"some words {i} of\none text" for i in range(40)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    made = list(alignment._align(A, B)([batch]))
+    assert sum(x.num_rows for x in made) == len(texts) and max(x.num_rows for x in made) <= 8
+    whole = pa.Table.from_batches(made).combine_chunks().to_batches()[0]
+    sums = []
+    for own in ([whole], made, [whole.slice(3)]):
+        out = list(alignment._summed([x.select(["pairs", "times"]) for x in own]))
+        sums.append(dict(zip(*(c.to_pylist() for c in pa.Table.from_batches(out).columns), strict=True)))
+    pairs = Counter()
+    for p, t in zip(whole["pairs"].to_pylist(), whole["times"].to_pylist(), strict=True):
+        pairs.update(dict(zip(p, t, strict=True)))
+    assert sums[0] == sums[1] == pairs and sum(sums[2].values()) < sum(pairs.values())
+
+    known = [np.array(x, np.int64) for x in zip(*[(k, pairs[k], pairs[k] % 2) for k in sorted(pairs)], strict=True)]
+    scored = list(alignment._scored(SimpleNamespace(value=known))([whole]))
+    assert max(x.num_rows for x in scored) <= 8
+    rows = pa.Table.from_batches(scored).to_pylist()
+    for row, p, t in zip(rows, whole["pairs"].to_pylist(), whole["times"].to_pylist(), strict=True):
+        assert (row["n_links"], row["n_best"], row["count_sum"]) == (sum(t), sum(n * (pairs[k] % 2) for k, n in zip(p, t, strict=True)), sum(n * pairs[k] for k, n in zip(p, t, strict=True)))
+
+
+def test_counts_are_not_written(docs, monkeypatch):
+    """Each file that is written on a local disk starts processes that set its rights; the counts go straight to the driver."""
+    written, plainly = [], alignment.materialise
+    monkeypatch.setattr(alignment, "materialise", lambda df, label: written.append(label) or plainly(df, label))
+    assert alignment.align(docs(["two words", "two words here"]), A, B).count() == 2
+    assert written == ["aligned"]

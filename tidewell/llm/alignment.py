@@ -31,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import drop_table, materialise, table
+from tidewell.llm.common import groups, materialise, table
 from tidewell.llm.tokens import _Cache, byte_letters, encoder
 
 #: Memoised transitions, dropped when there are so many.
 TRANSITIONS = 2_000_000
+#: Pairs of documents that are held at a time, but for those of one document.
+HELD = 1 << 18
 #: What stands for a space in pieces.
 MARK = "▁"
 _CHUNKS = re.compile(r" +[^ \n]*|\n[^ \n]*|[^ \n]+")
@@ -217,24 +219,40 @@ def _align(a_path: str, b_path: str) -> Callable:
         align = aligner(a_path, b_path).align
         names, types = zip(*[(c.split()[0], t) for c, t in zip(ALIGNED.split(", "), [*[pa.int64()] * 4, pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32())], strict=True)], strict=True)
         for batch in batches:
-            out = []
+            out, size = [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if size >= HELD:
+                    yield _record(out, names, types)
+                    out, size = [], 0
                 a, b, a_ends, b_ends = align(text.as_py())
                 digest = hashlib.sha256(groups_text(a, b, a_ends, b_ends).encode()).hexdigest() if len(a) else ""
                 links = np.sort(a[a_ends - 1].astype(np.int64) << 32 | b[b_ends - 1].astype(np.int64))
                 new = np.flatnonzero(np.r_[True, links[1:] != links[:-1]]) if len(links) else links
                 times = np.diff(np.r_[new, len(links)]).astype(np.int32)
                 out.append((doc_id, len(a), len(b), len(a_ends), digest, links[new], times))
-            columns = zip(*out, strict=True) if out else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], list(names))
+                size += len(new)
+            yield _record(out, names, types)
 
     return rows
 
 
+def _record(rows: list[tuple], names: Sequence[str], types: Sequence[pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], list(names))
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in order, cut so that the lists of ``column`` have about HELD entries together, one row at least."""
+    for batch in batches:
+        offsets = batch.column(column).offsets.to_numpy().astype(np.int64)
+        for first, last in groups(offsets, HELD):
+            yield batch.slice(first, last - first)
+
+
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of the pairs of a task; a few hundred thousand at most, see ``pair_bound``."""
     held, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for batch in batches:
+    for batch in _slices(batches, "pairs"):
         pairs, times = (batch.column(k).flatten().to_numpy().astype(np.int64) for k in (0, 1))
         held, at = np.unique(np.concatenate([held, pairs]), return_inverse=True)
         sums = np.bincount(at, np.concatenate([sums, times]), len(held)).astype(np.int64)
@@ -255,7 +273,7 @@ def pair_bound(a_bytes: Sequence[bytes], b_bytes: Sequence[bytes]) -> int:
 def _scored(known: object) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, n, best = known.value
-        for batch in batches:
+        for batch in _slices(batches, "pairs"):
             pairs, times = batch.column("pairs"), batch.column("times")
             sizes = np.diff(pairs.offsets.to_numpy())
             at = np.searchsorted(pair, pairs.flatten().to_numpy())
@@ -283,12 +301,10 @@ def align(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", tex
     spark = docs.sparkSession
     source = docs.selectExpr(f"cast(`{doc_id}` as long) as doc_id", f"`{text}` as text")
     aligned = materialise(source.mapInArrow(_align(a_path, b_path), ALIGNED), "aligned")
-    counts = materialise(pair_counts(aligned), "pair-counts")
     bound = pair_bound(byte_level_tokens(a_path), Pieces(b_path).bytes)
-    if counts.count() > bound:
+    found = pair_counts(aligned).select((F.shiftleft("a", 32).bitwiseOR(F.col("b"))).alias("pair"), "n", F.col("best").cast("long").alias("best")).toArrow()
+    if found.num_rows > bound:
         raise RuntimeError(f"more than {bound} pairs of tokens end together")
-    found = counts.select((F.shiftleft("a", 32).bitwiseOR(F.col("b"))).alias("pair"), "n", F.col("best").cast("long").alias("best")).toArrow()
-    drop_table(counts)
     pair, n, best = (found.column(c).to_numpy() for c in ("pair", "n", "best"))
     order = np.argsort(pair)
     known = spark.sparkContext.broadcast((pair[order], n[order], best[order]))
