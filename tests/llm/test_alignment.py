@@ -173,3 +173,37 @@ def test_counts_are_not_written(docs, monkeypatch):
     monkeypatch.setattr(alignment, "materialise", lambda df, label: written.append(label) or plainly(df, label))
     assert alignment.align(docs(["two words", "two words here"]), A, B).count() == 2
     assert written == ["aligned"]
+
+
+def test_known_stretches_are_not_read_again():
+    """The transducer doesn't read a stretch of text that it has read before."""
+    alignment.aligner.cache_clear()
+    machine, read = alignment.aligner(A, B).transducer, []
+    plainly = machine.groups
+    machine.groups = lambda a, b: read.append(len(a)) or plainly(a, b)
+    texts = ["some words and words, some more\nand more", "some words and words, some more\nand more and words, some more", "some Words and"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    n_a = [n for x in alignment._align(A, B)([batch]) for n in x.column("n_a").to_pylist()]
+    assert n_a == [len(both(text)[0]) for text in texts]
+    # new are " some", " words", " and", " words,", " more" and "\nand" of the first text, nothing of the second, " Words" of the third
+    assert read == [1 + 1 + 1 + 2 + 1 + 2, 1]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_stretches_give_the_rows_of_whole_texts(seed, monkeypatch):
+    """However few stretches are kept, and where a side can't spell some of them."""
+    monkeypatch.setattr(alignment, "STRETCHES", 20, raising=False)
+    monkeypatch.setattr(alignment, "LONGEST", 5, raising=False)
+    rnd, own, whole = random.Random(seed), alignment.Aligner(A, B), alignment.Aligner(A, B)
+    whole.cut = False
+    assert own.cut
+    bits = [" ", "  ", "\n", "\t", "\r", "\x1c", "\x85", "\xa0", "　", "​", "a", "the", "The.", "don't", "é", "ﬁ", "Ａ", "東京", "\U0001f600", "\x00", "<s>", "<0x41>", "<|endoftext|>", "▁", "word", "12"]
+    none = 0
+    for _ in range(600):
+        few = rnd.sample(bits, rnd.randint(2, 10))
+        text = "".join(rnd.choice(few) for _ in range(rnd.randint(0, 40)))
+        got, plainly = own.align(text), whole.align(text)
+        assert got[:3] == plainly[:3] and got[3].tolist() == plainly[3].tolist(), repr(text)
+        none += bool(text) and not got[0]
+        assert len(own.known) <= 20 + 40 and all(len(x) <= 5 for x in own.known)
+    assert not whole.known and none

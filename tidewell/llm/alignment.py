@@ -5,6 +5,12 @@ which stream leads and the bytes by which it leads (the dangling suffix). The ne
 it eats from the residual, or the lead changes. An empty residual closes a group. Transitions depend on the residual and
 the token alone, so they are memoised and reused for the whole corpus.
 
+Where both tokenizers cut a text (before a space or a line feed that follows something else than white space) both streams have
+spelled the same bytes, so the transducer is back at its start: a run over the stretch between two such places is one more
+transition, from start to start, which yields its groups and depends on the stretch alone. It is memoised too, with what its
+groups are written as and their links, so frequent stretches are encoded and aligned once. Texts with a stretch that a side
+can't spell, and those of vocabularies that can't be cut, are read as a whole.
+
 Where a group closes, its last tokens on both sides end together and are a link. Links are counted over the corpus; of two
 tokens that end together one is a suffix of the other, so there are at most as many pairs as the entries of both vocabularies
 have suffixes (some 500,000), and the table of counts is small whatever the corpus: that bound is checked when it is built.
@@ -23,6 +29,7 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import suppress
 from functools import lru_cache
 
 import numpy as np
@@ -32,15 +39,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import groups, materialise, table
-from tidewell.llm.tokens import _Cache, byte_letters, encoder
+from tidewell.llm.tokens import _SPACED, _WHITE, _Cache, byte_letters, encoder
 
 #: Memoised transitions, dropped when there are so many.
 TRANSITIONS = 2_000_000
+#: Memoised stretches, dropped when there are so many (but for those of one document), and how long one may be to be kept.
+STRETCHES, LONGEST = 500_000, 64
 #: Pairs of documents that are held at a time, but for those of one document.
 HELD = 1 << 18
 #: What stands for a space in pieces.
 MARK = "▁"
 _CHUNKS = re.compile(r" +[^ \n]*|\n[^ \n]*|[^ \n]+")
+_STRETCHES = re.compile(rf"[{_WHITE}]+[^{_WHITE}]*(?:(?![ \n])[{_WHITE}]+[^{_WHITE}]*)*")
+#: What a run of the transducer yields: its groups as written, its links as 64-bit integers, how many ids of A << 31 | of B.
+Run = tuple[str, bytes, int]
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, pairs array<long>, times array<int>"
 COUNTS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -172,25 +184,64 @@ class Aligner:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         self.a, self.b = encoder(a_path), Pieces(b_path)
         self.a_bytes, self.b_bytes = byte_level_tokens(a_path), self.b.bytes
+        self.a_sizes = np.array([len(x) for x in self.a_bytes], np.int64)
         self.transducer = Transducer(self.a_bytes, self.b_bytes)
+        self.cut = self.a.pattern is _SPACED and self.b.cut
+        self.known: dict[str, Run] = {}
 
-    def align(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of A and of B and how many of each the groups have read; none where a side doesn't spell the space and the text.
+    def _runs(self, stretches: list[str], a: bytes, b: bytes) -> list[Run]:
+        """The transducer's runs over stretches that follow each other; ValueError if a side spells other bytes.
 
         B is held against the text, and A against B by the transducer.
         """
-        none = (np.zeros(0, np.int64),) * 4
-        if not text:
-            return none
-        a, b = (np.frombuffer(x, "<u4") for x in (self.a.encode(" " + text), self.b.encode(text)))
+        a, b = (np.frombuffer(x, "<u4") for x in (a, b))
         b_list = b.tolist()
-        if b"".join(map(self.b_bytes.__getitem__, b_list)) != (" " + text).encode():
+        if b"".join(map(self.b_bytes.__getitem__, b_list)) != "".join(stretches).encode():
+            raise ValueError("B spells other bytes than the text")
+        a_ends, b_ends = (np.array(x, np.int64) for x in self.transducer.groups(a.tolist(), b_list))
+        links = (a[a_ends - 1].astype(np.int64) << 32 | b[b_ends - 1].astype(np.int64)).tobytes()
+        written = groups_written(a, b, a_ends, b_ends)
+        closed, ends = np.cumsum(self.a_sizes[a])[a_ends - 1], np.cumsum([len(x.encode()) for x in stretches])
+        last = np.searchsorted(closed, ends)
+        if (closed[last] != ends).any():
+            raise ValueError("a group crosses the end of a stretch")
+        out, i, j, k = [], 0, 0, 0
+        for p, q, n in zip(a_ends[last].tolist(), b_ends[last].tolist(), (last + 1).tolist(), strict=True):
+            out.append(("".join(written[i + j : p + q]), links[8 * k : 8 * n], p - i << 31 | q - j))
+            i, j, k = p, q, n
+        return out
+
+    def _stretches(self, text: str) -> list[Run]:
+        """Runs over a text's stretches; those that are not known are encoded and run over together, as no token joins them."""
+        stretches = _STRETCHES.findall(text)
+        runs = [*map(self.known.get, stretches)]
+        new = [*dict.fromkeys([x for x, run in zip(stretches, runs, strict=True) if run is None])]
+        if new:
+            joined = "".join(new)
+            made = dict(zip(new, self._runs(new, self.a._plain(joined), self.b._chunk(joined)), strict=True))
+            runs = [made[x] if run is None else run for x, run in zip(stretches, runs, strict=True)]
+            if len(self.known) + len(made) > STRETCHES:
+                self.known.clear()
+            self.known.update(made if len(max(new, key=len)) <= LONGEST else {x: run for x, run in made.items() if len(x) <= LONGEST})
+        return runs
+
+    def align(self, text: str | None) -> tuple[int, int, str, np.ndarray]:
+        """How many ids A and B have, what the groups are written as, and their links (A's id << 32 | B's); none where a side
+        doesn't spell the space and the text."""
+        none = 0, 0, "", np.zeros(0, np.int64)
+        if not text:
             return none
+        runs = []
+        if self.cut and MARK not in text:
+            with suppress(ValueError):  # the text is read as a whole, which settles it
+                runs = self._stretches(" " + text)
         try:
-            ends = self.transducer.groups(a.tolist(), b_list)
+            runs = runs or self._runs([" " + text], self.a.encode(" " + text), self.b.encode(text))
         except ValueError:
             return none
-        return a, b, *(np.array(x, np.int64) for x in ends)
+        written, links, sizes = zip(*runs, strict=True)
+        size = sum(sizes)
+        return size >> 31, size & (1 << 31) - 1, "".join(written)[:-1], np.frombuffer(b"".join(links), np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -203,15 +254,15 @@ def _written(size: int, separator: str) -> np.ndarray:
     return np.array([f"{i}{separator}" for i in range(size)], object)
 
 
-def groups_text(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> str:
-    """``a1,a2|b1;a3|b2,b3``: each id with what follows it, put in the place that it has in the text."""
+def groups_written(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> list[str]:
+    """``a1,a2|b1;a3|b2,b3;`` by its ids: each with what follows it, put in the place that it has in the text."""
     out = np.empty(len(a) + len(b), object)
     for ids, ends, before, last in ((a, a_ends, np.r_[0, b_ends[:-1]], "|"), (b, b_ends, a_ends, ";")):
         size = 1 << 16 if ids.max() < 1 << 16 else int(ids.max()) + 1
         place = np.arange(len(ids)) + np.repeat(before, np.diff(np.r_[0, ends]))
         out[place] = _written(size, ",")[ids]
         out[place[ends - 1]] = _written(size, last)[ids[ends - 1]]
-    return "".join(out.tolist())[:-1]
+    return out.tolist()
 
 
 def _align(a_path: str, b_path: str) -> Callable:
@@ -224,12 +275,12 @@ def _align(a_path: str, b_path: str) -> Callable:
                 if size >= HELD:
                     yield _record(out, names, types)
                     out, size = [], 0
-                a, b, a_ends, b_ends = align(text.as_py())
-                digest = hashlib.sha256(groups_text(a, b, a_ends, b_ends).encode()).hexdigest() if len(a) else ""
-                links = np.sort(a[a_ends - 1].astype(np.int64) << 32 | b[b_ends - 1].astype(np.int64))
+                n_a, n_b, written, found = align(text.as_py())
+                digest = hashlib.sha256(written.encode()).hexdigest() if n_a else ""
+                links = np.sort(found)
                 new = np.flatnonzero(np.r_[True, links[1:] != links[:-1]]) if len(links) else links
                 times = np.diff(np.r_[new, len(links)]).astype(np.int32)
-                out.append((doc_id, len(a), len(b), len(a_ends), digest, links[new], times))
+                out.append((doc_id, n_a, n_b, len(links), digest, links[new], times))
                 size += len(new)
             yield _record(out, names, types)
 
