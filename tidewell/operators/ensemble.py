@@ -56,7 +56,9 @@ def peak_of_peaks(peaks: DataFrame, keys: Sequence[str], value: str, ties: Seque
 
 
 #: Parts that an octave of values is cut into, and the bucket of nulls, which come first.
-PARTS, NULLS = 64, -1_000_000
+PARTS, NULLS = 8, -1_000_000
+#: Rows of a table of groups that are broadcast at most.
+FEW = 200_000
 
 
 def bucket(value: Column) -> Column:
@@ -69,6 +71,28 @@ def bucket(value: Column) -> Column:
     return F.coalesce(place.cast("int"), F.lit(NULLS))
 
 
+def meet(rows: DataFrame, few: DataFrame, on: Sequence[str], counted: DataFrame, nullable: Sequence[str] = ()) -> DataFrame:
+    """``rows`` whose columns ``on`` are in ``few``, with its other columns; nulls meet in the ``nullable`` ones.
+
+    ``counted`` has as many rows as ``few`` or more. Up to FEW of them ``few`` is broadcast and the rows stay where they are,
+    beyond that both are shuffled; the way that isn't taken ends at a table of one row, before it reads or shuffles any.
+    """
+    size = counted.agg(F.count("*").alias("_size"))
+    when = lambda df, which: df.join(F.broadcast(size.filter(which).select("_size")), F.lit(True), "left_semi")
+    few = few.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) if c in nullable else F.col(c) == F.col(f"_on_{c}") for c in on]
+    small = rows.join(F.broadcast(when(few, F.col("_size") <= FEW)), same)
+    return small.unionByName(when(rows, F.col("_size") > FEW).join(few, same)).drop(*[f"_on_{c}" for c in on])
+
+
+def _placed(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Buckets (_b, _n) with their group's size ``_total``, and where in it the middle place lies, ``_place``, if it does."""
+    group = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.floor(F.col("_total") / 2) - before
+    return parts.withColumn("_total", F.sum("_n").over(group)).withColumn("_place", place).withColumn("_place", F.when((F.col("_place") >= 0) & (F.col("_place") < F.col("_n")), F.col("_place")))
+
+
 def ensemble_statistics(df: DataFrame, keys: Sequence[str], value: str, tp: str, name: str) -> DataFrame:
     """Median, mean and extremes of each ensemble, with the runs at the upper-middle place and closest to the mean.
 
@@ -125,6 +149,23 @@ def ensemble_statistics(df: DataFrame, keys: Sequence[str], value: str, tp: str,
     return out.withColumn("mean_is_median", F.col("mean_name").eqNullSafe(F.col("median_name")))
 
 
+def upper_medians(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Size, extremes and the upper-middle value of each group, as ``ensemble_statistics`` has them, without its runs.
+
+    Only the bucket of the middle place is opened, as counts by value, and only if it holds several values.
+    """
+    rows = drop_null_keys(df, keys).select(*keys, F.col(value).cast("double").alias("_v")).withColumn("_b", bucket(F.col("_v")))
+    parts = _placed(rows.groupBy(*keys, "_b").agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), keys)
+    group = Window.partitionBy(*keys)
+    groups = parts.withColumns({"low": F.min("_lo").over(group), "high": F.max("_hi").over(group)})
+    groups = groups.filter(F.col("_place").isNotNull() & (F.col("low").isNull() | (F.col("low") <= F.col("high"))))  # both are named wherever it is used: one shuffle
+    opened = parts.filter((F.col("_place") > 0) & (F.col("_lo") < F.col("_hi"))).select(*keys, "_b", "_place")
+    values = meet(rows, opened, [*keys, "_b"], opened).groupBy(*keys, "_b", "_v").agg(F.count("*").alias("_c"), F.first("_place").alias("_at"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    middle = values.withColumn("_to", upto).filter(F.col("_to") > F.col("_at")).groupBy(*keys).agg(F.min("_v").alias("_m"))
+    return groups.join(middle, list(keys), "left").select(*keys, F.coalesce("_m", "_lo").alias("median"), "low", "high", F.col("_total").alias("count_tp"))
+
+
 def median_by_group(df: DataFrame, keys: Sequence[str], duration: str, value: str, tp: str, name: str) -> DataFrame:
     """Ensemble statistics for each group and duration, with counts over the group's durations."""
     over = Window.partitionBy(*keys)
@@ -171,16 +212,16 @@ def statistic_of_columns(df: DataFrame, keys: Sequence[str], columns: Sequence[s
         stats = df.groupBy(*keys).agg(F.count("*").alias("count_bin"), *[F.avg(c).alias(f"{c}_mean") for c in columns], *spans)
     else:
         each = F.explode(F.array(*[F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_value")) for c in columns]))
-        long = df.select(*keys, "_name", each.alias("_e")).select(*keys, "_name", "_e._column", "_e._value")
-        medians = ensemble_statistics(long, [*keys, "_column"], "_value", "_name", "_name")
+        long = df.select(*keys, each.alias("_e")).select(*keys, "_e._column", "_e._value")
+        medians = upper_medians(long, [*keys, "_column"], "_value")
         of = lambda c, what: F.max(F.when(F.col("_column") == c, F.col(what)))
         spans = [of(c, what).alias(f"{c}_{n}") for c in columns for n, what in (("min", "low"), ("max", "high"))]
         stats = medians.groupBy(*keys).agg(F.max("count_tp").alias("count_bin"), *[of(c, "median").alias(f"{c}_median") for c in columns], *spans)
-    near = F.struct(F.col(adopt).isNull(), F.abs(F.col(adopt) - F.col(f"_s.{adopt}_{statistic}")), F.col("_name"))
+    near = F.struct(F.col(adopt).isNull(), F.abs(F.col(adopt) - F.col("_s")), F.col("_name"))
     told = [c for c in stats.columns if c not in keys]
-    rows = df.select(*keys, adopt, "_name").join(stats.select(*keys, F.struct(*told).alias("_s")), list(keys))
-    adopted = rows.groupBy(*keys).agg(F.first("_s").alias("_s"), F.min_by("_name", near).alias("adopted_name"), F.min_by(adopt, near).alias("adopted_value"))
-    return adopted.select(*keys, *[F.col(f"_s.{c}").alias(c) for c in told], "adopted_name", "adopted_value")
+    rows = meet(df.select(*keys, adopt, "_name"), stats.select(*keys, F.col(f"{adopt}_{statistic}").alias("_s")), keys, stats)
+    adopted = rows.groupBy(*keys).agg(F.min_by("_name", near).alias("adopted_name"), F.min_by(adopt, near).alias("adopted_value"))
+    return stats.join(adopted, list(keys)).select(*keys, *told, "adopted_name", "adopted_value")
 
 
 def preferred_column(columns: Sequence[str], preferred: Sequence[str]) -> str:
