@@ -36,7 +36,7 @@ def few_groups(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["culvert_stat_median", "workflow_culvert_statistics", "critical_duration_median"])
+@pytest.mark.parametrize("name", ["culvert_stat_median", "workflow_culvert_statistics", "critical_duration_median", "mean_by_group"])
 def test_rows_are_shuffled_for_joins_alone(spark, few_groups, name):
     rows = spark.read.parquet(f"{few_groups}/lineitem.parquet").count()
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
@@ -52,7 +52,7 @@ def test_many_groups_are_shuffled_with_the_same_result(spark, monkeypatch):
     ways = []
     for few in (ensemble.FEW, 0):
         monkeypatch.setattr(ensemble, "FEW", few)
-        stats = [ensemble.statistic_of_columns(df, ["k"], ["v"], s, "v", "name") for s in ("mean", "median")]
-        ways.append([sorted(map(tuple, s.drop("v_mean").collect())) for s in stats])
+        stats = [ensemble.ensemble_statistics(df, ["k"], "v", "tp", "name"), *(ensemble.statistic_of_columns(df, ["k"], ["v"], s, "v", "name") for s in ("mean", "median"))]
+        ways.append([sorted(map(tuple, s.drop("mean_including_zeroes", "mean_excluding_zeroes", "v_mean").collect())) for s in stats])
     assert ways[0] == ways[1]
     assert all(len(s) == 7 for s in ways[0])

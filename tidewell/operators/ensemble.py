@@ -99,52 +99,48 @@ def ensemble_statistics(df: DataFrame, keys: Sequence[str], value: str, tp: str,
     The median is the element at int(n / 2), counted from 0, in ascending order with nulls first; nulls count. Of runs as
     close to the mean the one of the least value, pattern and name is taken.
 
-    Groups may be few and large, and many of their rows may have one value. Equal rows are counted once, in one shuffle that
-    all that follows shares. Buckets of values tell which one holds the middle place and which the mean; only these two are
-    opened, as counts by value and pattern. Names are put in order only within the value and pattern of the middle place,
-    and only if it is neither the first nor the last of them. Nothing is kept or run while the query is built.
+    Groups may be few and large, and many of their rows may have one value. No row is shuffled but those that can matter:
+    buckets of values, with their first and last row, tell which one holds the middle place and which the mean. Only where
+    these rows don't settle it the table is read again for the rows of that bucket, as counts by value and pattern, and once
+    more for the names within the value and pattern of the middle place, if it is neither the first nor the last of them.
+    Both times the table's own shuffles, if it has any, are used again. Nothing is kept or run while the query is built.
     """
-    known = drop_null_keys(df, keys).select(*keys, F.col(value).cast("double").alias("_v"), F.col(tp).alias("_t"), F.col(name).alias("_i"))
-    rows = known.groupBy(*keys, "_v", "_t", "_i").agg(F.count("*").alias("_c")).withColumn("_b", bucket(F.col("_v")))
+    rows = drop_null_keys(df, keys).select(*keys, F.col(value).cast("double").alias("_v"), F.col(tp).alias("_t"), F.col(name).alias("_i")).withColumn("_b", bucket(F.col("_v")))
     group = Window.partitionBy(*keys)
-    parts = rows.groupBy(*keys, "_b").agg(
-        F.sum("_c").alias("_n"), F.sum(F.when(F.col("_v").isNotNull(), F.col("_c"))).alias("_k"), F.sum(F.col("_v") * F.col("_c")).alias("_s"), F.sum(F.when(F.col("_v") != 0, F.col("_c"))).alias("_z"),
-        F.min(F.struct("_v", "_t", "_i")).alias("_lo"), F.min(F.struct((-F.col("_v")).alias("_v"), "_t", "_i")).alias("_hi"),
-    )
+    parts = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_n"), F.sum("_v").alias("_s"), F.min(F.struct("_v", "_t", "_i")).alias("_lo"), F.min(F.struct((-F.col("_v")).alias("_v"), "_t", "_i")).alias("_hi"))
     total, valued = (lambda c: F.sum(c).over(group)), F.col("_b") != NULLS
-    parts = parts.withColumns({"_mean": total("_s") / F.nullif(total("_k"), F.lit(0)), "_before": F.coalesce(F.sum("_n").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    parts = parts.withColumn("_mb", bucket(F.col("_mean")))
-    side = lambda which, c: F.min(F.when(which, F.col(c))).over(group)
-    told = F.struct(
-        total("_n").alias("count_tp"), F.col("_mean").alias("mean_including_zeroes"), (total("_s") / F.nullif(total("_z"), F.lit(0))).alias("mean_excluding_zeroes"),
-        F.min("_lo._v").over(group).alias("low"), (-F.min("_hi._v").over(group)).alias("high"),
-        side(valued & (F.col("_b") < F.col("_mb")), "_hi").alias("under"), side(valued & (F.col("_b") > F.col("_mb")), "_lo").alias("over"), side(~valued, "_lo").alias("none"),
+    known, whole = (total(F.when(valued & (F.col("_b") != without), F.col("_n"))) for without in (NULLS, 0))
+    parts = _placed(parts, keys).withColumn("_mean", total("_s") / known).withColumn("_mb", bucket(F.col("_mean")))
+    side = lambda which, c: F.min(F.when(valued & which, F.col(c))).over(group)
+    own, under, over = (F.col("_b") == F.col("_mb")), (F.col("_b") < F.col("_mb")), (F.col("_b") > F.col("_mb"))
+    told = {
+        "_whole": total("_s") / whole, "_low": F.min("_lo._v").over(group), "_high": -F.min("_hi._v").over(group), "_none": F.min(F.when(~valued, F.col("_lo"))).over(group),
+        "_under": side(under, "_hi"), "_over": side(over, "_lo"), "_own": side(own, "_lo"), "_own_hi": side(own, "_hi"),
+    }
+    groups = parts.withColumns(told).filter(F.col("_place").isNotNull()).drop("_b", "_s", "_hi", "_mb")
+    opened = parts.filter((F.col("_place") > 0) | (valued & own & (F.col("_n") > 2) & (F.col("_lo._v") < -F.col("_hi._v")))).select(*keys, "_b", "_place", F.when(own, F.col("_mean")).alias("_mean"))
+    values = meet(rows, opened, [*keys, "_b"], opened).groupBy(*keys, "_b", "_v", "_t").agg(
+        F.count("*").alias("_c"), F.min(F.struct("_t", "_i")).alias("_first"), F.max("_i").alias("_last"), F.first("_place").alias("_place"), F.first("_mean").alias("_mean")
     )
-    place = F.floor(F.col("_told.count_tp") / 2) - F.col("_before")
-    open_ = parts.withColumn("_told", told).withColumn("_place", F.when((place >= 0) & (place < F.col("_n")), place))
-    open_ = open_.filter(F.col("_place").isNotNull() | (valued & (F.col("_b") == F.col("_mb")))).select(*keys, "_b", "_place", "_told")
-    opened = rows.join(open_, [*keys, "_b"])
-    values = opened.groupBy(*keys, "_b", "_v", "_t").agg(F.sum("_c").alias("_c"), F.min("_i").alias("_first"), F.max("_i").alias("_last"), F.first("_place").alias("_place"), F.first("_told").alias("_told"))
     order = Window.partitionBy(*keys, "_b").orderBy(F.col("_v").asc_nulls_first(), F.col("_t").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     values = values.withColumn("_at", F.col("_place") - F.coalesce(F.sum("_c").over(order), F.lit(0)))
     here = (F.col("_at") >= 0) & (F.col("_at") < F.col("_c"))
-    mean = F.col("_told.mean_including_zeroes")
-    distance = lambda v, t, i, mean: F.struct(F.abs(v - mean).alias("d"), v.alias("v"), t.alias("t"), i.alias("i"))
-    own = distance(F.col("_v"), F.col("_t"), F.col("_first"), mean)
+    distance = lambda v, t, i: F.struct(F.abs(v - F.col("_mean")).alias("d"), v.alias("v"), t.alias("t"), i.alias("i"))
+    row = lambda c, sign=1: F.when(F.col(c).isNotNull(), distance(F.col(f"{c}._v") * sign, F.col(f"{c}._t"), F.col(f"{c}._i")))
     picked = values.groupBy(*keys).agg(
-        F.max(F.when(here, F.struct("_v", "_t", "_at", "_c", "_first", "_last"))).alias("_m"), F.min(F.when(F.col("_v").isNotNull() & mean.isNotNull() & (F.col("_b") == bucket(mean)), own)).alias("_close"), F.first("_told").alias("_told"),
+        F.max(F.when(here, F.struct("_v", "_at", "_c", "_first", "_last"))).alias("_m"), F.min(F.when(F.col("_mean").isNotNull() & F.col("_v").isNotNull(), distance(F.col("_v"), F.col("_first._t"), F.col("_first._i")))).alias("_close"),
     )
-    within = picked.filter((F.col("_m._at") > 0) & (F.col("_m._at") < F.col("_m._c") - 1)).select(*[F.col(k).alias(f"_k_{j}") for j, k in enumerate(keys)], F.col("_m._v").alias("_mv"), F.col("_m._t").alias("_mt"), F.col("_m._at").alias("_ma"))
-    same = [F.col(k) == F.col(f"_k_{j}") for j, k in enumerate(keys)] + [F.col("_v").eqNullSafe(F.col("_mv")), F.col("_t").eqNullSafe(F.col("_mt"))]
-    names = rows.join(within, same).withColumn("_to", F.sum("_c").over(Window.partitionBy(*keys).orderBy(F.col("_i").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)))
-    names = names.filter((F.col("_to") > F.col("_ma")) & (F.col("_to") - F.col("_c") <= F.col("_ma"))).select(*keys, F.struct("_i").alias("_within"))
-    sides = [F.when(F.col(f"_told.{c}").isNotNull(), distance(F.col(f"_told.{c}._v") * sign, F.col(f"_told.{c}._t"), F.col(f"_told.{c}._i"), mean)) for c, sign in (("under", -1), ("over", 1))]
-    out = picked.join(names, list(keys), "left").withColumn("_near", F.least("_close", *sides))
-    ends = F.when(F.col("_m._at") == 0, F.col("_m._first")).otherwise(F.col("_m._last"))
-    median_name = F.when(F.col("_within").isNotNull(), F.col("_within._i")).otherwise(ends)
-    columns = {"median": F.col("_m._v"), "median_tp": F.col("_m._t"), "median_name": median_name}
-    columns |= {c: F.col(f"_told.{c}") for c in ("mean_including_zeroes", "mean_excluding_zeroes", "low", "high", "count_tp")}
-    columns |= {"mean_peak": F.col("_near.v"), "mean_tp": F.coalesce("_near.t", "_told.none._t"), "mean_name": F.coalesce("_near.i", "_told.none._i")}
+    within = picked.filter((F.col("_m._at") > 0) & (F.col("_m._at") < F.col("_m._c") - 1)).select(*keys, F.col("_m._v").alias("_v"), F.col("_m._first._t").alias("_t"), F.col("_m._at").alias("_ma"))
+    names = meet(rows.drop("_b"), within, [*keys, "_v", "_t"], opened, ["_v", "_t"]).groupBy(*keys, "_i").agg(F.count("*").alias("_c"), F.first("_ma").alias("_ma"))
+    names = names.withColumn("_to", F.sum("_c").over(group.orderBy(F.col("_i").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)))
+    names = names.filter((F.col("_to") > F.col("_ma")) & (F.col("_to") - F.col("_c") <= F.col("_ma"))).groupBy(*keys).agg(F.min(F.struct("_i")).alias("_within"))
+    out = groups.join(picked, list(keys), "left").join(names, list(keys), "left")
+    out = out.withColumn("_near", F.least("_close", row("_own"), row("_own_hi", -1), row("_under", -1), row("_over")))
+    first = F.col("_place") == 0
+    median_name = F.when(first, F.col("_lo._i")).when(F.col("_within").isNotNull(), F.col("_within._i")).when(F.col("_m._at") == 0, F.col("_m._first._i")).otherwise(F.col("_m._last"))
+    columns = {"median": F.when(first, F.col("_lo._v")).otherwise(F.col("_m._v")), "median_tp": F.when(first, F.col("_lo._t")).otherwise(F.col("_m._first._t")), "median_name": median_name}
+    columns |= {"mean_including_zeroes": F.col("_mean"), "mean_excluding_zeroes": F.col("_whole"), "low": F.col("_low"), "high": F.col("_high"), "count_tp": F.col("_total")}
+    columns |= {"mean_peak": F.col("_near.v"), "mean_tp": F.coalesce("_near.t", "_none._t"), "mean_name": F.coalesce("_near.i", "_none._i")}
     out = out.select(*keys, *[c.alias(n) for n, c in columns.items()])
     return out.withColumn("mean_is_median", F.col("mean_name").eqNullSafe(F.col("median_name")))
 
