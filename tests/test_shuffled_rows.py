@@ -36,7 +36,7 @@ def few_groups(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["culvert_stat_median", "workflow_culvert_statistics", "critical_duration_median", "mean_by_group", "mean_max", "workflow_mean_report"])
+@pytest.mark.parametrize("name", ["culvert_stat_median", "workflow_culvert_statistics", "critical_duration_median", "mean_by_group", "mean_max", "workflow_mean_report", "nway_outer"])
 def test_rows_are_shuffled_for_joins_alone(spark, few_groups, name):
     rows = spark.read.parquet(f"{few_groups}/lineitem.parquet").count()
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
